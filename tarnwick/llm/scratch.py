@@ -65,7 +65,7 @@ def size_bytes(df: DataFrame, column: str | None = None) -> int:
     unknown and ``column`` is named, by a sum of that column's lengths."""
     from pyspark.sql import functions as F
 
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if known > 1 << 50 and column:
         known = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return known
