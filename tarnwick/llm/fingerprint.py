@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup, with DataFrame functions only.
 
-A text is cut into paragraphs (at line ends, and at sentence ends so that short texts have several)
-and the distinct ones are hashed to 64-bit digests. A sketch adds each digest to three cells, one in
+A text is cut into paragraphs (at line ends, and, so that short texts have several too, at sentence
+ends before a capital from A to H, which is about every second one) and the distinct ones are hashed to 64-bit digests. A sketch adds each digest to three cells, one in
 each third of the sketch; a cell holds the number of digests, their exclusive or and that of their
 checksums. Sketches of two versions are subtracted cell by cell, what both have cancels, and peeling
 recovers the digests of which they differ: a cell with one digest reveals it, and it is taken out of
@@ -30,7 +30,7 @@ from . import scratch
 CELLS = 24
 LARGER = 384
 _CELL = "struct<cell:bigint,n:int,key:bigint,chk:bigint>"
-PARAGRAPH_END = r"\n|(?<=[.!?])\x20+"
+PARAGRAPH_END = r"\n|(?<=[.!?])\x20+(?=[A-H])"
 
 
 def let(value: Column, use) -> Column:
@@ -53,17 +53,18 @@ def _entries(key: Column, n: Column, cells: Column) -> Column:
 def _fold(entries: Column) -> Column:
     """One entry for each cell: sums and exclusive ors; cells without content go."""
     none = F.lit(None).cast(_CELL)
+    empty = lambda c: c.isNull() | ((c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
 
     def step(acc: Column, e: Column) -> Column:
         c = acc["cur"]
-        same = F.coalesce(c["cell"] == e["cell"], F.lit(False))
+        same = c["cell"] == e["cell"]
         merged = F.struct(c["cell"].alias("cell"), (c["n"] + e["n"]).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["chk"].bitwiseXOR(e["chk"]).alias("chk"))
-        done = F.when(c.isNull() | ((c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
-        return F.struct(F.when(same, acc["out"]).otherwise(done).alias("out"), F.when(same, merged).otherwise(e).cast(_CELL).alias("cur"))
+        done = F.when(empty(c), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
+        return F.when(same, F.struct(acc["out"].alias("out"), merged.alias("cur"))).otherwise(F.struct(done.alias("out"), e.alias("cur")))
 
     def finish(acc: Column) -> Column:
         c = acc["cur"]
-        return F.when(c.isNull() | ((c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
+        return F.when(empty(c), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
 
     start = F.struct(F.array().cast(f"array<{_CELL}>").alias("out"), none.alias("cur"))
     return F.aggregate(F.sort_array(entries), start, step, finish)
@@ -85,9 +86,12 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
     found = "array<struct<key:bigint,n:int>>"
 
     def step(acc: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check")))), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        go = let(pure, lambda p: F.when(F.size(p) == 0, F.struct(F.array().cast(f"array<{_CELL}>").alias("cells"), acc["keys"].alias("keys"), acc["cells"].alias("stuck"))).otherwise(
-            F.struct(_fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], cells))))).alias("cells"), F.concat(acc["keys"], p).alias("keys"), acc["stuck"].alias("stuck"))))
+        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
+        signed = lambda p, n: F.transform(F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
+        taken = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
+        stuck = F.struct(F.array().cast(f"array<{_CELL}>").alias("cells"), acc["keys"].alias("keys"), acc["cells"].alias("stuck"))
+        out = lambda p: _fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], cells)))))
+        go = let(taken, lambda p: F.when(F.size(p) == 0, stuck).otherwise(F.struct(out(p).alias("cells"), F.concat(acc["keys"], p).alias("keys"), acc["stuck"].alias("stuck"))))
         return F.when(F.size(acc["cells"]) == 0, acc).otherwise(go)
 
     start = F.struct(difference.alias("cells"), F.array().cast(found).alias("keys"), F.array().cast(f"array<{_CELL}>").alias("stuck"))
