@@ -92,3 +92,11 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, root))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

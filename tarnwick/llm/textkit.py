@@ -142,8 +142,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     starts = np.repeat(bounds[:-1] - out_bounds[:-1], count) + np.arange(out_bounds[-1])
     out = mix(rolled[starts]) if len(starts) else np.zeros(0, np.uint64)
     for i in np.flatnonzero((per > 0) & (per < width)):
-        h = U64(0)
-        for k in range(per[i]):
-            h = h + words[bounds[i] + k] * U64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
-        out[out_bounds[i]] = mix(np.array([h + U64(int(per[i]))], np.uint64))[0]
+        factors = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(per[i])], np.uint64)
+        total = (words[bounds[i] : bounds[i + 1]] * factors).sum(keepdims=True) + U64(int(per[i]))
+        out[out_bounds[i]] = mix(total)[0]
     return out, out_bounds
