@@ -113,7 +113,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark`` (overlapping ones by one) and
     n_chars, where there is such a column, set anew for the changed texts."""
-    found = find_secrets(docs)
+    found = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
     text = F.col("text")
     cut = F.aggregate(
         "all_spans",
@@ -124,7 +124,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = found.withColumn("text", F.when(F.size("all_spans") > 0, cut).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    hit = F.size("all_spans") > 0
+    found = found.withColumn("text", F.when(hit, cut).otherwise(text))
+    fresh = {"text": F.col("text"), "n_chars": F.when(hit, F.length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*(fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns))

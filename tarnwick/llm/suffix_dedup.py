@@ -39,11 +39,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 from . import textkit as tk
 from .exchange import as_batch, deal, pack, routes_for, unpack_all
-from .near_dup import compressed
 from .suffix_array import repeated_prefixes
 
 LENGTH = 100
@@ -286,15 +286,15 @@ def _sort_suffixes(routes: int):
     return run
 
 
-def _apply(with_text: bool):
+def _apply(carried: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("text", pa.string())] * with_text)
+    schema = pa.schema(fields + [("text", pa.string()), ("carried", pa.string())] * carried)
 
     def run(group: pa.Table) -> pa.Table:
         doc, start, end = unpack_all((h for h, _ in _by_kind(group, SPANS)), _SPAN)
         by = np.lexsort((start, doc))
         doc, start, end = doc[by], start[by].tolist(), end[by].tolist()
-        kinds, ids, bodies = group.column("kind").to_numpy(), group.column("doc_id"), group.column("body")
+        kinds, ids, heads, bodies = group.column("kind").to_numpy(), group.column("doc_id"), group.column("head"), group.column("body")
         unpack = zstandard.ZstdDecompressor().decompress
         rows: list[tuple] = []
         for i in np.flatnonzero(kinds == TEXT):
@@ -313,34 +313,64 @@ def _apply(with_text: bool):
             kept.append(data[at:])
             left = b"".join(kept)
             row = (d, len(data), gone, runs, hashlib.sha256(left).hexdigest())
-            rows.append((*row, left.decode("utf-8", "ignore")) if with_text else row)
+            rows.append((*row, left.decode("utf-8", "ignore"), heads[int(i)].as_py().decode()) if carried else row)
         return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
 
 
-def dedup(docs: DataFrame, with_text: bool = False, bytes_per_route: int = 3 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs(doc_id, text)``;
-    ``with_text`` adds what is left as text, without characters that a run's border cuts."""
+def _dedup(docs: DataFrame, carried: bool, bytes_per_route: int) -> DataFrame:
+    """``docs`` has doc_id, text and, if ``carried``, a string of that name."""
     spark = docs.sparkSession
     routes = routes_for(scratch.size_bytes(docs, "text"), bytes_per_route)
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    found = source.where("doc_id IS NOT NULL").mapInArrow(_find_segments(routes), BLOCK)
+    source = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = source.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_find_segments(routes), BLOCK)
     decided = scratch.save(found.groupBy("route").applyInArrow(_decide_segments(routes), BLOCK))
     scratch.release(spark)
 
-    def to_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc = b.column(0)
-            route = route_of(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), routes)
-            route = np.where(doc.is_null().to_numpy(zero_copy_only=False), np.arange(len(route)) % routes, route)
-            empty = [None] * b.num_rows
-            yield as_batch(_SCHEMA, [route, np.full(b.num_rows, TEXT), doc, empty, b.column(1)])
+    def texts(carry: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            for b in batches:
+                doc = b.column(0)
+                route = route_of(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), routes)
+                route = np.where(doc.is_null().to_numpy(zero_copy_only=False), np.arange(len(route)) % routes, route)
+                head = b.column(2).cast(pa.binary()) if carry else [None] * b.num_rows
+                yield as_batch(_SCHEMA, [route, np.full(b.num_rows, TEXT), doc, head, [squeeze((t.as_py() or "").encode()) for t in b.column(1)]])
+
+        return source.select("doc_id", "text", *["carried"] * carry).mapInArrow(run, BLOCK)
 
-    texts = compressed(source).mapInArrow(to_routes, BLOCK)
-    fetched = decided.where(F.col("kind") == UNDECIDED).union(texts).groupBy("route").applyInArrow(_fetch_bytes(routes), BLOCK)
+    fetched = decided.where(F.col("kind") == UNDECIDED).union(texts(False)).groupBy("route").applyInArrow(_fetch_bytes(routes), BLOCK)
     sorted_ = scratch.save(fetched.groupBy("route").applyInArrow(_sort_suffixes(routes), BLOCK))
     scratch.release(spark)
     spans = decided.where(F.col("kind") == SPANS).union(sorted_)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return spans.union(texts).groupBy("route").applyInArrow(_apply(with_text), result)
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, carried string" * carried
+    return spans.union(texts(carried)).groupBy("route").applyInArrow(_apply(carried), result)
+
+
+def dedup(docs: DataFrame, bytes_per_route: int = 3 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs(doc_id, text)``."""
+    return _dedup(docs.select("doc_id", "text"), False, bytes_per_route)
+
+
+def remove_repeats(docs: DataFrame, bytes_per_route: int = 3 << 20) -> DataFrame:
+    """``docs`` with text reduced to what :func:`dedup` keeps (without characters that a run's
+    border cuts) and n_chars, where there is such a column, set anew for the changed texts. Null
+    texts stay null."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.to_json(F.struct(F.col("text").isNull().alias("_no_text"), F.struct(*others).alias("_row") if others else F.lit(None).alias("_row")))
+    made = _dedup(docs.select("doc_id", "text", row.alias("carried")), True, bytes_per_route)
+    kept = T.StructType([T.StructField("_no_text", T.BooleanType()), T.StructField("_row", T.StructType([docs.schema[c] for c in others]) if others else T.StringType())])
+    made = made.withColumn("carried", F.from_json("carried", kept))
+    columns = []
+    for c in docs.columns:
+        if c == "doc_id":
+            value = F.col("doc_id").cast(docs.schema[c].dataType)
+        elif c == "text":
+            value = F.when(~F.col("carried._no_text"), F.col("text"))
+        elif c == "n_chars":
+            value = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("carried")["_row"][c])
+        else:
+            value = F.col("carried")["_row"][c]
+        columns.append(value.alias(c))
+    return made.select(*columns)
