@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup, with DataFrame functions only.
 
 A text is cut into paragraphs (at line ends, and, so that short texts have several too, at sentence
-ends before a capital from A to H, which is about every second one) and the distinct ones are hashed to 64-bit digests. A sketch adds each digest to three cells, one in
+ends before a capital from A to D, which is about every fourth one) and the distinct ones are hashed to 64-bit digests. A sketch adds each digest to three cells, one in
 each third of the sketch; a cell holds the number of digests, their exclusive or and that of their
 checksums. Sketches of two versions are subtracted cell by cell, what both have cancels, and peeling
 recovers the digests of which they differ: a cell with one digest reveals it, and it is taken out of
@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from . import scratch
 
 CELLS = 24
-LARGER = 384
+LARGER = 1536
 _CELL = "struct<cell:bigint,n:int,key:bigint,chk:bigint>"
-PARAGRAPH_END = r"\n|(?<=[.!?])\x20+(?=[A-H])"
+PARAGRAPH_END = r"\n|(?<=[.!?])\x20+(?=[A-D])"
 
 
 def let(value: Column, use) -> Column:
@@ -85,17 +85,33 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
     the first version has them and -1 if the second has)."""
     found = "array<struct<key:bigint,n:int>>"
 
+    pure = F.filter(difference, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
+    signed = lambda p, n: F.transform(F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
+    first = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
+
     def step(acc: Column, _: Column) -> Column:
-        pure = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
-        signed = lambda p, n: F.transform(F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
-        taken = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
+        again = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
+        taken = let(again, lambda p: F.concat(signed(p, 1), signed(p, -1)))
         stuck = F.struct(F.array().cast(f"array<{_CELL}>").alias("cells"), acc["keys"].alias("keys"), acc["cells"].alias("stuck"))
         out = lambda p: _fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], cells)))))
         go = let(taken, lambda p: F.when(F.size(p) == 0, stuck).otherwise(F.struct(out(p).alias("cells"), F.concat(acc["keys"], p).alias("keys"), acc["stuck"].alias("stuck"))))
         return F.when(F.size(acc["cells"]) == 0, acc).otherwise(go)
 
     start = F.struct(difference.alias("cells"), F.array().cast(found).alias("keys"), F.array().cast(f"array<{_CELL}>").alias("stuck"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: F.struct((F.size(acc["cells"]) + F.size(acc["stuck"])).alias("left"), F.size(acc["keys"]).alias("n"), acc["keys"].alias("keys")))
+    all_rounds = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: F.struct((F.size(acc["cells"]) + F.size(acc["stuck"])).alias("left"), F.size(acc["keys"]).alias("n"), acc["keys"].alias("keys")))
+
+    def or_all(keys: Column) -> Column:
+        # a cell's content counts each of its digests once and every digest has three cells, so a
+        # digest that is missing from keys leaves a difference in these sums
+        total = lambda xs, get, one: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(get(x)) if one else a + get(x))
+        whole = (
+            (total(difference, lambda c: c["key"], True) == total(keys, lambda z: z["key"], True))
+            & (total(difference, lambda c: c["chk"], True) == total(keys, lambda z: F.xxhash64(z["key"], F.lit("check")), True))
+            & (total(difference, lambda c: c["n"], False) == 3 * total(keys, lambda z: z["n"], False))
+        )
+        return F.when(whole, F.struct(F.lit(0).alias("left"), F.size(keys).alias("n"), keys.alias("keys"))).otherwise(all_rounds)
+
+    return let(first, or_all)
 
 
 def _written(cells: Column) -> Column:
@@ -108,10 +124,11 @@ def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out:
     """``df`` with ``out``: what :func:`peel` recovers between the digest arrays ``a`` and ``b``,
     first from their sketches, then from larger ones. A last sketch that still can't be peeled
     (a chance below one in millions) leaves its recovered part and the digests compared as sets."""
-    df = df.withColumn(out, peel(subtract(F.col(sketch_a), F.col(sketch_b)), F.lit(CELLS)))
+    df = df.withColumn(out, let(subtract(F.col(sketch_a), F.col(sketch_b)), lambda d: peel(d, F.lit(CELLS))))
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     for cells in (F.lit(LARGER), (F.size(a) + F.size(b)) * 6 + 96):
-        again = peel(_fold(F.concat(F.flatten(F.transform(a, lambda k: _entries(k, F.lit(1), cells))), F.flatten(F.transform(b, lambda k: _entries(k, F.lit(-1), cells))))), cells)
+        both = F.concat(F.flatten(F.transform(a, lambda k: _entries(k, F.lit(1), cells))), F.flatten(F.transform(b, lambda k: _entries(k, F.lit(-1), cells))))
+        again = let(_fold(both), lambda d: peel(d, cells))  # noqa: B023
         df = df.withColumn(out, F.when(F.col(out)["left"] == 0, F.col(out)).otherwise(again))
     done = F.col(out)
     return df.withColumn(out, F.when(done["left"] == 0, done).otherwise(F.struct(F.lit(0).alias("left"), exact.alias("n"), done["keys"].alias("keys"))))
@@ -124,9 +141,13 @@ def likeness(a: str, b: str, difference: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), shared / (shared + apart))).cast("double")
 
 
-def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
-    """doc_id, text and next_text: that of the next lower doc_id, of the highest for the lowest."""
+def with_next_text(docs: DataFrame, carry: dict[str, Column] | None = None, bytes_each: int = 4 << 20) -> DataFrame:
+    """doc_id, text and next_text: that of the next lower doc_id, of the highest for the lowest; and
+    the columns ``carry``, computed from text, with the next document's as next_*."""
+    carry = carry or {}
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for name, value in carry.items():
+        source = source.withColumn(name, value)
     spark = docs.sparkSession
     ranges = max(1, min(1 << 16, -(-scratch.size_bytes(docs, "text") // bytes_each)))
     bounds = sorted({int(x) for x in source.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
@@ -153,20 +174,22 @@ def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
         "to", F.explode(F.concat(F.array(F.struct("range", F.lit(False).alias("copy"))), F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(True).alias("copy")))))
     )
     order = Window.partitionBy("to.range").orderBy("to.copy", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.select("doc_id", "text", "to").withColumn("next_text", F.lead("text").over(order)).where(~F.col("to.copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    led = dealt.select("doc_id", "text", "to", *carry).withColumn("next_text", F.lead("text").over(order))
+    for c in carry:
+        led = led.withColumn(f"next_{c}", F.lead(c).over(order))
+    return led.where(~F.col("to.copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), *carry, *(f"next_{c}" for c in carry))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every row of ``docs(doc_id, text)``: its fingerprint, that of its edited text (the last
     third replaced by the beginning of the next text), and the likeness of the first to the second
     and to the next document's."""
-    df = with_next_text(docs)
+    df = with_next_text(docs, {"own": digests(F.col("text")), "own_cells": sketch(F.col("own"), F.lit(CELLS))})
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("next"))
-    for name in ("own", "new", "next"):
-        df = df.withColumn(f"{name}_cells", sketch(F.col(name), F.lit(CELLS)))
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("new"), F.coalesce("next_own", F.array().cast("array<bigint>")).alias("next"), "own_cells", F.coalesce("next_own_cells", F.array().cast(f"array<{_CELL}>")).alias("next_cells"))
+    df = df.withColumn("new_cells", sketch(F.col("new"), F.lit(CELLS)))
     df = differing(df, "own", "new", "own_cells", "new_cells", "by_edit")
     df = differing(df, "own", "next", "own_cells", "next_cells", "to_next")
     return df.select("doc_id", "n_chars", "edited_sha256", _written(F.col("own_cells")).alias("fingerprint"), _written(F.col("new_cells")).alias("edited_fingerprint"), likeness("own", "new", "by_edit").alias("near_edited"), likeness("own", "next", "to_next").alias("near_next"))
