@@ -3,13 +3,14 @@
 1. Each text's set of word shingles is hashed; the minima of ``PERMUTATIONS`` universal hash
    functions make its signature, bands of it make bucket keys. Equal sets share a digest: the least
    doc_id of a digest stands for all, so copies never meet each other in a bucket.
-2. In each bucket every member is a candidate of the least one only (a star, not all pairs).
+2. A text is a candidate of the least one that it shares any bucket with (a star, not all pairs).
    Candidates whose signatures agree too little are dropped; the others are verified on the full
    sets. Members are brought to their centre in salted groups of a bounded number, as compressed
    texts.
 3. Components of the links come from large-star and small-star. A bucket whose members then lie in
    different components may hide a link that the star missed; only there are members of different
-   components compared by signature, and those that agree enough are verified too.
+   components compared by signature, and of those that agree enough the nearest few for each other
+   component are verified. That is repeated with more of them until none is left untested.
 4. Components of all links give each document's least reachable doc_id.
 
 Two texts at the threshold share no bucket with a chance below 1e-6; nothing else is approximate.
@@ -136,7 +137,7 @@ def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     sizes = edges.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     members = edges.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     centres = sizes.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = members.union(centres).join(compressed(docs), F.col("u") == F.col("doc_id")).select("v", "salt", "u", "z")
+    rows = members.union(centres).hint("shuffle_hash").join(compressed(docs), F.col("u") == F.col("doc_id")).select("v", "salt", "u", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -159,8 +160,9 @@ def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return rows.groupBy("v", "salt").applyInArrow(run, "u long, v long").distinct()
 
 
-def _across(buckets: DataFrame, component: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket but in different components whose signatures agree enough."""
+def _across(buckets: DataFrame, component: DataFrame, sketches: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Pairs in one bucket but in different components whose signatures agree enough: the
+    ``nearest`` for each member and other component. A pair of -1 says that there are more."""
     placed = buckets.join(component, buckets.rep == component.node, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
     rows = placed.join(mixed, ["band", "key"]).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("band", "key", "rep", "component", "sketch")
@@ -169,13 +171,19 @@ def _across(buckets: DataFrame, component: DataFrame, sketches: DataFrame, perce
     def run(group: pa.Table) -> pa.Table:
         rep, comp = (group.column(k).to_numpy() for k in ("rep", "component"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        names, number = np.unique(comp, return_inverse=True)
+        largest = np.bincount(number).argmax()
         found = set()
-        for i in range(len(rep)):
-            other = np.flatnonzero((comp != comp[i]) & (rep < rep[i]))
-            for a in range(0, len(other), 4096):
-                part = other[a : a + 4096]
-                near = part[agreement(sketch[i], sketch[part]) >= percent / 100 - MARGIN]
-                found.update((int(rep[i]), int(rep[j])) for j in near)
+        for i in np.flatnonzero(number != largest):
+            other = np.flatnonzero(number != number[i])
+            near = np.concatenate([agreement(sketch[i], sketch[other[a : a + 4096]]) for a in range(0, len(other), 4096)])
+            other, near = other[near >= percent / 100 - MARGIN], near[near >= percent / 100 - MARGIN]
+            by = np.lexsort((rep[other], -near, number[other]))
+            other = other[by]
+            place = np.arange(len(other)) - np.searchsorted(number[other], number[other])
+            if (place >= nearest).any():
+                found.add((-1, -1))
+            found.update((int(max(rep[i], rep[j])), int(min(rep[i], rep[j]))) for j in other[place < nearest])
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
     return rows.groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
@@ -194,15 +202,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     centres = all_buckets.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save(all_buckets.join(centres, ["band", "key"]))
     scratch.release(spark)
-    edges = scratch.save(_near(buckets.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), sketches, percent))
-    links = scratch.save(verify(edges, docs, width, percent))
+    star = buckets.where("rep <> centre").groupBy(F.col("rep").alias("u")).agg(F.min("centre").alias("v"))
+    tested = scratch.save(_near(star, sketches, percent))
+    links = scratch.save(verify(tested, docs, width, percent))
     scratch.release(spark)
     component = connected_components(links)
-    more = scratch.save(_across(buckets, component, sketches, percent).join(edges, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(scratch.save(verify(more, docs, width, percent)))
-        component = connected_components(links)
-    scratch.release(spark)
+    nearest = 1
+    while True:
+        pairs = scratch.save(_across(buckets, component, sketches, percent, nearest))
+        more = scratch.save(pairs.where("u <> v").join(tested, ["u", "v"], "left_anti"))
+        if not more.isEmpty():
+            links = links.union(scratch.save(verify(more, docs, width, percent)))
+            tested = tested.union(more)
+            component = connected_components(links)
+        elif pairs.where("u = v").isEmpty():
+            break
+        nearest *= 8
+        scratch.release(spark)
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = signed.join(named, ["d1", "d2"], "left")
     least = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
