@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwick.session import ship  # noqa: F401
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -71,29 +73,6 @@ def size_bytes(df: DataFrame, column: str | None = None) -> int:
     return known
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors (once per application), as ``--py-files`` would."""
-    import os
-    import zipfile
-
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="tarnwick-"), "tarnwick.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(os.path.join(root, "tarnwick")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, root))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that are no longer referenced."""
     import gc

@@ -64,7 +64,7 @@ def ranks(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     return out[:n]
 
 
-def repeated_prefixes(text: np.ndarray, candidates: np.ndarray, order: np.ndarray, length: int, block: int = 1 << 16) -> np.ndarray:
+def repeated_prefixes(text: np.ndarray, candidates: np.ndarray, order: np.ndarray, length: int, block: int = 1 << 13) -> np.ndarray:
     """Of the positions ``candidates`` (each with ``length`` characters left) those whose next
     ``length`` characters also follow a candidate of a lower ``order``."""
     if not len(candidates):

@@ -49,7 +49,7 @@ from .suffix_array import repeated_prefixes
 LENGTH = 100
 GRAM = 32
 HOT = 64
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 #: What a block holds.
 SEGMENTS, SPANS, UNDECIDED, MARKED, TEXT, BYTES, WINDOWS = range(7)
@@ -348,12 +348,12 @@ def _dedup(docs: DataFrame, carried: bool, bytes_per_route: int) -> DataFrame:
     return spans.union(texts(carried)).groupBy("route").applyInArrow(_apply(carried), result)
 
 
-def dedup(docs: DataFrame, bytes_per_route: int = 3 << 20) -> DataFrame:
+def dedup(docs: DataFrame, bytes_per_route: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of ``docs(doc_id, text)``."""
     return _dedup(docs.select("doc_id", "text"), False, bytes_per_route)
 
 
-def remove_repeats(docs: DataFrame, bytes_per_route: int = 3 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bytes_per_route: int = 2 << 20) -> DataFrame:
     """``docs`` with text reduced to what :func:`dedup` keeps (without characters that a run's
     border cuts) and n_chars, where there is such a column, set anew for the changed texts. Null
     texts stay null."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: The bytes that separate words.
 SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
