@@ -78,7 +78,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def split_list(x: Column) -> Column:
     """The trimmed, non-empty items of a comma-separated list."""
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.trim), lambda t: F.length(t) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda t: F.trim(t)), lambda t: F.length(t) > 0)
 
 
 def url_decoded(x: Column) -> Column:
