@@ -46,7 +46,7 @@ NO_ID = np.iinfo(np.int64).min
 ROWS, SUMS, REPLY, HOT, TEXT, TOKENS = range(6)
 BLOCK = "route int, kind int, part int, doc_id long, head binary, body binary"
 _SCHEMA = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
-_ROW = [np.int64, np.uint64, np.int32]
+_ROW = [np.int64, np.int64, np.int32]
 _TOTAL = [np.uint64, np.int64]
 
 
@@ -76,15 +76,34 @@ def ngrams(words: np.ndarray, owner: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
-def _distinct(doc: np.ndarray, key: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct keys with their counts, sorted by both."""
-    by = np.lexsort((key, doc))
-    doc, key = doc[by], key[by]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(doc))) if own is None else np.add.reduceat(own[by], at) if len(at) else np.zeros(0, int)
-    return doc[at], key[at], counts.astype(np.int32)
+def _by_key(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs sorted by key, then document: document, key and how often the pair occurs."""
+    ids, number = np.unique(doc, return_inverse=True)
+    if len(ids) < 1 << 16:
+        both = np.sort((key << tk.U64(16)) | number.astype(np.uint64))
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        at = np.flatnonzero(new)
+        doc, key = ids[(both[at] & tk.U64(0xFFFF)).astype(np.int64)], both[at] >> tk.U64(16)
+    else:
+        by = np.lexsort((doc, key))
+        doc, key = doc[by], key[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        doc, key = doc[at], key[at]
+    return doc, key, np.diff(np.append(at, len(new))).astype(np.int32)
+
+
+def _shared_order(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of (document, n-gram) pairs that both sides derive alike, and where in it a new pair
+    begins."""
+    joint = tk.mix(key ^ tk.mix(doc.view(np.uint64)))
+    by = np.argsort(joint, kind="stable")
+    s, k = joint[by], key[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
+    return by, new
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -93,24 +112,19 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 def _explode(order: int, routes: int):
     def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        doc, key, own = _distinct(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        by = np.argsort(key, kind="stable")
-        s = key[by]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        doc, key, own = _by_key(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
         number = np.cumsum(new) - 1
-        holders = np.bincount(number)
-        texts = len(np.unique(doc))
-        hot = holders > max(HOT_LEAST, HOT_SHARE * texts)
+        hot = np.bincount(number) > max(HOT_LEAST, HOT_SHARE * len(np.unique(doc)))
         out = []
         if hot.any():
-            sums = np.bincount(number, weights=own[by]).astype(np.int64)[hot]
-            hot_keys = s[new][hot]
+            sums = np.bincount(number, weights=own).astype(np.int64)[hot]
+            hot_keys = key[new][hot]
             out += [(r, SUMS, 0, pack(c)) for r, c in deal((hot_keys % tk.U64(routes)).astype(np.int64), [hot_keys, sums])]
-            cold = np.empty(len(key), bool)
-            cold[by] = ~hot[number]
+            cold = ~hot[number]
             doc, key, own = doc[cold], key[cold], own[cold]
-        out += [(r, ROWS, 0, pack(c)) for r, c in deal((key % tk.U64(routes)).astype(np.int64), [doc, key, own])]
+        out += [(r, ROWS, 0, pack([c[0], c[1].astype(np.int64), c[2]])) for r, c in deal((key % tk.U64(routes)).astype(np.int64), [doc, key, own])]
         return _blocks(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +155,11 @@ def _count(routes: int):
         route = group.column("route")[0].as_py()
         kinds, heads = group.column("kind").to_numpy(), group.column("head")
         of = lambda kind: (heads[int(i)].as_py() for i in np.flatnonzero(kinds == kind))
-        doc, key, own = _distinct(*unpack_all(of(ROWS), _ROW))
+        doc, key, own = unpack_all(of(ROWS), _ROW)
+        key = key.astype(np.uint64)
+        by, new = _shared_order(doc, key)
+        doc, key = doc[by][new], key[by][new]
+        own = np.add.reduceat(own[by], np.flatnonzero(new)) if len(by) else own
         hot, sums = unpack_all(of(SUMS), _TOTAL)
         keys, number = np.unique(np.concatenate([key, hot]), return_inverse=True)
         total = np.bincount(number, weights=np.concatenate([own, sums]).astype(np.float64), minlength=len(keys)).astype(np.int64)
@@ -152,7 +170,7 @@ def _count(routes: int):
         cold = ~is_hot[number[: len(key)]]
         others = (total[number[: len(key)]] - own)[cold]
         for r, (c,) in deal(doc_route(doc[cold], routes), [others]):
-            # in the order of (doc, key), which deal() keeps; the document's route derives the same
+            # in the shared order, which deal() keeps
             planes = c.astype(np.int64).view(np.uint8).reshape(len(c), 8).T.tobytes()
             out.append((r, REPLY, route, zstandard.ZstdCompressor(level=1).compress(planes)))
         return _table(out)
@@ -181,13 +199,17 @@ def _score(order: int, routes: int, tokens: int):
         doc = ids[owner]
         known_ids, id_number = np.unique(ids, return_inverse=True)
         others: dict[int, np.ndarray] = {}
+        exists: dict[int, np.ndarray] = {}
         for k in range(1, order + 1):
             key = ngrams(words, owner, k)
-            d, u, own = _distinct(doc[key != 0], key[key != 0])
+            some = key != 0
+            by, new = _shared_order(doc[some], key[some])
+            u = key[some][by][new]
+            own = np.diff(np.append(np.flatnonzero(new), len(new)))
             mine = lambda kind: [int(i) for i in np.flatnonzero((kinds == kind) & (parts // routes == k))]  # noqa: B023, E731
             hot, total = unpack_all((heads[i].as_py() for i in mine(HOT)), _TOTAL)
-            by = np.argsort(hot)
-            hot, total = hot[by], total[by]
+            rising = np.argsort(hot)
+            hot, total = hot[rising], total[rising]
             place = np.minimum(np.searchsorted(hot, u), max(len(hot) - 1, 0))
             is_hot = hot[place] == u if len(hot) else np.zeros(len(u), bool)
             value = np.zeros(len(u), np.int64)
@@ -198,15 +220,11 @@ def _score(order: int, routes: int, tokens: int):
             got = sorted((int(parts[i]) % routes, i) for i in mine(REPLY))
             replies = [np.frombuffer(unpacker.decompress(heads[i].as_py()), np.uint8) for _, i in got]
             value[cold] = np.concatenate([r.reshape(8, -1).T.copy().view(np.int64)[:, 0] for r in replies]) if replies else 0
-            pair = np.zeros(len(key), np.int64)
-            # each word's n-gram among the distinct ones, by one key of document and n-gram
-            dn, wn = np.searchsorted(known_ids, d), np.searchsorted(known_ids, doc)
-            joint = tk.mix(u ^ tk.mix(dn.astype(np.uint64)))
-            order_j = np.argsort(joint)
-            want = tk.mix(key ^ tk.mix(wn.astype(np.uint64)))
-            some = key != 0
-            pair[some] = value[order_j[np.searchsorted(joint[order_j], want[some])]]
-            others[k] = pair
+            mine_of = np.zeros(len(by), np.int64)
+            mine_of[by] = value[np.cumsum(new) - 1] if len(by) else 0
+            others[k] = np.zeros(len(key), np.int64)
+            others[k][some] = mine_of
+            exists[k] = some
 
         n = np.diff(bounds)
         rest = tokens - np.bincount(id_number, weights=n, minlength=len(known_ids))[id_number]
@@ -216,8 +234,7 @@ def _score(order: int, routes: int, tokens: int):
             context[1:] = others[k - 1][:-1]
             known = others[k] > 0
             # where there are fewer words before, a lower order's score stands as it is
-            there = ngrams(words, owner, k) != 0
-            score = np.where(known, np.log(np.maximum(others[k], 1) / np.maximum(context, 1)), np.where(there, score + np.log(BACKOFF), score))
+            score = np.where(known, np.log(np.maximum(others[k], 1) / np.maximum(context, 1)), np.where(exists[k], score + np.log(BACKOFF), score))
         total_score = np.bincount(owner, weights=score, minlength=len(ids))
         empty = n == 0
         return pa.table([pa.array([None if i == NO_ID else int(i) for i in ids], pa.int64()), pa.array(n, pa.int64()), pa.array(total_score, mask=empty), pa.array(total_score / np.maximum(n, 1), mask=empty)], schema=schema)
