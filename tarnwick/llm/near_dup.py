@@ -13,7 +13,8 @@
    component are verified. That is repeated with more of them until none is left untested.
 4. Components of all links give each document's least reachable doc_id.
 
-Two texts at the threshold share no bucket with a chance below 1e-6; nothing else is approximate.
+Two texts at the threshold share no bucket with a chance below 1e-6, and their signatures agree too
+little about once in ten thousand; nothing else is approximate.
 
 Defined cases: a text without words (or a null one) has an empty set and is linked with nothing;
 one with fewer words than a shingle has its whole sequence as its only shingle; rows with the same
@@ -39,9 +40,9 @@ from .exchange import as_batch
 PERMUTATIONS = 120
 #: Members that are verified against one centre in one group.
 GROUP = 256
-#: Signatures of a pair at the threshold agree in less than the threshold minus this with a chance
-#: below 1e-5 (it is over four standard deviations).
-MARGIN = 0.15
+#: Signatures of a pair at the threshold agree in less than the threshold minus this about once in
+#: ten thousand (it is 3.7 standard deviations); such a pair counts only if nothing else links both.
+MARGIN = 0.12
 
 _draw = np.random.default_rng(77)
 _A = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
@@ -207,18 +208,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = scratch.save(verify(tested, docs, width, percent))
     scratch.release(spark)
     component = connected_components(links)
-    nearest = 1
+    nearest = 4
     while True:
         pairs = scratch.save(_across(buckets, component, sketches, percent, nearest))
         more = scratch.save(pairs.where("u <> v").join(tested, ["u", "v"], "left_anti"))
         if not more.isEmpty():
-            links = links.union(scratch.save(verify(more, docs, width, percent)))
             tested = tested.union(more)
-            component = connected_components(links)
-        elif pairs.where("u = v").isEmpty():
+            new = scratch.save(verify(more, docs, width, percent))
+            if not new.isEmpty():
+                component = connected_components(new.union(component.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        if pairs.where("u = v").isEmpty():
             break
-        nearest *= 8
+        nearest *= 64
         scratch.release(spark)
+    scratch.release(spark)
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = signed.join(named, ["d1", "d2"], "left")
     least = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
