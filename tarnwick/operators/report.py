@@ -55,3 +55,9 @@ def calibration(cases: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     accepted = F.col("score") >= F.col("threshold")
     out = cases.select("score", "correct", grid).groupBy("threshold").agg(F.count_if(accepted).alias("accepted"), F.count_if(accepted & F.col("correct")).alias("right"), F.count("*").alias("n"))
     return out.withColumn("precision", F.round(F.try_divide("right", "accepted"), 6)).withColumn("coverage", F.round(F.try_divide("accepted", "n"), 6))
+
+
+def moves(rows: DataFrame, old: Column, new: Column) -> DataFrame:
+    """How often which value became which other one, most frequent first."""
+    changed = rows.where(old.isNotNull() & (old != new)).select(F.concat(old, F.lit(" -> "), new).alias("move"))
+    return changed.groupBy("move").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "move")

@@ -91,3 +91,88 @@ def crossref_funders(raw: Column, most: int = 15) -> Column:
     """Distinct funders (lower-case name and award numbers) of a work, five awards each."""
     f = F.from_json(raw, "message struct<funder:array<struct<name:string,award:array<string>>>>")["message"]["funder"]
     return F.slice(F.array_distinct(F.transform(f, lambda x: F.struct(F.lower(x["name"]).alias("agency"), F.slice(F.coalesce(x["award"], F.array().cast("array<string>")), 1, 5).alias("awards")))), 1, most)
+
+
+def openalex_works_of(ids: Column) -> Column:
+    """One filter for the works of a primary profile and its alternates: ids joined by |."""
+    return F.array_join(F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & (i != ""))), "|")
+
+
+def orcid_works(raw: Column, most: int = 20) -> Column:
+    """Publications of an ORCID record; the first DOI among a work's identifiers."""
+    w = F.from_json(raw, "`activities-summary` struct<works:struct<group:array<struct<`work-summary`:array<struct<title:struct<title:struct<value:string>>,`publication-date`:struct<year:struct<value:string>>,`journal-title`:struct<value:string>,`external-ids`:struct<`external-id`:array<struct<`external-id-type`:string,`external-id-value`:string>>>>>>>>>")["activities-summary"]["works"]["group"]
+    def one(g: Column) -> Column:
+        s = F.get(g["work-summary"], F.lit(0))
+        dois = F.filter(F.coalesce(s["external-ids"]["external-id"], F.array()), lambda e: e["external-id-type"] == "doi")
+        return F.struct(s["title"]["title"]["value"].alias("title"), s["publication-date"]["year"]["value"].try_cast("int").alias("year"), s["journal-title"]["value"].alias("journal"), F.get(dois, F.lit(0))["external-id-value"].alias("doi"), F.lit(None).cast("int").alias("citations"), F.lit(None).cast("string").alias("abstract"))
+
+    return _cast(F.slice(F.transform(w, one), 1, most), PUBLICATION)
+
+
+def nsf_grants(raw: Column, last: Column, most: int = 25) -> Column:
+    """Awards; other investigators are those whose name doesn't contain the person's last name."""
+    r = F.from_json(raw, "response struct<award:array<struct<id:string,title:string,abstractText:string,fundsObligatedAmt:string,startDate:string,expDate:string,coPDPI:string>>>")["response"]["award"]
+    def one(a: Column) -> Column:
+        listed = F.when(F.startswith(a["coPDPI"], F.lit("[")), F.from_json(a["coPDPI"], "array<string>")).otherwise(F.array(a["coPDPI"]))
+        others = F.filter(listed, lambda n: n.isNotNull() & ~F.contains(F.lower(n), F.lower(last)))
+        return F.struct(a["title"].alias("title"), F.lit("NSF").alias("agency"), a["fundsObligatedAmt"].alias("amount"), a["startDate"].alias("start_date"), a["expDate"].alias("end_date"), a["id"].alias("project_number"), F.left(a["abstractText"], F.lit(500)).alias("abstract"), F.coalesce(others, F.array().cast("array<string>")).alias("co_pis"))
+
+    return _cast(F.slice(F.transform(r, one), 1, most), GRANT)
+
+
+def semantic_author(raw: Column, orcid: Column, name: Column, keywords: tuple[str, ...]) -> Column:
+    """The author id of a search: one with the same ORCID, else one with a fitting affiliation, else
+    the first whose name contains the person's and who has more than five papers."""
+    hits = F.from_json(raw, "data array<struct<authorId:string,name:string,paperCount:int,affiliations:array<string>,externalIds:struct<ORCID:string>>>")["data"]
+    first = lambda keep: F.get(F.filter(hits, keep), F.lit(0))["authorId"]
+    same = first(lambda h: h["externalIds"]["ORCID"] == orcid)
+    near = first(lambda h: mentions(F.coalesce(h["affiliations"], F.array().cast("array<string>")), keywords))
+    named = first(lambda h: (F.contains(F.lower(h["name"]), F.lower(name)) | F.contains(F.lower(name), F.lower(h["name"]))) & (h["paperCount"] > 5))
+    return F.coalesce(same, near, named)
+
+
+def patents(raw: Column, organisations: tuple[str, ...], most: int = 20) -> Column:
+    """Patents with an assignee that contains one of the organisations."""
+    p = F.from_json(raw, "patents array<struct<patent_id:string,patent_title:string,patent_date:string,assignees:array<struct<assignee_organization:string>>>>")["patents"]
+    owners = lambda x: F.transform(F.coalesce(x["assignees"], F.array()), lambda a: a["assignee_organization"])
+    kept = F.filter(p, lambda x: mentions(owners(x), organisations))
+    return F.slice(F.transform(kept, lambda x: F.struct(x["patent_title"].alias("title"), x["patent_id"].alias("patent_number"), F.get(owners(x), F.lit(0)).alias("assignee"), F.left(x["patent_date"], F.lit(4)).try_cast("int").alias("year"))), 1, most)
+
+
+def ads_papers(raw: Column, most: int = 15) -> Column:
+    """Papers whose title and DOI may be a list or a plain string."""
+    d = F.from_json(raw, "response struct<docs:array<struct<title:string,year:string,pub:string,doi:string,citation_count:int>>>")["response"]["docs"]
+    scalar = lambda x: F.when(F.startswith(x, F.lit("[")), F.get(F.from_json(x, "array<string>"), F.lit(0))).otherwise(x)
+    return _cast(F.slice(F.transform(d, lambda x: F.struct(scalar(x["title"]).alias("title"), x["year"].try_cast("int").alias("year"), x["pub"].alias("journal"), scalar(x["doi"]).alias("doi"), x["citation_count"].alias("citations"), F.lit(None).cast("string").alias("abstract"))), 1, most), PUBLICATION)
+
+
+def wikidata_awards(raw: Column, most: int = 20) -> Column:
+    """Awards and memberships of a query result, each name and year once."""
+    b = F.from_json(raw, "results struct<bindings:array<struct<awardLabel:struct<value:string>,memberLabel:struct<value:string>,date:struct<value:string>>>>")["results"]["bindings"]
+    rows = F.transform(b, lambda x: F.struct(F.coalesce(x["awardLabel"]["value"], F.concat(F.lit("Member, "), x["memberLabel"]["value"])).alias("name"), F.left(x["date"]["value"], F.lit(4)).try_cast("int").alias("year")))
+    return F.slice(F.array_distinct(F.filter(rows, lambda r: r["name"].isNotNull())), 1, most)
+
+
+def repec_works(raw: Column, most: int = 15) -> Column:
+    """Works of a reply that is a list, or an object with one under "works"; read as a variant because
+    the shape differs from reply to reply."""
+    v = F.try_parse_json(raw)
+    works = F.coalesce(F.try_variant_get(v, "$.works", "array<struct<title:string,year:int,journal:string>>"), F.try_variant_get(v, "$", "array<struct<title:string,year:int,journal:string>>"))
+    return F.slice(works, 1, most)
+
+
+def dblp_papers(raw: Column, most: int = 15) -> Column:
+    """Publications, titles without the closing dot; a venue may be a list."""
+    hits = F.from_json(raw, "result struct<hits:struct<hit:array<struct<info:struct<title:string,year:string,venue:string,doi:string>>>>>")["result"]["hits"]["hit"]
+    venue = lambda x: F.when(F.startswith(x, F.lit("[")), F.array_join(F.from_json(x, "array<string>"), ", ")).otherwise(x)
+    return _cast(F.slice(F.transform(hits, lambda h: F.struct(F.rtrim(h["info"]["title"], F.lit(".")).alias("title"), h["info"]["year"].try_cast("int").alias("year"), venue(h["info"]["venue"]).alias("journal"), h["info"]["doi"].alias("doi"), F.lit(None).cast("int").alias("citations"), F.lit(None).cast("string").alias("abstract"))), 1, most), PUBLICATION)
+
+
+def oai_record(raw: Column, most: int = 25) -> Column:
+    """title, creators, year (the first four digits of any date), journal (the first source), doi and
+    url of a harvested Dublin Core record."""
+    all_ = lambda tag: F.transform(F.xpath(raw, F.lit(f"//*[local-name()='{tag}']/text()")), lambda x: F.trim(x))
+    links = all_("identifier")
+    doi = F.get(F.filter(links, lambda x: x.rlike(r"^(doi:|https?://(dx\.)?doi\.org/)?10\.")), F.lit(0))
+    years = F.filter(F.transform(all_("date"), lambda d: F.regexp_extract(d, r"(\d{4})", 1)), lambda y: y != "")
+    return F.struct(F.get(all_("title"), F.lit(0)).alias("title"), F.slice(all_("creator"), 1, most).alias("creators"), F.get(years, F.lit(0)).cast("int").alias("year"), F.get(all_("source"), F.lit(0)).alias("journal"), F.regexp_replace(doi, r"^(doi:|https?://(dx\.)?doi\.org/)", "").alias("doi"), F.get(F.filter(links, lambda x: F.startswith(x, F.lit("http")) & ~F.contains(x, F.lit("doi.org"))), F.lit(0)).alias("url"))

@@ -47,3 +47,37 @@ def test_streams(spark, tmp_path):
     q = logs.upsert_stream(stream, lambda batch: seen.append(batch.count()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert sum(seen) == 6
+
+
+def test_more_payloads(spark):
+    def run(f, value, *args):
+        return spark.createDataFrame([(value,)], "v string").select(f(F.col("v"), *args).alias("x")).first().x
+
+    nsf = {"response": {"award": [{"id": "1", "title": "T", "coPDPI": ["Ann Lee", "Bo Wu"]}, {"id": "2", "title": "U", "coPDPI": "Bo Wu"}]}}
+    assert [g["co_pis"] for g in run(payloads.nsf_grants, json.dumps(nsf), F.lit("Lee"))] == [["Bo Wu"], ["Bo Wu"]]
+    hits = {"data": [{"authorId": "1", "name": "A Lee", "paperCount": 9}, {"authorId": "2", "name": "x", "paperCount": 1, "externalIds": {"ORCID": "o"}}]}
+    assert run(payloads.semantic_author, json.dumps(hits), F.lit("o"), F.lit("A Lee"), ("uni",)) == "2"
+    assert run(payloads.semantic_author, json.dumps(hits), F.lit("z"), F.lit("A Lee"), ("uni",)) == "1"
+    ps = {"patents": [{"patent_id": "9", "patent_title": "P", "patent_date": "2020-01-02", "assignees": [{"assignee_organization": "The Uni"}]}, {"patent_id": "8", "assignees": []}]}
+    assert [(p["patent_number"], p["year"]) for p in run(payloads.patents, json.dumps(ps), ("uni",))] == [("9", 2020)]
+    ads = {"response": {"docs": [{"title": ["A"], "year": "2001", "doi": "d"}]}}
+    assert [(p["title"], p["doi"], p["year"]) for p in run(payloads.ads_papers, json.dumps(ads))] == [("A", "d", 2001)]
+    wiki = {"results": {"bindings": [{"awardLabel": {"value": "X"}, "date": {"value": "1999-01-01"}}, {"awardLabel": {"value": "X"}, "date": {"value": "1999-05-01"}}, {"memberLabel": {"value": "Y"}}]}}
+    assert [(a["name"], a["year"]) for a in run(payloads.wikidata_awards, json.dumps(wiki))] == [("X", 1999), ("Member, Y", None)]
+    for reply in ([{"title": "R", "year": 2000}], {"works": [{"title": "R", "year": 2000}]}):
+        assert [w["title"] for w in run(payloads.repec_works, json.dumps(reply))] == ["R"]
+    dblp = {"result": {"hits": {"hit": [{"info": {"title": "T.", "year": "2010", "venue": ["V", "W"]}}]}}}
+    assert [(p["title"], p["journal"]) for p in run(payloads.dblp_papers, json.dumps(dblp))] == [("T", "V, W")]
+    oai = "<r xmlns:dc='x'><dc:title>T</dc:title><dc:creator>Lee, A</dc:creator><dc:date>c. 1998-02</dc:date><dc:identifier>https://doi.org/10.1/x</dc:identifier><dc:identifier>https://e.org/1</dc:identifier></r>"
+    r = run(payloads.oai_record, oai)
+    assert (r["title"], r["creators"], r["year"], r["doi"], r["url"]) == ("T", ["Lee, A"], 1998, "10.1/x", "https://e.org/1")
+
+
+def test_enrichment_plan(spark):
+    from tarnwick.plans import enrich
+
+    works = json.dumps({"results": [{"title": "Deep Sea", "publication_year": 2018, "doi": "https://doi.org/10.1/X"}]})
+    dblp = json.dumps({"result": {"hits": {"hit": [{"info": {"title": "deep sea.", "year": "2018", "doi": "10.1/x"}}, {"info": {"title": "New.", "year": "2025"}}]}}})
+    rows = spark.createDataFrame([(1, "openalex", works), (1, "dblp", dblp), (2, "dblp", "oops")], "person_id long, source string, payload string")
+    got = enrich.merged_publications(enrich.contributions(rows, {"openalex": payloads.openalex_works, "dblp": payloads.dblp_papers})).orderBy("place").collect()
+    assert [(r.title, r.source, r.place) for r in got] == [("New", "dblp", 1), ("Deep Sea", "openalex", 2)]
