@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     was = None
     while (at := state(now)) != was:
         was = at
-        new = scratch.save(_small_star(_large_star(now).distinct()).distinct())
+        new = scratch.save(_small_star(_large_star(now)).distinct())
         scratch.drop(now)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
