@@ -8,9 +8,8 @@
    sets. Members are brought to their centre in salted groups of a bounded number, as compressed
    texts.
 3. Components of the links come from large-star and small-star. A bucket whose members then lie in
-   different components may hide a link that the star missed; only there are members of different
-   components compared by signature, and of those that agree enough the nearest few for each other
-   component are verified. That is repeated with more of them until none is left untested.
+   different components may hide a link that the star missed; only there members come together with
+   their texts, and those of different components that agree enough by signature are verified.
 4. Components of all links give each document's least reachable doc_id.
 
 Two texts at the threshold share no bucket with a chance below 1e-6, and their signatures agree too
@@ -146,48 +145,84 @@ def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         v = group.column("v")[0].as_py()
         u = group.column("u").to_numpy()
         texts = [unpack(z) for z in group.column("z").to_pylist()]
-        sets, bounds = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), width)
-        own = [sets[bounds[i] : bounds[i + 1]] for i in range(len(u))]
-        linked = []
-        for c in np.flatnonzero(u == v):
-            for i in np.flatnonzero(u != v):
-                a, b = own[c], own[i]
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    shared = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * shared >= percent * (len(a) + len(b) - shared) and shared:
-                        linked.append(int(u[i]))
+        own = _sets_of(texts, width)
+        centres = np.flatnonzero(u == v)
+        linked = [int(u[i]) for i in np.flatnonzero(u != v) if any(similar(own[c], own[i], percent) for c in centres)]
         return pa.table([pa.array(linked, pa.int64()), pa.array([v] * len(linked), pa.int64())], schema=schema)
 
     return rows.groupBy("v", "salt").applyInArrow(run, "u long, v long").distinct()
 
 
-def _across(buckets: DataFrame, component: DataFrame, sketches: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Pairs in one bucket but in different components whose signatures agree enough: the
-    ``nearest`` for each member and other component. A pair of -1 says that there are more."""
+def _sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The shingle set of each text, hashed a few texts at a time."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= tk.CHUNK):
+            size += len(texts[to])
+            to += 1
+        part = texts[at:to]
+        sets, bounds = shingle_sets(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), width)
+        out += [sets[bounds[k] : bounds[k + 1]].copy() for k in range(len(part))]
+        at = to
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different components. Members come with their
+    texts once, so no pair is ever a row; a pair is tested in the first bucket that it shares, if
+    its signatures agree enough, until its components are found to be one."""
     placed = buckets.join(component, buckets.rep == component.node, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    rows = placed.join(mixed, ["band", "key"]).join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("band", "key", "rep", "component", "sketch")
+    rows = placed.join(mixed, ["band", "key"])
+    texts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").hint("shuffle_hash").join(compressed(docs), F.col("rep") == F.col("doc_id")).select("rep", "bands", "sketch", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        band = group.column("band")[0].as_py()
         rep, comp = (group.column(k).to_numpy() for k in ("rep", "component"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        names, number = np.unique(comp, return_inverse=True)
+        earlier = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)[:, :band]
+        number = np.unique(comp, return_inverse=True)[1]
         largest = np.bincount(number).argmax()
-        found = set()
+        near: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(number != largest):
-            other = np.flatnonzero(number != number[i])
-            near = np.concatenate([agreement(sketch[i], sketch[other[a : a + 4096]]) for a in range(0, len(other), 4096)])
-            other, near = other[near >= percent / 100 - MARGIN], near[near >= percent / 100 - MARGIN]
-            by = np.lexsort((rep[other], -near, number[other]))
-            other = other[by]
-            place = np.arange(len(other)) - np.searchsorted(number[other], number[other])
-            if (place >= nearest).any():
-                found.add((-1, -1))
-            found.update((int(max(rep[i], rep[j])), int(min(rep[i], rep[j]))) for j in other[place < nearest])
-        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return rows.groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
+            # of two members of small components, the later one looks at the earlier one
+            other = np.flatnonzero((number == largest) | ((number != number[i]) & (np.arange(len(rep)) < i)))
+            keep = [part[(agreement(sketch[i], sketch[part]) >= percent / 100 - MARGIN) & ~(earlier[part] == earlier[i]).any(axis=1)] for part in (other[a : a + 4096] for a in range(0, len(other), 4096))]
+            found = np.concatenate(keep) if keep else other
+            if len(found):
+                near[int(i)] = found[np.argsort(-agreement(sketch[i], sketch[found]), kind="stable")]
+        needed = sorted(set(near) | {int(j) for js in near.values() for j in js})
+        z = group.column("z")
+        sets = dict(zip(needed, _sets_of([unpack(z[i].as_py()) for i in needed], width), strict=True))
+        one = list(range(int(number.max()) + 1))
+
+        def root(x: int) -> int:
+            while one[x] != x:
+                one[x] = one[one[x]]
+                x = one[x]
+            return x
+
+        links = []
+        for i, js in near.items():
+            for j in js:
+                a, b = root(int(number[i])), root(int(number[j]))
+                if a != b and similar(sets[i], sets[int(j)], percent):
+                    one[a] = b
+                    links.append((int(rep[i]), int(rep[j])))
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return rows.join(texts, "rep").select("band", "key", "rep", "component", "bands", "sketch", "z").groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -204,23 +239,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = scratch.save(all_buckets.join(centres, ["band", "key"]))
     scratch.release(spark)
     star = buckets.where("rep <> centre").groupBy(F.col("rep").alias("u")).agg(F.min("centre").alias("v"))
-    tested = scratch.save(_near(star, sketches, percent))
-    links = scratch.save(verify(tested, docs, width, percent))
+    links = scratch.save(verify(_near(star, sketches, percent), docs, width, percent))
     scratch.release(spark)
     component = connected_components(links)
-    nearest = 4
-    while True:
-        pairs = scratch.save(_across(buckets, component, sketches, percent, nearest))
-        more = scratch.save(pairs.where("u <> v").join(tested, ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            tested = tested.union(more)
-            new = scratch.save(verify(more, docs, width, percent))
-            if not new.isEmpty():
-                component = connected_components(new.union(component.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        if pairs.where("u = v").isEmpty():
-            break
-        nearest *= 64
-        scratch.release(spark)
+    more = scratch.save(_across(buckets, component, reps, docs, width, percent))
+    if not more.isEmpty():
+        component = connected_components(more.union(component.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     scratch.release(spark)
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = signed.join(named, ["d1", "d2"], "left")
