@@ -14,7 +14,7 @@ PUBLICATION = "struct<title:string,year:int,journal:string,doi:string,citations:
 GRANT = "struct<title:string,agency:string,amount:string,start_date:string,end_date:string,project_number:string,abstract:string,co_pis:array<string>>"
 
 #: Confidence in each source, which orders merging.
-CONFIDENCE = {"profile": 1.0, "orcid": 0.9, "openalex": 0.85, "nih_reporter": 0.8, "nsf_awards": 0.8, "clinical_trials": 0.8, "patents": 0.8, "wikidata": 0.8, "nasa_ads": 0.8, "semantic_scholar": 0.75, "dblp": 0.75, "escholarship": 0.75, "pubmed": 0.7, "crossref": 0.7, "repec": 0.7, "arxiv": 0.65, "email_pattern": 0.5}
+CONFIDENCE = {"profile": 1.0, "orcid": 0.9, "openalex": 0.85, "nih_reporter": 0.8, "nsf_awards": 0.8, "clinical_trials": 0.8, "patents": 0.8, "wikidata": 0.8, "nasa_ads": 0.8, "semantic_scholar": 0.75, "dblp": 0.75, "repository": 0.75, "pubmed": 0.7, "crossref": 0.7, "repec": 0.7, "arxiv": 0.65, "email_pattern": 0.5}
 
 
 def _cast(items: Column, kind: str) -> Column:
