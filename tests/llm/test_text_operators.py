@@ -244,6 +244,25 @@ def test_larger_sketches_recover_what_small_ones_cannot(spark):
     assert got[2].near_next == pytest.approx(0.5)
 
 
+def test_paragraphs_end_at_every_sentence_in_any_script(spark):
+    texts = {
+        "Zwei hier. Zum anderen! Und? Vier.": 4,
+        "lower case. goes on. and on.": 3,
+        'She said "no." Then left.\r\nNext (one.) Last': 4,
+        "Это раз. Это два! Три?": 3,
+        "Ένα εδώ. Δύο; Τρία.": 3,
+        "第一句。第二句！「第三句？」第四句": 4,
+        "पहला वाक्य। दूसरा वाक्य।": 2,
+        "جملة أولى. هل ثانية؟ ثالثة": 3,
+        "3.14 and a.b stay": 1,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "text string, n int")
+    got = {r.text: r.k for r in rows.select("text", F.size(fingerprint.digests(F.col("text"))).alias("k")).collect()}
+    assert got == texts
+    edited = spark.createDataFrame([(2, "Это раз. Это два. Это три. Это шесть."), (1, "Иное.")], "doc_id long, text string")
+    assert by_id(fingerprint.fingerprints(edited))[2].near_edited > 0
+
+
 def test_pieces(spark, docs, empty):
     import public_tokenizers as P
     import sentencepiece
