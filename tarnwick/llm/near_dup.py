@@ -4,16 +4,16 @@
    functions make its signature, bands of it make bucket keys. Equal sets share a digest: the least
    doc_id of a digest stands for all, so copies never meet each other in a bucket.
 2. A text is a candidate of the least one that it shares any bucket with (a star, not all pairs).
-   Candidates whose signatures agree too little are dropped; the others are verified on the full
+   Those whose sets' sizes rule the similarity out are dropped, all others are verified on the full
    sets. Members are brought to their centre in salted groups of a bounded number, as compressed
    texts.
 3. Components of the links come from large-star and small-star. A bucket whose members then lie in
    different components may hide a link that the star missed; only there members come together with
-   their texts, and those of different components that agree enough by signature are verified.
+   their texts, and all those of different components are verified on the full sets, by an index of
+   a bounded number of members at a time.
 4. Components of all links give each document's least reachable doc_id.
 
-Two texts at the threshold share no bucket with a chance below 1e-6, and their signatures agree too
-little about once in ten thousand; nothing else is approximate.
+Two texts at the threshold share no bucket with a chance below 1e-6; nothing else is approximate.
 
 Defined cases: a text without words (or a null one) has an empty set and is linked with nothing;
 one with fewer words than a shingle has its whole sequence as its only shingle; rows with the same
@@ -39,9 +39,8 @@ from .exchange import as_batch
 PERMUTATIONS = 120
 #: Members that are verified against one centre in one group.
 GROUP = 256
-#: Signatures of a pair at the threshold agree in less than the threshold minus this about once in
-#: ten thousand (it is 3.7 standard deviations); such a pair counts only if nothing else links both.
-MARGIN = 0.12
+#: Bytes of text whose sets are indexed at once.
+BLOCK = 4 << 20
 
 _draw = np.random.default_rng(77)
 _A = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * tk.U64(2) + tk.U64(1)
@@ -84,8 +83,8 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (d1, d2), band keys and a byte of each minimum."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """doc_id, n_shingles, digest of the set (d1, d2) and band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,9 +94,9 @@ def sign(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 mixed = tk.mix(minima + np.arange(PERMUTATIONS, dtype=np.uint64)[None, :])
                 keys = tk.mix(mixed.reshape(len(minima), -1, rows).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 n = np.diff(bounds)
-                yield as_batch(schema, [part.column(0), n, _sums(tk.mix(sets), bounds).view(np.int64), _sums(tk.mix(sets ^ tk.U64(0x5851F42D4C957F2D)), bounds).view(np.int64), [k if m else k[:0] for k, m in zip(keys, n, strict=True)], [r.tobytes() for r in (mixed >> tk.U64(56)).astype(np.uint8)]])
+                yield as_batch(schema, [part.column(0), n, _sums(tk.mix(sets), bounds).view(np.int64), _sums(tk.mix(sets ^ tk.U64(0x5851F42D4C957F2D)), bounds).view(np.int64), [k if m else k[:0] for k, m in zip(keys, n, strict=True)]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -112,24 +111,10 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, z binary")
 
 
-def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Estimated similarity of signatures given as bytes (which agree by chance once in 256)."""
-    return ((one == many).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
-
-
-def _near(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The candidates ``edges(u, v)`` whose signatures agree enough to be verified."""
-    pairs = edges.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (2, 3))
-                near = agreement(a, c) >= percent / 100 - MARGIN
-                yield as_batch(schema, [b.column(0).filter(pa.array(near)), b.column(1).filter(pa.array(near))])
-
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct()
+def _sized(edges: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The candidates ``edges(u, v)`` whose sets' sizes allow the similarity."""
+    size = lambda key: reps.select(F.col("rep").alias(key), F.col("n_shingles").alias(f"n{key}"))
+    return edges.join(size("u"), "u").join(size("v"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v")
 
 
 def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,53 +161,80 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _blocks(sizes: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Neighbouring places whose sizes add up to about ``limit``."""
+    part = (np.cumsum(sizes) - sizes) // limit
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1)
+
+
+class SetIndex:
+    """How many elements sets share with each of the given ones."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.owners = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in sets])[order]
+
+    def shared(self, own: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+        first = np.searchsorted(self.values, own, "left")
+        each = np.searchsorted(self.values, own, "right") - first
+        out = np.zeros(self.n, np.int64)
+        for part in _blocks(each, limit):
+            k = each[part]
+            places = np.repeat(first[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            out += np.bincount(self.owners[places], minlength=self.n)
+        return out
+
+
 def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components. Members come with their
-    texts once, so no pair is ever a row; a pair is tested in the first bucket that it shares, if
-    its signatures agree enough, until its components are found to be one."""
+    texts once, so no pair is ever a row; a pair is tested in the first bucket that it shares, on its
+    full sets, until its components are found to be one."""
     placed = buckets.join(component, buckets.rep == component.node, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
     rows = placed.join(mixed, ["band", "key"])
-    texts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").hint("shuffle_hash").join(compressed(docs), F.col("rep") == F.col("doc_id")).select("rep", "bands", "sketch", "z")
+    texts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").hint("shuffle_hash").join(compressed(docs), F.col("rep") == F.col("doc_id")).select("rep", "n_shingles", "bands", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         band = group.column("band")[0].as_py()
-        rep, comp = (group.column(k).to_numpy() for k in ("rep", "component"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        rep, comp, size = (group.column(k).to_numpy() for k in ("rep", "component", "n_shingles"))
         earlier = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)[:, :band]
-        number = np.unique(comp, return_inverse=True)[1]
-        largest = np.bincount(number).argmax()
-        near: dict[int, np.ndarray] = {}
-        for i in np.flatnonzero(number != largest):
-            # of two members of small components, the later one looks at the earlier one
-            other = np.flatnonzero((number == largest) | ((number != number[i]) & (np.arange(len(rep)) < i)))
-            keep = [part[(agreement(sketch[i], sketch[part]) >= percent / 100 - MARGIN) & ~(earlier[part] == earlier[i]).any(axis=1)] for part in (other[a : a + 4096] for a in range(0, len(other), 4096))]
-            found = np.concatenate(keep) if keep else other
-            if len(found):
-                near[int(i)] = found[np.argsort(-agreement(sketch[i], sketch[found]), kind="stable")]
-        needed = sorted(set(near) | {int(j) for js in near.values() for j in js})
+        label = np.unique(comp, return_inverse=True)[1]
+        main = label == np.bincount(label).argmax()
         z = group.column("z")
-        sets = dict(zip(needed, _sets_of([unpack(z[i].as_py()) for i in needed], width), strict=True))
-        one = list(range(int(number.max()) + 1))
+        blocks = _blocks(np.array([zstandard.frame_content_size(x.as_py()) for x in z], np.int64), BLOCK)
+        sets_of = lambda part: _sets_of([unpack(z[int(i)].as_py()) for i in part], width)
 
-        def root(x: int) -> int:
-            while one[x] != x:
-                one[x] = one[one[x]]
-                x = one[x]
-            return x
+        def others(i: int, part: np.ndarray) -> np.ndarray:
+            # of two members of small components, the later one looks at the earlier one
+            part = part[(main[part] | (part < i)) & (label[part] != label[i]) & (100 * np.minimum(size[part], size[i]) >= percent * np.maximum(size[part], size[i]))]
+            return part[~(earlier[part] == earlier[i]).any(axis=1)]
 
         links = []
-        for i, js in near.items():
-            for j in js:
-                a, b = root(int(number[i])), root(int(number[j]))
-                if a != b and similar(sets[i], sets[int(j)], percent):
-                    one[a] = b
-                    links.append((int(rep[i]), int(rep[j])))
+        for part in blocks:
+            index = None
+            for some in blocks:
+                todo = [int(i) for i in some if not main[i] and len(others(i, part))]
+                if not todo:
+                    continue
+                if index is None:
+                    index = SetIndex(sets_of(part))
+                for i, own in zip(todo, _sets_of([unpack(z[i].as_py()) for i in todo], width), strict=True):
+                    found = others(i, part)
+                    if not len(found):
+                        continue
+                    shared = index.shared(own)[found - part[0]]
+                    for j in found[100 * shared >= percent * (size[i] + size[found] - shared)]:
+                        if label[i] != label[j]:
+                            label[label == label[j]] = label[i]
+                            links.append((int(rep[i]), int(rep[j])))
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return rows.join(texts, "rep").select("band", "key", "rep", "component", "bands", "sketch", "z").groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
+    return rows.join(texts, "rep").select("band", "key", "rep", "component", "n_shingles", "bands", "z").groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -232,14 +244,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = scratch.save(sign(docs, width, rows))
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = scratch.save(linked.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(["rep"]))
-    sketches = reps.select(F.col("rep").alias("doc_id"), "sketch")
+    reps = scratch.save(linked.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bands").dropDuplicates(["rep"]))
     all_buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     centres = all_buckets.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save(all_buckets.join(centres, ["band", "key"]))
     scratch.release(spark)
     star = buckets.where("rep <> centre").groupBy(F.col("rep").alias("u")).agg(F.min("centre").alias("v"))
-    links = scratch.save(verify(_near(star, sketches, percent), docs, width, percent))
+    links = scratch.save(verify(_sized(star, reps, percent), docs, width, percent))
     scratch.release(spark)
     component = connected_components(links)
     more = scratch.save(_across(buckets, component, reps, docs, width, percent))

@@ -117,6 +117,28 @@ def test_near_duplicate_chain_and_big_group(spark):
     assert {got[i].component_id for i in range(8)} == {0} and {got[100 + i].component_id for i in range(400)} == {100}
 
 
+def test_near_duplicates_with_unlike_signatures(spark):
+    """Pairs of similarity 35/41 whose signatures agree in less than 0.73 of their places."""
+    rows = []
+    for k, seed in enumerate((4149, 4309, 18586)):
+        w = words(40, seed).split()
+        pair = [" ".join(w), " ".join([*w[:20], "zz", *w[21:]])]
+        raw = [t.encode() for t in pair]
+        sig = near_dup.signatures(*near_dup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 3))
+        assert (sig[0] == sig[1]).mean() < 0.72
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert [got[i].component_id for i in range(6)] == [0, 0, 2, 2, 4, 4]
+
+
+def test_set_index_counts_what_sets_share():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
+    for limit in (1, 50, 1 << 20):
+        for own in sets:
+            assert near_dup.SetIndex(sets).shared(own, limit).tolist() == [len(np.intersect1d(own, x)) for x in sets]
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
