@@ -3,8 +3,8 @@
 A text's canonical form has its letters A-Z in lower case, no copyright lines, one blank for every
 run of other ASCII characters than letters and digits, and one spelling for equivalent ones. The
 SHA-256 of that is joined to the digests of known licence texts, whole text against whole text, and
-each line that could be a notice is looked up too. The list of known texts is fixed and short, so its
-digests are broadcast; nothing is shuffled.
+each line is looked up too. The list of known texts is fixed and short, so its
+digests are broadcast; nothing is shuffled. Long licences are listed by the digest alone.
 
 Defined cases: a null text counts as empty; an empty text, or one of copyright lines alone, has the
 digest of the empty string and no licence; of known texts with equal canonical forms the first name
@@ -52,6 +52,58 @@ Unless required by applicable law or agreed to in writing, software distributed
 ]
 
 
+def _bsd(marks: list[str]) -> str:
+    """The BSD licence of so many clauses, marked by these."""
+    clauses = [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ]
+    return (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+        + "\n\n".join(f"{m} {c}" for m, c in zip(marks, clauses, strict=False))
+        + "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    )
+
+
+KNOWN += [("BSD-2-Clause", _bsd(["1.", "2."])), ("BSD-2-Clause", _bsd(["*", "*"])), ("BSD-3-Clause", _bsd(["1.", "2.", "3."])), ("BSD-3-Clause", _bsd(["*", "*", "*"]))]
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"]}
+KNOWN += [(name, f"{title}\n\n{text}") for name, text in KNOWN if len(text) > 400 for title in TITLES.get(name, [])]
+
+#: SPDX identifiers, whose "SPDX-License-Identifier:" line is a notice.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL OFL-1.1 PostgreSQL PSF-2.0 Unlicense WTFPL Zlib".split()
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _code, _title in CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+        SPDX.append(f"CC-{_code}-{_version}")
+        KNOWN += [(SPDX[-1], f"{lead} {form}") for lead in ("Licensed under", "This work is licensed under") for form in (f"CC {_code} {_version}.", f"the CC {_code} {_version} license.", f"a Creative Commons {_title} {_version} {_port} License.", f"the Creative Commons {_title} {_version} {_port} License.")]
+KNOWN += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+KNOWN += [
+    (name, f"{lead} {title}.")
+    for name, title in (("MIT", "the MIT License"), ("ISC", "the ISC License"), ("BSD-2-Clause", "the BSD 2-Clause License"), ("BSD-3-Clause", "the BSD 3-Clause License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache-2.0", "the Apache License 2.0"), ("MPL-2.0", "the Mozilla Public License 2.0"), ("MPL-2.0", "the Mozilla Public License, version 2.0"), ("GPL-2.0", "the GNU General Public License, version 2"), ("GPL-3.0", "the GNU General Public License, version 3"), ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "the GNU Lesser General Public License, version 3"), ("AGPL-3.0", "the GNU Affero General Public License, version 3"), ("Unlicense", "the Unlicense"), ("CC0-1.0", "CC0 1.0"), ("CC0-1.0", "CC0 1.0 Universal"))
+    for lead in ("Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "Distributed under")
+]
+
+#: Digests of the canonical forms of long licence texts.
+DIGESTS = [
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+    ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
+]
+
+
 def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "$1"), BETWEEN, " ")
@@ -64,7 +116,10 @@ def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFram
     """digest and license of each known text."""
     rows = [(i, name, text) for i, (name, text) in enumerate(known or KNOWN)]
     table = spark.createDataFrame(rows, "place int, license string, known string")
-    return table.groupBy(F.sha2(canonical(F.col("known")), 256).alias("digest")).agg(F.min_by("license", "place").alias("license"))
+    digests = table.select(F.sha2(canonical(F.col("known")), 256).alias("digest"), "license", "place")
+    if known is None:
+        digests = digests.union(spark.createDataFrame([(d, name, len(rows) + i) for i, (name, d) in enumerate(DIGESTS)], digests.schema))
+    return digests.groupBy("digest").agg(F.min_by("license", "place").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -73,7 +128,7 @@ def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) ->
     table = known_digests(docs.sparkSession, known)
     lookup = {r["digest"]: r["license"] for r in table.collect()}  # the known list's length
     named = F.create_map(*(F.lit(x) for pair in lookup.items() for x in pair))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda s: s.rlike("(?i)licen[cs]e|rights"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     notices = F.array_join(F.filter(F.transform(lines, lambda s: named[F.sha2(canonical(s), 256)]), lambda n: n.isNotNull()), ",")
     found = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), notices.alias("notices"))
     # the table has a row for each known text at most, so its broadcast is bounded

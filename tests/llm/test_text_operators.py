@@ -370,3 +370,18 @@ def test_licenses(spark, docs, empty):
     text = license_scan.KNOWN[0][1].upper().replace(" ", "\n  ").replace("SUBLICENSE", "sub-licence") + "\n(c) 2001 Someone"
     assert license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().license == "MIT"
     assert license_scan.license_scan(empty).count() == 0
+
+
+def test_licenses_of_the_common_list(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "Released under the Unlicense": "Unlicense",
+        " ".join(license_scan.KNOWN[2][1].split()): "0BSD",
+    }
+    rows = [(i, f"some text\n{line}\nmore") for i, line in enumerate(lines)] + [(10, "BSD 3-Clause License\n\nCopyright (c) 2020, X\n" + license_scan._bsd(["1.", "2.", "3."]))]
+    assert "licen" not in list(lines)[3].lower() and "rights" not in list(lines)[3].lower()
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].notices for i in range(4)] == list(lines.values()) and got[10].license == "BSD-3-Clause"
+    names = {r.license for r in license_scan.known_digests(spark).collect()}
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0"} <= names and len({d for _, d in license_scan.DIGESTS}) == len(license_scan.DIGESTS)
