@@ -385,3 +385,13 @@ def test_licenses_of_the_common_list(spark):
     assert [got[i].notices for i in range(4)] == list(lines.values()) and got[10].license == "BSD-3-Clause"
     names = {r.license for r in license_scan.known_digests(spark).collect()}
     assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0"} <= names and len({d for _, d in license_scan.DIGESTS}) == len(license_scan.DIGESTS)
+
+
+def test_few_random_keys_of_any_class_are_missed(spark):
+    import string
+
+    draw = random.Random(8)
+    classes = {"hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "alphanumeric": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    rows = [(name, "".join(draw.choice(letters) for _ in range(n))) for name, letters in classes.items() for n in (20, 24, 32) for _ in range(200)]
+    found = spark.createDataFrame(rows, "name string, run string").groupBy("name", F.length("run").alias("n")).agg(F.avg(secrets._is_random(F.col("run")).cast("int")).alias("share")).collect()
+    assert len(found) == 15 and all(r.share >= 0.96 for r in found), found
