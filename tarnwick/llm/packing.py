@@ -3,11 +3,12 @@
 A document is its tokens and an end id; longer ones are cut into full pieces behind a first one that
 may be shorter. Only lengths matter for packing, so the driver plans on the histogram of lengths
 (as many numbers as a sequence has tokens, whatever the input's size): the Martello-Toth reduction
-first fixes, from the longest down, sets of at most three pieces that dominate every other feasible
-set with that longest piece; what is left is packed best-fit decreasing, whole runs of equal pieces
-at a time. The plan lists patterns and how often each occurs. Pieces of a length are numbered without
-bringing them together: a salted row number and an offset for each (length, salt). Number and
-length give a piece's sequence and place.
+fixes, from the longest down and again until nothing changes, sets of at most three pieces that
+dominate every other feasible set with the same piece; what is left is packed best-fit decreasing,
+whole runs of equal pieces at a time. The plan lists patterns and how often each occurs. Pieces of a
+length are numbered without bringing them together: a row number within (length, salt), where a length
+has as many salts as its number of pieces asks for, and an offset for each. Number and length give a
+piece's sequence and place.
 
 Defined cases: a null or empty text is one piece with the end id alone; repeated rows are packed
 each for itself; an empty table gives an empty result.
@@ -29,7 +30,8 @@ from . import scratch
 from .exchange import as_batch
 
 CAPACITY = 2048
-SALTS = 32
+#: Pieces that are numbered in one group.
+GROUP = 1 << 18
 
 
 class ByteBpe:
@@ -102,65 +104,85 @@ Pattern = tuple[int, tuple[int, ...]]
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Fix sets of one to three pieces that dominate all others with their longest piece; takes
-    them out of ``counts`` (pieces by length) and returns how often which set is fixed."""
+    """Fix sets of one to three pieces that dominate all other feasible sets with one of them; takes
+    them out of ``counts`` (pieces by length) and returns how often which set is fixed. Some optimal
+    packing has all of them.
+
+    Let ``mate`` be the largest other piece that still fits beside a piece. The pair dominates every
+    other set with that piece if it is full, if no two others fit, or if no two others that fit add up
+    to more than the mate while no three fit. If no three fit, the piece, its mate and the largest
+    that fits with both dominate where no two pieces longer than that last one fit instead.
+    """
     fixed: list[Pattern] = []
 
+    def present() -> np.ndarray:
+        return np.flatnonzero(counts)
+
     def largest(limit: int) -> int:
-        while limit > 0 and not counts[limit]:
-            limit -= 1
-        return limit
+        known = present()
+        at = int(np.searchsorted(known, limit, "right"))
+        return int(known[at - 1]) if at else 0
 
-    def smallest(n: int) -> list[int]:
-        """The n smallest lengths present, with repetition."""
+    def smallest(n: int, above: int = 0) -> list[int]:
+        """The n smallest lengths above a limit, with repetition."""
         out: list[int] = []
-        for length in np.flatnonzero(counts)[:n]:
-            out += [int(length)] * min(int(counts[length]), n - len(out))
-            if len(out) >= n:
-                break
+        for length in present():
+            if length > above:
+                out += [int(length)] * min(int(counts[length]), n - len(out))
+                if len(out) == n:
+                    break
         return out
 
-    def fix(times: int, lengths: tuple[int, ...]) -> None:
-        fixed.append((times, lengths))
-        for length in lengths:
-            counts[length] -= times
-
-    for length in range(capacity, 0, -1):
-        while counts[length] > 0:
-            room = capacity - length
-            counts[length] -= 1
-            mate = largest(min(room, length))
-            low = smallest(3)
-            counts[length] += 1
-            if not mate:
-                fix(int(counts[length]), (length,))
-                continue
-            times = int(counts[length] // 2 if mate == length else min(counts[length], counts[mate]))
-            fits = int(np.searchsorted(np.cumsum(low), room, "right"))
-            if length + mate == capacity or fits == 1:
-                fix(times, (length, mate))
-                continue
-            if fits == 2 and 3 <= len(low):
+    def dominating(length: int) -> tuple[int, ...] | None:
+        """With one piece of ``length`` taken out of counts."""
+        room = capacity - length
+        mate = largest(room)
+        fits = int(np.searchsorted(np.cumsum(smallest(3)), room, "right"))
+        if not mate:
+            return (length,)
+        if mate == room or fits == 1:
+            return (length, mate)
+        if fits > 2:
+            return None
+        counts[mate] -= 1
+        third = largest(room - mate)
+        counts[mate] += 1
+        known, n = present(), counts
+        firsts = known[known <= room]
+        partner = np.searchsorted(known, room - firsts, "right") - 1
+        seconds = np.where(partner >= 0, known[np.maximum(partner, 0)], 0)
+        lone = (seconds == firsts) & (n[firsts] < 2)
+        lower = np.maximum(partner - 1, 0)
+        seconds = np.where(lone, np.where(partner > 0, known[lower], 0), seconds)
+        if mate >= int(np.where(seconds > 0, firsts + seconds, 0).max(initial=0)):
+            return (length, mate)
+        if third:
+            counts[mate] -= 1
+            counts[third] -= 1
+            longer = smallest(2, third)
+            counts[mate] += 1
+            counts[third] += 1
+            if len(longer) < 2 or sum(longer) > room:
+                return (length, mate, third)
+        return None
+
+    changed = True
+    while changed:
+        changed = False
+        for length in range(capacity, 0, -1):
+            while counts[length] > 0:
                 counts[length] -= 1
-                best = (0, 0, 0)
-                for a in range(min(room, length), 0, -1):
-                    if 2 * a < best[0]:
-                        break
-                    if counts[a]:
-                        b = min(room - a, a)
-                        counts[a] -= 1
-                        b = largest(b)
-                        counts[a] += 1
-                        if b and a + b > best[0]:
-                            best = (a + b, a, b)
+                lengths = dominating(length)
                 counts[length] += 1
-                if mate >= best[0]:
-                    fix(times, (length, mate))
-                    continue
-                if best[0] == room:
-                    fix(1, (length, best[1], best[2]))
-                    continue
-            break
+                if lengths is None:
+                    break
+                # the set dominates as long as there are pieces for it
+                need = {x: lengths.count(x) for x in lengths}
+                times = min(int(counts[x]) // k for x, k in need.items())
+                fixed.append((times, lengths))
+                for x, k in need.items():
+                    counts[x] -= times * k
+                changed = True
     return fixed
 
 
@@ -214,21 +236,27 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of ``docs(doc_id, text)`` with its sequence and its place there."""
-    cut_up = scratch.save(pieces(docs, vocabulary, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    table = cut_up.groupBy("length", "salt").count().collect()  # capacity * SALTS rows at most
-    by = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in table:
-        by[row["length"], row["salt"]] = row["count"]
-    slots = plan(by.sum(axis=1), capacity)
-    before = np.cumsum(by, axis=1) - by
-    numbered = cut_up.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
+    cut_up = scratch.save(pieces(docs, vocabulary, capacity))
+    # capacity rows at most
+    total = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
+    salts = np.array([-(-total.get(k, 0) // GROUP) or 1 for k in range(capacity + 1)], np.int64)
+    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(F.from_json(F.lit(str(salts.tolist())), "array<bigint>"), F.col("length").cast("int"))).cast("int"))
+    # a row for each GROUP pieces, and capacity more
+    first = np.cumsum(salts) - salts
+    by = np.zeros(int(salts.sum()), np.int64)
+    for row in salted.groupBy("length", "salt").count().collect():
+        by[first[row["length"]] + row["salt"]] = row["count"]
+    counts = np.add.reduceat(by, first)
+    slots = plan(counts, capacity)
+    before = np.cumsum(by) - by
+    before -= np.repeat(before[first], salts)
+    numbered = salted.withColumn("number", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, salt, number = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-            number = number - 1 + before[length, salt]
-            key = (length << 44) + number
+            key = (length << 44) + number - 1 + before[first[length] + salt]
             at = np.searchsorted(slots["key"], key, "right") - 1
             yield as_batch(out, [*b.columns[:5], slots["sequence"][at] + key - slots["key"][at], slots["offset"][at]])
 
