@@ -5,8 +5,8 @@ as Spark's regular expression functions return matches but no places, the text i
 matches, and the lengths of both give every place in code points. A fourth kind is found by entropy:
 over each run of key characters a window slides whose character counts are kept up to date by one
 entering and one leaving character, and the run is a secret if the Shannon entropy of some window
-reaches the threshold of the run's character class. Known samples on the allow list and runs that
-overlap a plain span are suppressed.
+reaches the threshold of the run's character class. Plain spans and the parts of known samples that
+are on the allow list are blanked first, so what is left on either side of them is judged by itself.
 
 Defined cases: a null text counts as empty; an empty text has no spans; repeated rows are scanned
 alike. Columns other than doc_id and text are ignored, or carried through by :func:`redact`.
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native import let, placed, replaced
+
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -33,50 +35,52 @@ LIMITS = {"hex": 2.9, "base32": 3.34, "base36": 3.4, "alphanumeric": 3.64, "base
 #: The classes but the last, in the order in which they are tried.
 CLASSES = {"hex": r"^[0-9A-Fa-f]+$", "base32": r"^[A-Z2-7]+=*$", "base36": r"^(?:[A-Z0-9]+|[a-z0-9]+)$", "alphanumeric": r"^[A-Za-z0-9]+$"}
 
-#: What well-known samples and placeholders look like (anywhere in a run).
-ALLOWED = r"(?i)example|sample|placeholder|x{8}|0123456789|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Parts of well-known samples and placeholders, and how many characters each has.
+ALLOWED = {
+    "(?i)example": 7,
+    "(?i)sample": 6,
+    "(?i)placeholder": 11,
+    "(?i)x{8}": 8,
+    "0123456789": 10,
+    "(?i)abcdefghij": 10,
+    "(?i)(?<![A-Za-z0-9+/_=-])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![A-Za-z0-9+/_=-])": 36,
+}
+_ANY_ALLOWED = "|".join(f"(?:{p})" for p in ALLOWED)
 
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
-    """Spans of the matches of ``pattern`` that ``passes(match, i)`` accepts."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("skip"), F.length(m).alias("size"), passes(m, i).alias("ok")))
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["skip"] + s["size"]).alias("at"),
-            F.when(s["ok"], F.concat(acc["out"], F.array(F.struct((acc["at"] + s["skip"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + s["skip"] + s["size"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-
-def _where(text: Column, pattern: str, found: Column) -> Column:
+    """Spans of the matches of ``pattern`` that ``passes(match)`` accepts."""
+    # behind the last match there is one more piece, without a match
+    steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("skip"), F.coalesce(F.length(m), F.lit(0)).alias("size"), (m.isNotNull() & passes(m)).alias("ok")))
+    found = placed(steps, _SPAN, lambda start, end: F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def window_entropy(run: Column, width: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits per character) of a window of ``width`` characters, whose
-    counts, and the sum of c*log2(c) over them, change by one entering and one leaving character."""
+    counts, and the sum of c*log2(c) over them, change by one entering and one leaving character.
+    The counts are the characters of a short string, so that changing one copies a few bytes."""
     weight = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    first, last = 43, 122  # the codes of + and z, which bound the alphabet
+    first, last, zero = 43, 122, 64  # the codes of + and z, which bound the alphabet, and of @
+
+    def slide(codes: Column):
+        def change(acc: Column, code: Column, by: int) -> Column:
+            put = lambda had: F.struct((acc["sum"] + weight(had + by) - weight(had)).alias("sum"), F.overlay(acc["counts"], F.char(had + (by + zero)), code, 1).alias("counts"))
+            return let(F.ascii(F.substring(acc["counts"], code, F.lit(1))) - zero, put)
 
-    def slide(acc: Column, at: Column) -> Column:
-        come = F.ascii(F.substring(run, at, 1)) - first
-        gone = F.when(at > width, F.ascii(F.substring(run, at - width, 1)) - first).otherwise(F.lit(-1))
-        had = F.get(acc["counts"], come)
-        lost = F.when(gone >= 0, F.get(acc["counts"], gone) + F.when(gone == come, 1).otherwise(0)).otherwise(F.lit(0))
-        total = acc["sum"] + weight(had + 1) - weight(had) + F.when(gone >= 0, weight(lost - 1) - weight(lost)).otherwise(F.lit(0.0))
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
-        best = F.when(at >= width, F.greatest(acc["best"], F.lit(math.log2(width)) - total / width)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+        def step(acc: Column, at: Column) -> Column:
+            entered = let(F.get(codes, at - 1), lambda code: change(acc, code, 1))
+            moved = F.when(at > width, let(entered, lambda now: let(F.get(codes, at - (width + 1)), lambda code: change(now, code, -1)))).otherwise(entered)
+            best = lambda now: F.when(at >= width, F.greatest(acc["best"], F.lit(math.log2(width)) - now["sum"] / width)).otherwise(acc["best"])
+            return let(moved, lambda now: F.struct(now["sum"].alias("sum"), now["counts"].alias("counts"), best(now).alias("best")))
 
-    start = F.struct(F.array_repeat(F.lit(0), last - first + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, slide, lambda acc: acc["best"])
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(chr(zero) * (last - first + 1)).alias("counts"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda acc: acc["best"])
+
+    characters = F.filter(F.split(run, ""), lambda c: c != "")
+    return let(F.transform(characters, lambda c: F.ascii(c) - (first - 1)), slide)
 
 
 def _is_random(run: Column) -> Column:
@@ -86,24 +90,31 @@ def _is_random(run: Column) -> Column:
         limit = F.when(run.rlike(pattern), LIMITS[name]).otherwise(limit)
     # a base32 key of 20 characters has no digit once in sixty times
     plain = (kinds < 2) & ~run.rlike(CLASSES["base32"])
-    return F.when(plain | run.rlike(ALLOWED), F.lit(False)).otherwise(window_entropy(run) >= limit)
+    return ~plain & (window_entropy(run) >= limit)
+
+
+def _without_allowed(text: Column) -> Column:
+    blank = text
+    for pattern, n in ALLOWED.items():
+        blank = F.regexp_replace(blank, pattern, " " * n)
+    return F.when(text.rlike(_ANY_ALLOWED), blank).otherwise(text)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the array columns base_spans and all_spans (start, kind, end; sorted)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    assigned = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     base = F.array_sort(
         F.concat(
-            _where(text, ASSIGN, _spans(text, ASSIGN, 0, lambda m, i: F.length(F.get(assigned, i)) >= 6)),
-            _where(text, ACCESS, _spans(text, ACCESS, 1, lambda m, i: F.length(m) >= 20)),
-            _where(text, HEX, _spans(text, HEX, 2, lambda m, i: F.lit(True))),
+            _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
+            _spans(text, ACCESS, 1, lambda m: F.length(m) >= 20),
+            _spans(text, HEX, 2, lambda m: F.lit(True)),
         )
     )
     found = docs.withColumn("base_spans", base)
-    own = _where(text, RUN, _spans(text, RUN, 3, lambda m, i: _is_random(m)))
-    clear = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", F.filter(own, clear))))
+    blank = replaced(text, F.col("base_spans"), lambda s, at: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], at))))
+    rest = F.when(text.rlike(RUN), let(blank, _without_allowed)).otherwise("")
+    found = found.withColumn("open_text", rest).withColumn("entropy_spans", _spans(F.col("open_text"), RUN, 3, _is_random))
+    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", "entropy_spans"))).drop("open_text", "entropy_spans")
 
 
 def _text_of(spans: Column) -> Column:
@@ -122,17 +133,8 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret in text replaced by ``mark`` (overlapping ones by one) and
     n_chars, where there is such a column, set anew for the changed texts."""
     found = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
-    text = F.col("text")
-    cut = F.aggregate(
-        "all_spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]) | (acc["at"] == 0), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    cut = replaced(F.col("text"), F.col("all_spans"), lambda s, at: F.when(s["start"] >= at, F.lit(mark)).otherwise(""))
     hit = F.size("all_spans") > 0
-    found = found.withColumn("text", F.when(hit, cut).otherwise(text))
+    found = found.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
     fresh = {"text": F.col("text"), "n_chars": F.when(hit, F.length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
     return found.select(*(fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns))
