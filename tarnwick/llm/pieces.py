@@ -2,12 +2,13 @@
 
 Normalisation applies the model's compiled character map by longest prefix and records, for every
 byte that it makes, the source byte it came from; each piece is projected over that alignment to a
-span of the original bytes. Where the map is the identity (as in the models this is run with), the
-alignment needs no walk: a blank became U+2581 and nothing else changed.
+span of the original bytes. The map's trie is walked from all places of a text at once, a byte deeper
+each step, by those places only that still have a prefix in it.
 
 Segmentation itself, and decoding, are the library's, over whole texts.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike.
+Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike; of a
+character that becomes several byte pieces, the last one has its span and the others are empty.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,31 +59,42 @@ class CharacterMap:
     """A compiled character map: a double-array trie, then the zero-ended replacements."""
 
     def __init__(self, compiled: bytes) -> None:
-        self.units, self.strings = array("I"), b""
+        self.units, self.strings = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         if compiled:
             (size,) = struct.unpack_from("<I", compiled)
-            self.units = array("I", compiled[4 : 4 + size])
-            self.strings = compiled[4 + size :]
-
-    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
-        """Length and replacement of the longest key that ``data`` has at ``at``."""
-        if not self.units:
-            return None
-        step = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
-        found = None
-        node = step(self.units[0])
-        for k in range(at, len(data)):
-            node ^= data[k]
-            if node >= len(self.units):
-                break
-            unit = self.units[node]
-            if unit & 0x800000FF != data[k]:
-                break
-            node ^= step(unit)
-            if unit & 256:
-                begin = self.units[node] & 0x7FFFFFFF
-                found = (k + 1 - at, self.strings[begin : self.strings.index(b"\0", begin)])
-        return found
+            self.units = np.frombuffer(compiled, "<u4", size // 4, 4)
+            self.strings = np.frombuffer(compiled, np.uint8, offset=4 + size)
+        self.ends = np.flatnonzero(self.strings == 0)
+
+    @staticmethod
+    def _children(unit: np.ndarray) -> np.ndarray:
+        return (unit >> np.uint32(10)) << ((unit & np.uint32(512)) >> np.uint32(6))
+
+    def longest(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place: the length of the longest key that ``data`` has there (0: none) and where
+        in ``strings`` its replacement begins."""
+        size, value = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        alive = np.arange(len(at) if len(self.units) else 0)
+        node = np.repeat(self._children(self.units[:1]), len(alive))
+        depth = 0
+        while len(alive):
+            inside = at[alive] + depth < len(data)
+            alive, node = alive[inside], node[inside]
+            byte = data[at[alive] + depth].astype(np.uint32)
+            node = node ^ byte
+            unit = self.units[np.minimum(node, len(self.units) - 1)]
+            on = (node < len(self.units)) & ((unit & np.uint32(0x800000FF)) == byte)
+            alive, unit = alive[on], unit[on]
+            node = node[on] ^ self._children(unit)
+            depth += 1
+            leaf = (unit & np.uint32(256)) > 0
+            size[alive[leaf]] = depth
+            value[alive[leaf]] = self.units[node[leaf]] & np.uint32(0x7FFFFFFF)
+        return size, value
+
+    def lengths(self, value: np.ndarray) -> np.ndarray:
+        """Bytes of the replacements that begin at ``value``."""
+        return self.ends[np.searchsorted(self.ends, value)] - value
 
 
 class Normaliser:
@@ -93,44 +104,65 @@ class Normaliser:
         spec = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
         self.map = CharacterMap(spec.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        self.plain = not self.map.units and self.prefix and self.escape and not self.squeeze
+
+    def _entries(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and keys of the map from left to right: where each begins and ends in the text,
+        and where and how long what it becomes is, in the text with the map's strings behind."""
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        size, value = self.map.longest(data, at)
+        hit = np.flatnonzero(size)
+        ends = np.append(at[1:], len(data))
+        if not len(hit):
+            return at, ends, at, ends - at
+        begin, reach = at[hit], at[hit] + size[hit]
+        if (begin[1:] < reach[:-1]).any():  # a key that an earlier one covers doesn't count
+            taken, over = [], 0
+            for k, (b, e) in enumerate(zip(begin.tolist(), reach.tolist(), strict=True)):
+                if b >= over:
+                    taken.append(k)
+                    over = e
+            hit, begin, reach = hit[taken], begin[taken], reach[taken]
+        last = np.searchsorted(begin, at, "right") - 1
+        covered = (last >= 0) & (at < reach[np.maximum(last, 0)])
+        covered[hit] = False
+        ends[hit] = reach
+        source, length = at.copy(), ends - at
+        source[hit] = len(data) + value[hit]
+        length[hit] = self.map.lengths(value[hit])
+        return at[~covered], ends[~covered], source[~covered], length[~covered]
 
     def align(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each the original offset it stems from; one entry more
         marks the end."""
-        data = text.encode()
-        space = SPACE.encode() if self.escape else b" "
-        made: list[tuple[bytes, int, int]] = []
-        at = 0
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit is None:
-                lead = data[at]
-                size = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                hit = (size, data[at : at + size])
-            made.append((hit[1], at, at + hit[0]))
-            at += hit[0]
-        if self.squeeze:
-            while made and not made[0][0].strip(b" "):
-                made.pop(0)
-            while made and not made[-1][0].strip(b" "):
-                made.pop()
-        out, source = bytearray(), []
-        if made and self.prefix:
-            out += space
-            source += [made[0][1]] * len(space)
-        blank = bool(self.squeeze and made)
-        for piece, begin, _ in made:
-            if self.squeeze:
-                piece = piece.lstrip(b" ") if blank else piece
-                if not piece:
-                    continue
-                blank = piece.endswith(b" ")
-            piece = piece.replace(b" ", space)
-            out += piece
-            source += [begin] * len(piece)
-        source.append(made[-1][2] if made else len(data))
-        return bytes(out), np.array(source, np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        begin, end, source, length = self._entries(data)
+        before = np.cumsum(length) - length
+        entry = np.repeat(np.arange(len(length)), length)
+        made = np.concatenate([data, self.map.strings])[source[entry] + np.arange(len(entry)) - before[entry]]
+        stem = begin[entry]
+        finish = int(end[-1]) if len(end) else 0
+        blank = made == 32
+        if self.squeeze and len(made):
+            inked = np.cumsum(~blank)
+            first = before[entry]
+            behind = np.concatenate([[True], blank[:-1]])
+            # the leading blanks of an entry go where a blank, or nothing, is before
+            keep = ~(blank & (inked == np.where(first > 0, inked[first - 1], 0)) & behind[first])
+            last = int(inked[-1]) and int(np.flatnonzero(~blank)[-1]) + 1
+            tail = np.flatnonzero(keep[last:])
+            if len(tail):
+                finish = int(stem[last + tail[0]])
+            keep[last:] = False
+            made, stem, blank = made[keep], stem[keep], blank[keep]
+        if len(made) and self.prefix:
+            made, stem, blank = np.append(np.uint8(32), made), np.append(stem[:1], stem), np.append(True, blank)
+        if self.escape:
+            times = np.where(blank, len(SPACE.encode()), 1)
+            made, stem = np.repeat(made, times), np.repeat(stem, times)
+            places = (np.cumsum(times) - times)[blank]
+            for k, byte in enumerate(SPACE.encode()):
+                made[places + k] = byte
+        return made.tobytes(), np.append(stem, finish)
 
 
 class Encoder:
@@ -145,18 +177,18 @@ class Encoder:
         self.normaliser = Normaliser(model)
         names = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
         self.bytes_of = np.array([1 if self.lib.is_byte(i) else len(s.encode()) for i, s in enumerate(names)], np.int64)
-        self.unescaped = self.bytes_of - 2 * np.array([s.count(SPACE) for s in names], np.int64)
         self.unknown = self.lib.unk_id()
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """Where each piece ends in the original bytes."""
-        if self.normaliser.plain and SPACE not in text and self.unknown not in ids:
-            return np.cumsum(self.unescaped[ids]) - 1
         normal, source = self.normaliser.align(text)
-        ends = np.cumsum(self.bytes_of[ids])
-        if len(ids) and (self.unknown in ids or ends[-1] != len(normal)):
-            # an unknown piece's length isn't its name's; the library has the normalised surfaces
-            return np.cumsum([len(p.surface.encode()) for p in self.lib.encode(text, out_type="immutable_proto").pieces])
+        length = self.bytes_of[ids]
+        if self.unknown in ids:
+            # what an unknown piece covers isn't its name
+            length = np.array([1 if self.lib.is_byte(p.id) else len(p.piece.encode()) for p in self.lib.encode(text, return_type="proto").pieces], np.int64)
+        ends = np.cumsum(length)
+        if len(ends) and ends[-1] != len(normal):
+            raise ValueError("this model's normaliser does more than its character map says")
         return source[ends]
 
     def digest(self, text: str) -> tuple[int, str, str, int]:
