@@ -86,6 +86,7 @@ def sign(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (d1, d2) and band keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
+    @tk.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in tk.split_by_bytes(whole, 1):
@@ -103,6 +104,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     """doc_id and z, the text's bytes under zstd (a null text's are empty): for cheap shuffles."""
     schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
+    @tk.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
@@ -125,6 +127,7 @@ def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     rows = members.union(centres).hint("shuffle_hash").join(compressed(docs), F.col("u") == F.col("doc_id")).select("v", "salt", "u", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         v = group.column("v")[0].as_py()
@@ -198,6 +201,7 @@ def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: Dat
     texts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").hint("shuffle_hash").join(compressed(docs), F.col("rep") == F.col("doc_id")).select("rep", "n_shingles", "bands", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         band = group.column("band")[0].as_py()

@@ -14,11 +14,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwick.session import ship  # noqa: F401
+from tarnwick import session
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """What every query with Python does first: the package goes to the executors, and Arrow batches
+    get a bound in bytes (unless the session has one): by rows alone, long texts make large ones."""
+    session.ship(spark)
+    if spark.conf.get(BATCH, None) in (None, "64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH, "4m")
+
+
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:

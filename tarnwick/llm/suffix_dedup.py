@@ -19,7 +19,8 @@ input. So the corpus is first reduced, without loss, to the places where sorting
 
 Anchors with many different segments would make one bucket large. A mapper that sees more than
 ``HOT`` of them marks the anchor; its segments are then not sorted in one place, but each window is
-dealt by its own 128-bit hash, after equal ones were combined, which is exact too.
+dealt by its own hash (two polynomials of 61 bits with independent bases), after equal ones were
+combined, which decides the same.
 
 Texts travel compressed and other rows as column blocks, so that all shuffles together stay below
 three times the input. Blocks are groups of bounded size: the number of routes follows the input.
@@ -50,6 +51,8 @@ LENGTH = 100
 GRAM = 32
 HOT = 64
 FLUSH = 1 << 18
+#: Bytes of segments whose suffixes are sorted at once.
+SORTED = 1 << 19
 
 #: What a block holds.
 SEGMENTS, SPANS, UNDECIDED, MARKED, TEXT, BYTES, WINDOWS = range(7)
@@ -59,6 +62,7 @@ _SCHEMA = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.
 _SEGMENT = [np.int64, np.int32, np.int32, np.uint64, np.uint64]
 _SPAN = [np.int64, np.int32, np.int32]
 _OPEN = [np.int64, np.int32, np.int32, np.uint64, np.uint8]
+_BYTES = [np.int64, np.int32, np.int32, np.uint8]
 _WINDOW = [np.int64, np.int32, np.uint64, np.uint64]
 
 
@@ -94,7 +98,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = tk.RangeHash(raw)
-    grams = tk.mix((hashes.sums[GRAM:] - hashes.sums[:-GRAM]) * hashes.down[: n - GRAM + 1])
+    grams = tk.gram_hashes(raw, GRAM.bit_length() - 1)
     least = (grams & tk.U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
@@ -155,6 +159,7 @@ def _find_segments(routes: int):
         out += [(r, SEGMENTS, pack(c)) for r, c in deal((cold[3] % tk.U64(routes)).astype(np.int64), cold)]
         return _blocks(out)
 
+    @tk.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -185,6 +190,7 @@ def _by_kind(group: pa.Table, kind: int) -> list[tuple[bytes, bytes]]:
 def _decide_segments(routes: int):
     """Per anchor: which segments are removed, and which only their suffixes can decide."""
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         out = [(group.column("route")[0].as_py(), kind, head) for kind in (SPANS, UNDECIDED) for head, _ in _by_kind(group, kind)]
         columns = unpack_all((h for h, _ in _by_kind(group, SEGMENTS)), _SEGMENT)
@@ -206,9 +212,15 @@ def _decide_segments(routes: int):
     return run
 
 
+def _part(anchor: np.ndarray) -> np.ndarray:
+    """One of 256 parts of a bucket, which all segments of an anchor are in."""
+    return (tk.mix(anchor) >> tk.U64(56)).astype(np.uint8)
+
+
 def _fetch_bytes(routes: int):
     """Per document: the bytes of undecided segments by anchor, or their windows' hashes."""
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         doc, start, length, anchor, hot = unpack_all((h for h, _ in _by_kind(group, UNDECIDED)), _OPEN)
         out: list[tuple] = []
@@ -234,7 +246,7 @@ def _fetch_bytes(routes: int):
         order = np.flatnonzero(warm)
         for route, (rows,) in deal((anchor[order] % tk.U64(routes)).astype(np.int64), [order]):
             body = b"".join([raw[at[i] : at[i] + length[i]].tobytes() for i in rows])
-            out.append((route, BYTES, pack([doc[rows], start[rows], length[rows]]), zstandard.ZstdCompressor(level=1).compress(body)))
+            out.append((route, BYTES, pack([doc[rows], start[rows], length[rows], _part(anchor[rows])]), zstandard.ZstdCompressor(level=1).compress(body)))
 
         if hot.any():
             rows = np.flatnonzero(~warm)
@@ -242,8 +254,7 @@ def _fetch_bytes(routes: int):
             first = np.repeat(np.cumsum(windows) - windows, windows)
             inner = np.arange(windows.sum()) - first
             where = np.repeat(at[rows], windows) + inner
-            hashes = tk.RangeHash(raw)
-            keys = hashes.of(where, where + LENGTH), hashes.of(where, where + LENGTH // 2)
+            keys = [tk.RangeHash(raw, which=k).of(where, where + LENGTH) for k in (0, 1)]
             kept, gone = _settle(np.repeat(doc[rows], windows), (np.repeat(start[rows], windows) + inner).astype(np.int32), np.full(len(where), LENGTH, np.int32), *keys)
             out += _deal_spans(*gone, routes)
             d, s, _, h1, h2 = kept
@@ -258,24 +269,33 @@ def _fetch_bytes(routes: int):
 def _sort_suffixes(routes: int):
     """Per anchor (or window hash): the windows that also occur earlier."""
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         out = [(group.column("route")[0].as_py(), SPANS, head) for head, _ in _by_kind(group, SPANS)]
         blocks = _by_kind(group, BYTES)
         if blocks:
-            doc, start, length = unpack_all((h for h, _ in blocks), _SPAN)
-            raw = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b) for _, b in blocks), np.uint8)
-            top = np.cumsum(length.astype(np.int64))
-            windows = length.astype(np.int64) - LENGTH + 1
-            inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-            candidates = np.repeat(top - length, windows) + inner
-            d, s = np.repeat(doc, windows), np.repeat(start.astype(np.int64), windows) + inner
-            by = np.lexsort((s, d))
-            order = np.empty(len(by), np.int64)
-            order[by] = np.cumsum(_runs(d[by], s[by]))
-            text = raw.astype(np.int16) + 1
-            found = repeated_prefixes(text, candidates, order, LENGTH)
-            back = np.searchsorted(candidates, found)
-            out += _deal_spans(d[back], s[back], s[back] + LENGTH, routes)
+            every = unpack_all((h for h, _ in blocks), _BYTES)
+            whole = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b) for _, b in blocks), np.uint8)
+            until = np.cumsum(every[2].astype(np.int64))
+            # neighbouring parts, of SORTED bytes or one part at least
+            weight = np.bincount(every[3], weights=every[2], minlength=256)
+            turn = ((np.cumsum(weight) - weight) // SORTED).astype(np.int64)[every[3]]
+            for now in np.unique(turn):
+                rows = np.flatnonzero(turn == now)
+                doc, start, length = (c[rows] for c in every[:3])
+                long = length.astype(np.int64)
+                top = np.cumsum(long)
+                raw = whole[np.repeat(until[rows] - top, long) + np.arange(top[-1])]
+                windows = long - LENGTH + 1
+                inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                candidates = np.repeat(top - long, windows) + inner
+                d, s = np.repeat(doc, windows), np.repeat(start.astype(np.int64), windows) + inner
+                by = np.lexsort((s, d))
+                order = np.empty(len(by), np.int64)
+                order[by] = np.cumsum(_runs(d[by], s[by]))
+                found = repeated_prefixes(raw.astype(np.int16) + 1, candidates, order, LENGTH)
+                back = np.searchsorted(candidates, found)
+                out += _deal_spans(d[back], s[back], s[back] + LENGTH, routes)
         hashed = _by_kind(group, WINDOWS)
         if hashed:
             d, s, h1, h2 = unpack_all((h for h, _ in hashed), _WINDOW)
@@ -287,17 +307,19 @@ def _sort_suffixes(routes: int):
 
 
 def _apply(carried: bool):
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("text", pa.string()), ("carried", pa.string())] * carried)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * carried]
+    types = [pa.int64()] * 4 + [pa.string()] * 2
 
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
         doc, start, end = unpack_all((h for h, _ in _by_kind(group, SPANS)), _SPAN)
         by = np.lexsort((start, doc))
         doc, start, end = doc[by], start[by].tolist(), end[by].tolist()
-        kinds, ids, heads, bodies = group.column("kind").to_numpy(), group.column("doc_id"), group.column("head"), group.column("body")
+        ids, bodies = group.column("doc_id"), group.column("body")
         unpack = zstandard.ZstdDecompressor().decompress
         rows: list[tuple] = []
-        for i in np.flatnonzero(kinds == TEXT):
+        texts = np.flatnonzero(group.column("kind").to_numpy() == TEXT)
+        for i in texts:
             d, data = ids[int(i)].as_py(), unpack(bodies[int(i)].as_py())
             a, b = (np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")) if d is not None else (0, 0)
             kept, at, runs, gone = [], 0, 0, 0
@@ -313,14 +335,17 @@ def _apply(carried: bool):
             kept.append(data[at:])
             left = b"".join(kept)
             row = (d, len(data), gone, runs, hashlib.sha256(left).hexdigest())
-            rows.append((*row, left.decode("utf-8", "ignore"), heads[int(i)].as_py().decode()) if carried else row)
-        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            rows.append((*row, left.decode("utf-8", "ignore")) if carried else row)
+        columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(zip(names, types, strict=False))]
+        if carried:
+            return pa.table([*columns, group.column("carried").take(pa.array(texts))], names=[*names, "carried"])
+        return pa.table(columns, names=names)
 
     return run
 
 
 def _dedup(docs: DataFrame, carried: bool, bytes_per_route: int) -> DataFrame:
-    """``docs`` has doc_id, text and, if ``carried``, a string of that name."""
+    """``docs`` has doc_id, text and, if ``carried``, a struct of that name, which stays as it is."""
     spark = docs.sparkSession
     routes = routes_for(scratch.size_bytes(docs, "text"), bytes_per_route)
     source = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -329,22 +354,27 @@ def _dedup(docs: DataFrame, carried: bool, bytes_per_route: int) -> DataFrame:
     scratch.release(spark)
 
     def texts(carry: bool) -> DataFrame:
+        @tk.trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             squeeze = zstandard.ZstdCompressor(level=1).compress
             for b in batches:
                 doc = b.column(0)
                 route = route_of(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), routes)
                 route = np.where(doc.is_null().to_numpy(zero_copy_only=False), np.arange(len(route)) % routes, route)
-                head = b.column(2).cast(pa.binary()) if carry else [None] * b.num_rows
-                yield as_batch(_SCHEMA, [route, np.full(b.num_rows, TEXT), doc, head, [squeeze((t.as_py() or "").encode()) for t in b.column(1)]])
+                block = as_batch(_SCHEMA, [route, np.full(b.num_rows, TEXT), doc, [None] * b.num_rows, [squeeze((t.as_py() or "").encode()) for t in b.column(1)]])
+                yield pa.RecordBatch.from_arrays([*block.columns, b.column(2)], [*_SCHEMA.names, "carried"]) if carry else block
 
-        return source.select("doc_id", "text", *["carried"] * carry).mapInArrow(run, BLOCK)
+        kind = T.StructType.fromDDL(BLOCK)
+        return source.select("doc_id", "text", *["carried"] * carry).mapInArrow(run, kind.add(source.schema["carried"]) if carry else kind)
 
     fetched = decided.where(F.col("kind") == UNDECIDED).union(texts(False)).groupBy("route").applyInArrow(_fetch_bytes(routes), BLOCK)
     sorted_ = scratch.save(fetched.groupBy("route").applyInArrow(_sort_suffixes(routes), BLOCK))
     scratch.release(spark)
     spans = decided.where(F.col("kind") == SPANS).union(sorted_)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string, carried string" * carried
+    result = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * carried)
+    if carried:
+        own = source.schema["carried"].dataType
+        spans, result = spans.withColumn("carried", F.lit(None).cast(own)), result.add("carried", own)
     return spans.union(texts(carried)).groupBy("route").applyInArrow(_apply(carried), result)
 
 
@@ -358,19 +388,17 @@ def remove_repeats(docs: DataFrame, bytes_per_route: int = 2 << 20) -> DataFrame
     border cuts) and n_chars, where there is such a column, set anew for the changed texts. Null
     texts stay null."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.to_json(F.struct(F.col("text").isNull().alias("_no_text"), F.struct(*others).alias("_row") if others else F.lit(None).alias("_row")))
+    row = F.struct(F.col("text").isNull().alias("no_text"), *([F.struct(*others).alias("row")] if others else []))
     made = _dedup(docs.select("doc_id", "text", row.alias("carried")), True, bytes_per_route)
-    kept = T.StructType([T.StructField("_no_text", T.BooleanType()), T.StructField("_row", T.StructType([docs.schema[c] for c in others]) if others else T.StringType())])
-    made = made.withColumn("carried", F.from_json("carried", kept))
     columns = []
     for c in docs.columns:
         if c == "doc_id":
             value = F.col("doc_id").cast(docs.schema[c].dataType)
         elif c == "text":
-            value = F.when(~F.col("carried._no_text"), F.col("text"))
+            value = F.when(~F.col("carried.no_text"), F.col("text"))
         elif c == "n_chars":
-            value = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("carried")["_row"][c])
+            value = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("carried")["row"][c])
         else:
-            value = F.col("carried")["_row"][c]
+            value = F.col("carried")["row"][c]
         columns.append(value.alias(c))
     return made.select(*columns)

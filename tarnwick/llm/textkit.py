@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: The bytes that separate words.
 SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SEPARATORS)] = False
 
 
-def split_by_bytes(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of text each (a longer text comes alone)."""
+def trim() -> None:
+    """Give free memory back to the machine, which a worker between two stages else keeps."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(run):
+    """A function of batches or of a group that gives free memory back at its end."""
+    if inspect.isgeneratorfunction(run):
+
+        @wraps(run)
+        def mapper(batches):
+            yield from run(batches)
+            trim()
+
+        return mapper
+
+    @wraps(run)
+    def grouped(group):
+        out = run(group)
+        trim()
+        return out
+
+    return grouped
+
+
+def split_by_bytes(batch: pa.RecordBatch, column: int, limit: int = CHUNK, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of text (a longer text comes alone) and at most
+    ``rows`` rows each."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -28,7 +63,7 @@ def split_by_bytes(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> It
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, base + limit, "right"))), at + rows)
         yield batch.slice(at, to - at)
         at = to
 
@@ -53,48 +88,89 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
+#: The modulus of the polynomial hashes, a Mersenne prime. Modulo a power of two, whatever the base,
+#: there are unequal texts of 2,048 characters with equal hashes (the Thue-Morse word is one).
+PRIME = U64((1 << 61) - 1)
+#: The points at which the polynomials are evaluated.
+BASES = (0x11D3A7C95E8B2F41, 0x0B5F2E6D93A4C187)
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+#: Bytes over which unreduced sums stay below 2**64.
+_STRETCH = 1 << 22
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo PRIME."""
+    x = (x & PRIME) + (x >> U64(61))
+    np.subtract(x, PRIME, out=x, where=x >= PRIME)
+    return x
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below PRIME."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << U64(1)) + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + a0 * b0)
 
 
 @lru_cache(2)
 def byte_codes(fold: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; with ``fold`` A-Z have those of a-z."""
-    codes = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+    """The coefficient of each byte, from 1; with ``fold`` A-Z have those of a-z."""
+    codes = np.arange(1, 257, dtype=np.uint64)
     if fold:
         codes[65:91] = codes[97:123]
     return codes
 
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
+def powers(n: int, base: int) -> list[np.ndarray]:
+    """base**i (its lower 31 bits and its upper ones) and base**-i modulo PRIME for i below n at least."""
+    if base not in _powers or len(_powers[base][0]) < n:
         size = max(n, CHUNK + 4096)
-        del _powers[:]
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
+        _powers.pop(base, None)
+        both = []
+        for x in (base, pow(base, -1, int(PRIME))):
             out = np.empty(size, np.uint64)
             out[0] = 1
             done = 1
             while done < size:
                 step = min(done, size - done)
-                out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
+                out[done : done + step] = product(out[:step], np.full(1, pow(x, done, int(PRIME)), np.uint64))
                 done += step
-            _powers.append(out)
-    return _powers[0], _powers[1]
+            both.append(out)
+        _powers[base] = [both[0] & _LOW31, both[0] >> U64(31), both[1]]
+    return _powers[base]
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of ``raw``."""
+    """Hashes of any byte ranges of ``raw``: polynomials modulo a prime of 61 bits. Two unequal ranges
+    of n bytes are equal for at most n of the 2**61 bases. ``which`` picks one of two independent bases."""
 
-    def __init__(self, raw: np.ndarray, fold: bool = False):
-        up, self.down = powers(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, fold: bool = False, which: int = 0):
+        low, high, self.down = powers(len(raw) + 1, BASES[which])
+        codes = byte_codes(fold)[raw]
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(byte_codes(fold)[raw] * up[: len(raw)], out=self.sums[1:])
+        for a in range(0, len(raw), _STRETCH):
+            b = min(a + _STRETCH, len(raw))
+            upper = reduced(np.cumsum(codes[a:b] * high[a:b]))
+            # times 2**31 modulo PRIME is a rotation
+            upper = ((upper & _LOW30) << U64(31)) + (upper >> U64(30))
+            self.sums[a + 1 : b + 1] = reduced(upper + reduced(np.cumsum(codes[a:b] * low[a:b])) + self.sums[a])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mix(product(reduced(self.sums[end] + (PRIME - self.sums[start])), self.down[start]))
+
+
+def gram_hashes(raw: np.ndarray, doublings: int) -> np.ndarray:
+    """Quick hashes of the 2**doublings (8 at least) bytes from each place, for dealing only: unequal
+    texts may have equal ones."""
+    h, width = raw.astype(np.uint64), 1
+    for _ in range(doublings):
+        left, right = h[: max(0, len(h) - width)], h[width:]
+        h = (left << U64(8 * width)) | right if width < 8 else mix(left * U64(3) + right)
+        width *= 2
+    return mix(h)
 
 
 def word_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
