@@ -118,9 +118,10 @@ def test_near_duplicate_chain_and_big_group(spark):
 
 
 def test_near_duplicates_with_unlike_signatures(spark):
-    """Pairs of similarity 35/41 whose signatures agree in less than 0.73 of their places."""
+    """Pairs of similarity 35/41 whose signatures agree in less than 0.72 of their places (found by a
+    search over seeds; other hash functions need other seeds)."""
     rows = []
-    for k, seed in enumerate((4149, 4309, 18586)):
+    for k, seed in enumerate((9314, 20686, 45772)):
         w = words(40, seed).split()
         pair = [" ".join(w), " ".join([*w[:20], "zz", *w[21:]])]
         raw = [t.encode() for t in pair]
@@ -299,6 +300,7 @@ def test_pieces(spark, docs, empty):
     own = pieces.encoder(path)
     for text in ("", " ", "a  b", "a▁b", "日本 語", "\x00a", "tail ", "🎉"):
         spans = own.encode(text)
+        assert [(s[1], s[2]) for s in spans] == [(max(p.begin, 0), p.end) for p in lib.encode(text, return_type="proto").pieces]
         assert [s[0] for s in spans] == lib.encode(text)
         assert all(a[2] == b[1] for a, b in zip(spans, spans[1:], strict=False)) and (not spans or (spans[0][1], spans[-1][2]) == (0, len(text.encode())))
     assert pieces.encode_spans(docs, path).count() == docs.count() and pieces.piece_digests(empty, path).count() == 0
@@ -320,7 +322,16 @@ def test_character_map_takes_the_longest_key():
     import struct
 
     table = pieces.CharacterMap(struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"x\0y\0")
-    assert table.longest(b"abc", 0) == (2, b"y") and table.longest(b"ac", 0) == (1, b"x") and table.longest(b"zb", 0) is None
+    size, value = table.longest(np.frombuffer(b"abacazb", np.uint8), np.arange(7))
+    assert size.tolist() == [2, 0, 1, 0, 1, 0, 0] and value[[0, 2, 4]].tolist() == [2, 0, 0] and table.lengths(value[[0, 2]]).tolist() == [1, 1]
+    own = pieces.Normaliser(b"")
+    own.map, own.squeeze = table, False
+    normal, source = own.align("ab a é")
+    assert normal.decode() == "▁y▁x▁é" and source.tolist() == [0, 0, 0, 0, 2, 2, 2, 3, 4, 4, 4, 5, 5, 7]
+    own.squeeze = True
+    normal, source = own.align("  ab  a ")
+    assert normal.decode() == "▁y▁x" and source.tolist() == [2, 2, 2, 2, 4, 4, 4, 6, 7]
+    assert own.align("  ")[0] == own.align("")[0] == b""
 
 
 def test_language_id(spark, empty):
@@ -395,3 +406,212 @@ def test_few_random_keys_of_any_class_are_missed(spark):
     rows = [(name, "".join(draw.choice(letters) for _ in range(n))) for name, letters in classes.items() for n in (20, 24, 32) for _ in range(200)]
     found = spark.createDataFrame(rows, "name string, run string").groupBy("name", F.length("run").alias("n")).agg(F.avg(secrets._is_random(F.col("run")).cast("int")).alias("share")).collect()
     assert len(found) == 15 and all(r.share >= 0.96 for r in found), found
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of n letters and its complement: their polynomials are equal modulo 2**64 at any odd base."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_unequal_texts_with_equal_polynomials_stay_apart(spark):
+    one, two = thue_morse(2048)
+    rows = spark.createDataFrame([(1, one), (2, two), (3, f"{one}\n{two}\n{'x y ' * 60}")], "doc_id long, text string")
+    linked = by_id(near_dup.near_duplicates(rows, 3, 85))
+    assert (linked[1].component_id, linked[2].component_id) == (1, 2)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    counted = {r.doc_id: r for r in quality.rule_statistics(rows).collect()}
+    assert (counted[3].n_dup_lines, counted[3].n_distinct) == (0, 4) and quality.quality_rules(rows, none).count() == 3
+    scored = by_id(lm_score.lm_scores(rows.where("doc_id < 3")))
+    assert scored[1].log_score == pytest.approx(np.log(0.5)) == scored[2].log_score
+    gone = by_id(suffix_dedup.dedup(rows))
+    # brute force over the three texts
+    seen, want = set(), {}
+    for r in rows.orderBy("doc_id").collect():
+        mask = [False] * len(r.text)
+        for k in range(len(r.text) - 99):
+            w = r.text[k : k + 100]
+            if w in seen:
+                mask[k : k + 100] = [True] * 100
+            seen.add(w)
+        want[r.doc_id] = sum(mask)
+    assert {i: gone[i].n_removed for i in gone} == want
+
+
+def test_packing_reduction_keeps_an_optimum(spark):
+    """Some optimal packing has all sets that the reduction fixes."""
+
+    def fewest(items: list[int], capacity: int) -> int:
+        best = {0: (0, 0)}  # of each set of items: sequences and room in the last
+        for chosen in range(1, 1 << len(items)):
+            found = []
+            for i, x in enumerate(items):
+                if chosen >> i & 1:
+                    n, room = best[chosen & ~(1 << i)]
+                    found.append((n, room - x) if x <= room else (n + 1, capacity - x))
+            best[chosen] = min(found, key=lambda f: (f[0], -f[1]))
+        return best[(1 << len(items)) - 1][0]
+
+    for seed in range(250):
+        draw = np.random.default_rng(seed)
+        capacity = int(draw.integers(5, 40))
+        items = draw.integers(1, capacity + 1, int(draw.integers(1, 9)))
+        counts = np.bincount(np.minimum(items, capacity // 2 + 2) if seed % 3 == 0 else items, minlength=capacity + 1)
+        listed = lambda c: [k for k in range(len(c)) for _ in range(c[k])]
+        left = counts.copy()
+        fixed = packing.reduce_by_dominance(left, capacity)
+        assert sum(n for n, _ in fixed) + fewest(listed(left), capacity) == fewest(listed(counts), capacity), (capacity, listed(counts), fixed)
+
+
+def test_packed_tokens_and_offsets(spark, docs):
+    """CRC, start and place of every piece against the library, and no fewer sequences than needed."""
+    import zlib
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path).collect()
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    want = Counter()
+    for i, text in texts:
+        ids = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        head = len(ids) % 2048 or 2048
+        starts = [0, *range(head, len(ids), 2048)]
+        for k, a in enumerate(starts):
+            part = ids[a : head if k == 0 else a + 2048]
+            want[(i, k, a, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
+
+
+def test_secret_entropy_by_brute_force(spark):
+    """Entropy spans, with base spans and allow-listed parts inside runs, and ties of touching spans."""
+    from math import log2
+
+    draw = random.Random(12)
+    key = lambda n: "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [f"AKIA{'B3C4' * 4}/{key(40)}", f"path/example/{key(30)}", "sample0123456789" + key(22), f"é🎉 {key(24)}\n{key(19)} {key(20)}", "word " * 50 + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "password=" + key(30), "x" * 8 + key(25), "", None, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A2B3" * 10, "9" * 40]
+    texts += [" ".join(draw.choice([key(draw.randint(10, 60)), "example", "token=abc123", "plain"]) + draw.choice(["", "/sample/", "-"]) for _ in range(30)) for _ in range(20)]
+    got = by_id(secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    any_found = 0
+    for i, text in enumerate(texts):
+        t = text or ""
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        blank = list(t)
+        for a, _, b in base:
+            blank[a:b] = " " * (b - a)
+        blank = "".join(blank)
+        for pattern, n in secrets.ALLOWED.items():
+            blank = re.sub(pattern, " " * n, blank)
+        spans = list(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", blank):
+            run = m[0]
+            name = next((name for name, p in secrets.CLASSES.items() if re.search(p, run)), "base64")
+            kinds = sum(bool(re.search(p, run)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+            best = max(-sum(c / 20 * log2(c / 20) for c in Counter(run[k : k + 20]).values()) for k in range(len(run) - 19))
+            if (kinds >= 2 or name == "base32") and best >= secrets.LIMITS[name]:
+                spans.append((m.start(), 3, m.end()))
+                any_found += 1
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), i
+    assert any_found > 100 and got[0].spans == "access:0:20,entropy:20:61" and got[1].n_entropy == 1
+
+
+def test_secrets_of_very_long_runs_and_many_spans(spark):
+    import time
+
+    draw = random.Random(3)
+    run = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    many = "password=secret12 " * 60000
+    rows = spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")
+    began = time.time()
+    got = by_id(secrets.secret_spans(rows))
+    clean = by_id(secrets.redact(rows))
+    assert got[1].spans == f"entropy:0:{1 << 20}" and got[2].n_assign == 60000 and time.time() - began < 120
+    assert clean[1].text == "[REDACTED]" and clean[2].text == "[REDACTED] " * 60000
+
+
+def test_redaction_across_chunks_and_overlaps(spark):
+    from tarnwick.llm import native
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(40):
+        n = draw.randint(0, 14000)
+        text = "".join(draw.choice("abé🎉 \n") for _ in range(n))
+        spans = sorted((a, 0, min(n, a + draw.randint(1, 5000 if i % 7 == 0 else 40))) for a in (draw.randrange(n) for _ in range(draw.randint(0, 200) if n else 0)))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = {r.i: r.cut for r in df.select("i", native.replaced(F.col("text"), F.col("spans"), lambda s, at: F.when(s["start"] >= at, F.lit("#")).otherwise("")).alias("cut")).collect()}
+    for i, text, spans in rows:
+        at, out = 0, ""
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == out + text[at:], i
+
+
+def test_repeats_keep_other_columns_as_they_are(spark):
+    import datetime
+    import decimal
+
+    rows = [(i, words(40, 5 if i < 3 else 6), datetime.datetime(2024, 1, 2, 3, 4, 5, 123456), decimal.Decimal("1.23"), [1, None], {"a": None}, b"\0\xff", None) for i in range(4)] + [(None, None, None, None, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at timestamp, d decimal(9,2), route array<int>, kind map<string,string>, body binary, head int")
+    got = suffix_dedup.remove_repeats(df)
+    assert got.schema == df.schema
+    assert sorted(map(str, got.drop("text").collect())) == sorted(map(str, df.drop("text").collect()))
+    kept = {r.doc_id: r.text for r in got.collect()}
+    assert kept[0] == rows[0][1] and kept[1] == "" and kept[3] == rows[3][1] and kept[None] is None
+
+
+def test_language_codewords_stay_apart():
+    for classes in (1, 2, 4, 65, 300):
+        code = langid.codewords(classes)
+        apart = (code[:, None, :] != code[None, :, :]).sum(axis=2) + 99 * np.eye(classes)
+        assert code.shape[0] == classes and apart.min() >= (3 if classes > 64 else 6)
+
+
+def test_letters_rows_and_samples_of_languages(spark):
+    """Digits of other kinds are no letters; repeated rows and many languages leave the model whole."""
+    rows = [(i, f"lang{i % 70} " + words(20, 1000 + i % 70), f"l{i % 70:02d}") for i in range(700)]
+    rows += [(5, "lang5 " + words(20, 1005), "l05")] * 50 + [(9000 + i, t, None) for i, t in enumerate(["² ½ ① 12", "Ⅷ ㊿", "ß", "语"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in langid.language_id(df, sample_rows=60).collect()]
+    named = {r.doc_id: r.lang_pred for r in got}
+    assert named[9000] == named[9001] == "und" and named[9002] != "und" and named[9003] != "und"
+    model = langid.fit(df, sample_rows=60)
+    again = langid.fit(df.repartition(7), sample_rows=60)
+    assert len(model.languages) == 70 and np.array_equal(model.weights, again.weights)
+    known = [r for r in got if r.doc_id < 700]
+    assert sum(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in known) / len(known) > 0.9
+
+
+def test_verdict_by_brute_force(spark):
+    """The forest's and the threshold's verdict on every row, recomputed in plain loops."""
+    rows = [(i, (words(80, i) if i % 9 else " ".join(f"#{k}$%" for k in range(60))) + "\n" + words(5, i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.quality_rules(df, labels))
+    counted = {r.doc_id: r for r in quality.rule_statistics(df).collect()}
+    order = sorted(counted)
+    x = quality.ratios({c: np.array([counted[i][c] for i in order]) for c in quality.COUNTS})
+    assert all(not got[i].base_failed for i in order)
+    best = None
+    anomaly = np.array([got[i].anomaly for i in order])
+    marked = [(anomaly[k], i % 9 != 0) for k, i in enumerate(order) if i % 2 == 0]
+    for cut in sorted({a for a, _ in marked}):
+        lost = sum(a >= cut for a, good in marked if good) / sum(good for _, good in marked)
+        caught = sum(a >= cut for a, good in marked if not good) / sum(not good for _, good in marked)
+        if lost <= 0.05 and (best is None or caught - lost > best[0] + 1e-12):
+            best = (caught - lost, cut)
+    below = max((a for a, _ in marked if a < best[1]), default=best[1])
+    for k, i in enumerate(order):
+        if not below < anomaly[k] < best[1]:
+            assert got[i].kept == (anomaly[k] < best[1]), i
+    assert best[0] > 0.5 and x.shape == (120, 6)
