@@ -17,14 +17,17 @@ _MAGIC = 4
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Equally long arrays as one compressed byte string. Columns of integers that are mostly
-    near their neighbours should be passed sorted; they then cost a byte or two each."""
+    """Equally long arrays as one compressed byte string, byte planes one after another. Signed
+    integers are stored as differences; those that are mostly near their neighbours cost a byte or
+    two each. Unsigned ones are stored as they are."""
     n = len(columns[0])
     parts = []
     for c in columns:
         if c.dtype in (np.int64, np.int32):
             c = np.diff(c, prepend=c.dtype.type(0))
             parts.append(c.view(np.uint8).reshape(n, c.itemsize).T.tobytes())
+        elif c.dtype in (np.uint64, np.uint32):
+            parts.append(np.ascontiguousarray(c).view(np.uint8).reshape(n, c.itemsize).T.tobytes())
         else:
             parts.append(c.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
@@ -41,6 +44,8 @@ def unpack(block: bytes, dtypes: list[type]) -> list[np.ndarray]:
         at += n * size
         if np.dtype(t) in (np.int64, np.int32):
             out.append(np.cumsum(part.reshape(size, n).T.copy().view(t).reshape(n), dtype=t))
+        elif np.dtype(t) in (np.uint64, np.uint32):
+            out.append(part.reshape(size, n).T.copy().view(t).reshape(n))
         else:
             out.append(part.view(t))
     return out

@@ -1,26 +1,29 @@
 """Stupid-backoff scores under the corpus' own n-gram counts.
 
-Each document is scored by the counts of all other documents (its own occurrences are subtracted,
-else every n-gram would be known and nothing would ever back off):
-
-    S(w | context) = count(context w) / count(context)   if context w occurs elsewhere,
+    S(w | context) = count(context w) / count(context)   if context w occurs,
                      0.4 * S(w | context without its first word)   otherwise,
 
-down to count(w) / tokens, with half a count for words that occur nowhere else.
+down to count(w) / tokens. log_score leaves the document itself out of the counts (else every n-gram
+would be known and nothing would ever back off), with half a count for words that occur nowhere else;
+corpus_log_score counts the whole corpus.
+
+1. Documents are dealt to blocks of a bounded size, which are written once.
+2. For each order, the n-grams of a block are exploded and combined, so that an n-gram is one entry in
+   a block however often it occurs there. The entries are dealt by ranges of their hash. A range's
+   group sums them, which makes its part of the count table, and joins the totals to the entries; one
+   number an entry goes back to its block, in the order of the hashes, which both sides know.
+3. A block's totals of all orders meet its texts. A document's own occurrences are counted there and
+   taken off, and the scores are summed for each document.
 
-For each order, documents' distinct n-grams are exploded with their counts and dealt by n-gram hash.
-A route's group sums the counts, which makes its part of the count table, and joins it to the
-exploded n-grams in place; what goes back to the documents' routes is one number per n-gram, in an
-order that both sides can derive, so keys travel once. There the counts of all orders meet the texts
-and are summed per document.
+Plain rows of n-gram, document and count would be some ten times the input for each order; as blocks
+of sorted hashes an entry costs about six bytes, and only one order's are on disk at a time. No n-gram
+is hot: the busiest has one entry a block.
 
-An n-gram that many documents of one mapper hold is marked as hot: the mapper sends its sum alone, no
-rows. Totals of hot n-grams go to every document route as a block. An unmarked n-gram's rows in a
-route stay below ``HOT_SHARE`` of the documents of each mapper.
+Hashes have 64 bits: with n distinct n-grams, one in 2^64 / n shares its hash with another (at 10^13,
+the trigrams of some 100 TB, one in two million).
 
-Defined cases: texts without a word (null, empty) have n_words 0 and null scores; repeated rows and
-rows without doc_id count as one document, whose own counts are those of all its rows; an empty
-table gives an empty result.
+Defined cases: texts without a word (null, empty) have n_words 0 and null scores; every row is a
+document of its own, whether its doc_id is repeated or null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,238 +38,177 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from . import textkit as tk
-from .exchange import as_batch, deal, pack, routes_for, unpack, unpack_all
+from .exchange import as_batch, pack, routes_for, unpack, unpack_all
 
 BACKOFF = 0.4
-FLUSH = 1 << 20
-HOT_SHARE = 1 / 16
-HOT_LEAST = 64
-NO_ID = np.iinfo(np.int64).min
-
-ROWS, SUMS, REPLY, HOT, TEXT, TOKENS = range(6)
-BLOCK = "route int, kind int, part int, doc_id long, head binary, body binary"
-_SCHEMA = pa.schema([("route", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
-_ROW = [np.int64, np.int64, np.int32]
-_TOTAL = [np.uint64, np.int64]
-
-
-def _blocks(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    none = [None] * len(rows)
-    return as_batch(_SCHEMA, [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], none, [r[3] for r in rows], none])
-
+#: Words whose n-grams are combined at once; a block has one such unit or a few.
+UNIT = 1 << 21
 
-def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_batches([_blocks(rows)], _SCHEMA)
+#: What a block of texts holds: numbers of its rows, and the texts one after another.
+_BLOCK = pa.schema([("block", pa.int32()), ("rows", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("z", pa.binary())])
+BLOCK = "block int, rows long, tokens long, ids array<long>, sizes array<long>, z binary"
+#: Entries of n-grams, or (with their range as ``part``) the answers to them.
+_ENTRIES = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+ENTRIES = "range int, block int, part int, n int, body binary"
 
 
-def doc_route(doc: np.ndarray, routes: int) -> np.ndarray:
-    return (tk.mix(doc.view(np.uint64) + tk.U64(29)) % tk.U64(routes)).astype(np.int64)
+def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that each hash lies in; hashes in rising order lie in rising ranges."""
+    return ((key >> tk.U64(32)) * tk.U64(ranges) >> tk.U64(32)).astype(np.int64)
 
 
 def ngrams(words: np.ndarray, owner: np.ndarray, order: int) -> np.ndarray:
-    """A 48-bit hash of the ``order`` words that end at each word; 0 where there aren't as many."""
+    """A 64-bit hash of the ``order`` words that end at each word; 0 where there aren't as many."""
     h = words.copy()
     for k in range(1, order):
         h[k:] = tk.mix(h[k:] * tk.U64(3) + words[:-k])
         h[:k] = 0
-    h = tk.mix(h + tk.U64(order)) >> tk.U64(16)
+    h = np.maximum(tk.mix(h + tk.U64(order)), tk.U64(1))
     if order > 1 and len(h):
         h[order - 1 :][owner[order - 1 :] != owner[: len(owner) - order + 1]] = 0
         h[: order - 1] = 0
     return h
 
 
-def _by_key(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs sorted by key, then document: document, key and how often the pair occurs."""
-    ids, number = np.unique(doc, return_inverse=True)
-    if len(ids) < 1 << 16:
-        both = np.sort((key << tk.U64(16)) | number.astype(np.uint64))
-        new = np.ones(len(both), bool)
-        new[1:] = both[1:] != both[:-1]
-        at = np.flatnonzero(new)
-        doc, key = ids[(both[at] & tk.U64(0xFFFF)).astype(np.int64)], both[at] >> tk.U64(16)
-    else:
-        by = np.lexsort((doc, key))
-        doc, key = doc[by], key[by]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        doc, key = doc[at], key[at]
-    return doc, key, np.diff(np.append(at, len(new))).astype(np.int32)
-
-
-def _shared_order(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of (document, n-gram) pairs that both sides derive alike, and where in it a new pair
-    begins."""
-    joint = tk.mix(key ^ tk.mix(doc.view(np.uint64)))
-    by = np.argsort(joint, kind="stable")
-    s, k = joint[by], key[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-    return by, new
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _explode(order: int, routes: int):
-    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        doc, key, own = _by_key(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        number = np.cumsum(new) - 1
-        hot = np.bincount(number) > max(HOT_LEAST, HOT_SHARE * len(np.unique(doc)))
-        out = []
-        if hot.any():
-            sums = np.bincount(number, weights=own).astype(np.int64)[hot]
-            hot_keys = key[new][hot]
-            out += [(r, SUMS, 0, pack(c)) for r, c in deal((hot_keys % tk.U64(routes)).astype(np.int64), [hot_keys, sums])]
-            cold = ~hot[number]
-            doc, key, own = doc[cold], key[cold], own[cold]
-        out += [(r, ROWS, 0, pack([c[0], c[1].astype(np.int64), c[2]])) for r, c in deal((key % tk.U64(routes)).astype(np.int64), [doc, key, own])]
-        return _blocks(out)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the number of its text, hashed a few texts at a time."""
+    words, owners, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= tk.CHUNK):
+            size += len(texts[to])
+            to += 1
+        offsets = np.cumsum([0, *map(len, texts[at:to])])
+        raw = np.frombuffer(b"".join(texts[at:to]), np.uint8)
+        start, end, bounds = tk.word_ranges(raw, offsets)
+        words.append(tk.RangeHash(raw).of(start, end))
+        owners.append((tk.owner(bounds) + at).astype(np.int32))
+        at = to
+    return np.concatenate(words), np.concatenate(owners)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for whole in batches:
-            for part in tk.split_by_bytes(whole, 1):
-                raw, offsets = tk.text_bytes(part.column(1))
-                start, end, bounds = tk.word_ranges(raw, offsets)
-                owner = tk.owner(bounds)
-                key = ngrams(tk.RangeHash(raw).of(start, end), owner, order)
-                some = key != 0
-                parts.append((_ids(part.column(0))[owner[some]], key[some]))
-                held += len(key)
-                if held >= FLUSH:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield flush(parts)
 
-    return run
+def _texts(row: dict) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(row["z"])
+    ends = np.cumsum(row["sizes"]).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _count(routes: int):
-    """A route's part of the count table, joined to its exploded n-grams."""
+@tk.trimmed
+def _gather(group: pa.Table) -> pa.Table:
+    """One row of a block's texts."""
+    unpack_text = zstandard.ZstdDecompressor().decompress
+    texts = [unpack_text(z.as_py()) for z in group.column("z")]
+    words, _ = word_hashes(texts)
+    whole = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+    row = [group.column("block")[0].as_py()], [len(texts)], [len(words)], [group.column("doc_id").to_pylist()], [list(map(len, texts))], [whole]
+    return pa.Table.from_batches([as_batch(_BLOCK, list(row))])
 
-    def run(group: pa.Table) -> pa.Table:
-        route = group.column("route")[0].as_py()
-        kinds, heads = group.column("kind").to_numpy(), group.column("head")
-        of = lambda kind: (heads[int(i)].as_py() for i in np.flatnonzero(kinds == kind))
-        doc, key, own = unpack_all(of(ROWS), _ROW)
-        key = key.astype(np.uint64)
-        by, new = _shared_order(doc, key)
-        doc, key = doc[by][new], key[by][new]
-        own = np.add.reduceat(own[by], np.flatnonzero(new)) if len(by) else own
-        hot, sums = unpack_all(of(SUMS), _TOTAL)
-        keys, number = np.unique(np.concatenate([key, hot]), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate([own, sums]).astype(np.float64), minlength=len(keys)).astype(np.int64)
-        is_hot = np.zeros(len(keys), bool)
-        is_hot[number[len(key) :]] = True
-        out = [(route % 16, HOT, 0, pack([keys[is_hot], total[is_hot]]))] if is_hot.any() else []
-        out.append((0, TOKENS, 0, int(total.sum()).to_bytes(8, "little")))
-        cold = ~is_hot[number[: len(key)]]
-        others = (total[number[: len(key)]] - own)[cold]
-        for r, (c,) in deal(doc_route(doc[cold], routes), [others]):
-            # in the shared order, which deal() keeps
-            planes = c.astype(np.int64).view(np.uint8).reshape(len(c), 8).T.tobytes()
-            out.append((r, REPLY, route, zstandard.ZstdCompressor(level=1).compress(planes)))
-        return _table(out)
 
-    return run
-
-
-def _merge_hot(group: pa.Table) -> pa.Table:
-    parts = [unpack(h.as_py(), _TOTAL) for h in group.column("head")]
-    return _table([(group.column("route")[0].as_py(), HOT, group.column("part")[0].as_py(), pack([np.concatenate(c) for c in zip(*parts, strict=True)]))])
+def _explode(order: int, ranges: int):
+    @tk.trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, owner = word_hashes(_texts(row))
+                key = ngrams(words, owner, order)
+                for part, at in enumerate(range(0, len(key), UNIT)):
+                    own = key[at : at + UNIT]
+                    keys, counts = np.unique(own[own != 0], return_counts=True)
+                    where = range_of(keys, ranges)
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]])
+                    spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+                    bodies = [pack([keys[a:b].view(np.int64), counts[a:b].astype(np.uint32)]) for a, b in spans]
+                    yield as_batch(_ENTRIES, [[where[a] for a, _ in spans], [row["block"]] * len(spans), [part] * len(spans), [b - a for a, b in spans], bodies])
 
+    return run
 
-def _score(order: int, routes: int, tokens: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
+@tk.trimmed
+def _count(group: pa.Table) -> pa.Table:
+    """A range's part of the count table, joined to the entries."""
+    blocks = [unpack(b.as_py(), [np.int64, np.uint32]) for b in group.column("body")]
+    keys = np.concatenate([b[0] for b in blocks]).view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    rising = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = rising[1:] != rising[:-1]
+    counts = np.concatenate([b[1] for b in blocks]).astype(np.int64)
+    total = np.add.reduceat(counts[order], np.flatnonzero(new))
+    joined = np.empty(len(keys), np.int64)
+    joined[order] = total[np.cumsum(new) - 1]
+    ends = np.cumsum([len(b[0]) for b in blocks])
+    bodies = [pack([joined[b - len(x[0]) : b].astype(np.uint64)]) for x, b in zip(blocks, ends, strict=True)]
+    columns = [group.column(c).combine_chunks() for c in ("range", "block", "part", "n")]
+    return pa.table([*columns, pa.array(bodies, pa.binary())], schema=_ENTRIES)
+
+
+def _score(order: int, tokens: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64()), ("corpus_log_score", pa.float64())])
+
+    @tk.trimmed
     def run(group: pa.Table) -> pa.Table:
-        kinds, parts, heads = group.column("kind").to_numpy(), group.column("part").to_numpy(), group.column("head")
-        rows = np.flatnonzero(kinds == TEXT)
-        unpacker = zstandard.ZstdDecompressor()
-        texts = [unpacker.decompress(group.column("body")[int(i)].as_py()) for i in rows]
-        ids = _ids(group.column("doc_id").combine_chunks())[rows] if len(rows) else np.zeros(0, np.int64)
-        raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        start, end, bounds = tk.word_ranges(raw, offsets)
-        owner = tk.owner(bounds)
-        words = tk.RangeHash(raw).of(start, end)
-        doc = ids[owner]
-        known_ids, id_number = np.unique(ids, return_inverse=True)
-        others: dict[int, np.ndarray] = {}
-        exists: dict[int, np.ndarray] = {}
+        is_text = group.column("z").is_valid().to_numpy()
+        row = group.slice(int(np.flatnonzero(is_text)[0]), 1).to_pylist()[0]
+        words, owner = word_hashes(_texts(row))
+        kinds, parts, ranges = (group.column(c).fill_null(-1).to_numpy() for c in ("order", "part", "range"))
+        bodies = group.column("body")
+        others, totals = {}, {}
         for k in range(1, order + 1):
             key = ngrams(words, owner, k)
-            some = key != 0
-            by, new = _shared_order(doc[some], key[some])
-            u = key[some][by][new]
-            own = np.diff(np.append(np.flatnonzero(new), len(new)))
-            mine = lambda kind: [int(i) for i in np.flatnonzero((kinds == kind) & (parts // routes == k))]  # noqa: B023, E731
-            hot, total = unpack_all((heads[i].as_py() for i in mine(HOT)), _TOTAL)
-            rising = np.argsort(hot)
-            hot, total = hot[rising], total[rising]
-            place = np.minimum(np.searchsorted(hot, u), max(len(hot) - 1, 0))
-            is_hot = hot[place] == u if len(hot) else np.zeros(len(u), bool)
-            value = np.zeros(len(u), np.int64)
-            value[is_hot] = total[place[is_hot]] - own[is_hot]
-            route = (u % tk.U64(routes)).astype(np.int64)
-            cold = np.flatnonzero(~is_hot)
-            cold = cold[np.argsort(route[cold], kind="stable")]
-            got = sorted((int(parts[i]) % routes, i) for i in mine(REPLY))
-            replies = [np.frombuffer(unpacker.decompress(heads[i].as_py()), np.uint8) for _, i in got]
-            value[cold] = np.concatenate([r.reshape(8, -1).T.copy().view(np.int64)[:, 0] for r in replies]) if replies else 0
-            mine_of = np.zeros(len(by), np.int64)
-            mine_of[by] = value[np.cumsum(new) - 1] if len(by) else 0
-            others[k] = np.zeros(len(key), np.int64)
-            others[k][some] = mine_of
-            exists[k] = some
-
-        n = np.diff(bounds)
-        rest = tokens - np.bincount(id_number, weights=n, minlength=len(known_ids))[id_number]
-        score = np.log(np.maximum(others[1], 0.5) / np.maximum(rest, 1.0)[owner])
+            totals[k] = np.zeros(len(key), np.int64)
+            for part, at in enumerate(range(0, len(key), UNIT)):
+                some = np.flatnonzero(key[at : at + UNIT]) + at
+                _, back = np.unique(key[some], return_inverse=True)
+                mine = np.flatnonzero((kinds == k) & (parts == part))
+                mine = mine[np.argsort(ranges[mine])]
+                (answers,) = unpack_all((bodies[int(i)].as_py() for i in mine), [np.uint64])
+                totals[k][some] = answers.astype(np.int64)[back]
+            joint = tk.mix(key ^ tk.mix(owner.astype(np.uint64) + tk.U64(1)))
+            _, back, own = np.unique(joint, return_inverse=True, return_counts=True)
+            others[k] = np.where(key != 0, totals[k] - own[back], -1)
+
+        n = np.bincount(owner, minlength=row["rows"])
+        rest = np.maximum(tokens - n, 1)[owner]
+        score = np.log(np.maximum(others[1], 0.5) / rest)
+        whole = np.log(np.maximum(totals[1], 1) / max(tokens, 1))
         for k in range(2, order + 1):
-            context = np.zeros(len(words), np.int64)
-            context[1:] = others[k - 1][:-1]
-            known = others[k] > 0
-            # where there are fewer words before, a lower order's score stands as it is
-            score = np.where(known, np.log(np.maximum(others[k], 1) / np.maximum(context, 1)), np.where(exists[k], score + np.log(BACKOFF), score))
-        total_score = np.bincount(owner, weights=score, minlength=len(ids))
+            exists = others[k] >= 0  # else there are fewer words before, and a lower order's score stands
+            before = lambda counts: np.maximum(np.concatenate([[0], counts[k - 1][:-1]])[: len(words)], 1)  # noqa: B023, E731
+            score = np.where(others[k] > 0, np.log(np.maximum(others[k], 1) / before(others)), np.where(exists, score + np.log(BACKOFF), score))
+            whole = np.where(exists, np.log(np.maximum(totals[k], 1) / before(totals)), whole)
+        score, whole = (np.bincount(owner, weights=x, minlength=row["rows"]) for x in (score, whole))
         empty = n == 0
-        return pa.table([pa.array([None if i == NO_ID else int(i) for i in ids], pa.int64()), pa.array(n, pa.int64()), pa.array(total_score, mask=empty), pa.array(total_score / np.maximum(n, 1), mask=empty)], schema=schema)
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(score, mask=empty), pa.array(score / np.maximum(n, 1), mask=empty), pa.array(whole, mask=empty)], schema=schema)
 
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 3, bytes_per_route: int = 4 << 20) -> DataFrame:
-    """doc_id, n_words, log_score (the sum over the words) and mean_log_score for every row of
-    ``docs(doc_id, text)``."""
+def lm_scores(docs: DataFrame, order: int = 3, bytes_per_block: int = 4 << 20) -> DataFrame:
+    """doc_id, n_words, log_score (the sum over the words), mean_log_score and corpus_log_score for
+    every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    routes = routes_for(scratch.size_bytes(docs, "text"), bytes_per_route)
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    replies, hot, tokens = [], [], 0
-    for k in range(1, order + 1):
-        counted = scratch.save(source.mapInArrow(_explode(k, routes), BLOCK).groupBy("route").applyInArrow(_count(routes), BLOCK))
-        # part carries the order and the n-grams' route
-        replies.append(counted.where(F.col("kind") == REPLY).withColumn("part", F.lit(k * routes) + F.col("part")))
-        hot.append(counted.where(F.col("kind") == HOT).withColumn("part", F.lit(k * routes)))
-        if k == 1:
-            # a row for each route, each with 8 bytes
-            tokens = sum(int.from_bytes(r["head"], "little") for r in counted.where(F.col("kind") == TOKENS).select("head").collect())
-        scratch.release(spark)
+    parts = routes_for(scratch.size_bytes(docs, "text"), bytes_per_block)
+    # rows with one doc_id may be many, so their places count too
+    block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    packed = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("z", pa.binary())])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tk.trimmed
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            none = [None] * b.num_rows
-            yield as_batch(_SCHEMA, [doc_route(_ids(b.column(0)), routes), np.full(b.num_rows, TEXT), np.zeros(b.num_rows, int), b.column(0), none, [squeeze((t.as_py() or "").encode()) for t in b.column(1)]])
-
-    everything = source.mapInArrow(texts, BLOCK)
-    for k in range(order):
-        merged = hot[k].groupBy("route").applyInArrow(_merge_hot, BLOCK).withColumn("route", F.explode(F.sequence(F.lit(0), F.lit(routes - 1)))).select(*_SCHEMA.names)
-        everything = everything.union(replies[k].select(*_SCHEMA.names)).union(merged)
-    return everything.groupBy("route").applyInArrow(_score(order, routes, tokens), "doc_id long, n_words long, log_score double, mean_log_score double")
+            yield as_batch(packed, [b.column(0), b.column(1), [squeeze((t.as_py() or "").encode()) for t in b.column(2)]])
+
+    dealt = docs.select(block.alias("block"), F.col("doc_id").cast("long"), "text").mapInArrow(compress, "block int, doc_id long, z binary")
+    blocks = scratch.save(dealt.groupBy("block").applyInArrow(_gather, BLOCK))
+    scratch.release(spark)
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    answers = []
+    for k in range(1, order + 1):
+        entries = blocks.mapInArrow(_explode(k, parts), ENTRIES)
+        answers.append(scratch.save(entries.groupBy("range").applyInArrow(_count, ENTRIES)).withColumn("order", F.lit(k)))
+        scratch.release(spark)
+    none = lambda kind: F.lit(None).cast(kind)
+    every = blocks.select("block", "rows", "ids", "sizes", "z", none("int").alias("order"), none("int").alias("part"), none("int").alias("range"), none("binary").alias("body"))
+    for one in answers:
+        every = every.union(one.select("block", none("long"), none("array<long>"), none("array<long>"), none("binary"), "order", "part", "range", "body"))
+    return every.groupBy("block").applyInArrow(_score(order, tokens), "doc_id long, n_words long, log_score double, mean_log_score double, corpus_log_score double")

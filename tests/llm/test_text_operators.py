@@ -213,30 +213,36 @@ def test_window_entropy(spark):
         assert spark.range(1).select(secrets.window_entropy(F.lit(run)).alias("h")).first().h == pytest.approx(best)
 
 
-def test_lm_scores(spark, docs, empty):
+@pytest.mark.parametrize(("unit", "each"), [(1 << 21, 4 << 20), (50, 300)])
+def test_lm_scores(spark, docs, empty, monkeypatch, unit, each):
     from math import log
 
-    got = by_id(lm_score.lm_scores(docs))
-    texts = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in TEXTS.items()}
-    all_docs = [*texts.items(), (1, texts[1]), (None, texts[1])]
+    monkeypatch.setattr(lm_score, "UNIT", unit)
+    got = lm_score.lm_scores(docs, bytes_per_block=each).collect()
+    texts = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()]
     grams = lambda w: Counter(tuple(w[j - k + 1 : j + 1]) for k in (1, 2, 3) for j in range(k - 1, len(w)))
-    own: dict = {}
-    for i, w in all_docs:
-        own[i] = own.get(i, Counter()) + grams(w)
-    total = sum(own.values(), Counter())
-    tokens = lambda c: sum(n for g, n in c.items() if len(g) == 1)
-    for i, w in texts.items():
-        count = lambda g: total[g] - own[i][g]  # noqa: B023, E731
-        score = 0.0
+    total = sum((grams(w) for _, w in texts), Counter())
+    tokens = sum(len(w) for _, w in texts)
+    want = []
+    for i, w in texts:
+        own = grams(w)
+        count = lambda g: total[g] - own[g]  # noqa: B023, E731
+        score = whole = 0.0
         for j in range(len(w)):
-            s = log(max(count((w[j],)), 0.5) / max(tokens(total) - tokens(own[i]), 1))
+            s = log(max(count((w[j],)), 0.5) / max(tokens - len(w), 1))
+            c = log(total[(w[j],)] / tokens)
             for k in (2, 3):
                 if j >= k - 1:
                     g = tuple(w[j - k + 1 : j + 1])
                     s = log(count(g) / count(g[:-1])) if count(g) > 0 else s + log(0.4)
+                    c = log(total[g] / total[g[:-1]])
             score += s
-        assert got[i].n_words == len(w)
-        assert got[i].log_score is None if not w else got[i].log_score == pytest.approx(score), i
+            whole += c
+        want.append((i, len(w), score, whole) if w else (i, 0, None, None))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for r, x in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (r.doc_id, r.n_words) == x[:2]
+        assert (r.log_score, r.mean_log_score, r.corpus_log_score) == ((None, None, None) if x[2] is None else pytest.approx((x[2], x[2] / x[1], x[3]))), r.doc_id
     assert lm_score.lm_scores(empty).count() == 0
 
 
