@@ -251,11 +251,19 @@ def _fetch_bytes(routes: int):
         if hot.any():
             rows = np.flatnonzero(~warm)
             windows = (length[rows] - LENGTH + 1).astype(np.int64)
-            first = np.repeat(np.cumsum(windows) - windows, windows)
-            inner = np.arange(windows.sum()) - first
-            where = np.repeat(at[rows], windows) + inner
-            keys = [tk.RangeHash(raw, which=k).of(where, where + LENGTH) for k in (0, 1)]
-            kept, gone = _settle(np.repeat(doc[rows], windows), (np.repeat(start[rows], windows) + inner).astype(np.int32), np.full(len(where), LENGTH, np.int32), *keys)
+            keys: list[list[np.ndarray]] = []
+            # a chunk of segments at a time
+            turn = (np.cumsum(length[rows].astype(np.int64)) - length[rows]) // tk.CHUNK
+            for now in np.unique(turn):
+                some = rows[turn == now]
+                long = length[some].astype(np.int64)
+                top = np.cumsum(long)
+                own = raw[np.repeat(at[some] - (top - long), long) + np.arange(top[-1])]
+                n = long - LENGTH + 1
+                where = np.repeat(top - long - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                keys.append([tk.RangeHash(own, which=k).of(where, where + LENGTH) for k in (0, 1)])
+            inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            kept, gone = _settle(np.repeat(doc[rows], windows), (np.repeat(start[rows], windows) + inner).astype(np.int32), np.full(len(inner), LENGTH, np.int32), *(np.concatenate(k) for k in zip(*keys, strict=True)))
             out += _deal_spans(*gone, routes)
             d, s, _, h1, h2 = kept
             by = np.lexsort((s, d))

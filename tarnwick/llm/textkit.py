@@ -125,22 +125,25 @@ _powers: dict[int, list[np.ndarray]] = {}
 
 
 def powers(n: int, base: int) -> list[np.ndarray]:
-    """base**i (its lower 31 bits and its upper ones) and base**-i modulo PRIME for i below n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, CHUNK + 4096)
-        _powers.pop(base, None)
-        both = []
-        for x in (base, pow(base, -1, int(PRIME))):
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            done = 1
-            while done < size:
-                step = min(done, size - done)
-                out[done : done + step] = product(out[:step], np.full(1, pow(x, done, int(PRIME)), np.uint64))
-                done += step
-            both.append(out)
-        _powers[base] = [both[0] & _LOW31, both[0] >> U64(31), both[1]]
-    return _powers[base]
+    """base**i (its lower 31 bits and its upper ones) and base**-i modulo PRIME for i below n at least.
+    Those for a chunk stay for the next one."""
+    if base in _powers and len(_powers[base][0]) >= n:
+        return _powers[base]
+    size = max(n, CHUNK + 4096)
+    both = []
+    for x in (base, pow(base, -1, int(PRIME))):
+        out = np.empty(size, np.uint64)
+        out[0] = 1
+        done = 1
+        while done < size:
+            step = min(done, size - done)
+            out[done : done + step] = product(out[:step], np.full(1, pow(x, done, int(PRIME)), np.uint64))
+            done += step
+        both.append(out)
+    made = [both[0] & _LOW31, both[0] >> U64(31), both[1]]
+    if size <= CHUNK + 4096:
+        _powers[base] = made
+    return made
 
 
 class RangeHash:
