@@ -1,13 +1,16 @@
 """Document fingerprints by invertible Bloom lookup, with DataFrame functions only.
 
 A text is cut into paragraphs (at line ends, and, so that short texts have several too, at sentence
-ends of any script) and the distinct ones are hashed to 64-bit digests. A sketch adds each digest to
-three cells, one in each third of the sketch; a cell holds the number of digests, their exclusive or and that of their
-checksums. Sketches of two versions are subtracted cell by cell, what both have cancels, and peeling
-recovers the digests of which they differ: a cell with one digest reveals it, and it is taken out of
-its other cells, again and again. Where some cells remain, that is repeated with larger sketches,
-the last of which has several cells for every digest of both texts. Sketches are kept sparse, as
-sorted arrays of their cells in use, so their cost follows the text's length, not the sketch's.
+ends of any script), each is hashed, and the n-th occurrence of a paragraph counts as a digest of its
+own. A sketch adds each 64-bit digest to three cells, one in each third of the sketch; a cell holds the
+number of digests, their exclusive or and that of their checksums. Sketches of two versions are
+subtracted cell by cell, what both have cancels, and peeling recovers the digests of which they differ:
+a cell with one digest reveals it, and it is taken out of its other cells, again and again. Where some
+cells remain, that is repeated with a sketch of many cells for each digest.
+
+Cells are rows: paragraphs are exploded, counted by version, exploded to their cells and summed by hash
+aggregates, all in the tasks that the window left the texts in. Only cells in use exist, so the cost
+follows the text's length, not the sketch's. A document's cells then come together as an array.
 
 Likeness is the number of shared digests over that of all, 1.0 for two texts without any.
 
@@ -16,7 +19,8 @@ in one place: documents are dealt to ranges of doc_id, a window leads within eac
 first row of each range is also sent to the range before it.
 
 Defined cases: a null text counts as empty and has no paragraphs; rows without doc_id come last;
-repeated doc_ids are ordered by text; a single document follows itself.
+repeated doc_ids are ordered by text; a single document follows itself. Columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
+from .native import let
 
-CELLS = 24
-LARGER = 1536
+CELLS = 48
+#: Cells for each digest in the larger sketch.
+EACH = 4096
 _CELL = "struct<cell:bigint,n:int,key:bigint,chk:bigint>"
 
 #: Fixed values, as ranges of regular expressions: line ends, blanks, what ends a sentence before a
@@ -45,27 +51,33 @@ STOP = (
 BARE_STOP = r"\u0964\u0965\u0F0D\u0F0E\u104A\u104B\u1362\u17D4\u17D5\u3002\uFF01\uFF1F\uFF61"
 CLOSE = r"\x22')\]}\xBB\u2018\u2019\u201C\u201D\u203A\u3009\u300B\u300D\u300F\u3011\u3015\uFF09\uFF3D\uFF63"
 # at most places a test of one small class fails first, as the longer ones are dear
-PARAGRAPH_END = (
-    rf"(?=[^\x21-\x7E])(?:[{LINE_END}]|(?<![a-zA-Z0-9,])(?=[{BLANK}])(?<=[{STOP};{CLOSE}])(?<=(?:[{STOP}]|\p{{IsGreek}};)[{CLOSE}]{{0,4}})[{BLANK}]+)"
-    rf"|(?<=[\x22')\]}}\xBB\u0964-\uFFFF])(?<=[{BARE_STOP}{CLOSE}])(?<=[{BARE_STOP}][{CLOSE}]{{0,4}})(?![{BARE_STOP}{CLOSE}{BLANK}])"
-)
+SPACED_END = rf"(?=[^\x21-\x7E])(?:[{LINE_END}]|(?<![a-zA-Z0-9,])(?=[{BLANK}])(?<=[{STOP};{CLOSE}])(?<=(?:[{STOP}]|\p{{IsGreek}};)[{CLOSE}]{{0,4}})[{BLANK}]+)"
+BARE_END = rf"(?<=[\x22')\]}}\xBB\u0964-\uFFFF])(?<=[{BARE_STOP}{CLOSE}])(?<=[{BARE_STOP}][{CLOSE}]{{0,4}})(?![{BARE_STOP}{CLOSE}{BLANK}])"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: The first of these for texts of ASCII characters alone, where the classes are short.
+ASCII_END = r"""(?=[\t-\r\x20])(?:[\n\x0B\x0C\r]|(?<![a-zA-Z0-9,])(?<=[!.?"')\]}])(?<=[!.?]["')\]}]{0,4})[\t\x20]+)"""
 
 
 def digests(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH_END, -1), lambda p: F.length(p) > 0), lambda p: F.xxhash64(p)))
+    """The hashes of the paragraphs."""
+    cut = F.when(F.octet_length(text) == F.length(text), F.split(text, ASCII_END, -1)).otherwise(F.split(text, f"{SPACED_END}|{BARE_END}", -1))
+    return F.transform(F.filter(cut, lambda p: F.length(p) > 0), lambda p: F.xxhash64(p))
+
+
+def cell_places(key: Column, cells: Column) -> list[Column]:
+    """The three cells of a digest in a sketch of so many."""
+    third = F.floor(cells / 3)
+    return [F.lit(j) * third + F.pmod(F.xxhash64(key, F.lit(j), cells), third) for j in range(3)]
+
+
+def checksum(key: Column) -> Column:
+    return F.xxhash64(key, F.lit("check"))
 
 
 def _entries(key: Column, n: Column, cells: Column) -> Column:
     """What a digest adds to its three cells."""
-    third = cells / 3
-    third = F.floor(third)
-    own = lambda j: F.struct((F.lit(j) * third + F.pmod(F.xxhash64(key, F.lit(j), cells), third)).alias("cell"), n.cast("int").alias("n"), key.alias("key"), F.xxhash64(key, F.lit("check")).alias("chk"))
-    return F.array(*(own(j) for j in range(3)))
+    return F.array(*(F.struct(c.alias("cell"), n.cast("int").alias("n"), key.alias("key"), checksum(key).alias("chk")) for c in cell_places(key, cells)))
 
 
 def _fold(entries: Column) -> Column:
@@ -88,27 +100,17 @@ def _fold(entries: Column) -> Column:
     return F.aggregate(F.sort_array(entries), start, step, finish)
 
 
-def sketch(keys: Column, cells: Column) -> Column:
-    """The cells in use of the sketch with ``cells`` cells of an array of digests."""
-    return _fold(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1), cells))))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    minus = F.transform(b, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["key"].alias("key"), c["chk"].alias("chk")))
-    return _fold(F.concat(a, minus))
-
-
 def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
     """struct(left: how many cells remain, n: how many digests came out, keys: they, with n = 1 if
     the first version has them and -1 if the second has)."""
     found = "array<struct<key:bigint,n:int>>"
 
-    pure = F.filter(difference, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
+    pure = F.filter(difference, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == checksum(c["key"])))
     signed = lambda p, n: F.transform(F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
     first = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
 
     def step(acc: Column, _: Column) -> Column:
-        again = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == F.xxhash64(c["key"], F.lit("check"))))
+        again = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == checksum(c["key"])))
         taken = let(again, lambda p: F.concat(signed(p, 1), signed(p, -1)))
         stuck = F.struct(F.array().cast(f"array<{_CELL}>").alias("cells"), acc["keys"].alias("keys"), acc["cells"].alias("stuck"))
         out = lambda p: _fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], cells)))))
@@ -124,7 +126,7 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
         total = lambda xs, get, one: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(get(x)) if one else a + get(x))
         whole = (
             (total(difference, lambda c: c["key"], True) == total(keys, lambda z: z["key"], True))
-            & (total(difference, lambda c: c["chk"], True) == total(keys, lambda z: F.xxhash64(z["key"], F.lit("check")), True))
+            & (total(difference, lambda c: c["chk"], True) == total(keys, lambda z: checksum(z["key"]), True))
             & (total(difference, lambda c: c["n"], False) == 3 * total(keys, lambda z: z["n"], False))
         )
         return F.when(whole, F.struct(F.lit(0).alias("left"), F.size(keys).alias("n"), keys.alias("keys"))).otherwise(all_rounds)
@@ -138,27 +140,6 @@ def _written(cells: Column) -> Column:
     return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(cells, lambda c: F.concat(hexed(c["cell"], 2), hexed(c["n"].cast("long"), 4), hexed(c["key"], 16), hexed(c["chk"], 8))), ""))), r"\s", "")
 
 
-def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
-    """``df`` with ``out``: what :func:`peel` recovers between the digest arrays ``a`` and ``b``,
-    first from their sketches, then from larger ones. A last sketch that still can't be peeled
-    (a chance below one in millions) leaves its recovered part and the digests compared as sets."""
-    df = df.withColumn(out, let(subtract(F.col(sketch_a), F.col(sketch_b)), lambda d: peel(d, F.lit(CELLS))))
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    for cells in (F.lit(LARGER), (F.size(a) + F.size(b)) * 6 + 96):
-        both = F.concat(F.flatten(F.transform(a, lambda k: _entries(k, F.lit(1), cells))), F.flatten(F.transform(b, lambda k: _entries(k, F.lit(-1), cells))))
-        again = let(_fold(both), lambda d: peel(d, cells))  # noqa: B023
-        df = df.withColumn(out, F.when(F.col(out)["left"] == 0, F.col(out)).otherwise(again))
-    done = F.col(out)
-    return df.withColumn(out, F.when(done["left"] == 0, done).otherwise(F.struct(F.lit(0).alias("left"), exact.alias("n"), done["keys"].alias("keys"))))
-
-
-def likeness(a: str, b: str, difference: str) -> Column:
-    apart = F.col(difference)["n"]
-    total = F.size(a) + F.size(b)
-    shared = (total - apart) / 2
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), shared / (shared + apart))).cast("double")
-
-
 def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
     """doc_id, text and next_text: that of the next lower doc_id, of the highest for the lowest."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -187,21 +168,93 @@ def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
     dealt = placed.join(F.broadcast(heads), "doc_id", "left").withColumn(
         "to", F.explode(F.concat(F.array(F.struct("range", F.lit(False).alias("copy"))), F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(True).alias("copy")))))
     )
-    order = Window.partitionBy("to.range").orderBy("to.copy", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.select("doc_id", "text", "to").withColumn("next_text", F.lead("text").over(order)).where(~F.col("to.copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    spread = dealt.select("doc_id", "text", "to.range", "to.copy").repartition("range").withColumn("own", digests(F.col("text")))
+    order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
+    led = spread.withColumns({"number": F.row_number().over(order), "next_text": F.lead("text").over(order), "next": F.lead("own").over(order)})
+    none = F.array().cast("array<bigint>")
+    return led.where(~F.col("copy")).select("range", "number", "doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "own", F.coalesce("next", none).alias("next"))
+
+
+VERSIONS = ["own", "new", "next"]
+
+
+def cells_of(versions: DataFrame, head: list[str]) -> DataFrame:
+    """range, number and cells for every row of ``versions``, which has range and number, an array of
+    paragraph hashes for each of VERSIONS, and the long columns ``head`` (eight at most). An entry of
+    cells has a place (from CELLS for those of the larger sketch) and, for each version, the number of
+    digests (n), their exclusive or (k) and that of their checksums (c). The entry at -1 has ``head``
+    in these columns instead: it takes the way of the others, so that nothing is joined back."""
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(name).alias("hs")) for i, name in enumerate(VERSIONS)), F.struct(F.lit(3).alias("v"), F.array(F.lit(0).cast("long")).alias("hs"))))
+    larger = (F.greatest(F.size("own") + F.size("new"), F.size("own") + F.size("next")) + 1).cast("long") * EACH
+    found = versions.select("range", "number", larger.alias("larger"), *head, rows.alias("row")).select("range", "number", "larger", *head, "row.v", F.explode("row.hs").alias("h"))
+    is_head = F.col("v") == 3
+    count = lambda i: F.sum((F.col("v") == i).cast("long")).alias(f"n{i}")
+    counted = found.groupBy("range", "number", "larger", is_head.alias("is_head"), "h").agg(*(count(i) for i in range(3)), *(F.bit_xor(F.when(is_head, F.col(c))).alias(c) for c in head))
+    each = counted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), "n0", "n1", "n2")))).withColumn("key", F.xxhash64("h", "i")).withColumn("chk", checksum(F.col("key")))
+    small, large = cell_places(F.col("key"), F.lit(CELLS)), cell_places(F.col("key"), F.col("larger"))
+    places = F.when(F.col("is_head"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(*(c.cast("long") for c in small), *(c + CELLS for c in large)))
+    columns = [f"{kind}{i}" for kind in "nkc" for i in range(3)]
+    put = dict(zip(columns, head, strict=False))
+    has = lambda i: F.col("i") <= F.col(f"n{i}")
+    own = {"n": F.lit(1).cast("long"), "k": F.col("key"), "c": F.col("chk")}
+    value = lambda c: F.when(F.col("is_head"), F.col(put[c]) if c in put else F.lit(0).cast("long")).when(has(int(c[1])), own[c[0]]).otherwise(F.lit(0).cast("long"))
+    placed = each.select("range", "number", "larger", F.explode(places).alias("cell"), *(value(c).alias(f"{c}_") for c in columns))
+    summed = placed.groupBy("range", "number", "larger", "cell").agg(*((F.sum if c[0] == "n" else F.bit_xor)(f"{c}_").alias(c) for c in columns))
+    return summed.groupBy("range", "number", "larger").agg(F.collect_list(F.struct("cell", *columns)).alias("cells"))
+
+
+def _version(cells: Column, i: int) -> Column:
+    """The cells in use of one version."""
+    used = F.filter(cells, lambda c: (c[f"n{i}"] != 0) | (c[f"k{i}"] != 0) | (c[f"c{i}"] != 0))
+    return F.transform(used, lambda c: F.struct(c["cell"].alias("cell"), c[f"n{i}"].cast("int").alias("n"), c[f"k{i}"].alias("key"), c[f"c{i}"].alias("chk")))
+
+
+def subtracted(cells: Column, a: int, b: int, first: int) -> Column:
+    """The cells in use of the difference of two versions, with places from ``first`` on."""
+    apart = F.transform(cells, lambda c: F.struct((c["cell"] - first).alias("cell"), (c[f"n{a}"] - c[f"n{b}"]).cast("int").alias("n"), c[f"k{a}"].bitwiseXOR(c[f"k{b}"]).alias("key"), c[f"c{a}"].bitwiseXOR(c[f"c{b}"]).alias("chk")))
+    return F.filter(apart, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+
+
+def differing(a: int, b: int) -> Column:
+    """How many digests two versions don't share, as peeling recovers them: from the columns small and
+    large, the cells of both sketches. Should the larger one leave cells too (digests that share all
+    three, below one in 10**9), three of them count as one digest."""
+
+    def again(difference: Column) -> Column:
+        return let(peel(difference, F.col("larger")), lambda p: F.when(p["left"] == 0, p["n"]).otherwise(p["n"] + F.ceil(p["left"] / 3).cast("int")))
+
+    return let(let(subtracted(F.col("small"), a, b, 0), lambda d: peel(d, F.lit(CELLS))), lambda p: F.when(p["left"] == 0, p["n"]).otherwise(let(subtracted(F.col("large"), a, b, CELLS), again)))
+
+
+def likeness(a: Column, b: Column, apart: Column) -> Column:
+    shared = (a + b - apart) / 2
+    return F.when(a + b == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), shared / (shared + apart))).cast("double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every row of ``docs(doc_id, text)``: its fingerprint, that of its edited text (the last
     third replaced by the beginning of the next text), and the likeness of the first to the second
     and to the next document's."""
-    df = with_next_text(docs)
+    df = with_next_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("next"))
-    for name in ("own", "new", "next"):
-        df = df.withColumn(f"{name}_cells", sketch(F.col(name), F.lit(CELLS)))
-    df = differing(df, "own", "new", "own_cells", "new_cells", "by_edit")
-    df = differing(df, "own", "next", "own_cells", "next_cells", "to_next")
-    return df.select("doc_id", "n_chars", "edited_sha256", _written(F.col("own_cells")).alias("fingerprint"), _written(F.col("new_cells")).alias("edited_fingerprint"), likeness("own", "new", "by_edit").alias("near_edited"), likeness("own", "next", "to_next").alias("near_next"))
+    df = df.select("range", "number", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), "own", digests(F.col("edited")).alias("new"), "next")
+    quarters = {f"sha{j}": F.conv(F.substring("sha", 16 * j + 1, 16), 16, -10).cast("long") for j in range(4)}
+    df = df.select("range", "number", F.col("doc_id").isNull().cast("long").alias("unnamed"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("named"), "n_chars", *(q.alias(name) for name, q in quarters.items()), *VERSIONS)
+    got = cells_of(df, ["n_chars", "unnamed", "named", *quarters]).select("larger", F.array_sort("cells").alias("cells"))
+    got = got.select("larger", F.get("cells", F.lit(0)).alias("head"), F.filter("cells", lambda c: (c["cell"] >= 0) & (c["cell"] < CELLS)).alias("small"), F.filter("cells", lambda c: c["cell"] >= CELLS).alias("large"))
+    head = ["n0", "n1", "n2", "k0", "k1", "k2", "c0"]
+    size = [F.aggregate("small", F.lit(0).cast("long"), lambda a, c: a + c[f"n{i}"]) / 3 for i in range(3)]  # noqa: B023
+    got = got.select("*", *(s.alias(f"size{i}") for i, s in enumerate(size)), differing(0, 1).alias("by_edit"), differing(0, 2).alias("to_next"))
+    part = lambda c: F.col("head")[head[c]]
+    sha = F.lower(F.concat(*(F.lpad(F.hex(part(3 + j)), 16, "0") for j in range(4))))
+    return got.select(
+        F.when(part(1) == 0, part(2)).alias("doc_id"),
+        part(0).alias("n_chars"),
+        sha.alias("edited_sha256"),
+        _written(_version(F.col("small"), 0)).alias("fingerprint"),
+        _written(_version(F.col("small"), 1)).alias("edited_fingerprint"),
+        likeness(F.col("size0"), F.col("size1"), F.col("by_edit")).alias("near_edited"),
+        likeness(F.col("size0"), F.col("size2"), F.col("to_next")).alias("near_next"),
+    )

@@ -247,8 +247,8 @@ def test_lm_scores(spark, docs, empty, monkeypatch, unit, each):
 
 
 def test_fingerprints(spark, docs, empty):
-    units = lambda t: {x for x in re.split(r"\n|(?<=[.!?])\x20+(?=[A-D])", t) if x}
-    likeness = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    units = lambda t: Counter(x for x in re.split(r"\n|(?<=[.!?])\x20+", t) if x)
+    likeness = lambda a, b: 1.0 if not a | b else (a & b).total() / (a | b).total()
     some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     got = by_id(fingerprint.fingerprints(some))
     order = sorted(TEXTS, reverse=True)
@@ -265,6 +265,17 @@ def test_fingerprints(spark, docs, empty):
     assert [r.next_text for r in led] == [TEXTS[i] or "" for i in order[1:] + order[:1]]
 
 
+def test_fingerprints_of_long_texts_and_many_repeats(spark):
+    """A text above a megabyte, one paragraph a thousand times, repeated rows and rows without doc_id."""
+    long = "\n".join(words(12, k) for k in range(20000))
+    rows = [(3, long), (2, "same.\n" * 1000 + "other"), (1, "same.\n" * 500), (1, "same.\n" * 500), (None, "same."), (None, None)]
+    assert len(long) > 1 << 20
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).orderBy(F.col("doc_id").desc_nulls_last(), "n_chars").collect()
+    assert [r.doc_id for r in got] == [3, 2, 1, 1, None, None] and [r.n_chars for r in got] == [len(long), 6005, 3000, 3000, 0, 5]
+    assert got[1].near_next == pytest.approx(500 / 1001) and got[2].fingerprint == got[3].fingerprint
+    assert 0.6 < got[0].near_edited < 0.7 and got[0].near_next == 0
+
+
 def test_larger_sketches_recover_what_small_ones_cannot(spark):
     text = "\n".join(words(3, 100 + k) for k in range(300))
     other = "\n".join(words(3, 500 + k) for k in range(300))
@@ -288,6 +299,10 @@ def test_paragraphs_end_at_every_sentence_in_any_script(spark):
     rows = spark.createDataFrame(list(texts.items()), "text string, n int")
     got = {r.text: r.k for r in rows.select("text", F.size(fingerprint.digests(F.col("text"))).alias("k")).collect()}
     assert got == texts
+    draw = random.Random(6)
+    plain = ["".join(draw.choice("ab.!?;,\"')]} \t\n\r\x0b") for _ in range(60)) for _ in range(400)]
+    ends = spark.createDataFrame([(t,) for t in plain], "t string").select(F.split("t", fingerprint.ASCII_END, -1).alias("a"), F.split("t", f"{fingerprint.SPACED_END}|{fingerprint.BARE_END}", -1).alias("b")).collect()
+    assert all(r.a == r.b for r in ends)
     edited = spark.createDataFrame([(2, "Это раз. Это два. Это три. Это шесть."), (1, "Иное.")], "doc_id long, text string")
     assert by_id(fingerprint.fingerprints(edited))[2].near_edited > 0
 
