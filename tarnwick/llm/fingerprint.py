@@ -6,11 +6,12 @@ own. A sketch adds each 64-bit digest to three cells, one in each third of the s
 number of digests, their exclusive or and that of their checksums. Sketches of two versions are
 subtracted cell by cell, what both have cancels, and peeling recovers the digests of which they differ:
 a cell with one digest reveals it, and it is taken out of its other cells, again and again. Where some
-cells remain, that is repeated with a sketch of many cells for each digest.
+cells remain, or nearly all are in use, that is repeated with a sketch of many cells for each digest.
 
-Cells are rows: paragraphs are exploded, counted by version, exploded to their cells and summed by hash
-aggregates, all in the tasks that the window left the texts in. Only cells in use exist, so the cost
-follows the text's length, not the sketch's. A document's cells then come together as an array.
+Sketches are kept sparse, as sorted arrays of their cells in use, so that their cost follows the text's
+length, not the sketch's nor its square. A row is worked on by itself: nothing is
+grouped, and memory doesn't depend on the size of partitions. (Cells as rows of hash aggregates took the
+same CPU seconds, but 772 MB in a task for 7 MB of texts, and more than the disk budget in spills.)
 
 Likeness is the number of shared digests over that of all, 1.0 for two texts without any.
 
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .native import let
+from .native import let, scanned
 
-CELLS = 48
+CELLS = 96
 #: Cells for each digest in the larger sketch.
-EACH = 4096
+EACH = 2048
+#: With more than this many of the small sketch's cells in use the larger one is tried at once: peeling
+#: what fills three quarters of them takes many rounds, if it ends at all.
+FULL = CELLS * 3 // 4
 _CELL = "struct<cell:bigint,n:int,key:bigint,chk:bigint>"
 
 #: Fixed values, as ranges of regular expressions: line ends, blanks, what ends a sentence before a
@@ -60,9 +64,17 @@ ASCII_END = r"""(?=[\t-\r\x20])(?:[\n\x0B\x0C\r]|(?<![a-zA-Z0-9,])(?<=[!.?"')\]}
 
 
 def digests(text: Column) -> Column:
-    """The hashes of the paragraphs."""
+    """The digests of the paragraphs: hashes of their hash and of how often it occurred so far."""
     cut = F.when(F.octet_length(text) == F.length(text), F.split(text, ASCII_END, -1)).otherwise(F.split(text, f"{SPACED_END}|{BARE_END}", -1))
-    return F.transform(F.filter(cut, lambda p: F.length(p) > 0), lambda p: F.xxhash64(p))
+    hashes = F.sort_array(F.transform(F.filter(cut, lambda p: F.length(p) > 0), lambda p: F.xxhash64(p)))
+
+    def number(acc: Column, h: Column) -> Column:
+        nth = F.when(h == acc["state"]["h"], acc["state"]["nth"] + 1).otherwise(F.lit(1))
+        return let(nth, lambda k: F.struct(F.struct(h.alias("h"), k.alias("nth")).alias("state"), F.concat(acc["out"], F.array(F.xxhash64(h, k))).alias("out")))
+
+    start = F.lit(None).cast("struct<h:bigint,nth:int>")
+    repeated = lambda hs: scanned(hs, start, "bigint", number)["out"]
+    return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.transform(hs, lambda h: F.xxhash64(h, F.lit(1)))).otherwise(repeated(hs)))
 
 
 def cell_places(key: Column, cells: Column) -> list[Column]:
@@ -72,7 +84,7 @@ def cell_places(key: Column, cells: Column) -> list[Column]:
 
 
 def checksum(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check"))
+    return F.xxhash64(key)
 
 
 def _entries(key: Column, n: Column, cells: Column) -> Column:
@@ -81,23 +93,43 @@ def _entries(key: Column, n: Column, cells: Column) -> Column:
 
 
 def _fold(entries: Column) -> Column:
-    """One entry for each cell: sums and exclusive ors; cells without content go."""
-    none = F.lit(None).cast(_CELL)
-    empty = lambda c: c.isNull() | ((c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0))
+    """One entry for each cell, in their order: sums and exclusive ors; cells without content go. The
+    entries are sorted by cell, and each run of one cell is summed by itself, so that no array grows."""
+    cell_of = lambda x: F.shiftright(x, 32)
+    zero = F.struct(F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("chk"))
+
+    def whole(all_: Column) -> Column:
+        entry = lambda x: F.get(all_, x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+
+        def add(acc: Column, x: Column) -> Column:
+            return let(entry(x), lambda e: F.struct(e["cell"].alias("cell"), (acc["n"] + e["n"]).alias("n"), acc["key"].bitwiseXOR(e["key"]).alias("key"), acc["chk"].bitwiseXOR(e["chk"]).alias("chk")))
+
+        def runs(order: Column) -> Column:
+            begins = F.filter(F.transform(order, lambda x, i: F.when((i == 0) | (cell_of(x) != cell_of(F.get(order, i - 1))), i)), lambda i: i.isNotNull())
+
+            def summed(starts: Column) -> Column:
+                def run(i: Column, j: Column) -> Column:
+                    size = F.coalesce(F.get(starts, j + 1), F.size(order)) - i
+                    return let(size, lambda n: F.when(n == 1, entry(F.get(order, i))).otherwise(F.aggregate(F.slice(order, i + 1, n), zero, add)))
+
+                return F.filter(F.transform(starts, run), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+
+            return let(begins, summed)
+
+        # cells and places as one number each, which sort faster than structs
+        return let(F.sort_array(F.transform(all_, lambda e, i: F.shiftleft(e["cell"], 32) + i)), runs)
+
+    return let(entries, whole)
+
 
-    def step(acc: Column, e: Column) -> Column:
-        c = acc["cur"]
-        same = c["cell"] == e["cell"]
-        merged = F.struct(c["cell"].alias("cell"), (c["n"] + e["n"]).alias("n"), c["key"].bitwiseXOR(e["key"]).alias("key"), c["chk"].bitwiseXOR(e["chk"]).alias("chk"))
-        done = F.when(empty(c), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
-        return F.when(same, F.struct(acc["out"].alias("out"), merged.alias("cur"))).otherwise(F.struct(done.alias("out"), e.alias("cur")))
+def sketch(keys: Column, cells: Column, n: Column | None = None) -> Column:
+    """The cells in use of the sketch with ``cells`` cells of an array of digests, ``n`` (1) of each."""
+    return _fold(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1) if n is None else n, cells))))
 
-    def finish(acc: Column) -> Column:
-        c = acc["cur"]
-        return F.when(empty(c), acc["out"]).otherwise(F.concat(acc["out"], F.array(c)))
 
-    start = F.struct(F.array().cast(f"array<{_CELL}>").alias("out"), none.alias("cur"))
-    return F.aggregate(F.sort_array(entries), start, step, finish)
+def subtract(a: Column, b: Column) -> Column:
+    minus = F.transform(b, lambda c: F.struct(c["cell"].alias("cell"), (-c["n"]).alias("n"), c["key"].alias("key"), c["chk"].alias("chk")))
+    return _fold(F.concat(a, minus))
 
 
 def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
@@ -107,7 +139,6 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
 
     pure = F.filter(difference, lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == checksum(c["key"])))
     signed = lambda p, n: F.transform(F.array_distinct(F.transform(F.filter(p, lambda c: c["n"] == n), lambda c: c["key"])), lambda k: F.struct(k.alias("key"), F.lit(n).alias("n")))
-    first = let(pure, lambda p: F.concat(signed(p, 1), signed(p, -1)))
 
     def step(acc: Column, _: Column) -> Column:
         again = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == checksum(c["key"])))
@@ -120,18 +151,14 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
     start = F.struct(difference.alias("cells"), F.array().cast(found).alias("keys"), F.array().cast(f"array<{_CELL}>").alias("stuck"))
     all_rounds = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: F.struct((F.size(acc["cells"]) + F.size(acc["stuck"])).alias("left"), F.size(acc["keys"]).alias("n"), acc["keys"].alias("keys")))
 
-    def or_all(keys: Column) -> Column:
-        # a cell's content counts each of its digests once and every digest has three cells, so a
-        # digest that is missing from keys leaves a difference in these sums
-        total = lambda xs, get, one: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(get(x)) if one else a + get(x))
-        whole = (
-            (total(difference, lambda c: c["key"], True) == total(keys, lambda z: z["key"], True))
-            & (total(difference, lambda c: c["chk"], True) == total(keys, lambda z: checksum(z["key"]), True))
-            & (total(difference, lambda c: c["n"], False) == 3 * total(keys, lambda z: z["n"], False))
-        )
-        return F.when(whole, F.struct(F.lit(0).alias("left"), F.size(keys).alias("n"), keys.alias("keys"))).otherwise(all_rounds)
+    def or_all(p: Column) -> Column:
+        # every digest has three cells, so the exclusive or of all cells' checksums is that of all
+        # digests', and one that is missing from keys leaves a difference
+        total = lambda xs, get: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(get(x)))
+        none_left = lambda keys: (F.size(p) == F.size(difference)) | (total(difference, lambda c: c["chk"]) == total(keys, lambda z: checksum(z["key"])))
+        return let(F.concat(signed(p, 1), signed(p, -1)), lambda keys: F.when(none_left(keys), F.struct(F.lit(0).alias("left"), F.size(keys).alias("n"), keys.alias("keys"))).otherwise(all_rounds))
 
-    return let(first, or_all)
+    return let(pure, or_all)
 
 
 def _written(cells: Column) -> Column:
@@ -170,60 +197,25 @@ def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
     )
     spread = dealt.select("doc_id", "text", "to.range", "to.copy").repartition("range").withColumn("own", digests(F.col("text")))
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    led = spread.withColumns({"number": F.row_number().over(order), "next_text": F.lead("text").over(order), "next": F.lead("own").over(order)})
+    led = spread.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order)})
     none = F.array().cast("array<bigint>")
-    return led.where(~F.col("copy")).select("range", "number", "doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "own", F.coalesce("next", none).alias("next"))
+    return led.where(~F.col("copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "own", F.coalesce("next", none).alias("next"))
 
 
-VERSIONS = ["own", "new", "next"]
-
-
-def cells_of(versions: DataFrame, head: list[str]) -> DataFrame:
-    """range, number and cells for every row of ``versions``, which has range and number, an array of
-    paragraph hashes for each of VERSIONS, and the long columns ``head`` (eight at most). An entry of
-    cells has a place (from CELLS for those of the larger sketch) and, for each version, the number of
-    digests (n), their exclusive or (k) and that of their checksums (c). The entry at -1 has ``head``
-    in these columns instead: it takes the way of the others, so that nothing is joined back."""
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(name).alias("hs")) for i, name in enumerate(VERSIONS)), F.struct(F.lit(3).alias("v"), F.array(F.lit(0).cast("long")).alias("hs"))))
-    larger = (F.greatest(F.size("own") + F.size("new"), F.size("own") + F.size("next")) + 1).cast("long") * EACH
-    found = versions.select("range", "number", larger.alias("larger"), *head, rows.alias("row")).select("range", "number", "larger", *head, "row.v", F.explode("row.hs").alias("h"))
-    is_head = F.col("v") == 3
-    count = lambda i: F.sum((F.col("v") == i).cast("long")).alias(f"n{i}")
-    counted = found.groupBy("range", "number", "larger", is_head.alias("is_head"), "h").agg(*(count(i) for i in range(3)), *(F.bit_xor(F.when(is_head, F.col(c))).alias(c) for c in head))
-    each = counted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), "n0", "n1", "n2")))).withColumn("key", F.xxhash64("h", "i")).withColumn("chk", checksum(F.col("key")))
-    small, large = cell_places(F.col("key"), F.lit(CELLS)), cell_places(F.col("key"), F.col("larger"))
-    places = F.when(F.col("is_head"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(*(c.cast("long") for c in small), *(c + CELLS for c in large)))
-    columns = [f"{kind}{i}" for kind in "nkc" for i in range(3)]
-    put = dict(zip(columns, head, strict=False))
-    has = lambda i: F.col("i") <= F.col(f"n{i}")
-    own = {"n": F.lit(1).cast("long"), "k": F.col("key"), "c": F.col("chk")}
-    value = lambda c: F.when(F.col("is_head"), F.col(put[c]) if c in put else F.lit(0).cast("long")).when(has(int(c[1])), own[c[0]]).otherwise(F.lit(0).cast("long"))
-    placed = each.select("range", "number", "larger", F.explode(places).alias("cell"), *(value(c).alias(f"{c}_") for c in columns))
-    summed = placed.groupBy("range", "number", "larger", "cell").agg(*((F.sum if c[0] == "n" else F.bit_xor)(f"{c}_").alias(c) for c in columns))
-    return summed.groupBy("range", "number", "larger").agg(F.collect_list(F.struct("cell", *columns)).alias("cells"))
-
-
-def _version(cells: Column, i: int) -> Column:
-    """The cells in use of one version."""
-    used = F.filter(cells, lambda c: (c[f"n{i}"] != 0) | (c[f"k{i}"] != 0) | (c[f"c{i}"] != 0))
-    return F.transform(used, lambda c: F.struct(c["cell"].alias("cell"), c[f"n{i}"].cast("int").alias("n"), c[f"k{i}"].alias("key"), c[f"c{i}"].alias("chk")))
-
-
-def subtracted(cells: Column, a: int, b: int, first: int) -> Column:
-    """The cells in use of the difference of two versions, with places from ``first`` on."""
-    apart = F.transform(cells, lambda c: F.struct((c["cell"] - first).alias("cell"), (c[f"n{a}"] - c[f"n{b}"]).cast("int").alias("n"), c[f"k{a}"].bitwiseXOR(c[f"k{b}"]).alias("key"), c[f"c{a}"].bitwiseXOR(c[f"c{b}"]).alias("chk")))
-    return F.filter(apart, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
-
-
-def differing(a: int, b: int) -> Column:
-    """How many digests two versions don't share, as peeling recovers them: from the columns small and
-    large, the cells of both sketches. Should the larger one leave cells too (digests that share all
-    three, below one in 10**9), three of them count as one digest."""
-
-    def again(difference: Column) -> Column:
-        return let(peel(difference, F.col("larger")), lambda p: F.when(p["left"] == 0, p["n"]).otherwise(p["n"] + F.ceil(p["left"] / 3).cast("int")))
-
-    return let(let(subtracted(F.col("small"), a, b, 0), lambda d: peel(d, F.lit(CELLS))), lambda p: F.when(p["left"] == 0, p["n"]).otherwise(let(subtracted(F.col("large"), a, b, CELLS), again)))
+def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
+    """``df`` with ``out``: how many digests of the arrays ``a`` and ``b`` differ, as peeling recovers
+    them, from their small sketches or from larger ones. Should those leave cells too (digests that share
+    all three, below one in 10**7), three of them count as one digest. (In steps, as Spark resolves
+    expressions of a limited depth.)"""
+    cells = (F.size(a) + F.size(b) + 1).cast("long") * EACH
+    signed = lambda keys, n: F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(n), cells)))
+    whole = lambda p: F.when(p["left"] == 0, p["n"])
+    at_last = lambda p: p["n"] + F.ceil(p["left"] / 3).cast("int")
+    df = df.withColumn("_small", subtract(F.col(sketch_a), F.col(sketch_b)))
+    df = df.withColumn("_first", F.when(F.size("_small") <= FULL, let(peel(F.col("_small"), F.lit(CELLS)), whole)))
+    df = df.withColumn("_large", F.when(F.col("_first").isNull(), _fold(F.concat(signed(a, 1), signed(b, -1)))))
+    df = df.withColumn(out, F.when(F.col("_first").isNull(), let(peel(F.col("_large"), cells), at_last)).otherwise(F.col("_first")))
+    return df.drop("_small", "_first", "_large")
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
@@ -235,26 +227,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """For every row of ``docs(doc_id, text)``: its fingerprint, that of its edited text (the last
     third replaced by the beginning of the next text), and the likeness of the first to the second
     and to the next document's."""
-    df = with_next_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    df = df.withColumn("n_chars", F.length("text").cast("long"))
+    df = with_next_text(docs).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    df = df.select("range", "number", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), "own", digests(F.col("edited")).alias("new"), "next")
-    quarters = {f"sha{j}": F.conv(F.substring("sha", 16 * j + 1, 16), 16, -10).cast("long") for j in range(4)}
-    df = df.select("range", "number", F.col("doc_id").isNull().cast("long").alias("unnamed"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("named"), "n_chars", *(q.alias(name) for name, q in quarters.items()), *VERSIONS)
-    got = cells_of(df, ["n_chars", "unnamed", "named", *quarters]).select("larger", F.array_sort("cells").alias("cells"))
-    got = got.select("larger", F.get("cells", F.lit(0)).alias("head"), F.filter("cells", lambda c: (c["cell"] >= 0) & (c["cell"] < CELLS)).alias("small"), F.filter("cells", lambda c: c["cell"] >= CELLS).alias("large"))
-    head = ["n0", "n1", "n2", "k0", "k1", "k2", "c0"]
-    size = [F.aggregate("small", F.lit(0).cast("long"), lambda a, c: a + c[f"n{i}"]) / 3 for i in range(3)]  # noqa: B023
-    got = got.select("*", *(s.alias(f"size{i}") for i, s in enumerate(size)), differing(0, 1).alias("by_edit"), differing(0, 2).alias("to_next"))
-    part = lambda c: F.col("head")[head[c]]
-    sha = F.lower(F.concat(*(F.lpad(F.hex(part(3 + j)), 16, "0") for j in range(4))))
-    return got.select(
-        F.when(part(1) == 0, part(2)).alias("doc_id"),
-        part(0).alias("n_chars"),
-        sha.alias("edited_sha256"),
-        _written(_version(F.col("small"), 0)).alias("fingerprint"),
-        _written(_version(F.col("small"), 1)).alias("edited_fingerprint"),
-        likeness(F.col("size0"), F.col("size1"), F.col("by_edit")).alias("near_edited"),
-        likeness(F.col("size0"), F.col("size2"), F.col("to_next")).alias("near_next"),
-    )
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("new"), "next")
+    df = df.withColumns({f"{name}_cells": sketch(F.col(name), F.lit(CELLS)) for name in ("own", "new", "next")})
+    near = lambda name, d: likeness(F.size("own"), F.size(name), F.col(d))
+    df = differing(df, "own", "new", "own_cells", "new_cells", "by_edit")
+    df = differing(df, "own", "next", "own_cells", "next_cells", "to_next")
+    return df.select("doc_id", "n_chars", "edited_sha256", _written(F.col("own_cells")).alias("fingerprint"), _written(F.col("new_cells")).alias("edited_fingerprint"), near("new", "by_edit").alias("near_edited"), near("next", "to_next").alias("near_next"))

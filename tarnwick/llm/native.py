@@ -59,3 +59,21 @@ def replaced(text: Column, spans: Column, fill) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), one), "")
 
     return F.when(F.size(spans) == 0, text).otherwise(let(spans, whole))
+
+
+def scanned(items: Column, state: Column, kind: str, step) -> Column:
+    """struct(state, out): ``items`` gone through in order by ``step(acc, item)``, which maps struct(state,
+    out) to the next one, where out is an array of ``kind`` that may have grown. In blocks, so that an
+    array that grows by one isn't copied whole each time."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def block(acc: Column, some: Column) -> Column:
+        now = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), step)
+        return let(now, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def in_blocks(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, BLOCK))
+        return F.aggregate(blocks, F.struct(state.alias("state"), nothing.alias("outs")), block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["outs"]).alias("out")))
+
+    whole = lambda all_: F.aggregate(all_, F.struct(state.alias("state"), none.alias("out")), step)
+    return let(items, lambda all_: F.when(F.size(all_) <= BLOCK, whole(all_)).otherwise(in_blocks(all_)))
