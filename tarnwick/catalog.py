@@ -119,7 +119,7 @@ def q_fts_count_total(spark, d):
 
 @query()
 def q_fts_porter(spark, d):
-    return search.search(search.build_index(table(spark, d, "documents"), stemmed=True), "leningly thated", limit=20, every=False, stemmed=True)
+    return search.search(search.stored(search.build_index(table(spark, d, "documents"), stemmed=True)), "leningly thated", limit=20, every=False, stemmed=True)
 
 
 @query(f"""WITH {_bm25_sql(['zuver', 'mentepa'], False)},
@@ -251,9 +251,9 @@ def q_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" & "), "p_type")).alias("slug"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(left(coalesce(text, ''), 200)), '[^a-z]', '', 'g') AS name FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g') AS name FROM documents")
 def q_normalize_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.letters_only(F.left("text", F.lit(200))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", text.letters_only(F.col("text")).alias("name"))
 
 
 _MADE_UP = "CASE WHEN c_custkey % 3 = 0 THEN c_name || '@Example.org' WHEN c_custkey % 3 = 1 THEN '' END"
@@ -266,11 +266,11 @@ def q_stable_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", names.stable_key(F.lower("c_mktsegment"), orcid, F.expr(_MADE_UP), F.col("c_name"), F.col("c_mktsegment")).alias("stable_key"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(left(coalesce(text, ''), 60), '[\\x00-\\x1f]', ' ', 'g') AS line FROM documents), u AS (SELECT doc_id, trim(line) AS line FROM t)
+@query("""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x00-\\x1f]', ' ', 'g') AS line FROM documents), u AS (SELECT doc_id, trim(line) AS line FROM t)
     SELECT doc_id, CASE WHEN contains(line, ',') THEN regexp_split_to_array(trim(substring(line, instr(line, ',') + 1)), ' +')[1] ELSE regexp_split_to_array(line, ' +')[1] END AS first,
     CASE WHEN contains(line, ',') THEN trim(left(line, instr(line, ',') - 1)) ELSE coalesce(array_to_string(regexp_split_to_array(line, ' +')[2:], ' '), '') END AS last FROM u""")
 def q_name_parse(spark, d):
-    line = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), r"[\x00-\x1f]", " ")
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x1f]", " ")
     return table(spark, d, "documents").select("doc_id", names.parse_name(line).alias("n")).select("doc_id", "n.first", "n.last")
 
 
@@ -516,13 +516,26 @@ def _candidates(spark, d) -> DataFrame:
     return identity.sorted_candidates(rows, "person")
 
 
-@query()
+_SAME = "CASE WHEN m.orcid IS NOT NULL AND x.orcid IS NOT NULL THEN m.orcid = x.orcid ELSE (m.mid = '' OR x.mid = '' OR m.mid = x.mid) AND m.aff AND x.aff AND coalesce(m.lang = x.lang, FALSE) END"
+#: Candidates one by one: the best one's clique, and all cliques, as lists that grow.
+_FOLD_SQL = f"""WITH RECURSIVE c AS (SELECT concat_ws('-', source, floor(n_chars / 400)::BIGINT) AS person, {{'pos': doc_id, 'id': 'A' || lpad(doc_id::VARCHAR, 6, '0'), 'score': 1.0 - (doc_id % 5) / 50.0, 'orcid': CASE WHEN doc_id % 11 = 0 THEN 'o' || (doc_id % 2) END, 'mid': ['', 'k', 'r'][1 + doc_id % 3], 'aff': doc_id % 7 <> 0, 'lang': lang, 'works': coalesce(n_chars, 0)}} AS x FROM documents),
+    n AS (SELECT person, x, row_number() OVER (PARTITION BY person ORDER BY x.score DESC, x.pos) AS k, first(x.score) OVER (PARTITION BY person ORDER BY x.score DESC, x.pos) AS top FROM c),
+    f AS (SELECT person, k, [x] AS members, 0.0::DOUBLE AS runner, 0 AS n_rest, [[x]] AS cliques FROM n WHERE k = 1 UNION ALL
+        SELECT n.person, n.k, CASE WHEN joins THEN list_append(members, x) ELSE members END, CASE WHEN joins THEN runner ELSE greatest(runner, x.score) END, n_rest + CASE WHEN joins THEN 0 ELSE 1 END,
+            CASE WHEN spot IS NULL OR spot = 0 THEN list_append(cliques, [x]) ELSE list_transform(cliques, lambda g, i: CASE WHEN i = spot THEN list_append(g, x) ELSE g END) END
+        FROM (SELECT n.*, f.members, f.runner, f.n_rest, f.cliques, round(top - x.score, 9) <= 0.05 AND len(list_filter(f.members, lambda m: NOT ({_SAME}))) = 0 AS joins, list_position(list_transform(f.cliques, lambda g: len(list_filter(g, lambda m: NOT ({_SAME}))) = 0), TRUE) AS spot FROM f JOIN n ON n.person = f.person AND n.k = f.k + 1) AS n),
+    last AS (SELECT * FROM f QUALIFY k = max(k) OVER (PARTITION BY person)),
+    chosen AS (SELECT person, arg_max(m.id, {{'w': m.works, 'e': m.id}}) AS canonical FROM (SELECT person, unnest(members) AS m FROM last) GROUP BY person)"""
+
+
+@query(f"""{_FOLD_SQL} SELECT person, array_to_string(list_transform(members, lambda m: m.id), ',') AS cluster, n_rest, len(cliques) AS n_cliques, canonical FROM last JOIN chosen USING (person)""")
 def q_greedy_clique(spark, d):
     c = _candidates(spark, d).select("person", identity.greedy_clique(F.col("candidates")).alias("g"), F.size(identity.partition_cliques(F.col("candidates"))).alias("n_cliques"))
     return c.select("person", F.array_join(F.transform("g.cluster", lambda m: m["external_id"]), ",").alias("cluster"), F.size("g.rest").alias("n_rest"), "n_cliques", identity.canonical(F.col("g.cluster"))["external_id"].alias("canonical"))
 
 
-@query()
+@query(f"""{_FOLD_SQL}, r AS (SELECT person, members[1].score AS top, round(members[1].score - runner, 9) > 0.05 AS clear, len(members) AS size, k % 2 = 0 AS corroborated, runner FROM last)
+    SELECT person, CASE WHEN clear AND (top >= 0.9 OR corroborated) THEN 'auto' ELSE 'ambiguous' END AS status, CASE WHEN top >= 0.9 AND clear AND size = 1 THEN 'identity_auto' WHEN clear AND (top >= 0.9 OR corroborated) THEN 'identity_auto_rule' ELSE 'none' END AS method, canonical AS chosen, runner::DOUBLE AS runner_up FROM r JOIN chosen USING (person)""")
 def q_resolve(spark, d):
     people = _candidates(spark, d).withColumns({"status_before": F.lit("unresolved"), "corroborated": F.size("candidates") % 2 == 0, "fallback_ok": F.lit(False)})
     return identity.resolve(people).select("person", "status", "method", F.col("chosen.external_id").alias("chosen"), "runner_up")
@@ -611,3 +624,6 @@ def q_rank_matches(spark, d):
     pool = pool.withColumn("place", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id")) - 1)
     ranked = match.rank_matches(pool.select("place", (F.col("n_chars") % 101).alias("score")), pool)
     return ranked.select(F.col("doc_id").alias("person"), F.col("rank").cast("long").alias("rank"), "score")
+
+
+from tarnwick import catalog_people  # noqa: E402, F401  (its queries register themselves)

@@ -10,35 +10,64 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)\s*```")
+_DECODER = json.JSONDecoder()
 
-#: Keys under which a reply's list may stand.
-LIST_KEYS = ("matches", "results", "ranked_matches")
+#: Keys under which a reply's list may stand, in the order in which they are tried.
+LIST_KEYS = ("matches", "results", "faculty_matches", "ranked_matches")
 
 
-def candidates(text: str):
-    """What to try to parse, in order: the text, a fenced block, the widest object, the widest array,
-    and an array cut off behind its last whole object."""
-    yield text
-    if fence := _FENCE.search(text):
-        yield fence[1]
-    for a, b in ("{}", "[]"):
-        start, end = text.find(a), text.rfind(b)
-        if 0 <= start < end:
-            yield text[start : end + 1]
-    start = text.find("[")
-    if start >= 0 and (last := text.rfind("}")) > start:
-        yield text[start : last + 1] + "]"
+def _decoded(text: str, at: int = 0) -> tuple[bool, object, int]:
+    """Whether a value begins at ``at`` (behind blanks), the value, and where it ends."""
+    while at < len(text) and text[at] in " \t\r\n":
+        at += 1
+    try:
+        value, end = _DECODER.raw_decode(text, at)
+    except (ValueError, RecursionError):
+        return False, None, at
+    return True, value, end
 
 
-def recover(text: str | None) -> str | None:
-    """The first candidate that is JSON, written anew; None if none is."""
-    for part in candidates(text or ""):
-        try:
-            return json.dumps(json.loads(part), ensure_ascii=False)
-        except ValueError:
+def _elements(text: str, at: int) -> list:
+    """The elements of an array that begins at ``at``, as far as they are whole."""
+    found = []
+    going, value, at = _decoded(text, at + 1)
+    while going:
+        found.append(value)
+        rest = text[at:].lstrip()[:1]
+        if rest != ",":
+            break
+        going, value, at = _decoded(text, text.index(",", at) + 1)
+    return found
+
+
+def _embedded(text: str) -> tuple[bool, object]:
+    """The first value in brackets within other text. Of an array that is cut off the whole elements
+    count; a lone object in an array stands for itself."""
+    for bracket in re.finditer(r"[\[{]", text):
+        at = bracket.start()
+        if text[at] == "{":
+            whole, value, _ = _decoded(text, at)
+            if whole:
+                return True, value
             continue
-    return None
+        items = _elements(text, at)
+        if len(items) == 1 and isinstance(items[0], dict):
+            return True, items[0]
+        if items or _decoded(text, at)[0]:
+            return True, items
+    return False, None
+
+
+def recover(text: str | None) -> str | None:
+    """The JSON in a reply, written anew: all of it, a fenced block of it, or a value within it; None if
+    there is none."""
+    text = text or ""
+    for part in (text, *(block.removeprefix("json") for block in text.split("```")[1::2])):
+        whole, value, end = _decoded(part)
+        if whole and not part[end:].strip():
+            return json.dumps(value, ensure_ascii=False)
+    whole, value = _embedded(text)
+    return json.dumps(value, ensure_ascii=False) if whole else None
 
 
 @F.pandas_udf(StringType())
@@ -47,6 +76,10 @@ def recovered(texts: pd.Series) -> pd.Series:
 
 
 def list_of(reply: Column, keys: tuple[str, ...] = LIST_KEYS) -> Column:
-    """The JSON array in a reply that is one, or holds one under one of ``keys``."""
-    found = [F.when(F.startswith(F.get_json_object(reply, f"$.{k}"), F.lit("[")), F.get_json_object(reply, f"$.{k}")) for k in keys]
-    return F.when(F.startswith(F.trim(reply), F.lit("[")), reply).otherwise(F.coalesce(*found))
+    """The JSON array in a reply that is one, or that is an object with one under one of ``keys``, or
+    else under any key (the first in the object's order)."""
+    is_list = lambda x: F.startswith(F.ltrim(x), F.lit("["))
+    under = F.from_json(reply, "map<string,string>")
+    named = [F.when(is_list(F.try_element_at(under, F.lit(k))), F.try_element_at(under, F.lit(k))) for k in keys]
+    any_ = F.get(F.filter(F.map_values(under), lambda v: F.coalesce(is_list(v), F.lit(False))), F.lit(0))
+    return F.when(is_list(reply), F.trim(reply)).otherwise(F.coalesce(*named, any_))

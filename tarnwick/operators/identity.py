@@ -129,6 +129,9 @@ def corroboration(orcid: Column, their_orcid: Column, email: Column, their_email
     return F.when(last_path_part(orcid) == last_path_part(their_orcid), "orcid").when(mails(email) == mails(their_email), "email")
 
 
+#: The words of merge_reason and guardrail are what logs and their counters hold.
+
+
 def merge_reason(source: Column, score: Column, primary: Column, verdict: Column, agreed: Column) -> Column:
     """Why a pending candidate is merged or skipped, by the first condition that fails."""
     return first_match([(source != "openalex", "not_eligible"), (score < 1.0, "not_eligible"), (primary.isNull(), "skipped_no_primary"), (F.coalesce(verdict == "reject", F.lit(False)), "skipped_llm_reject"), (agreed.isNull(), "skipped_no_orcid_match")], "merged")

@@ -24,6 +24,11 @@ def best_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return top_per_key(rows, keys, order, 1).drop("place")
 
 
+def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``rows``, of which there are few, with their place from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def in_given_order(rows: DataFrame, key: str, wanted: Sequence[int]) -> DataFrame:
     """Rows with the wanted keys and the place each has in the list; missing keys vanish."""
     spark = rows.sparkSession

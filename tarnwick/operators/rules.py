@@ -18,6 +18,21 @@ def first_match(rules: Sequence[tuple[Column, Column | str]], default: Column |
     return out.otherwise(F.lit(default) if default is None or isinstance(default, str) else default)
 
 
+#: Beginnings of a roster's job descriptions and the titles that they stand for, in order.
+TITLES = [
+    (r"^PROF[-\s]", "Professor"), (r"^ASSOC PROF[-\s]", "Associate Professor"), (r"^ASSOC ADJ PROF[-\s]", "Associate Adjunct Professor"),
+    (r"^ASST PROF[-\s]", "Assistant Professor"), (r"^ASST ADJ PROF[-\s]", "Assistant Adjunct Professor"), (r"^ASST RES[-\s]", "Assistant Researcher"),
+    (r"^ASSOC RES[-\s]", "Associate Researcher"), (r"^RES SCNTST[-\s]", "Research Scientist"), (r"^HS CLIN PROF[-\s]", "Health Sciences Clinical Professor"),
+    (r"^HS ASSOC CLIN PROF[-\s]", "Health Sciences Associate Clinical Professor"), (r"^HS ASST CLIN PROF[-\s]", "Health Sciences Assistant Clinical Professor"),
+    (r"^PROF OF CLIN[-\s]", "Professor of Clinical Medicine"), (r"^ASSOC PROF OF CLIN[-\s]", "Associate Professor of Clinical Medicine"),
+    (r"^ASST PROF OF CLIN[-\s]", "Assistant Professor of Clinical Medicine"), (r"^PROF EMERITUS", "Professor Emeritus"), (r"^NON-SENATE ACAD EMERITUS", "Professor Emeritus"),
+    (r"^HHMI INVESTIGATOR", "HHMI Investigator"), (r"^LECTURER", "Lecturer"), (r"^SR LECTURER", "Senior Lecturer"), (r"^ADJUNCT PROF[-\s]", "Adjunct Professor"),
+    (r"^ACT PROF[-\s]", "Acting Professor"), (r"^PROF IN RES[-\s]", "Professor in Residence"), (r"^ASSOC PROF IN RES[-\s]", "Associate Professor in Residence"),
+    (r"^ASST PROF IN RES[-\s]", "Assistant Professor in Residence"), (r"^VISITING", "Visiting Professor"), (r"^COLLEGE PROVOST", "College Provost"),
+    (r"^DEAN", "Dean"), (r"^ASSOC DEAN", "Associate Dean"), (r"^ASST DEAN", "Assistant Dean"),
+]
+
+
 def by_pattern(x: Column, patterns: Sequence[tuple[str, str]], default: str | None = None) -> Column:
     """The value of the first pattern that the trimmed upper-case text matches."""
     text = F.upper(F.trim(x))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick import workspace
 from tarnwick.functions.stem import porter, stem, unaccented
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -40,6 +41,13 @@ def build_index(docs: DataFrame, stemmed: bool = False) -> Index:
     return Index(counted, lengths)
 
 
+def stored(index: Index) -> Index:
+    """``index`` written once in the shared folder: postings in the order of their terms, so that a
+    prefix reads the row groups that may have it."""
+    postings = index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    return Index(workspace.save(postings), workspace.save(index.lengths))
+
+
 def query_terms(query: str, stemmed: bool = False) -> list[str]:
     """Distinct tokens of two characters or more; accents come off where the index is stemmed."""
     import re

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,26 +16,40 @@ MOST_CHARACTERS = 60_000
 
 
 def roster_csv(spark: SparkSession, path: str, preamble: int = 3) -> DataFrame:
-    """A Latin-1 CSV whose header follows ``preamble`` lines, all columns as strings, and pos.
+    """A Latin-1 CSV whose header follows ``preamble`` lines, all columns as strings, and pos (the place
+    in its file). Columns are those of the first file; others may order them otherwise.
 
-    The text source can't decode Latin-1 and the CSV source can't skip lines, so each file is
-    decoded whole (extracts are small files, many of which may be read), cut, and parsed.
+    The text source can't decode Latin-1 and the CSV source can't skip lines, so each file is read
+    whole (extracts are files of some MB, many of which may be read) and parsed as a stream.
     """
-    decoded = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("body"))
-    body = F.regexp_replace("body", "\r\n", "\n")
-    lines = F.split(body, "\n", preamble + 2)
-    cut = decoded.select(F.get(lines, F.lit(preamble)).alias("header"), F.get(lines, F.lit(preamble + 1)).alias("rows"))
-    header = cut.select("header").first()
-    if header is None or header[0] is None:
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = files.select("path").agg(F.min("path").alias("path")).first()["path"]
+    lines = F.split(F.decode("content", "ISO-8859-1"), "\r?\n", preamble + 2)
+    head = files.where(F.col("path") == first).select(F.get(lines, F.lit(preamble)).alias("header")).first() if first else None
+    if head is None or not head["header"]:
         return spark.createDataFrame([], "pos long")
-    import csv
-
-    names = next(csv.reader([header[0]]))
-    # a line break within quotes doesn't end a record
-    records = cut.select(F.posexplode(F.split("rows", r'\n(?=(?:[^"]*"[^"]*")*[^"]*$)')).alias("pos", "line")).where(F.trim("line") != "")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    parsed = F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"multiLine": "true"})
-    return records.select(F.col("pos").cast("long").alias("pos"), parsed.alias("r")).select("pos", *(F.col("r")[f.name].alias(f.name) for f in schema))
+    names = next(csv.reader([head["header"]]))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("pos", pa.int64()), *((n, pa.string()) for n in names)])
+        for batch in batches:
+            for content in batch.column(0):
+                stream = io.TextIOWrapper(io.BytesIO(content.as_py()), "iso-8859-1", newline="")
+                for _ in range(preamble):
+                    stream.readline()
+                rows = csv.reader(stream)
+                place = {n: i for i, n in reversed(list(enumerate(next(rows, []))))}
+                held: list[list] = []
+                for pos, row in enumerate(rows):
+                    if any(cell.strip() for cell in row):
+                        held.append([pos, *(row[place[n]] if n in place and place[n] < len(row) else None for n in names)])
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return files.select("content").mapInArrow(parse, T.StructType([T.StructField("pos", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
 
 
 def directory_json(spark: SparkSession, path: str, items: str = "faculty") -> tuple[DataFrame, DataFrame]:
@@ -44,8 +64,6 @@ def _pdf_text(data: bytes) -> str:
         from pypdf import PdfReader
     except ImportError as e:
         raise ValueError("reading PDF needs pypdf") from e
-    import io
-
     return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
@@ -55,13 +73,16 @@ def uploaded_documents(spark: SparkSession, path: str, most: int = MOST_CHARACTE
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
 
-    @F.udf("string")
-    def pdf(data):
+    def text_of(data):
         try:
             return _pdf_text(bytes(data))
         except Exception:
             return None
 
+    @F.pandas_udf("string")
+    def pdf(contents: pd.Series) -> pd.Series:
+        return contents.map(text_of, na_action="ignore")
+
     kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     text = F.left(F.trim(F.when(kind == "txt", plain).when(kind == "pdf", pdf("content"))), F.lit(most))
     out = files.select("path", kind.alias("kind"), text.alias("text"))

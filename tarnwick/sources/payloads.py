@@ -55,29 +55,39 @@ def nih_grants(raw: Column, last: Column, most: int = 25) -> Column:
     return _cast(F.transform(F.slice(r["results"], 1, most), one), GRANT)
 
 
+def _plain(markup: Column) -> Column:
+    """Text without the marks in it, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", ""), r"\s+", " "))
+
+
 def pubmed_articles(raw: Column, most: int = 20) -> Column:
-    """Publications of an article set in XML."""
-    path = "/PubmedArticleSet/PubmedArticle/MedlineCitation/Article"
-    titles, years, journals = (F.xpath(raw, F.lit(f"{path}/{p}/text()")) for p in ("ArticleTitle", "Journal/JournalIssue/PubDate/Year", "Journal/Title"))
-    return _cast(F.slice(F.transform(titles, lambda t, i: F.struct(t.alias("title"), F.get(years, i).try_cast("int").alias("year"), F.get(journals, i).alias("journal"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("int").alias("citations"), F.lit(None).cast("string").alias("abstract"))), 1, most), PUBLICATION)
+    """Publications of an article set in XML, each from its own element, so that what one lacks is not
+    taken from the next."""
+    article = "struct<ArticleTitle:string,Abstract:struct<AbstractText:array<string>>,ELocationID:array<struct<_EIdType:string,_VALUE:string>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string>>>>"
+    found = F.from_xml(raw, f"PubmedArticle array<struct<MedlineCitation:struct<Article:{article}>>>")["PubmedArticle"]
+    def one(x: Column) -> Column:
+        a = x["MedlineCitation"]["Article"]
+        doi = F.get(F.filter(F.coalesce(a["ELocationID"], F.array()), lambda e: e["_EIdType"] == "doi"), F.lit(0))["_VALUE"]
+        return F.struct(_plain(a["ArticleTitle"]).alias("title"), a["Journal"]["JournalIssue"]["PubDate"]["Year"].try_cast("int").alias("year"), _plain(a["Journal"]["Title"]).alias("journal"), doi.alias("doi"), F.lit(None).cast("int").alias("citations"), F.array_join(F.transform(a["Abstract"]["AbstractText"], _plain), " ").alias("abstract"))
+
+    return _cast(F.slice(F.transform(found, one), 1, most), PUBLICATION)
 
 
 def arxiv_entries(raw: Column, full_name: Column, most: int = 15) -> Column:
-    """Entries of an Atom feed that name the author exactly, blanks collapsed."""
-    entry = "/*[local-name()='feed']/*[local-name()='entry']"
-    n = F.size(F.xpath(raw, F.lit(f"{entry}/*[local-name()='title']/text()")))
-    titles = F.xpath(raw, F.lit(f"{entry}/*[local-name()='title']/text()"))
-    authors = F.xpath(raw, F.lit(f"{entry}/*[local-name()='author'][1]/*[local-name()='name']/text()"))
-    clean = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    rows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(clean(F.get(titles, i - 1)).alias("title"), clean(F.get(authors, i - 1)).alias("author")))
-    return F.slice(F.filter(rows, lambda r: F.lower(r["author"]) == F.lower(full_name)), 1, most)
-
-
-def dblp_author(raw: Column) -> Column:
-    """The only author of a result, without a numeric suffix; null if there are none or several."""
+    """title, year and authors of the entries of an Atom feed one of whose authors has exactly this name,
+    blanks collapsed."""
+    entries = F.from_xml(raw, "entry array<struct<title:string,published:string,author:array<struct<name:string>>>>")["entry"]
+    rows = F.transform(entries, lambda e: F.struct(_plain(e["title"]).alias("title"), F.left(F.trim(e["published"]), F.lit(4)).try_cast("int").alias("year"), F.transform(e["author"], lambda a: _plain(a["name"])).alias("authors")))
+    return F.slice(F.filter(rows, lambda r: F.exists(r["authors"], lambda a: F.lower(a) == F.lower(_plain(full_name)))), 1, most)
+
+
+def dblp_author(raw: Column, full_name: Column) -> Column:
+    """The one hit of an author search with this name, as it is listed (namesakes have a number behind
+    their names); null if there is none, or if several people have the name."""
     hits = F.from_json(raw, "result struct<hits:struct<hit:array<struct<info:struct<author:string,url:string>>>>>")["result"]["hits"]["hit"]
-    names = F.array_distinct(F.transform(hits, lambda h: F.regexp_replace(h["info"]["author"], r" \d+$", "")))
-    return F.when(F.size(names) == 1, F.get(names, F.lit(0)))
+    listed = F.transform(hits, lambda h: F.trim(h["info"]["author"]))
+    same = F.filter(listed, lambda a: F.lower(F.regexp_replace(a, r" \d+$", "")) == F.lower(F.trim(full_name)))
+    return F.when(F.size(same) == 1, F.get(same, F.lit(0)))
 
 
 def trials(raw: Column, name: Column, organisation: str, most: int = 10) -> Column:

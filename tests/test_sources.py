@@ -81,3 +81,28 @@ def test_enrichment_plan(spark):
     rows = spark.createDataFrame([(1, "openalex", works), (1, "dblp", dblp), (2, "dblp", "oops")], "person_id long, source string, payload string")
     got = enrich.merged_publications(enrich.contributions(rows, {"openalex": payloads.openalex_works, "dblp": payloads.dblp_papers})).orderBy("place").collect()
     assert [(r.title, r.source, r.place) for r in got] == [("New", "dblp", 1), ("Deep Sea", "openalex", 2)]
+
+
+def test_roster_of_many_quoted_rows(spark, tmp_path):
+    from tarnwick.sources import files
+
+    rows = "".join(f'"L{i}, F{i}","a ""b"" {i}\n2nd",É\r\n' for i in range(100_000))
+    (tmp_path / "r.csv").write_bytes(("x\r\ny\r\n\r\nEmployee Name,Note,Place\r\n" + rows + ",,\r\n").encode("latin-1"))
+    got = files.roster_csv(spark, str(tmp_path / "r.csv"))
+    assert got.columns == ["pos", "Employee Name", "Note", "Place"] and got.count() == 100_000
+    last = got.where("pos = 99999").first()
+    assert (last["Employee Name"], last["Note"], last["Place"]) == ("L99999, F99999", 'a "b" 99999\n2nd', "É")
+
+
+def test_feed_entries_of_any_author(spark):
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>One\n  two</title><published>2020-01-02</published><author><name>Bo Wu</name></author><author><name>Ann  Lee</name></author></entry><entry><title>Other</title><author><name>Ann Leeds</name></author></entry></feed>'
+    df = spark.createDataFrame([(feed,), (None,), ("<feed/>",)], "raw string")
+    got = [r[0] for r in df.select(payloads.arxiv_entries(F.col("raw"), F.lit("ann lee"))).collect()]
+    assert [(e.title, e.year, e.authors) for e in got[0]] == [("One two", 2020, ["Bo Wu", "Ann Lee"])] and not got[1] and not got[2]
+
+
+def test_articles_keep_their_own_years(spark):
+    one = "<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue><PubDate>{}</PubDate></JournalIssue><Title>{}</Title></Journal><ArticleTitle>{}</ArticleTitle>{}</Article></MedlineCitation></PubmedArticle>"
+    raw = "<PubmedArticleSet>" + one.format("<Month>May</Month>", "J", "A <i>b</i> c", "") + one.format("<Year>2001</Year>", "K", "D", '<ELocationID EIdType="doi">10.1/x</ELocationID>') + "</PubmedArticleSet>"
+    got = spark.createDataFrame([(raw,)], "raw string").select(payloads.pubmed_articles(F.col("raw"))).first()[0]
+    assert [(p.title, p.year, p.journal, p.doi) for p in got] == [("A b c", None, "J", None), ("D", 2001, "K", "10.1/x")]
