@@ -77,19 +77,22 @@ def digests(text: Column) -> Column:
     return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.transform(hs, lambda h: F.xxhash64(h, F.lit(1)))).otherwise(repeated(hs)))
 
 
-def cell_places(key: Column, cells: Column) -> list[Column]:
-    """The three cells of a digest in a sketch of so many."""
-    third = F.floor(cells / 3)
-    return [F.lit(j) * third + F.pmod(F.xxhash64(key, F.lit(j), cells), third) for j in range(3)]
+def cell_places(key: Column, third: Column) -> list[Column]:
+    """The three cells of a digest in a sketch of three times ``third`` cells."""
+    return [F.lit(j).cast("bigint") * third + F.pmod(F.xxhash64(key, F.lit(j)), third) for j in range(3)]
+
+
+def _small_third() -> Column:
+    return F.lit(CELLS // 3).cast("bigint")
 
 
 def checksum(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def _entries(key: Column, n: Column, cells: Column) -> Column:
+def _entries(key: Column, n: Column, third: Column) -> Column:
     """What a digest adds to its three cells."""
-    return F.array(*(F.struct(c.alias("cell"), n.cast("int").alias("n"), key.alias("key"), checksum(key).alias("chk")) for c in cell_places(key, cells)))
+    return F.array(*(F.struct(c.alias("cell"), n.cast("int").alias("n"), key.alias("key"), checksum(key).alias("chk")) for c in cell_places(key, third)))
 
 
 def _fold(entries: Column) -> Column:
@@ -122,9 +125,9 @@ def _fold(entries: Column) -> Column:
     return let(entries, whole)
 
 
-def sketch(keys: Column, cells: Column, n: Column | None = None) -> Column:
-    """The cells in use of the sketch with ``cells`` cells of an array of digests, ``n`` (1) of each."""
-    return _fold(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1) if n is None else n, cells))))
+def sketch(keys: Column, third: Column) -> Column:
+    """The cells in use of the sketch with three times ``third`` cells of an array of digests."""
+    return _fold(F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(1), third))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -132,7 +135,7 @@ def subtract(a: Column, b: Column) -> Column:
     return _fold(F.concat(a, minus))
 
 
-def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
+def peel(difference: Column, third: Column, rounds: int = 40) -> Column:
     """struct(left: how many cells remain, n: how many digests came out, keys: they, with n = 1 if
     the first version has them and -1 if the second has)."""
     found = "array<struct<key:bigint,n:int>>"
@@ -144,7 +147,7 @@ def peel(difference: Column, cells: Column, rounds: int = 40) -> Column:
         again = F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == checksum(c["key"])))
         taken = let(again, lambda p: F.concat(signed(p, 1), signed(p, -1)))
         stuck = F.struct(F.array().cast(f"array<{_CELL}>").alias("cells"), acc["keys"].alias("keys"), acc["cells"].alias("stuck"))
-        out = lambda p: _fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], cells)))))
+        out = lambda p: _fold(F.concat(acc["cells"], F.flatten(F.transform(p, lambda z: _entries(z["key"], -z["n"], third)))))
         go = let(taken, lambda p: F.when(F.size(p) == 0, stuck).otherwise(F.struct(out(p).alias("cells"), F.concat(acc["keys"], p).alias("keys"), acc["stuck"].alias("stuck"))))
         return F.when(F.size(acc["cells"]) == 0, acc).otherwise(go)
 
@@ -196,10 +199,11 @@ def with_next_text(docs: DataFrame, bytes_each: int = 4 << 20) -> DataFrame:
         "to", F.explode(F.concat(F.array(F.struct("range", F.lit(False).alias("copy"))), F.transform(F.coalesce("also", F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(True).alias("copy")))))
     )
     spread = dealt.select("doc_id", "text", "to.range", "to.copy").repartition("range").withColumn("own", digests(F.col("text")))
+    spread = spread.withColumn("own_cells", sketch(F.col("own"), _small_third()))
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    led = spread.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order)})
+    led = spread.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order), "next_cells": F.lead("own_cells").over(order)})
     none = F.array().cast("array<bigint>")
-    return led.where(~F.col("copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "own", F.coalesce("next", none).alias("next"))
+    return led.where(~F.col("copy")).select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"), "own", F.coalesce("next", none).alias("next"), "own_cells", F.coalesce("next_cells", F.array().cast(f"array<{_CELL}>")).alias("next_cells"))
 
 
 def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out: str) -> DataFrame:
@@ -207,15 +211,15 @@ def differing(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, out:
     them, from their small sketches or from larger ones. Should those leave cells too (digests that share
     all three, below one in 10**7), three of them count as one digest. (In steps, as Spark resolves
     expressions of a limited depth.)"""
-    cells = (F.size(a) + F.size(b) + 1).cast("long") * EACH
-    signed = lambda keys, n: F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(n), cells)))
+    third = F.col("_third")
+    signed = lambda keys, n: F.flatten(F.transform(keys, lambda k: _entries(k, F.lit(n), third)))
     whole = lambda p: F.when(p["left"] == 0, p["n"])
     at_last = lambda p: p["n"] + F.ceil(p["left"] / 3).cast("int")
-    df = df.withColumn("_small", subtract(F.col(sketch_a), F.col(sketch_b)))
-    df = df.withColumn("_first", F.when(F.size("_small") <= FULL, let(peel(F.col("_small"), F.lit(CELLS)), whole)))
+    df = df.withColumn("_small", subtract(F.col(sketch_a), F.col(sketch_b))).withColumn("_third", (F.size(a) + F.size(b) + 1).cast("long") * (EACH // 3))
+    df = df.withColumn("_first", F.when(F.size("_small") <= FULL, let(peel(F.col("_small"), _small_third()), whole)))
     df = df.withColumn("_large", F.when(F.col("_first").isNull(), _fold(F.concat(signed(a, 1), signed(b, -1)))))
-    df = df.withColumn(out, F.when(F.col("_first").isNull(), let(peel(F.col("_large"), cells), at_last)).otherwise(F.col("_first")))
-    return df.drop("_small", "_first", "_large")
+    df = df.withColumn(out, F.when(F.col("_first").isNull(), let(peel(F.col("_large"), third), at_last)).otherwise(F.col("_first")))
+    return df.drop("_small", "_third", "_first", "_large")
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
@@ -230,8 +234,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     df = with_next_text(docs).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
-    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("new"), "next")
-    df = df.withColumns({f"{name}_cells": sketch(F.col(name), F.lit(CELLS)) for name in ("own", "new", "next")})
+    df = df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("new"), "next", "own_cells", "next_cells")
+    df = df.withColumn("new_cells", sketch(F.col("new"), _small_third()))
     near = lambda name, d: likeness(F.size("own"), F.size(name), F.col(d))
     df = differing(df, "own", "new", "own_cells", "new_cells", "by_edit")
     df = differing(df, "own", "next", "own_cells", "next_cells", "to_next")
