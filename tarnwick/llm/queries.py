@@ -63,8 +63,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def llm_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds' counts of op5, which SQL can express."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def llm_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op7, which SQL can express."""
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def llm_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op10, which SQL can express."""
+    return quality.rule_statistics(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "llm_secret_counts": llm_secret_counts,
+        "llm_edited_texts": llm_edited_texts,
+        "llm_rule_counts": llm_rule_counts,
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_near_duplicates": op3_near_duplicates,
@@ -78,5 +96,19 @@ def queries() -> dict[str, Query]:
     }
 
 
+SECRETS_SQL = r"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+    len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+EDITED_SQL = """WITH t AS (SELECT doc_id, coalesce(text, '') AS a, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS b FROM documents)
+    SELECT doc_id, length(a) AS n_chars, sha256(left(a, length(a) - length(a) // 3) || left(b, length(a) // 3)) AS edited_sha256 FROM t"""
+
+RULES_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, w FROM t WHERE len(w) > 2), g3 AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM g),
+    many AS (SELECT doc_id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1), marked AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM many, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+    lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t), dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+    c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words FROM t LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id))
+    SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "llm_secret_counts": SECRETS_SQL, "llm_edited_texts": EDITED_SQL, "llm_rule_counts": RULES_SQL}

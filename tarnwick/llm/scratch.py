@@ -1,25 +1,14 @@
-"""Tables in the folder that driver and executors share.
-
-The folder is the one that ``spark.checkpoint.dir`` names. Only where that is unset (tests on one
-machine) a temporary folder is made and set. Written tables cut the lineage: an executor that is
-lost costs a re-read, never a recomputation of the whole chain.
-"""
+"""What the operators share of Spark: shipping the package, tables in the shared folder, sizes."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick import session
+from tarnwick.workspace import clear, drop, save, shared_folder  # noqa: F401
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def ship(spark: SparkSession) -> None:
     """What every query with Python does first: the package goes to the executors, and Arrow batches
@@ -29,49 +18,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "4m")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            folder = known.get()
-        else:
-            folder = "file://" + tempfile.mkdtemp(prefix="tarnwick-")
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tarnwick-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`save` returned and that no later plan reads."""
-    _delete(df.sparkSession, df._scratch_path)
-
-
-def clear() -> None:
-    """Delete every table of this process. Results that still read them can't be used afterwards."""
-    while _written:
-        _delete(*_written.pop())
-
-
-atexit.register(clear)
-
-
 def size_bytes(df: DataFrame, column: str | None = None) -> int:
     """Bytes of ``df`` by the optimiser's statistics (file sizes: no job runs); where those are
     unknown and ``column`` is named, by a sum of that column's lengths."""

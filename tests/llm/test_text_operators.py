@@ -636,3 +636,55 @@ def test_verdict_by_brute_force(spark):
         if not below < anomaly[k] < best[1]:
             assert got[i].kept == (anomaly[k] < best[1]), i
     assert best[0] > 0.5 and x.shape == (120, 6)
+
+
+def test_rows_without_doc_id(spark, docs):
+    """Every operator returns them, with what its docstring says."""
+    import public_tokenizers as P
+
+    none = lambda df: [r for r in df.collect() if r.doc_id is None]
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    data = BASE.encode()
+    (a,) = none(suffix_dedup.dedup(docs))
+    assert (a.n_bytes, a.n_removed, a.kept_sha256) == (len(data), 0, hashlib.sha256(data).hexdigest())
+    (b,) = none(near_dup.near_duplicates(docs, 3, 85))
+    assert b.component_id is None and b.kept and b.n_shingles == 118
+    assert [r.piece for r in none(packing.pack(docs, P.path("byte_bpe_50k.json")))] == [0]
+    assert len(none(secrets.secret_spans(docs))) == len(none(lm_score.lm_scores(docs))) == len(none(license_scan.license_scan(docs))) == 1
+    (c,) = none(fingerprint.fingerprints(docs))
+    assert c.n_chars == len(BASE)
+    (d,) = none(pieces.piece_digests(docs, P.path("piece_bpe_32k.model")))
+    assert d.n_tokens > 100
+    (e,) = none(quality.quality_rules(docs, marks))
+    assert e.n_words == 120
+    (f,) = none(langid.language_id(docs))
+    assert not f.held_out
+
+
+def test_texts_above_a_megabyte(spark):
+    """Against brute force, with a second copy of a part far behind."""
+    long = words(260_000, 77)
+    other = words(50, 78) + " " + long[900_000:900_400] + " " + words(50, 79)
+    rows = spark.createDataFrame([(1, long), (2, other), (3, long + " end")], "doc_id long, text string")
+    assert len(long) > 1 << 20
+    gone = by_id(suffix_dedup.dedup(rows))
+    assert gone[1].n_removed == 0 and gone[2].n_removed >= 400 and gone[2].n_spans == 1 and gone[3].n_removed >= len(long)
+    linked = by_id(near_dup.near_duplicates(rows, 3, 85))
+    w = long.split()
+    assert {i: linked[i].component_id for i in linked} == {1: 1, 2: 2, 3: 1} and linked[1].n_shingles == len({tuple(w[k : k + 3]) for k in range(len(w) - 2)})
+    counted = {r.doc_id: r for r in quality.rule_statistics(rows).collect()}
+    assert counted[1].n_words == 260_000 and counted[1].n_distinct == len(set(w))
+    scored = by_id(lm_score.lm_scores(rows))
+    assert scored[1].n_words == 260_000 and scored[1].log_score < 0
+    assert by_id(secrets.secret_spans(rows))[1].spans == ""
+    assert by_id(langid.language_id(rows.withColumn("lang", F.lit("x"))))[1].lang_pred == "x"
+
+
+def test_ties_take_the_first(spark):
+    """Equal texts of two languages, and components of equal size."""
+    rows = [(i, "ab cd ef gh", "b" if i % 2 else "a") for i in range(40)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r.lang_pred for r in got}) == 1 and all(r.ambiguous for r in got)
+    pairs = [(i, words(60, 900 + i // 2)) for i in range(12)]
+    near = by_id(near_dup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 3, 85))
+    assert [near[i].component_id for i in range(12)] == [i - i % 2 for i in range(12)]
