@@ -9,8 +9,8 @@
    texts.
 3. Components of the links come from large-star and small-star. A bucket whose members then lie in
    different components may hide a link that the star missed; only there members come together with
-   their texts, and all those of different components are verified on the full sets, by an index of
-   a bounded number of members at a time.
+   their texts, in groups of a bounded size, and those of different components are verified on the full
+   sets, by an index of a bounded number of members at a time.
 4. Components of all links give each document's least reachable doc_id.
 
 Two texts at the threshold share no bucket with a chance below 1e-6; nothing else is approximate.
@@ -39,6 +39,8 @@ from .exchange import as_batch
 PERMUTATIONS = 120
 #: Members that are verified against one centre in one group.
 GROUP = 256
+#: Shingles of the members that one group verifies, about, and of one side of a split bucket.
+WEIGHT, SIDE = 1 << 18, 1 << 16
 #: Bytes of text whose sets are indexed at once.
 BLOCK = 4 << 20
 
@@ -116,12 +118,13 @@ def compressed(docs: DataFrame) -> DataFrame:
 def _sized(edges: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The candidates ``edges(u, v)`` whose sets' sizes allow the similarity."""
     size = lambda key: reps.select(F.col("rep").alias(key), F.col("n_shingles").alias(f"n{key}"))
-    return edges.join(size("u"), "u").join(size("v"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v")
+    return edges.join(size("u"), "u").join(size("v"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v", "nu")
 
 
 def verify(edges: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``edges(u, v)`` whose full sets are similar enough; v is the centre of its group."""
-    sizes = edges.groupBy("v").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    """Those of ``edges(u, v, nu)`` whose full sets are similar enough; v is the centre of its group, nu
+    the number of u's shingles."""
+    sizes = edges.groupBy("v").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("nu") / WEIGHT)).cast("int").alias("salts"))
     members = edges.join(sizes, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     centres = sizes.select(F.col("v").alias("u"), "v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = members.union(centres).hint("shuffle_hash").join(compressed(docs), F.col("u") == F.col("doc_id")).select("v", "salt", "u", "z")
@@ -191,13 +194,32 @@ class SetIndex:
         return out
 
 
+def _cells(placed: DataFrame) -> DataFrame:
+    """The members of buckets in which several components meet, dealt to groups of a bounded size: those
+    outside the centre's component, the strays, must meet each other and all others. A heavy bucket is
+    split to blocks of strays and blocks of the others, and every pair of blocks with strays is a group."""
+    stray = F.col("component") != F.col("main")
+    weight = lambda which: F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0))
+    blocks = lambda which: F.greatest(F.lit(1), F.ceil(weight(which) / SIDE)).cast("int")
+    mixed = placed.groupBy("band", "key").agg(blocks(stray).alias("strays"), blocks(~stray).alias("rest"), F.count_if(stray).alias("n")).where("n > 0").drop("n")
+    rows = placed.join(mixed, ["band", "key"]).withColumn("stray", stray)
+    part = F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))).cast("int")
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    whole = F.array(cell(0, F.lit(0), F.lit(0)))
+    of_rest = F.transform(upto("strays"), lambda i: cell(2, i, F.col("part")))
+    of_stray = F.concat(F.transform(upto("strays"), lambda j: cell(1, F.least("part", j), F.greatest("part", j))), F.transform(upto("rest"), lambda k: cell(2, F.col("part"), k)))
+    cells = F.when((F.col("strays") == 1) & (F.col("rest") == 1), whole).when(F.col("stray"), of_stray).otherwise(of_rest)
+    return rows.withColumn("part", part).select("band", "key", "rep", "component", "stray", "part", F.explode(cells).alias("cell")).select("band", "key", "rep", "component", "stray", "part", "cell.*")
+
+
 def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between members of one bucket that lie in different components. Members come with their
-    texts once, so no pair is ever a row; a pair is tested in the first bucket that it shares, on its
-    full sets, until its components are found to be one."""
-    placed = buckets.join(component, buckets.rep == component.node, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    rows = placed.join(mixed, ["band", "key"])
+    texts, so no pair is ever a row; a pair is tested in the first bucket that it shares, on its full
+    sets, until its components are found to be one."""
+    of = lambda key, out: component.select(F.col("node").alias(key), F.col("component").alias(out))
+    placed = buckets.join(of("rep", "own"), "rep", "left").join(of("centre", "its"), "centre", "left").select("band", "key", "rep", "n_shingles", F.coalesce("own", "rep").alias("component"), F.coalesce("its", "centre").alias("main"))
+    rows = scratch.save(_cells(placed))
     texts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").hint("shuffle_hash").join(compressed(docs), F.col("rep") == F.col("doc_id")).select("rep", "n_shingles", "bands", "z")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -208,13 +230,19 @@ def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: Dat
         rep, comp, size = (group.column(k).to_numpy() for k in ("rep", "component", "n_shingles"))
         earlier = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)[:, :band]
         label = np.unique(comp, return_inverse=True)[1]
-        main = label == np.bincount(label).argmax()
+        main = ~group.column("stray").to_numpy()
+        kind, side = group.column("kind")[0].as_py(), group.column("part").to_numpy()
+        halves = kind == 1 and group.column("x")[0].as_py() != group.column("y")[0].as_py()
         z = group.column("z")
         blocks = _blocks(np.array([zstandard.frame_content_size(x.as_py()) for x in z], np.int64), BLOCK)
         sets_of = lambda part: _sets_of([unpack(z[int(i)].as_py()) for i in part], width)
 
         def others(i: int, part: np.ndarray) -> np.ndarray:
-            # of two members of small components, the later one looks at the earlier one
+            # of two strays, the later one looks at the earlier one; each in one group only
+            if kind == 2:
+                part = part[main[part]]
+            elif halves:
+                part = part[side[part] != side[i]]
             part = part[(main[part] | (part < i)) & (label[part] != label[i]) & (100 * np.minimum(size[part], size[i]) >= percent * np.maximum(size[part], size[i]))]
             return part[~(earlier[part] == earlier[i]).any(axis=1)]
 
@@ -238,7 +266,7 @@ def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: Dat
                             links.append((int(rep[i]), int(rep[j])))
         return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return rows.join(texts, "rep").select("band", "key", "rep", "component", "n_shingles", "bands", "z").groupBy("band", "key").applyInArrow(run, "u long, v long").distinct()
+    return rows.join(texts, "rep").groupBy("band", "key", "kind", "x", "y").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -249,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = scratch.save(linked.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bands").dropDuplicates(["rep"]))
-    all_buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    all_buckets = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     centres = all_buckets.groupBy("band", "key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save(all_buckets.join(centres, ["band", "key"]))
     scratch.release(spark)

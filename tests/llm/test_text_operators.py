@@ -103,8 +103,11 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicate_chain_and_big_group(spark):
-    """A chain of which only neighbours are linked, and a group of many near copies."""
+@pytest.mark.parametrize("side", [1 << 16, 900])
+def test_near_duplicate_chain_and_big_group(spark, monkeypatch, side):
+    """A chain of which only neighbours are linked, and a group of many near copies; whole buckets and
+    split ones."""
+    monkeypatch.setattr(near_dup, "SIDE", side)
     base = words(400, 9).split()
     chain = []
     for i in range(8):
