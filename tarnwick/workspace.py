@@ -55,6 +55,20 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, df._scratch_path)
 
 
+def mark() -> int:
+    """Where the list of written tables ends now, for :func:`drop_since`."""
+    return len(_written)
+
+
+def drop_since(begin: int, *kept: DataFrame) -> None:
+    """Delete the tables written since ``begin = mark()``, but those that are still read."""
+    stay = {df._scratch_path for df in kept}
+    for spark, path in _written[begin:]:
+        if path not in stay:
+            _delete(spark, path)
+    _written[begin:] = [w for w in _written[begin:] if w[1] in stay]
+
+
 def clear() -> None:
     """Delete every table of this process. Results that still read them can't be used afterwards."""
     while _written:
