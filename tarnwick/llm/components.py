@@ -38,4 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = scratch.save(_small_star(_large_star(now)).distinct())
         scratch.drop(now)
         now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._scratch_path = now._scratch_path
+    return out

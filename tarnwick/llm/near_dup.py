@@ -272,6 +272,7 @@ def _across(buckets: DataFrame, component: DataFrame, reps: DataFrame, docs: Dat
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
+    begin = scratch.mark()
     rows = band_rows(percent)
     signed = scratch.save(sign(docs, width, rows))
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = scratch.save(_across(buckets, component, reps, docs, width, percent))
     if not more.isEmpty():
         component = connected_components(more.union(component.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    scratch.drop_since(begin, signed, classes, component)
     scratch.release(spark)
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("found"))
     out = signed.join(named, ["d1", "d2"], "left")

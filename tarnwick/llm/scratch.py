@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick import session
-from tarnwick.workspace import clear, drop, save, shared_folder  # noqa: F401
+from tarnwick.workspace import clear, drop, drop_since, mark, save, shared_folder  # noqa: F401
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
