@@ -19,8 +19,9 @@ def tiered_match(people: DataFrame, roster: DataFrame) -> DataFrame:
     4 compatible names, only for people whom the first three leave. Within a tier the first roster
     row by pos counts. Of rows with equal keys the last is kept, at the place of the first.
 
-    Tiers 1 to 3 are equi-joins. Tier 4 needs a common beginning of the first name, so it joins on
-    its first letter and checks the rest, which splits what would else be a nested loop.
+    Tiers 1 to 3 are equi-joins. So is tier 4: of compatible first names one begins with the other's
+    first three letters (or with all of a shorter one), so either side's beginning meets all beginnings
+    of the other, and the rest of the condition is checked on what meets.
     """
 
     def side(df: DataFrame, tag: str) -> DataFrame:
@@ -39,8 +40,13 @@ def tiered_match(people: DataFrame, roster: DataFrame) -> DataFrame:
     three = found(ours.join(index("tkey"), F.col("okey") == F.col("tkey")).where((F.col("of") != "") & (F.col("ol") != "")), 3)
     exact = one.union(two).union(three)
     left = ours.join(exact.select("person_id").distinct(), "person_id", "left_anti")
-    initial = F.left("of", F.lit(1)) == F.left("tf", F.lit(1))
-    four = found(left.join(index("tkey"), initial & named), 4)
+    begin = lambda c: F.left(c, F.lit(3))
+    beginnings = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.left(c, k))))
+    rows = index("tkey")
+    theirs_in_ours = left.withColumn("begin", beginnings(F.col("of"))).join(rows.withColumn("begin", begin(F.col("tf"))), "begin")
+    ours_in_theirs = left.withColumn("begin", begin(F.col("of"))).join(rows.withColumn("begin", beginnings(F.col("tf"))), "begin")
+    # a pair that meets in both counts once, as only the first place is taken
+    four = found(theirs_in_ours.where(named), 4).union(found(ours_in_theirs.where(named), 4))
     order = Window.partitionBy("person_id").orderBy("tier", "at", "roster_id")
     return exact.union(four).withColumn("place", F.row_number().over(order)).where("place = 1").select("person_id", "roster_id", "tier")
 
