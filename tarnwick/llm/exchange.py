@@ -73,7 +73,7 @@ def as_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 def routes_for(size: int, each: int) -> int:
     """Routes such that about ``each`` input bytes fall to one."""
-    return int(min(max(1, -(-size // each)), 1 << 20))
+    return int(min(max(1, -(-size // each)), (1 << 31) - 1))
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
