@@ -35,8 +35,9 @@ def summary_line(place: Column, name: Column, title: Column, interests: Column,
 def rank_matches(scored: DataFrame, pool: DataFrame, most: int = RETURNED, least: int = LEAST) -> DataFrame:
     """``scored(place, score)`` joined to the pool (unknown places vanish), at least ``least``, with
     ranks from 1; ties by place."""
-    kept = scored.where(F.col("score") >= least).join(pool, "place")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "place"))).where(F.col("rank") <= most)
+    order = [F.col("score").desc(), F.col("place")]
+    best = scored.where(F.col("score") >= least).join(pool, "place").orderBy(*order).limit(most)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def match(people: DataFrame, index: Index, terms: Sequence[str], has_profile: Column, order: Sequence[Column], scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
