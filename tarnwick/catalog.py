@@ -361,7 +361,15 @@ def q_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text"), 300).alias("short"))
 
 
-@query()
+#: Tags taken out step by step; entities last, the ampersand's behind the others.
+_HTML_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<head(\s[^>]*)?>.*?</head>', '', 'g') AS h FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script(\s[^>]*)?>.*?</script>', '', 'g'), '(?is)<style(\s[^>]*)?>.*?</style>', '', 'g'), '(?is)<noscript(\s[^>]*)?>.*?</noscript>', '', 'g'), '(?is)<template(\s[^>]*)?>.*?</template>', '', 'g') AS h FROM a),
+    c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|div|li|br|tr|h[1-6]|article|section|ul|ol|table|nav|header|footer)(\s[^>]*)?/?>', chr(10), 'g'), '</?[a-zA-Z!][^>]*>', '', 'g') AS h FROM b),
+    d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS h FROM c)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(h, chr(160), ' '), chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM d"""
+
+
+@query(_HTML_SQL)
 def q_html_text(spark, d):
     from tarnwick.sources.html import html_text
 
