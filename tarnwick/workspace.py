@@ -39,11 +39,12 @@ def _delete(spark: SparkSession, path: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it reread."""
+def save(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by the columns ``by`` (its last ones),
+    and return it reread."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tarnwick-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
