@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, license_scan, lm_score, near_dup, packing, pieces, quality, scratch, secrets, suffix_dedup
+from . import curriculum, divergence, fingerprint, langid, lexical, license_scan, lm_score, near_dup, packing, pieces, quality, scratch, secrets, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = scratch.mark()
+    found = lexical.search(lexical.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+    scratch.drop_since(scope, found)
+    return found
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mixed_by_position(_table(spark, sf_dir, "documents"))
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of op13, which SQL can express."""
+    return op13_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def llm_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base kinds' counts of op5, which SQL can express."""
     return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -83,6 +103,7 @@ def queries() -> dict[str, Query]:
         "llm_secret_counts": llm_secret_counts,
         "llm_edited_texts": llm_edited_texts,
         "llm_rule_counts": llm_rule_counts,
+        "llm_mix_targets": llm_mix_targets,
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_near_duplicates": op3_near_duplicates,
@@ -93,6 +114,9 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_source_mix": op13_source_mix,
     }
 
 
@@ -111,4 +135,4 @@ RULES_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extrac
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "llm_secret_counts": SECRETS_SQL, "llm_edited_texts": EDITED_SQL, "llm_rule_counts": RULES_SQL}
+    return {"op2_license_scan": license_scan.oracle(), "op11_lexical_search": lexical.oracle(), "op12_source_divergence": divergence.oracle(), "llm_mix_targets": curriculum.oracle(), "llm_secret_counts": SECRETS_SQL, "llm_edited_texts": EDITED_SQL, "llm_rule_counts": RULES_SQL}
