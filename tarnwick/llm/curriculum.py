@@ -14,8 +14,9 @@ the knots of its schedule. The integral of the weight, scaled to the source's to
 demand at u; inverting it at a copy's first word gives the copy's position, where the demand reaches it.
 Sorted by range of position, the copies are the training order, in which each source comes at its rate.
 
-Running totals go in two steps: within slices of some 50,000 rows by the digest, and over the slices'
-totals, so that no source, however hot, is one group.
+Running totals go in two steps: within slices by the digest, and over the slices' totals. Of n rows there
+are sqrt(n) slices, so at any size neither step sorts more than some sqrt(n) rows of a source together,
+however hot it is.
 
 Defined cases: null or empty text has size 0 and is never taken; without any word all targets are 0;
 null source is a source of its own; rows that share a doc_id are documents of their own (the digest
@@ -25,6 +26,8 @@ if need be); a very long text is one number; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,6 @@ WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
 #: Relative weights at equally spaced times from the begin to the end of training, in turn by source:
 #: steady, late and early ones.
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.6, 1.0, 0.4))
-SLICE_ROWS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -59,12 +61,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, co
     all_, before = lambda c: F.sum(c).over(everything), lambda c: F.coalesce(F.sum(c).over(by_limit), F.lit(0))
     left = (all_("source_size") * share - before(limit)).cast("double")
     level = left / (all_("weight") - before("weight"))
-    # the level where the first source stays below its limit is everyone's; earlier ones are at theirs
+    # the level where the first source stays within its limit is everyone's; earlier ones are at theirs, and
+    # behind it the same quotient only falls
     out = numbered.withColumn("level", F.when(F.col("weight") * level <= limit, level))
-    out = out.withColumn("level", F.min("level").over(everything))
+    out = out.withColumn("level", F.max("level").over(everything))
     return out.select("source", "source_size", "number", "weight", F.least(limit.cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
+def slice_count(rows: int) -> int:
+    return math.isqrt(rows) + 1
+
+
 def inverse(done: Column, knots: Column) -> Column:
     """The time at which a share ``done`` of all demand is reached under weights in straight lines between
     ``knots``, equally spaced in time."""
@@ -87,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, copies:
     of every row of ``docs(doc_id, text, source)``."""
     digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     sized = scratch.save(docs.select("doc_id", "source", words(F.col("text")).alias("size"), digest.alias("digest")))
-    slices = F.lit(max(1, -(-sized.count() // SLICE_ROWS)))
+    slices = F.lit(slice_count(sized.count()))
     # what has no word moves no total, and goes anywhere
     place = F.when(F.col("size") > 0, F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32)))
     key = F.concat(F.lit("="), F.col("source"))
@@ -107,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, copies:
     def copy(k: Column) -> Column:
         begin = k * F.col("source_size") + F.col("at")
         got = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), wanted - begin))
-        return F.struct(inverse(begin / wanted, in_turn(schedules, F.col("number"))).alias("position"), got.alias("words"))
+        return F.struct(inverse(F.try_divide(begin, wanted), in_turn(schedules, F.col("number"))).alias("position"), got.alias("words"))
 
     made = F.filter(F.transform(F.array(*[F.lit(k).cast("long") for k in range(copies)]), copy), lambda c: c["words"] > 0)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
@@ -125,7 +132,8 @@ def mixed_by_position(docs: DataFrame) -> DataFrame:
     doc_id, size, source_size, target, taken, position, next_position."""
     scope = scratch.mark()
     position = lambda k: F.get(F.col("copies.position"), F.lit(k))
-    rows = mix(docs).withColumns({"position": position(0), "next_position": position(1)})
+    # written first, as a sort by ranges goes through its input twice
+    rows = scratch.save(mix(docs).select("doc_id", "size", "source_size", "target", "taken", position(0).alias("position"), position(1).alias("next_position"), "digest"))
     out = scratch.save(rows.orderBy(F.col("position").asc_nulls_last(), "digest").select("doc_id", "size", "source_size", "target", "taken", "position", "next_position"))
     scratch.drop_since(scope, out)
     return out
@@ -137,6 +145,6 @@ def oracle() -> str:
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM s),
     w AS (SELECT *, [3, 1, 2][(number - 1) % 3 + 1] AS weight FROM n), o AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
       coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, coalesce(sum(weight) OVER (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before FROM w),
-    l AS (SELECT *, (total * 1.5 - full_before)::DOUBLE / (weights - weight_before)::DOUBLE AS own FROM o), t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * min(CASE WHEN weight * own <= 2 * source_size THEN own END) OVER ()) AS target FROM l),
+    l AS (SELECT *, (total * 1.5 - full_before)::DOUBLE / (weights - weight_before)::DOUBLE AS own FROM o), t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * max(CASE WHEN weight * own <= 2 * source_size THEN own END) OVER ()) AS target FROM l),
     r AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
     SELECT doc_id, size::BIGINT AS size, source_size, target, (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)))::BIGINT AS taken FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source"""
