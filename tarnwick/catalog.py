@@ -6,14 +6,17 @@ operators: it is the yardstick, not the implementation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwick import workspace
 from tarnwick.functions import jsonx, names, text
+from tarnwick.functions.stem import stem, stem_sql
 from tarnwick.operators import identity, linkage, merge, ranking, report, rules, search, snapshot
-from tarnwick.plans import match
+from tarnwick.plans import enrich, match
 from tarnwick.plans import reconcile as reconciling
 from tarnwick.session import ship
 
@@ -78,9 +81,15 @@ def q_queue_select(spark, d):
     return rows.orderBy((F.col("o_orderpriority") == "1-URGENT").desc(), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_mktsegment <> 'MACHINERY'")
+@query("""SELECT person_id, row_number() OVER (ORDER BY pi_eligible DESC NULLS LAST, department, person_id) AS place FROM (SELECT c_custkey AS person_id, CASE WHEN c_acctbal > 5000 THEN 1 WHEN c_acctbal > 0 THEN 0 END AS pi_eligible, c_mktsegment AS department,
+    (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS last_enriched, CASE c_nationkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'ambiguous' END AS identity_status FROM customer) WHERE last_enriched IS NULL AND identity_status IN ('auto', 'confirmed')""")
 def q_backfill_select(spark, d):
-    return table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    last = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_enriched"))
+    rows = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
+    status = F.when(F.col("c_nationkey") % 4 == 0, "auto").when(F.col("c_nationkey") % 4 == 1, "confirmed").when(F.col("c_nationkey") % 4 == 2, "ambiguous")
+    people = rows.select(F.col("c_custkey").alias("person_id"), F.when(F.col("c_acctbal") > 5000, 1).when(F.col("c_acctbal") > 0, 0).alias("pi_eligible"), F.col("c_mktsegment").alias("department"), "last_enriched", status.alias("identity_status"))
+    # the place that the order gives, as a comparison of rows can't tell their order
+    return enrich.backfill(people).withColumn("place", F.monotonically_increasing_id()).select("person_id", F.row_number().over(Window.orderBy("place")).cast("long").alias("place"))
 
 
 # Full-text search
@@ -88,47 +97,98 @@ def q_backfill_select(spark, d):
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{N}]+)', 1)"
 
 
-def _bm25_sql(terms: list[str], every: bool) -> str:
+def _bm25_sql(query_: str, every: bool, of: str = "documents") -> str:
+    """Scores of a query's words as prefixes of stems, in a table of doc_id and text."""
+    terms = search.query_terms(query_)
     hits = " OR ".join(f"starts_with(term, '{t}')" for t in terms)
     tfs = ", ".join(f"count(*) FILTER (WHERE starts_with(term, '{t}')) AS tf{i}" for i, t in enumerate(terms))
     ns = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS n{i}" for i in range(len(terms)))
     part = lambda i: f"(CASE WHEN n - n{i} <= n{i} THEN 1e-6 ELSE greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))"
     keep = (" AND " if every else " OR ").join(f"tf{i} > 0" for i in range(len(terms)))
-    return f"""words AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
-        lengths AS (SELECT doc_id, len(w) AS length FROM words),
+    return f"""texts AS (SELECT doc_id, {_TOKENS} AS w FROM {of}),
+        lengths AS (SELECT doc_id, len(w) AS length FROM texts),
         stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
-        tf AS (SELECT doc_id, {tfs} FROM (SELECT doc_id, unnest(w) AS term FROM words) WHERE {hits} GROUP BY doc_id),
+        spelt AS (SELECT doc_id, unnest(w) AS raw FROM texts), words AS (SELECT DISTINCT raw FROM spelt), stems AS ({stem_sql('raw')}),
+        tf AS (SELECT doc_id, {tfs} FROM spelt JOIN stems USING (raw) WHERE {hits} GROUP BY doc_id),
         found AS (SELECT {ns} FROM tf),
         scored AS (SELECT doc_id, -({" + ".join(part(i) for i in range(len(terms)))}) AS score FROM tf JOIN lengths USING (doc_id), stats, found WHERE {keep})"""
 
 
-@query(f"WITH {_bm25_sql(['ther', 'onan'], True)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 20")
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> search.Index:
+    """The one index of ``documents``, written by the first search that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.stored(search.build_index(table(spark, d, "documents")))
+    return _INDEXES[key]
+
+
+@query(f"WITH {_bm25_sql('Ther onan x', True)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 20")
 def q_fts_and_bm25(spark, d):
-    return search.search(search.build_index(table(spark, d, "documents")), "Ther onan x", limit=20).select("doc_id", F.round("score", 6).alias("score"))
+    return search.search(index_of(spark, d), "Ther onan x", limit=20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25_sql(['ciónde', 'einver', 'ther'], False)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 60")
+@query(f"WITH {_bm25_sql('ciónde, einver; ther', False)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 60")
 def q_fts_or_bm25(spark, d):
-    return search.search(search.build_index(table(spark, d, "documents")), "ciónde, einver; ther", limit=60, every=False).select("doc_id", F.round("score", 6).alias("score"))
+    return search.search(index_of(spark, d), "ciónde, einver; ther", limit=60, every=False).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25_sql(['ther', 'onan'], True)} SELECT count(*) AS total FROM scored")
+@query(f"WITH {_bm25_sql('ther onan', True)} SELECT count(*) AS total FROM scored")
 def q_fts_count_total(spark, d):
-    return search.bm25(search.build_index(table(spark, d, "documents")), ["ther", "onan"]).agg(F.count("*").alias("total"))
+    return search.bm25(index_of(spark, d), ["ther", "onan"]).agg(F.count("*").alias("total"))
 
 
-@query()
+@query(f"WITH {_bm25_sql('leningly thated', False)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 20")
 def q_fts_porter(spark, d):
-    return search.search(search.stored(search.build_index(table(spark, d, "documents"), stemmed=True)), "leningly thated", limit=20, every=False, stemmed=True)
+    return search.search(index_of(spark, d), "leningly thated", limit=20, every=False).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_WORDS_SQL = f"""texts AS (SELECT {_TOKENS} AS w FROM documents), words AS (SELECT DISTINCT raw || tail AS raw FROM (SELECT DISTINCT unnest(w) AS raw FROM texts), (VALUES (''), ('s'), ('ing'), ('ational'), ('iveness'), ('ed'), ('y'), ('ies'), ('ll'), ('tional'), ('ement'), ('ion'), ('e')) AS v(tail))"""
+
+
+@query(f"WITH {_WORDS_SQL} {stem_sql('raw')}")
+def q_stems(spark, d):
+    """The stems of all words of the documents, as they are and with endings."""
+    tails = ["", "s", "ing", "ational", "iveness", "ed", "y", "ies", "ll", "tional", "ement", "ion", "e"]
+    words = table(spark, d, "documents").select(F.explode(search.tokens(F.col("text"))).alias("w")).distinct().select(F.explode(F.array(*(F.concat("w", F.lit(t)) for t in tails))).alias("raw")).distinct()
+    return words.select("raw", stem(F.col("raw")).alias("term"))
+
+
+#: A third of the documents change, a tenth go, and others come.
+_CHANGED_SQL = """now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN reverse(text) || ' therapy onan' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 4 = 2)"""
 
 
-@query(f"""WITH {_bm25_sql(['zuver', 'mentepa'], False)},
+def _grown(spark, d) -> search.Index:
+    """An index that got its documents in several steps, some of them twice."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = search.SegmentedIndex(spark, f"{workspace.shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    index.apply(docs.where("doc_id % 4 <> 2"), merge=False)
+    index.apply(docs.where("doc_id % 4 = 2"), merge=False)
+    changed = docs.where("doc_id % 3 = 1").select("doc_id", F.concat(F.reverse("text"), F.lit(" therapy onan")).alias("text"))
+    index.apply(changed.unionByName(docs.where("doc_id % 4 = 2").select((-1 - F.col("doc_id")).alias("doc_id"), "text")), merge=False)
+    index.apply(changed.where("doc_id % 6 = 1 AND doc_id % 10 <> 7"), docs.where("doc_id % 10 = 7").select("doc_id"))
+    return index.index()
+
+
+@query(f"WITH {_CHANGED_SQL}, {_bm25_sql('therapy onan', False, 'now')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 500")
+def q_fts_segments(spark, d):
+    return search.search(_grown(spark, d), "therapy onan", limit=500, every=False).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_CHANGED_SQL} SELECT count(*) AS n, sum(len({_TOKENS}))::BIGINT AS total FROM now""")
+def q_fts_segment_totals(spark, d):
+    return _grown(spark, d).stats
+
+
+@query(f"""WITH {_bm25_sql('zuver mentepa', False)},
     best AS (SELECT doc_id, 0 AS tier, row_number() OVER (ORDER BY scored.score, doc_id) AS place FROM scored JOIN documents USING (doc_id) WHERE n_chars > 200 ORDER BY place LIMIT 30),
     rest AS (SELECT doc_id, 1 AS tier, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM best) ORDER BY place LIMIT 60)
     SELECT doc_id, tier, place FROM (SELECT * FROM best UNION ALL SELECT * FROM rest) ORDER BY tier, place LIMIT 60""")
 def q_candidates_padded(spark, d):
-    docs = table(spark, d, "documents")
-    scored = search.bm25(search.build_index(docs), ["zuver", "mentepa"], every=False).join(docs.where("n_chars > 200").select("doc_id"), "doc_id").orderBy("score", "doc_id").limit(30)
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    scored = search.bm25(index_of(spark, d), search.query_terms("zuver mentepa"), every=False).join(docs.where("n_chars > 200").select("doc_id"), "doc_id").orderBy("score", "doc_id").limit(30)
     return ranking.fill_up(scored, docs, "doc_id", F.col("score"), [F.col("n_chars").desc_nulls_last()], 60).select("doc_id", F.col("tier").cast("int").alias("tier"), F.col("place").cast("long").alias("place"))
 
 
@@ -381,20 +441,31 @@ def q_json_variant(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{\"id\": ' || event_id || '}]' WHEN 1 THEN '{\"id\": ' || event_id || '}' WHEN 2 THEN '{\"id\": ' || event_id || '}' END AS matches FROM events")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' OR turn % 4 < 2 THEN length(text) END AS n_chars, CASE WHEN role = 'user' OR turn % 4 < 2 THEN md5(text) END AS digest FROM conversations""")
 def q_json_recovery(spark, d):
-    whole = F.concat(F.lit('[{"id": '), F.col("event_id").cast("string"), F.lit("}]"))
-    broken = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.regexp_replace(whole, r"\]$", ""), F.lit(', {"id": 5, "na'))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("see "), whole, F.lit(" ok"))).otherwise("no JSON")
-    return table(spark, d, "events").select("event_id", jsonx.recovered(broken).alias("matches"))
+    """Replies around each turn's text: in a fence, cut off in a second entry, within prose, or no JSON at
+    all. Brackets and quotes in the text are not the reply's."""
+    entry = F.to_json(F.struct(F.concat("text", F.lit('')).alias("t"), F.lit('a "]}" b').alias("odd")))
+    whole = F.concat(F.lit("["), entry, F.lit("]"))
+    user, turn = F.col("role") == "user", F.col("turn") % 4
+    reply = F.when(user & (turn < 2), F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```\nand {so} on"))).when(user, F.concat(F.lit("["), entry, F.lit(", {\"t\": \"cut"))).when(turn < 2, F.concat(F.lit("see {x} "), whole, F.lit(" ok"))).otherwise("no JSON [here, or {there")
+    found = jsonx.recovered(reply)
+    one = F.when(F.startswith(found, F.lit("[")), F.get(F.from_json(found, "array<struct<t:string>>"), F.lit(0))).otherwise(F.from_json(found, "struct<t:string>"))["t"]
+    return table(spark, d, "conversations").select("conv_id", "turn", one.alias("t")).select("conv_id", "turn", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 # Linkage
 
-_LINK_SQL = """
-    p AS (SELECT c_custkey AS person_id, 'First' || (c_custkey % 40) AS f, c_mktsegment AS l, CASE WHEN c_custkey % 5 < 2 THEN 'u' || c_custkey || '@x.org' ELSE '' END AS mail FROM customer),
-    r AS (SELECT s_suppkey AS roster_id, s_suppkey AS pos, 'First' || (s_suppkey % 40) AS f, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' WHEN s_suppkey % 3 = 1 THEN 'MACHINERY' ELSE 'AUTOMOBILES' END AS l, CASE WHEN s_suppkey % 2 = 0 THEN 'u' || s_suppkey || '@x.org' ELSE 'u' || s_suppkey || '@y.org' END AS mail FROM supplier)"""
+#: First names of which some begin others and some only look alike, last names of which some lie within others.
+_FIRST = ["Daniel", "Danny", "Dan", "Maria", "Mario", "J.", "Jo-Ann", "Joan", "José", "Li"]
+_LAST = ["Lee", "Leeds", "McLeeds", "Soto", "Sotomayor", "Kim", "Kimball", "Ng", "Nguyen", "O'Hara", "Hara", "Li"]
+_LINK_SQL = f"""
+    p AS (SELECT c_custkey AS person_id, {_FIRST}[1 + c_custkey % 10] AS f, {_LAST!r}[1 + c_nationkey % 12] || CASE WHEN c_custkey % 3 = 0 THEN '-' || c_mktsegment ELSE '' END AS l, CASE WHEN c_custkey % 5 < 2 THEN 'u' || c_custkey || '@x.org' ELSE '' END AS mail FROM customer),
+    r AS (SELECT s_suppkey AS roster_id, s_suppkey AS pos, {_FIRST}[1 + s_suppkey // 3 % 10] AS f, {_LAST!r}[1 + s_nationkey % 12] || CASE WHEN s_suppkey % 4 = 0 THEN ' BUILDING' ELSE '' END AS l, CASE WHEN s_suppkey % 2 = 0 THEN 'u' || s_suppkey || '@x.org' ELSE 'u' || s_suppkey || '@y.org' END AS mail FROM supplier)""".replace('"O\'Hara"', "'O''Hara'")
 _NORM = lambda a: f"regexp_replace(lower({a}), '[^a-z]', '', 'g')"
-_COMPATIBLE = f"""({_NORM('p.l')} = {_NORM('t.l')} OR contains({_NORM('p.l')}, {_NORM('t.l')}) OR contains({_NORM('t.l')}, {_NORM('p.l')})) AND (starts_with({_NORM('p.f')}, left({_NORM('t.f')}, 3)) OR starts_with({_NORM('t.f')}, left({_NORM('p.f')}, 3)))"""
+_LAST_FITS = f"(contains({_NORM('p.l')}, {_NORM('t.l')}) OR contains({_NORM('t.l')}, {_NORM('p.l')}))"
+_COMPATIBLE = f"""{_LAST_FITS} AND (starts_with({_NORM('p.f')}, left({_NORM('t.f')}, 3)) OR starts_with({_NORM('t.f')}, left({_NORM('p.f')}, 3)))"""
+_WHOLE = f"""{_LAST_FITS} AND (starts_with({_NORM('p.f')}, {_NORM('t.f')}) OR starts_with({_NORM('t.f')}, {_NORM('p.f')}))"""
 
 
 def _indexed(key: str) -> str:
@@ -406,17 +477,18 @@ _LINKED_SQL = f"""WITH {_LINK_SQL},
         SELECT person_id, roster_id, 1 AS tier, first_pos FROM p JOIN {_indexed('lower(mail)')} t ON lower(p.mail) = lower(t.mail) WHERE p.mail <> '' AND {_COMPATIBLE}
         UNION ALL SELECT person_id, roster_id, 2, first_pos FROM p JOIN {_indexed("split_part(lower(mail), '@', 1)")} t ON split_part(lower(p.mail), '@', 1) = split_part(lower(t.mail), '@', 1) WHERE p.mail <> '' AND {_COMPATIBLE}
         UNION ALL SELECT person_id, roster_id, 3, first_pos FROM p JOIN {_indexed(_NORM('l') + " || '|' || " + _NORM('f'))} t ON {_NORM('p.l')} = {_NORM('t.l')} AND {_NORM('p.f')} = {_NORM('t.f')}),
-    loose AS (SELECT person_id, roster_id, 4 AS tier, first_pos FROM p JOIN {_indexed(_NORM('l') + " || '|' || " + _NORM('f'))} t ON {_COMPATIBLE} WHERE person_id NOT IN (SELECT person_id FROM exact)),
+    loose AS (SELECT person_id, roster_id, 4 AS tier, first_pos FROM p JOIN {_indexed(_NORM('l') + " || '|' || " + _NORM('f'))} t ON {_WHOLE} WHERE person_id NOT IN (SELECT person_id FROM exact)),
     linked AS (SELECT person_id, roster_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY tier, first_pos, roster_id) AS place FROM (SELECT * FROM exact UNION ALL SELECT * FROM loose)) WHERE place = 1)"""
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    first = lambda k: F.concat(F.lit("First"), (F.col(k) % 40).cast("string"))
+    pick = lambda names_, k: F.element_at(F.array(*map(F.lit, names_)), (k % len(names_) + 1).cast("int"))
     mail = lambda k, host: F.concat(F.lit("u"), F.col(k).cast("string"), F.lit(host))
-    people = c.select(F.col("c_custkey").alias("person_id"), first("c_custkey").alias("first"), F.col("c_mktsegment").alias("last"), F.when(F.col("c_custkey") % 5 < 2, mail("c_custkey", "@x.org")).otherwise("").alias("email"))
-    last = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "MACHINERY").otherwise("AUTOMOBILES")
-    roster = s.select(F.col("s_suppkey").alias("roster_id"), F.col("s_suppkey").alias("pos"), first("s_suppkey").alias("first"), last.alias("last"), F.when(F.col("s_suppkey") % 2 == 0, mail("s_suppkey", "@x.org")).otherwise(mail("s_suppkey", "@y.org")).alias("email"))
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    last = F.concat(pick(_LAST, F.col("c_nationkey")), F.when(k % 3 == 0, F.concat(F.lit("-"), "c_mktsegment")).otherwise(""))
+    people = table(spark, d, "customer").select(k.alias("person_id"), pick(_FIRST, k).alias("first"), last.alias("last"), F.when(k % 5 < 2, mail("c_custkey", "@x.org")).otherwise("").alias("email"))
+    last = F.concat(pick(_LAST, F.col("s_nationkey")), F.when(s % 4 == 0, " BUILDING").otherwise(""))
+    roster = table(spark, d, "supplier").select(s.alias("roster_id"), s.alias("pos"), pick(_FIRST, F.floor(s / 3)).alias("first"), last.alias("last"), F.when(s % 2 == 0, mail("s_suppkey", "@x.org")).otherwise(mail("s_suppkey", "@y.org")).alias("email"))
     return people, roster
 
 
@@ -562,13 +634,19 @@ def q_guardrail_reason(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'abstain' WHEN event_id % 4 = 1 AND user_id % 2 = 0 THEN 'accept' WHEN event_id % 4 = 1 THEN 'abstain' WHEN event_id % 4 = 2 THEN 'reject_all' ELSE 'abstain' END AS decision,
-    CASE WHEN event_id % 4 = 1 AND user_id % 2 = 0 THEN 'A' || user_id END AS external_id, CASE WHEN (event_id % 4 = 1 AND user_id % 2 = 0) OR event_id % 4 = 2 THEN 0.5 ELSE 0 END::DOUBLE AS confidence FROM events""")
+_VERDICTS_SQL = """SELECT *, event_type = 'purchase' AND event_id % 50 <> user_id % 50 AND c BETWEEN 0 AND 1 AS accepts, event_type IN ('click', 'view') AND c BETWEEN 0 AND 1 AS settles, 'A' || user_id AS who FROM (SELECT event_id, user_id, event_type, floor(value) / 250 AS c FROM events)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN accepts THEN 'accept' WHEN settles AND event_type = 'click' THEN 'reject_all' ELSE 'abstain' END AS decision, CASE WHEN accepts THEN who END AS external_id, CASE WHEN accepts OR settles THEN c ELSE 0 END::DOUBLE AS confidence, CASE WHEN accepts OR settles THEN repeat('why ', event_id % 700)[:2000] ELSE '' END AS reasoning FROM ({_VERDICTS_SQL})""")
 def q_verdicts(spark, d):
-    user = F.concat(F.lit("A"), F.col("user_id").cast("string"))
-    reply = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).when(F.col("event_id") % 4 == 1, F.format_string('{"decision": "accept", "candidate_external_id": "%s", "confidence": 0.5}', user)).when(F.col("event_id") % 4 == 2, F.lit('{"decision": "reject_all", "confidence": 0.5}')).otherwise(F.lit('{"decision": "reject_all", "confidence": 7}'))
-    listed = F.when(F.col("user_id") % 2 == 0, F.array(user, F.lit("B"))).otherwise(F.array(F.lit("B")))
-    return table(spark, d, "events").select("event_id", identity.verdict(reply, listed).alias("v")).select("event_id", "v.decision", "v.external_id", "v.confidence")
+    """Replies from the events: confidences beyond 1, candidates that aren't listed, words that are none of
+    the decisions, and JSON that ends too early."""
+    kind, user = F.col("event_type"), F.concat(F.lit("A"), F.col("user_id").cast("string"))
+    word = F.when(kind == "purchase", "accept").when(kind == "click", "reject_all").when(kind == "view", "abstain").otherwise(kind)
+    whole = F.to_json(F.struct(word.alias("decision"), user.alias("candidate_external_id"), (F.floor("value") / 250).alias("confidence"), F.repeat(F.lit("why "), (F.col("event_id") % 700).cast("int")).alias("reasoning")))
+    reply = F.when(kind == "signup", F.left(whole, F.length(whole) - 3)).otherwise(whole)
+    listed = F.when(F.col("event_id") % 50 != F.col("user_id") % 50, F.array(F.lit("B"), user)).otherwise(F.array(F.lit("B")))
+    return table(spark, d, "events").select("event_id", identity.verdict(reply, listed).alias("v")).select("event_id", "v.decision", "v.external_id", "v.confidence", "v.reasoning")
 
 
 @query("""SELECT o_orderkey, CASE WHEN s <> 'pending' THEN s WHEN d = 'merge' AND o_totalprice > 100000 THEN 'merged' WHEN d IN ('merge', 'accept') THEN 'accepted' WHEN d = 'reject' THEN 'rejected' ELSE s END AS status FROM (
@@ -634,4 +712,4 @@ def q_rank_matches(spark, d):
     return ranked.select(F.col("doc_id").alias("person"), F.col("rank").cast("long").alias("rank"), "score")
 
 
-from tarnwick import catalog_people  # noqa: E402, F401  (its queries register themselves)
+from tarnwick import catalog_pages, catalog_people, catalog_streams  # noqa: E402, F401  (their queries register themselves)

@@ -5,17 +5,17 @@ People are made from customers by the same rules in both languages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.catalog import _bm25_sql, query, table
+from tarnwick.catalog import _FOLD_SQL, _bm25_sql, _candidates, index_of, query, table
 from tarnwick.functions import jsonx, prompts
 from tarnwick.operators import directory, identity, records, review, rules, search
 from tarnwick.plans import reconcile
 from tarnwick.sources import payloads
 
 _PEOPLE_SQL = """people AS (SELECT c_custkey AS id, CASE c_custkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'F' || (c_custkey % 13) END AS first_name, 'L' || (c_custkey % 29) AS last_name, lower(c_mktsegment) AS department,
-    CASE c_custkey % 7 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Duplicate' WHEN 2 THEN NULL ELSE 'Active' END AS roster_status, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS pi_eligible,
+    CASE c_custkey % 7 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Duplicate' WHEN 2 THEN NULL ELSE 'Active' END AS eah_status, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS pi_eligible,
     CASE c_custkey % 5 WHEN 0 THEN 'Professor Emeritus' WHEN 1 THEN NULL ELSE 'Professor' END AS title, CASE c_custkey % 4 WHEN 0 THEN 'not_found' WHEN 1 THEN 'unresolved' ELSE 'ambiguous' END AS identity_status,
     CASE WHEN c_custkey % 2 = 0 THEN 'A' || c_custkey END AS openalex_id, CASE WHEN c_custkey % 6 = 0 THEN 'o' || c_custkey END AS orcid, 'u' || c_custkey || '@x.edu' AS email, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 100) AS BIGINT) END AS h_index FROM customer)"""
 
@@ -25,7 +25,7 @@ def _people(spark, d) -> DataFrame:
     text = lambda head, x: F.concat(F.lit(head), x.cast("string"))
     return table(spark, d, "customer").select(
         k.alias("id"), F.when(k % 17 == 1, "").when(k % 17 != 0, text("F", k % 13)).alias("first_name"), text("L", k % 29).alias("last_name"), F.lower("c_mktsegment").alias("department"),
-        F.when(k % 7 == 0, "Inactive").when(k % 7 == 1, "Duplicate").when(k % 7 != 2, "Active").alias("roster_status"), F.when(k % 3 == 0, 1).when(k % 3 == 1, 0).alias("pi_eligible"),
+        F.when(k % 7 == 0, "Inactive").when(k % 7 == 1, "Duplicate").when(k % 7 != 2, "Active").alias("eah_status"), F.when(k % 3 == 0, 1).when(k % 3 == 1, 0).alias("pi_eligible"),
         F.when(k % 5 == 0, "Professor Emeritus").when(k % 5 != 1, "Professor").alias("title"), F.when(k % 4 == 0, "not_found").when(k % 4 == 1, "unresolved").otherwise("ambiguous").alias("identity_status"),
         F.when(k % 2 == 0, text("A", k)).alias("openalex_id"), F.when(k % 6 == 0, text("o", k)).alias("orcid"), F.concat(text("u", k), F.lit("@x.edu")).alias("email"), F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100).cast("long")).alias("h_index"),
     )
@@ -46,32 +46,52 @@ _DOCS_SQL = "documents WHERE source IN ('src1', 'src2', 'src3') AND doc_id % 5 <
 
 def _authors(spark, d) -> tuple[DataFrame, search.Index]:
     docs = table(spark, d, "documents")
-    people = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, "F").alias("first_name"), F.lit("L").alias("last_name"), F.col("source").alias("department"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("stable_key"), F.lit(None).cast("string").alias("title"), F.lit("Active").alias("roster_status"), (F.col("n_chars") > 200).alias("has_profile"), F.col("n_chars").alias("h_index"))
-    return people, search.build_index(docs)
+    people = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, "F").alias("first_name"), F.lit("L").alias("last_name"), F.col("source").alias("department"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("stable_key"), F.lit(None).cast("string").alias("title"), F.lit("Active").alias("eah_status"), (F.col("n_chars") > 200).alias("has_profile"), F.col("n_chars").alias("h_index"))
+    return people, index_of(spark, d)
 
 
-@query(f"WITH {_bm25_sql(['ther', 'onan'], True)} SELECT doc_id AS id, round(score, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM {_DOCS_SQL}) ORDER BY scored.score, doc_id LIMIT 20 OFFSET 2")
+@query(f"WITH {_bm25_sql('Ther ONAN x', True)} SELECT doc_id AS id, round(score, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM {_DOCS_SQL}) ORDER BY scored.score, doc_id LIMIT 20 OFFSET 2")
 def q_directory_search(spark, d):
     people, index = _authors(spark, d)
     return directory.search(people, index, "Ther ONAN x", ["src1", "src2", "src3"], ["src3"], offset=2)[0].select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_bm25_sql(['ther', 'onan'], True)} SELECT count(*) AS total FROM scored WHERE doc_id IN (SELECT doc_id FROM {_DOCS_SQL})")
+@query(f"WITH {_bm25_sql('Ther ONAN x', True)} SELECT count(*) AS total FROM scored WHERE doc_id IN (SELECT doc_id FROM {_DOCS_SQL})")
 def q_directory_total(spark, d):
     people, index = _authors(spark, d)
     return directory.search(people, index, "Ther ONAN x", ["src1", "src2", "src3"], ["src3"])[1]
 
 
-@query(f"WITH {_bm25_sql(['ther'], True)} SELECT doc_id AS id, 'k' || doc_id AS stable_key, source AS department FROM scored JOIN documents USING (doc_id) WHERE source = 'src3' ORDER BY score, doc_id LIMIT 50")
+@query(f"WITH {_bm25_sql('ther', True)} SELECT doc_id AS id, 'k' || doc_id AS stable_key, source AS department FROM scored JOIN documents USING (doc_id) WHERE source = 'src3' ORDER BY score, doc_id LIMIT 50")
 def q_curate_search(spark, d):
     people, index = _authors(spark, d)
     return directory.curate(people, index, "ther", "src3")[0].select("id", "stable_key", "department")
 
 
-@query("SELECT doc_id AS id, 0 AS tier, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE n_chars > 200 AND source = 'src3' AND doc_id < 60")
-def q_match_pool_small(spark, d):
+def _pool_sql(limit: int) -> str:
+    return f"""WITH {_bm25_sql('ther', False)}, able AS (SELECT doc_id AS id, n_chars FROM documents WHERE n_chars > 200 AND doc_id % 9 <> 4), few AS (SELECT count(*) <= {limit} AS few FROM able),
+    best AS (SELECT id, 0 AS tier, row_number() OVER (ORDER BY score, id) AS place FROM able JOIN scored ON doc_id = id ORDER BY place LIMIT {limit}),
+    rest AS (SELECT id, 1 AS tier, row_number() OVER (ORDER BY n_chars DESC, id % 7, id % 5 <> 0, id) AS place FROM able WHERE id NOT IN (SELECT id FROM best) ORDER BY place LIMIT {limit}),
+    filled AS (SELECT * FROM (FROM best UNION ALL FROM rest) ORDER BY tier, place LIMIT {limit})
+    SELECT id, 0 AS tier, row_number() OVER (ORDER BY id % 7, id % 5 <> 0, id) AS place FROM able WHERE (SELECT few FROM few) UNION ALL SELECT * FROM filled WHERE NOT (SELECT few FROM few)"""
+
+
+def _pool(spark, d, limit: int) -> DataFrame:
     people, index = _authors(spark, d)
-    return directory.match_pool(people.where("department = 'src3' AND id < 60"), index, ["ther"]).select("id", "tier", F.col("place").cast("long").alias("place"))
+    named = people.withColumns({"last_name": F.concat(F.lit("L"), (F.col("id") % 7).cast("string")), "eah_status": F.when(F.col("id") % 9 == 4, "Inactive").when(F.col("id") % 2 == 0, "Active")})
+    return directory.match_pool(named, index, ["ther"], limit).select("id", "tier", F.col("place").cast("long").alias("place"))
+
+
+@query(_pool_sql(60))
+def q_match_pool_best(spark, d):
+    """Of more people than the limit the best, filled up by h-index and name."""
+    return _pool(spark, d, 60)
+
+
+@query(_pool_sql(1_000_000))
+def q_match_pool_small(spark, d):
+    """All people, as they are fewer than the limit, by name."""
+    return _pool(spark, d, 1_000_000)
 
 
 @query(f"WITH {_PEOPLE_SQL} SELECT id, coalesce(first_name, '') || ' ' || last_name AS name, coalesce(title, '') AS title, CASE WHEN h_index IS NULL THEN department WHEN h_index % 2 = 0 THEN '' ELSE 'seas ' || department END AS research, 'k' || id || ' m ' || department AS keywords FROM people WHERE coalesce(first_name, '') <> ''")
@@ -82,9 +102,9 @@ def q_search_document(spark, d):
     return people.select("id", directory.search_document(F.col("first_name"), F.col("last_name"), F.col("title"), research, arrays).alias("s")).select("id", "s.*")
 
 
-@query(f"WITH {_PEOPLE_SQL} SELECT department, count(*) AS n FROM people WHERE (roster_status IS NULL OR roster_status NOT IN ('Inactive', 'Duplicate')) AND department NOT IN ('machinery', 'furniture') AND pi_eligible = 1 GROUP BY department")
+@query(f"WITH {_PEOPLE_SQL} SELECT department, count(*) AS n FROM people WHERE (eah_status IS NULL OR eah_status NOT IN ('Inactive', 'Duplicate')) AND department NOT IN ('machinery', 'furniture') AND pi_eligible = 1 GROUP BY department")
 def q_public_eligible(spark, d):
-    rows = directory.public(_people(spark, d), ["machinery", "furniture"]).where(directory.is_active(F.col("roster_status")) & (F.col("pi_eligible") == 1))
+    rows = directory.public(_people(spark, d), ["machinery", "furniture"]).where(directory.is_active(F.col("eah_status")) & (F.col("pi_eligible") == 1))
     return rows.groupBy("department").agg(F.count("*").alias("n"))
 
 
@@ -94,10 +114,12 @@ def q_only_fields(spark, d):
     return people.select("id", directory.only_fields(people, ["first_name", "nothing", "title", "h_index"]).alias("record"))
 
 
-@query("SELECT doc_id, [text[1:1], text[2:2], text[3:3]] AS first_three FROM documents WHERE length(text) >= 4")
+@query("""SELECT doc_id, string_split(text, ' ')[1:3] AS funded_grants, string_split(text, ' ')[1:8] AS expertise_keywords, array_to_string(string_split(text, ' ')[1:3], '|') AS recent FROM documents""")
 def q_shown_slices(spark, d):
-    letters = F.filter(F.split(F.left("text", F.lit(6)), ""), lambda x: x != "")
-    return table(spark, d, "documents").where(F.length("text") >= 4).select("doc_id", directory.shown_slices({"funded_grants": letters})["funded_grants"].alias("first_three"))
+    parts = F.split("text", " ")
+    shown = directory.shown_slices({"funded_grants": parts, "expertise_keywords": parts, "recent_publications": parts, "degrees": parts})
+    assert set(shown) == {"funded_grants", "expertise_keywords", "recent_publications"}
+    return table(spark, d, "documents").select("doc_id", shown["funded_grants"].alias("funded_grants"), shown["expertise_keywords"].alias("expertise_keywords"), F.array_join(shown["recent_publications"], "|").alias("recent"))
 
 
 # Records
@@ -172,51 +194,54 @@ def q_candidates_annotated(spark, d):
     return review.annotated(rows, verdicts, F.lit("now"), "m").select("id", "llm_verdict", "llm_model")
 
 
-#: One decision a person: about the pending candidate with the least id.
-_DECIDED_SQL = f"""{_PEOPLE_SQL}, {_CANDIDATES_SQL}, first AS (SELECT person_id, min(id) AS id FROM candidates WHERE status = 'pending' GROUP BY person_id),
-    dec AS (SELECT f.id, f.person_id, ['accept', 'merge', 'reject'][1 + f.person_id % 3] AS decision FROM first f WHERE f.person_id % 5 <> 0),
-    done AS (SELECT c.*, CASE WHEN d.decision = 'merge' AND c.source = 'openalex' AND p.openalex_id IS NOT NULL THEN 'merged' WHEN d.decision IN ('merge', 'accept') THEN 'accepted' WHEN d.decision = 'reject' THEN 'rejected' END AS how FROM dec d JOIN candidates c USING (id) LEFT JOIN people p ON p.id = c.person_id)"""
+def _decided_sql(siblings: bool) -> str:
+    """Up to three decisions a person, about the pending candidates with the least ids, from the greatest
+    id to the least, one step after the other: s3 is the people's state and done what became of each."""
+    step = lambda k: f"""a{k} AS (SELECT s.*, d.id AS cand, d.source, d.external_id, d.orcid AS theirs, CASE WHEN d.id IS NULL OR closed THEN NULL WHEN decision = 'merge' AND d.source = 'openalex' AND s.openalex_id IS NOT NULL THEN 'merged' WHEN decision IN ('merge', 'accept') THEN 'accepted' ELSE 'rejected' END AS how FROM s{k - 1} s LEFT JOIN dec d ON d.person_id = s.id AND d.nth = {4 - k}),
+    s{k} AS (SELECT id, CASE WHEN how = 'accepted' AND source = 'openalex' THEN coalesce(openalex_id, external_id) ELSE openalex_id END AS openalex_id, CASE WHEN how IN ('accepted', 'merged') THEN coalesce(orcid, CASE WHEN source = 'openalex' THEN theirs ELSE external_id END) ELSE orcid END AS orcid,
+        CASE WHEN how = 'merged' AND external_id <> openalex_id AND NOT list_contains(alt, external_id) THEN list_append(alt, external_id) ELSE alt END AS alt, CASE WHEN how = 'accepted' THEN 'confirmed' ELSE identity_status END AS identity_status, closed OR ({siblings} AND coalesce(how = 'accepted', FALSE)) AS closed FROM a{k})"""
+    return f"""{_PEOPLE_SQL}, {_CANDIDATES_SQL}, few AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY id) AS nth FROM candidates WHERE status = 'pending'),
+    dec AS (SELECT *, ['accept', 'merge', 'reject', 'merge'][1 + (person_id + nth) % 4] AS decision FROM few WHERE nth <= 3 AND person_id % 5 <> 0),
+    s0 AS (SELECT id, openalex_id, orcid, CASE WHEN id % 8 = 0 THEN ['X1'] ELSE [] END AS alt, identity_status, FALSE AS closed FROM people), {step(1)}, {step(2)}, {step(3)},
+    done AS (SELECT id AS person_id, cand AS id, external_id, how FROM (SELECT id, cand, external_id, how FROM a1 UNION ALL SELECT id, cand, external_id, how FROM a2 UNION ALL SELECT id, cand, external_id, how FROM a3) WHERE how IS NOT NULL)"""
 
 
-def _decided(spark, d) -> review.State:
+def _decided(spark, d, siblings: bool) -> review.State:
     rows = _reviewed(spark, d)
-    people = _people(spark, d).withColumn("alternates", F.when(F.col("id") % 8 == 0, F.array(F.lit("X1"))))
-    first = rows.where("status = 'pending'").groupBy("person_id").agg(F.min("id").alias("id")).where("person_id % 5 <> 0")
-    decision = F.element_at(F.array(F.lit("accept"), F.lit("merge"), F.lit("reject")), (F.col("person_id") % 3 + 1).cast("int"))
-    return review.decided(people, rows, first.select("id", decision.alias("decision")), F.lit("now"), reject_siblings=True)
+    people = _people(spark, d).withColumn("openalex_id_alt", F.when(F.col("id") % 8 == 0, F.array(F.lit("X1"))))
+    few = rows.where("status = 'pending'").withColumn("nth", F.row_number().over(Window.partitionBy("person_id").orderBy("id"))).where("nth <= 3 AND person_id % 5 <> 0")
+    decision = F.element_at(F.array(F.lit("accept"), F.lit("merge"), F.lit("reject"), F.lit("merge")), ((F.col("person_id") + F.col("nth")) % 4 + 1).cast("int"))
+    return review.decided(people, rows, few.select("id", decision.alias("decision"), (-F.col("nth")).alias("pos")), F.lit("now"), reject_siblings=siblings)
 
 
-@query(f"""WITH {_DECIDED_SQL}, took AS (SELECT person_id FROM done WHERE how = 'accepted')
-    SELECT c.id, coalesce(d.how, CASE WHEN c.status = 'pending' AND c.person_id IN (SELECT person_id FROM took) THEN 'rejected' END, c.status) AS status, CASE WHEN d.how IS NOT NULL OR (c.status = 'pending' AND c.person_id IN (SELECT person_id FROM took)) THEN 'now' ELSE c.decided_at END AS decided_at FROM candidates c LEFT JOIN done d ON d.id = c.id""")
+@query(f"""WITH {_decided_sql(True)} SELECT c.id, coalesce(d.how, CASE WHEN c.status = 'pending' AND s.closed THEN 'rejected' END, c.status) AS status, CASE WHEN d.how IS NOT NULL OR (c.status = 'pending' AND s.closed) THEN 'now' ELSE c.decided_at END AS decided_at FROM candidates c LEFT JOIN done d ON d.id = c.id JOIN s3 s ON s.id = c.person_id""")
 def q_decided_candidates(spark, d):
-    return _decided(spark, d).candidates.select("id", "status", "decided_at")
+    return _decided(spark, d, True).candidates.select("id", "status", "decided_at")
 
 
-@query(f"""WITH {_DECIDED_SQL} SELECT p.id, CASE WHEN d.how = 'accepted' AND d.source = 'openalex' THEN coalesce(p.openalex_id, d.external_id) ELSE p.openalex_id END AS openalex_id,
-    CASE WHEN d.how IN ('accepted', 'merged') THEN coalesce(p.orcid, CASE WHEN d.source = 'openalex' THEN d.orcid ELSE d.external_id END) ELSE p.orcid END AS orcid, CASE WHEN d.how = 'accepted' THEN 'confirmed' ELSE p.identity_status END AS identity_status,
-    CASE WHEN d.how = 'merged' AND d.external_id <> 'X1' AND p.id % 8 = 0 THEN 'X1,' || d.external_id WHEN p.id % 8 = 0 THEN 'X1' WHEN d.how = 'merged' THEN d.external_id END AS alternates FROM people p LEFT JOIN done d ON d.person_id = p.id""")
+@query(f"""WITH {_decided_sql(False)} SELECT id, openalex_id, orcid, identity_status, nullif(array_to_string(alt, ','), '') AS openalex_id_alt FROM s3""")
 def q_adopted_ids(spark, d):
-    return _decided(spark, d).people.select("id", "openalex_id", "orcid", "identity_status", F.array_join("alternates", ",").alias("alternates"))
+    return _decided(spark, d, False).people.select("id", "openalex_id", "orcid", "identity_status", F.array_join("openalex_id_alt", ",").alias("openalex_id_alt"))
 
 
-@query(f"""WITH {_DECIDED_SQL} SELECT person_id, 'identity_' || how AS method, external_id AS new_value FROM done JOIN people p ON p.id = person_id WHERE how IN ('accepted', 'merged')""")
+@query(f"""WITH {_decided_sql(False)} SELECT person_id, 'identity_' || how AS method, external_id AS new_value FROM done WHERE how <> 'rejected'""")
 def q_decision_log(spark, d):
-    return _decided(spark, d).log.select("person_id", "method", "new_value")
+    return _decided(spark, d, False).log.select("person_id", "method", "new_value")
 
 
 @query(f"""WITH {_CANDIDATES_SQL} SELECT id, CASE WHEN status = 'merged' AND source = 'openalex' AND id % 2 = 0 THEN 'pending' ELSE status END AS status FROM candidates""")
 def q_unmerged(spark, d):
     rows = _reviewed(spark, d)
-    people = _people(spark, d).withColumn("alternates", F.array(F.lit("X1"), F.lit("X2")))
+    people = _people(spark, d).withColumn("openalex_id_alt", F.array(F.lit("X1"), F.lit("X2")))
     return review.unmerged(people, rows, rows.where("id % 2 = 0").select("id"), F.lit("now")).candidates.select("id", "status")
 
 
 @query(f"""WITH {_PEOPLE_SQL}, {_CANDIDATES_SQL}, gone AS (SELECT person_id, list(DISTINCT external_id) AS x FROM candidates WHERE status = 'merged' AND source = 'openalex' AND id % 2 = 0 GROUP BY person_id)
-    SELECT id, nullif(concat_ws(',', CASE WHEN NOT coalesce(list_contains(x, 'X1'), FALSE) THEN 'X1' END, CASE WHEN NOT coalesce(list_contains(x, 'X2'), FALSE) THEN 'X2' END), '') AS alternates FROM people LEFT JOIN gone ON person_id = id""")
+    SELECT id, nullif(concat_ws(',', CASE WHEN NOT coalesce(list_contains(x, 'X1'), FALSE) THEN 'X1' END, CASE WHEN NOT coalesce(list_contains(x, 'X2'), FALSE) THEN 'X2' END), '') AS openalex_id_alt FROM people LEFT JOIN gone ON person_id = id""")
 def q_unmerged_people(spark, d):
     rows = _reviewed(spark, d)
-    people = _people(spark, d).withColumn("alternates", F.array(F.lit("X1"), F.lit("X2")))
-    return review.unmerged(people, rows, rows.where("id % 2 = 0").select("id"), F.lit("now")).people.select("id", F.array_join("alternates", ",").alias("alternates"))
+    people = _people(spark, d).withColumn("openalex_id_alt", F.array(F.lit("X1"), F.lit("X2")))
+    return review.unmerged(people, rows, rows.where("id % 2 = 0").select("id"), F.lit("now")).people.select("id", F.array_join("openalex_id_alt", ",").alias("openalex_id_alt"))
 
 
 @query(f"""WITH {_CANDIDATES_SQL} SELECT id, CASE WHEN person_id % 10 = 3 AND status = 'pending' THEN 'rejected' ELSE status END AS status, CASE WHEN person_id % 10 = 3 AND status = 'pending' THEN 'now' ELSE decided_at END AS decided_at FROM candidates""")
@@ -261,15 +286,18 @@ def q_identity_prechecks(spark, d):
     return table(spark, d, "events").select("event_id", may.alias("may"), review.corroborates(v > 50, F.when(e % 2 == 0, 0.95).otherwise(0.5)).alias("confirms"), review.fallback_qualifies(F.when(e % 10 == 0, True), e % 2 == 0, v > 50, name).alias("qualifies"))
 
 
-@query("SELECT p_partkey, p_partkey % 4 IN (0, 2) AS exact FROM part")
+@query(r"""SELECT p_partkey, len(w) >= 2 AND regexp_replace(lower(w[1]), '[^a-z]', '', 'g') = lower(p_type) AND regexp_replace(lower(w[-1]), '[^a-z]', '', 'g') = 'brand' AS exact FROM (
+    SELECT p_partkey, p_type, regexp_split_to_array(CASE WHEN p_size % 2 = 0 THEN p_type || ' ' || p_name || ' ' || upper(p_brand) WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 5 = 0 THEN p_type ELSE lower(p_type) || ' ' || p_brand END, '\s+') AS w FROM part)""")
 def q_exact_primary_name(spark, d):
-    shown = F.element_at(F.array(F.lit("Ann Lee"), F.lit("Anna Lee"), F.lit(" ANN  K. lee "), F.lit("Lee")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", review.exact_primary_name(F.lit("Ann"), F.lit("Lee"), shown).alias("exact"))
+    """Part types and brands as people's names, shown with other words between, others instead, or alone."""
+    size = F.col("p_size")
+    shown = F.when(size % 2 == 0, F.concat_ws("  ", F.lit(""), "p_type", "p_name", F.upper("p_brand"))).when(size % 3 == 0, F.col("p_name")).when(size % 5 == 0, F.col("p_type")).otherwise(F.concat_ws(" ", F.lower("p_type"), "p_brand"))
+    return table(spark, d, "part").select("p_partkey", review.exact_primary_name(F.col("p_type"), F.lit("Brand"), shown).alias("exact"))
 
 
 # Reconciling
 
-_ROSTER_SQL = """roster AS (SELECT c_custkey AS id, 'L' || (c_custkey % 29) || ', F' || (c_custkey % 11) AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'n' || c_custkey || '@x.edu' END AS mail, CASE c_custkey % 4 WHEN 0 THEN 'PROF-AY' WHEN 1 THEN 'ASSOC PROF IN RES' WHEN 2 THEN 'DIRECTOR' ELSE ' lecturer ' END AS job, CASE c_custkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'n' ELSE '' END AS flag, CASE WHEN c_custkey % 9 = 0 THEN 'Leave' ELSE '' END AS st FROM customer WHERE c_custkey % 2 = 0)"""
+_ROSTER_SQL = """roster AS (SELECT c_custkey AS id, 'L' || (c_custkey % 29) || ', F' || (c_custkey % 11) AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'n' || c_custkey || '@x.edu' END AS mail, CASE c_custkey % 4 WHEN 0 THEN 'PROF-AY' WHEN 1 THEN 'ASSOC PROF IN RES' WHEN 2 THEN 'DIRECTOR' ELSE ' lecturer ' END AS job, CASE c_custkey % 3 WHEN 0 THEN 'ANESTHESIA/PAIN MED-OB' WHEN 1 THEN 'o''brien 3rd ' || lower(c_mktsegment) ELSE ' ' END AS unit, CASE c_custkey % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'n' ELSE '' END AS flag, CASE WHEN c_custkey % 9 = 0 THEN 'Leave' ELSE '' END AS st FROM customer WHERE c_custkey % 2 = 0)"""
 
 
 def _roster(spark, d) -> DataFrame:
@@ -279,6 +307,7 @@ def _roster(spark, d) -> DataFrame:
         k.alias("id"), F.concat(text("L", k % 29, ", "), text("F", k % 11)).alias(reconcile.NAME), F.when(k % 3 == 0, "").otherwise(text("n", k, "@x.edu")).alias(reconcile.EMAIL),
         F.when(k % 4 == 0, "PROF-AY").when(k % 4 == 1, "ASSOC PROF IN RES").when(k % 4 == 2, "DIRECTOR").otherwise(" lecturer ").alias("Job Code Description"),
         F.when(k % 3 == 0, "Y").when(k % 3 == 1, "n").otherwise("").alias("PI Eligibility Flag Current"), F.when(k % 9 == 0, "Leave").otherwise("").alias(reconcile.STATUS),
+        F.when(k % 3 == 0, "ANESTHESIA/PAIN MED-OB").when(k % 3 == 1, F.concat(F.lit("o'brien 3rd "), F.lower("c_mktsegment"))).otherwise(" ").alias("Dept / Unit"),
     )
 
 
@@ -292,10 +321,10 @@ _TITLE_SQL = "CASE r.id % 4 WHEN 0 THEN 'Professor' WHEN 3 THEN 'Lecturer' WHEN
 
 
 @query(f"""WITH {_PEOPLE_SQL}, {_ROSTER_SQL} SELECT p.id, CASE WHEN r.id IS NOT NULL THEN 'F' || (r.id % 11) ELSE p.first_name END AS first_name, coalesce(nullif(r.mail, ''), p.email) AS email, coalesce({_TITLE_SQL}, p.title) AS title,
-    CASE WHEN r.flag IN ('Y', 'n') THEN r.flag = 'Y' ELSE p.pi_eligible = 1 END AS pi_eligible, coalesce(nullif(r.st, ''), CASE WHEN r.id IS NOT NULL AND coalesce(p.roster_status, '') IN ('', 'Inactive', 'Duplicate') THEN 'Active' END, p.roster_status) AS roster_status, CASE WHEN r.id IS NOT NULL THEN trim(r.job) END AS job_code_description
+    CASE WHEN r.flag IN ('Y', 'n') THEN r.flag = 'Y' ELSE p.pi_eligible = 1 END AS pi_eligible, coalesce(nullif(r.st, ''), CASE WHEN r.id IS NOT NULL AND coalesce(p.eah_status, '') IN ('', 'Inactive', 'Duplicate') THEN 'Active' END, p.eah_status) AS eah_status, CASE WHEN r.id IS NOT NULL THEN trim(r.job) END AS job_code_description
     FROM people p LEFT JOIN roster r ON r.id = p.id""")
 def q_roster_applied(spark, d):
-    return _applied(spark, d).select("id", "first_name", "email", "title", "pi_eligible", "roster_status", "job_code_description")
+    return _applied(spark, d).select("id", "first_name", "email", "title", "pi_eligible", "eah_status", "job_code_description")
 
 
 @query(f"""WITH {_PEOPLE_SQL}, {_ROSTER_SQL} SELECT count(*) FILTER (WHERE r.mail <> '') AS email, count(*) FILTER (WHERE coalesce(p.first_name, '') <> 'F' || (r.id % 11)) AS first_name, 0 AS last_name, count(*) FILTER (WHERE {_TITLE_SQL} IS DISTINCT FROM p.title AND {_TITLE_SQL} IS NOT NULL) AS title FROM people p JOIN roster r ON r.id = p.id""")
@@ -303,74 +332,106 @@ def q_roster_changes(spark, d):
     return reconcile.change_counts(_applied(spark, d))
 
 
-@query(f"WITH {_ROSTER_SQL} SELECT 'F' || (r.id % 11) AS first_name, 'L' || (r.id % 29) AS last_name, coalesce({_TITLE_SQL}, '') AS title, r.mail AS email, 'unresolved' AS identity_status, coalesce(nullif(r.st, ''), 'Active') AS roster_status, trim(r.job) AS job_code_description, '' AS vc_area, CASE WHEN r.flag <> '' THEN r.flag = 'Y' END AS pi_eligible FROM roster r")
+@query(f"WITH {_ROSTER_SQL} SELECT 'F' || (r.id % 11) AS first_name, 'L' || (r.id % 29) AS last_name, coalesce({_TITLE_SQL}, '') AS title, r.mail AS email, 'unresolved' AS identity_status, coalesce(nullif(r.st, ''), 'Active') AS eah_status, trim(r.job) AS job_code_description, '' AS vc_area, CASE WHEN r.flag <> '' THEN r.flag = 'Y' END AS pi_eligible, CASE r.id % 3 WHEN 0 THEN 'Anesthesia/Pain Med-Ob' WHEN 1 THEN 'O''Brien 3Rd ' || upper(r.unit[13:13]) || r.unit[14:] ELSE '' END AS subdepartment, trim(r.unit) AS department_unit, '' AS department_eah FROM roster r")
 def q_roster_created(spark, d):
-    return reconcile.created(_roster(spark, d)).select("first_name", "last_name", "title", "email", "identity_status", "roster_status", "job_code_description", "vc_area", "pi_eligible")
+    return reconcile.created(_roster(spark, d)).select("first_name", "last_name", "title", "email", "identity_status", "eah_status", "job_code_description", "vc_area", "pi_eligible", "subdepartment", "department_unit", "department_eah")
 
 
-@query(f"WITH {_PEOPLE_SQL} SELECT id, CASE id % 6 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Duplicate' ELSE roster_status END AS roster_status FROM people")
+@query(f"WITH {_PEOPLE_SQL} SELECT id, CASE id % 6 WHEN 0 THEN 'Inactive' WHEN 1 THEN 'Duplicate' ELSE eah_status END AS eah_status FROM people")
 def q_marked_gone(spark, d):
     people = _people(spark, d)
     outcomes = people.select(F.col("id").alias("person_id"), F.when(F.col("id") % 6 == 0, "inactive").when(F.col("id") % 6 == 1, "duplicate").otherwise("matched").alias("outcome"))
-    return reconcile.marked_gone(people, outcomes).select("id", "roster_status")
+    return reconcile.marked_gone(people, outcomes).select("id", "eah_status")
+
 
+#: Codes as rosters spell them, each with the title that it stands for, in front of a part's own words.
+_JOBS = {
+    "PROF-": "Professor", " prof ": "Professor", "ASSOC PROF-": "Associate Professor", "ASST PROF ": "Assistant Professor", "PROF IN RES-": "Professor", "ASST DEAN ": "Assistant Dean", "DEAN ": "Dean",
+    "VISITING ": "Visiting Professor", "COLLEGE PROVOST ": "College Provost", "ACT PROF-": "Acting Professor", "PROFESSIONAL ": None, "DIRECTOR, PROF ": None, "LECT": None, "": None,
+}
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Assistant Dean' WHEN 2 THEN 'Professor' WHEN 3 THEN 'Professor Emeritus' WHEN 4 THEN NULL ELSE 'Health Sciences Clinical Professor' END AS title FROM part""")
+
+@query(f"""WITH j AS (SELECT unnest({list(_JOBS)}) AS code, unnest([{', '.join('NULL' if t is None else repr(t) for t in _JOBS.values())}]) AS title) SELECT p_partkey, code, title FROM part, j""")
 def q_title_map(spark, d):
-    jobs = [" prof-fy", "ASST DEAN (x)", "PROF IN RES-AY", "NON-SENATE ACAD EMERITUS", "DIRECTOR", "HS CLIN PROF-HCOMP"]
-    job = F.element_at(F.array(*(F.lit(j) for j in jobs)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", rules.by_pattern(job, rules.TITLES).alias("title"))
+    """Every code before every part's name: only the code's beginning tells."""
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, _JOBS))).alias("code"))
+    return rows.select("p_partkey", "code", rules.by_pattern(F.concat("code", "p_name"), rules.TITLES).alias("title"))
 
 
 # Texts
 
 
-@query("""SELECT doc_id, 'PERSON (from the roster):' || chr(10) || 'Name: Ann L' || doc_id || chr(10) || 'Division or school: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Email domain: x.edu' ELSE '' END || CASE WHEN coalesce(trim(text), '') <> '' THEN chr(10) || 'Research interests: ' || left(trim(text), 400) ELSE '' END AS block FROM documents WHERE text NOT LIKE '% ' AND text NOT LIKE ' %'""")
+@query(r"""SELECT doc_id, 'PERSON (from the roster):' || chr(10) || 'Name: Ann L' || doc_id || chr(10) || 'Division or school: ' || source || CASE WHEN n_chars % 2 = 0 THEN chr(10) || 'Email domain: ' || lang || '.x.edu' ELSE '' END || CASE WHEN t <> '' THEN chr(10) || 'Research interests: ' || left(t, 400) ELSE '' END AS block
+    FROM (SELECT *, regexp_replace(coalesce(text, ''), '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g') AS t FROM documents)""")
 def q_person_block(spark, d):
-    rows = table(spark, d, "documents").where("text NOT LIKE '% ' AND text NOT LIKE ' %'")
-    email = F.when(F.col("doc_id") % 2 == 0, "a@x.edu").otherwise("none")
-    return rows.select("doc_id", prompts.person_block(F.lit("Ann"), F.concat(F.lit("L"), F.col("doc_id").cast("string")), F.lit(""), F.col("source"), email, F.col("text")).alias("block"))
+    email = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("a@"), F.col("lang"), F.lit(".x.edu"))).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", prompts.person_block(F.lit("Ann"), F.concat(F.lit("L"), F.col("doc_id").cast("string")), F.lit(""), F.col("source"), email, F.col("text")).alias("block"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Out of credit.' WHEN event_id % 3 = 1 THEN 'Too long.' ELSE 'Something failed.' END AS said FROM events""")
+@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, 'copyright') THEN 'Rights.' WHEN contains(t, 'password') THEN 'Secret.' WHEN contains(t, 'thereon') THEN 'There.' WHEN contains(t, ' la ') THEN 'La.' ELSE 'Something failed.' END AS said FROM t""")
 def q_friendly_error(spark, d):
-    raw = F.when(F.col("event_id") % 3 == 0, "HTTP 402: Quota exceeded").when(F.col("event_id") % 3 == 1, "CONTEXT length 9000")
-    return table(spark, d, "events").select("event_id", prompts.friendly_error(raw, [("quota", "Out of credit."), ("context", "Too long.")], "Something failed.").alias("said"))
+    """The documents as messages: by the first known part in their order, not in the text's."""
+    known = [("Copyright", "Rights."), ("password", "Secret."), ("THEREON", "There."), (" la ", "La.")]
+    return table(spark, d, "documents").select("doc_id", prompts.friendly_error(F.col("text"), known, "Something failed.").alias("said"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Ann' WHEN p_partkey % 4 = 1 THEN 'Bo' END AS first, CASE WHEN p_partkey % 4 = 0 THEN 'PHD,MPH' WHEN p_partkey % 4 = 1 THEN 'MD' END AS degrees, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'Professor' END AS title FROM part""")
-def q_listing_entry(spark, d):
-    lines = ["Lee, Ann, Ph.D./M.P.H., PhD, Assistant Professor", "Wu, Bo, M.D., Professor", "No comma Professor", "Li, Cy, Clerk"]
-    line = F.element_at(F.array(*(F.lit(x) for x in lines)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    e = prompts.listing_entry(line, ["Professor", "Assistant Professor", "Lecturer"], ["PhD", "MD", "MPH"])
-    return table(spark, d, "part").select("p_partkey", e["first"].alias("first"), F.array_join(e["degrees"], ",").alias("degrees"), e["title"].alias("title"))
+#: A reply for each order, from its lines, in one of the shapes that replies have.
+_REPLY_SQL = """SELECT l_orderkey, CASE WHEN kind = 'F' AND n >= 2 THEN NULL ELSE '[' || string_agg('{"id":' || l_partkey || ',"why":"' || l_returnflag || ' ] } ' || l_linenumber || '"}', ',' ORDER BY l_partkey, l_linenumber, l_returnflag) || ']' END AS list FROM (
+    SELECT *, any_value(kind_) OVER w AS kind, count(*) OVER w AS n FROM (SELECT l.*, o_orderstatus AS kind_ FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey) WINDOW w AS (PARTITION BY l_orderkey)) GROUP BY l_orderkey, kind, n"""
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[1]' WHEN 1 THEN '[2]' WHEN 2 THEN '[3]' WHEN 3 THEN '[4]' END AS list FROM events""")
+@query(_REPLY_SQL)
 def q_list_of_reply(spark, d):
-    replies = ["[1]", '{"results": [9], "matches": [2]}', '{"faculty_matches": [3]}', '{"a": 1, "other": [4], "more": [5]}', '{"a": 1}']
-    reply = F.element_at(F.array(*(F.lit(x) for x in replies)), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", jsonx.list_of(reply).alias("list"))
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Wei Li 0002' WHEN 1 THEN NULL ELSE NULL END AS author FROM part""")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag").distinct()
+    entry = F.struct("l_partkey", "l_linenumber", "l_returnflag", F.struct(F.col("l_partkey").alias("id"), F.concat("l_returnflag", F.lit(" ] } "), F.col("l_linenumber").cast("string")).alias("why")).alias("e"))
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("all"), F.count("*").alias("n"))
+    rows = lists.join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    list_ = F.to_json(F.transform("all", lambda x: x["e"]))
+    wrapped = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    # alone; under a known key behind another list; under any key; or not as a list at all
+    reply = F.when(F.col("o_orderstatus") == "O", F.when(F.col("n") > 3, list_).otherwise(wrapped('{"results": [9], "matches": ', list_, "}"))).when(F.col("o_orderstatus") == "P", wrapped('{"note": "[1]", "n": 2, "chosen": ', list_, ', "more": [3]}'))
+    reply = reply.otherwise(F.when(F.col("n") >= 2, wrapped('{"all": {"in": ', list_, "}}")).otherwise(wrapped('{"faculty_matches": ', list_, "}")))
+    return rows.select("l_orderkey", jsonx.list_of(reply).alias("list"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), n AS (SELECT p_brand, p_type, count(*) AS n, min(p_size) AS size FROM a WHERE p_size % 3 <> 0 GROUP BY ALL)
+    SELECT b.p_brand, t.p_type, CASE WHEN n = 1 THEN upper(t.p_type) || ' Roy ' || lpad(size::VARCHAR, 4, '0') END AS author FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN (SELECT DISTINCT p_type FROM part) t LEFT JOIN n USING (p_brand, p_type)""")
 def q_author_search(spark, d):
-    hit = lambda *names: '{"result": {"hits": {"hit": [' + ", ".join('{"info": {"author": "%s"}}' % n for n in names) + "]}}}"  # noqa: E731, UP031
-    raw = F.element_at(F.array(F.lit(hit("Wei Li 0002", "Wei Lin")), F.lit(hit("Wei Li 0001", "Wei Li 0002")), F.lit(hit("Bo Wu"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", payloads.dblp_author(raw, F.lit("wei li")).alias("author"))
+    """A search's reply for each brand: an author for each type and size, numbered where namesakes have
+    numbers. A name is found if one person has it."""
+    a = table(spark, d, "part").select("p_brand", "p_type", "p_size").distinct()
+    name = F.concat(F.upper("p_type"), F.when(F.col("p_size") % 3 == 0, F.lit(" Royce ")).otherwise(F.lit(" Roy ")), F.lpad(F.col("p_size").cast("string"), 4, "0"))
+    hit = F.struct(F.struct(F.concat(F.lit(" "), name).alias("author"), F.lit("x").alias("url")).alias("info"))
+    reply = F.to_json(F.struct(F.struct(F.struct(F.collect_list(hit).alias("hit")).alias("hits")).alias("result")))
+    asked = a.groupBy("p_brand").agg(reply.alias("raw")).crossJoin(F.broadcast(a.select("p_type").distinct()))  # a row for each of the few types
+    return asked.select("p_brand", "p_type", payloads.dblp_author(F.col("raw"), F.concat(F.initcap("p_type"), F.lit(" roy "))).alias("author"))
 
 
-@query("""SELECT p_partkey, 'A,B' AS titles, '2001,' AS years, 'J,K' AS journals FROM part""")
-def q_article_set(spark, d):
-    one = "<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue><PubDate>{year}</PubDate></JournalIssue><Title>{journal}</Title></Journal><ArticleTitle>{title}</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
-    raw = "<PubmedArticleSet>" + one.format(year="<Year>2001</Year>", journal="J", title="A") + one.format(year="<Month>2</Month>", journal="K", title="<i>B</i>") + "</PubmedArticleSet>"
-    got = payloads.pubmed_articles(F.when(F.col("p_partkey") >= 0, raw))
-    joined = lambda f: F.array_join(F.transform(got, lambda x: F.coalesce(x[f].cast("string"), F.lit(""))), ",")
-    return table(spark, d, "part").select("p_partkey", joined("title").alias("titles"), joined("year").alias("years"), joined("journal").alias("journals"))
+_ARTICLES_SQL = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_extendedprice, l_returnflag) AS place, 'Part ' || l_partkey || ' & < ' || p_name AS title, CASE WHEN l_linenumber % 3 <> 0 THEN year(l_shipdate)::INTEGER END AS year,
+    CASE WHEN l_returnflag <> 'R' THEN p_type END AS journal, CASE WHEN l_linestatus = 'F' THEN '10.1/' || l_suppkey END AS doi FROM lineitem LEFT JOIN part ON p_partkey = l_partkey"""
 
 
-@query("SELECT doc_id, status FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'accept' ELSE 'pending' END AS status FROM documents)")
+@query(f"SELECT * FROM ({_ARTICLES_SQL}) WHERE place <= 20")
+def q_article_set(spark, d):
+    """An article set in XML for each order, an article for each line, with marks in titles and parts
+    that some articles lack."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    cat = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    year = F.year("l_shipdate").cast("string")
+    date = F.when(F.col("l_linenumber") % 3 != 0, cat("<Year>", year, "</Year>")).otherwise(cat("<MedlineDate>", year, " Spring</MedlineDate>"))
+    journal = F.when(F.col("l_returnflag") != "R", cat("<Title>", F.col("p_type"), "</Title>")).otherwise("")
+    ids = F.when(F.col("l_linestatus") == "F", cat('<ELocationID EIdType="pii">S1</ELocationID><ELocationID EIdType="doi">10.1/', F.col("l_suppkey").cast("string"), "</ELocationID>")).otherwise("")
+    one = cat("<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue><PubDate>", date, "</PubDate></JournalIssue>", journal, "</Journal><ArticleTitle><i>Part</i> ", F.col("l_partkey").cast("string"), " &amp; &lt; ", F.col("p_name"), "</ArticleTitle>", ids, "</Article></MedlineCitation></PubmedArticle>")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice", "l_returnflag"]
+    sets = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order, one.alias("x")))).alias("all"))
+    raw = F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.transform("all", lambda a: a["x"]), ""), F.lit("</PubmedArticleSet>"))
+    rows = sets.select("l_orderkey", F.posexplode(payloads.pubmed_articles(raw)).alias("place", "a"))
+    return rows.select("l_orderkey", (F.col("place") + 1).cast("long").alias("place"), F.col("a.title"), F.col("a.year"), F.col("a.journal"), F.col("a.doi"))
+
+
+@query(f"""{_FOLD_SQL}, r AS (SELECT person, members, members[1].score AS top, round(members[1].score - runner, 9) > 0.05 AS clear, k % 2 = 0 AS corroborated FROM last)
+    SELECT c.person, c.x.id AS external_id, CASE WHEN NOT (clear AND (top >= 0.9 OR corroborated)) THEN 'pending' WHEN c.x.id = canonical THEN 'accept' WHEN list_contains(list_transform(members, lambda m: m.id), c.x.id) THEN 'merge' ELSE 'reject' END AS decision FROM c JOIN r USING (person) JOIN chosen USING (person)""")
 def q_resweep(spark, d):
-    one = F.struct(F.format_string("A%d", "doc_id").alias("external_id"), F.lit("openalex").alias("source"), F.lit("Ann Lee").alias("display_name"), F.when(F.col("doc_id") % 2 == 0, 0.95).otherwise(0.7).alias("score"), F.lit(None).cast("string").alias("orcid"), F.lit(True).alias("current"), F.lit(False).alias("listed"), F.array("lang").alias("domains"), F.col("n_chars").alias("works"), F.lit(0).cast("long").alias("cites"))
-    people = table(spark, d, "documents").select(F.col("doc_id").alias("person"), F.array(one).cast(f"array<{identity.CANDIDATE}>").alias("candidates"), F.lit("unresolved").alias("status_before"), F.lit(False).alias("corroborated"), F.lit(False).alias("fallback_ok"))
-    return review.resweep(identity.resolve(people)).select(F.col("person").alias("doc_id"), F.col("decision").alias("status"))
+    """Cliques of many candidates: the canonical profile is accepted, its clique merged, the rest rejected."""
+    people = _candidates(spark, d).withColumns({"status_before": F.lit("unresolved"), "corroborated": F.size("candidates") % 2 == 0, "fallback_ok": F.lit(False)})
+    return review.resweep(identity.resolve(people)).select("person", "external_id", "decision")

@@ -78,8 +78,9 @@ def recovered(texts: pd.Series) -> pd.Series:
 def list_of(reply: Column, keys: tuple[str, ...] = LIST_KEYS) -> Column:
     """The JSON array in a reply that is one, or that is an object with one under one of ``keys``, or
     else under any key (the first in the object's order)."""
-    is_list = lambda x: F.startswith(F.ltrim(x), F.lit("["))
+    whole = F.startswith(F.ltrim(reply), F.lit("["))
     under = F.from_json(reply, "map<string,string>")
-    named = [F.when(is_list(F.try_element_at(under, F.lit(k))), F.try_element_at(under, F.lit(k))) for k in keys]
-    any_ = F.get(F.filter(F.map_values(under), lambda v: F.coalesce(is_list(v), F.lit(False))), F.lit(0))
-    return F.when(is_list(reply), F.trim(reply)).otherwise(F.coalesce(*named, any_))
+    # a text that looks like a list is none
+    lists = F.map_filter(F.from_json(reply, "map<string,variant>"), lambda _, v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY")))
+    first = F.get(F.filter(F.array(*(F.lit(k) for k in keys)), lambda k: F.map_contains_key(lists, k)), F.lit(0))
+    return F.when(whole, F.trim(reply)).otherwise(F.try_element_at(under, F.coalesce(first, F.get(F.map_keys(lists), F.lit(0)))))

@@ -34,6 +34,13 @@ def compatible(of: Column, ol: Column, tf: Column, tl: Column) -> Column:
     return F.coalesce(some & last & first, F.lit(False))
 
 
+def whole_compatible(of: Column, ol: Column, tf: Column, tl: Column) -> Column:
+    """As :func:`compatible`, but one whole first name begins the other."""
+    some = (of != "") & (ol != "") & (tf != "") & (tl != "")
+    last = F.contains(tl, ol) | F.contains(ol, tl)
+    return F.coalesce(some & last & (F.startswith(tf, of) | F.startswith(of, tf)), F.lit(False))
+
+
 def similarity(first: Column, last: Column, their_first: Column, their_last: Column) -> Column:
     """Between 0 and 1: six tenths for the last name (0.8 of it where one contains the other), four
     tenths for the first (graded by how much of the beginning agrees)."""
@@ -82,12 +89,17 @@ def email_candidates(first: Column, last: Column, domain: str) -> Column:
     return F.when((f != "") & (n != ""), made).otherwise(F.array().cast("array<string>"))
 
 
-def plausible_email(address: Column, first: Column, last: Column, generic: tuple[str, ...] = ("info", "contact", "admin", "office", "help", "support", "web")) -> Column:
-    """Whether an address may be a person's own: no generic one, and its local part shows three
-    letters of a name, or begins with an initial in a short run of letters before digits."""
+#: Local parts of addresses that many people share.
+GENERIC = ("info", "support", "admin", "admissions", "help", "contact", "office", "dept", "department", "registrar", "webmaster", "grants", "communications", "events")
+
+
+def plausible_email(address: Column, first: Column, last: Column, generic: tuple[str, ...] = GENERIC) -> Column:
+    """Whether an address may be a person's own: no generic one, and its local part (without dots and
+    hyphens) has the first three letters of either name in it, or is up to three letters before digits
+    with the first name's initial anywhere in it."""
     raw = email_local(address)
     local = F.regexp_replace(raw, "[.-]", "")
-    f, n = letters_only(first), letters_only(last)
+    f, n = (F.lower(F.coalesce(x, F.lit(""))) for x in (first, last))
     has = lambda x: (F.length(x) >= 3) & F.contains(local, F.left(x, F.lit(3)))
-    initial = ((f != "") & F.startswith(local, F.left(f, F.lit(1)))) | ((n != "") & F.startswith(local, F.left(n, F.lit(1))))
-    return ~raw.isin(*generic) & (has(f) | has(n) | (initial & local.rlike(r"^[a-z]{1,3}\d+")))
+    initial = (f != "") & F.contains(local, F.left(f, F.lit(1)))
+    return ~raw.isin(*generic) & (has(f) | has(n) | (initial & local.rlike(r"^[a-z]{1,3}\d")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.operators.rules import first_match
@@ -26,7 +26,7 @@ def person_block(first: Column, last: Column, title: Column, division: Column, e
     """Who is looked for. Of the address only the domain is shown."""
     name = F.trim(F.concat_ws(" ", first, last))
     domain = F.when(F.contains(email, F.lit("@")), F.regexp_extract(email, "^[^@]*@(.*)$", 1))
-    about = F.left(F.trim(interests), F.lit(INTERESTS))
+    about = F.left(F.regexp_replace(interests, r"(?U)^\s+|\s+$", ""), F.lit(INTERESTS))
     return F.concat_ws("\n", F.lit("PERSON (from the roster):"), F.concat(F.lit("Name: "), name), _line("Title: ", title), _line("Division or school: ", division), _line("Email domain: ", domain), _line("Research interests: ", about))
 
 
@@ -119,14 +119,28 @@ def friendly_error(message: Column, known: Sequence[tuple[str, str]], default: s
     return first_match([(F.contains(low, F.lit(part.lower())), text) for part, text in known], default)
 
 
-def listing_entry(line: Column, titles: Sequence[str], degrees: Sequence[str]) -> Column:
-    """struct(first, last, title, degrees) of a listing's line "Last, First, DEGREES, Title", null for
-    what is no person: under 5 or over 500 characters, without a comma, or without one of ``titles``.
-    The first title in their order counts; degrees are upper case without dots, each once."""
-    t = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+", " "))
+#: Titles and degrees in listings, in the order in which they are tried.
+LISTED_TITLES = ["Professor", "Associate Professor", "Assistant Professor", "Adjunct Professor", "Professor Emeritus", "Professor Emerita", "Research Scientist", "Senior Lecturer", "Lecturer", "Distinguished Professor"]
+LISTED_DEGREES = ["PhD", "MD", "MS", "BS", "BA", "MA", "MPH", "DrPH", "ScD", "JD", "MBA"]
+
+
+def listing_entry(line: Column, titles: Sequence[str] = LISTED_TITLES, degrees: Sequence[str] = LISTED_DEGREES) -> Column:
+    """struct(first, last, title, degrees) of a listing's line "Last, First Middle, DEGREES, Title", null
+    for what is no person: under 5 or over 500 characters, without a comma, a name or one of ``titles``,
+    or with a digit in the last name. The first title in their order counts; degrees, with dots or
+    without and wherever they stand, are upper case without dots, each once."""
+    t = F.coalesce(line, F.lit(""))
     title = first_match([(F.contains(F.lower(t), F.lit(x.lower())), x) for x in titles])
-    parts = F.transform(F.split(t, ","), lambda p: F.trim(p))
-    plain = F.transform(parts, lambda p: F.upper(F.regexp_replace(p, r"[.\s]", "")))
-    found = F.array_distinct(F.filter(F.flatten(F.transform(plain, lambda p: F.split(p, "[/&]"))), lambda p: p.isin(*(x.upper() for x in degrees))))
-    ok = F.length(t).between(5, 500) & F.contains(t, F.lit(",")) & title.isNotNull()
-    return F.when(ok, F.struct(F.get(parts, F.lit(1)).alias("first"), F.get(parts, F.lit(0)).alias("last"), title.alias("title"), found.alias("degrees")))
+    parts = F.transform(F.split(t, ","), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
+    first = F.coalesce(F.get(F.split(F.get(parts, F.lit(1)), " "), F.lit(0)), F.lit(""))
+    last = F.get(parts, F.lit(0))
+    dotted = ("".join(c + r"\.?" if k + 1 == len(d) or d[k + 1].isupper() else c for k, c in enumerate(d)) for d in degrees)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(rf"(?i)\b({'|'.join(dotted)})\b"), F.lit(1)), lambda x: F.upper(F.replace(x, F.lit("."), F.lit("")))))
+    ok = F.length(t).between(5, 500) & F.contains(t, F.lit(",")) & title.isNotNull() & (first != "") & (last != "") & ~last.rlike(r"\d")
+    return F.when(ok, F.struct(first.alias("first"), last.alias("last"), title.alias("title"), found.alias("degrees")))
+
+
+def listed_once(entries: DataFrame, pos: str) -> DataFrame:
+    """Of ``entries(first, last, ...)`` the first row by ``pos`` of each name, in any case."""
+    order = Window.partitionBy(F.lower("first"), F.lower("last")).orderBy(pos)
+    return entries.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -85,3 +85,10 @@ def split_list(x: Column) -> Column:
 def url_decoded(x: Column) -> Column:
     """Percent-decoding that leaves + alone; text that can't be decoded stays."""
     return F.coalesce(F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")), x)
+
+
+def titled(x: Column) -> Column:
+    """Every run of letters with a capital first and the others small: what follows any other
+    character, be it a hyphen, a slash or an apostrophe, begins anew."""
+    runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")

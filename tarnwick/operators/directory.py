@@ -17,7 +17,7 @@ from tarnwick.operators.search import Index, bm25, query_terms
 
 #: The statuses of people who left or are listed twice, and the columns of a curating list.
 GONE = ("Inactive", "Duplicate")
-CURATED = ["id", "stable_key", "department", "first_name", "last_name", "title", "email", "roster_status", "last_enriched"]
+CURATED = ["id", "stable_key", "department", "first_name", "last_name", "title", "email", "eah_status", "last_enriched"]
 
 #: The arrays whose entries are a person's keywords, in the order in which they are searched.
 KEYWORD_ARRAYS = ["expertise_keywords", "disease_areas", "methodologies", "populations", "committee_service"]
@@ -109,14 +109,16 @@ def match_pool(people: DataFrame, index: Index, terms: Sequence[str], limit: int
     """id, tier and place of the people for matching, of those in ``people`` who are active and have a
     profile: without terms all of them, by name; all by name if there are at most ``limit``; else the
     best by score, filled up to the limit with others by h-index and name."""
-    able = people.where(F.col("has_profile") & is_active(F.col("roster_status")))
+    able = people.where(F.col("has_profile") & is_active(F.col("eah_status")))
     by_name = [F.col("last_name"), F.col("first_name")]
     if not terms:
         return able.orderBy(*by_name, "id").select("id", F.lit(0).alias("tier"), F.lit(None).cast("int").alias("place"))
-    if able.limit(limit + 1).count() <= limit:
-        return ranking.numbered(able, [*by_name, F.col("id")]).select("id", F.lit(0).alias("tier"), "place")
+    # one row, counted no further than the limit; both ways are cut to the limit, and one of them is empty
+    few = F.broadcast(able.select("id").limit(limit + 1).agg((F.count("*") <= limit).alias("few")))
+    all_ = ranking.numbered(able.orderBy(*by_name, "id").limit(limit), [*by_name, F.col("id")]).select("id", F.lit(0).alias("tier"), "place")
     scored = bm25(index, terms, every=False).withColumnRenamed("doc_id", "id").join(able.select("id"), "id")
-    return ranking.fill_up(scored, able, "id", F.col("score"), [F.col("h_index").desc_nulls_last(), *by_name], limit)
+    best = ranking.fill_up(scored, able, "id", F.col("score"), [F.col("h_index").desc_nulls_last(), *by_name], limit)
+    return all_.crossJoin(few).where("few").drop("few").union(best.crossJoin(few).where("NOT few").drop("few"))
 
 
 def shown_slices(record: dict[str, Column]) -> dict[str, Column]:

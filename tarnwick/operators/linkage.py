@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick.functions.names import author_key, compatible
+from tarnwick.functions.names import author_key, compatible, whole_compatible
 from tarnwick.functions.text import email_local, letters_only
 
 
@@ -16,39 +16,45 @@ def tiered_match(people: DataFrame, roster: DataFrame) -> DataFrame:
 
     ``people(person_id, first, last, email)``, ``roster(roster_id, pos, first, last, email)``. Tiers:
     1 equal address, 2 equal local part, both with compatible names; 3 equal normalised names;
-    4 compatible names, only for people whom the first three leave. Within a tier the first roster
-    row by pos counts. Of rows with equal keys the last is kept, at the place of the first.
+    4 one last name within the other and one whole first name beginning the other, only for people whom
+    the first three leave. Within a tier the first roster row by pos counts. Of rows with equal keys the
+    last is kept, at the place of the first.
 
-    Tiers 1 to 3 are equi-joins. So is tier 4: of compatible first names one begins with the other's
-    first three letters (or with all of a shorter one), so either side's beginning meets all beginnings
-    of the other, and the rest of the condition is checked on what meets.
+    Both sides are keyed in one pass, so tiers 1 to 3 are one equi-join on (tier, key). So is tier 4: its
+    first names share their first letter, and the beginning (three letters, or all of a shorter name)
+    of one last name is a piece of the other; what meets by letter and piece is checked in full.
     """
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumns({f"{tag}f": letters_only(F.col("first")), f"{tag}l": letters_only(F.col("last")), f"{tag}mail": F.lower(F.trim("email")), f"{tag}local": email_local(F.col("email")), f"{tag}key": author_key(F.col("first"), F.col("last"))}).drop("first", "last", "email")
-
-    ours, theirs = side(people, "o"), side(roster, "t")
-
-    def index(key: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        return theirs.where(F.coalesce(F.col(key), F.lit("")) != "").withColumns({"at": F.min("pos").over(w), "last_pos": F.max("pos").over(w)}).where("pos = last_pos").drop("pos", "last_pos")
+    def side(df: DataFrame, tag: str, *kept: str) -> DataFrame:
+        f, n = letters_only(F.col("first")), letters_only(F.col("last"))
+        mail, local = F.lower(F.trim("email")), email_local(F.col("email"))
+        named = (f != "") & (n != "")
+        keys = F.array(F.struct(F.lit(1).alias("tier"), mail.alias("key")), F.struct(F.lit(2).alias("tier"), F.when(mail != "", local).alias("key")), F.struct(F.lit(3).alias("tier"), F.when(named, author_key(F.col("first"), F.col("last"))).alias("key")))
+        return df.select(*kept, f.alias(f"{tag}f"), n.alias(f"{tag}l"), F.explode(F.filter(keys, lambda k: F.coalesce(k["key"] != "", F.lit(False)))).alias("k")).select("*", "k.*").drop("k")
 
+    same_key = Window.partitionBy("tier", "key")
+    index = side(roster, "t", "roster_id", "pos").withColumns({"at": F.min("pos").over(same_key), "newest": F.max("pos").over(same_key)}).where("pos = newest")
+    ours = side(people, "o", "person_id")
     named = compatible(F.col("of"), F.col("ol"), F.col("tf"), F.col("tl"))
-    found = lambda df, tier: df.select("person_id", "roster_id", F.lit(tier).alias("tier"), "at")
-    one = found(ours.join(index("tmail"), F.col("omail") == F.col("tmail")).where((F.col("omail") != "") & named), 1)
-    two = found(ours.join(index("tlocal"), F.col("olocal") == F.col("tlocal")).where((F.col("olocal") != "") & named), 2)
-    three = found(ours.join(index("tkey"), F.col("okey") == F.col("tkey")).where((F.col("of") != "") & (F.col("ol") != "")), 3)
-    exact = one.union(two).union(three)
-    left = ours.join(exact.select("person_id").distinct(), "person_id", "left_anti")
-    begin = lambda c: F.left(c, F.lit(3))
-    beginnings = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.left(c, k))))
-    rows = index("tkey")
-    theirs_in_ours = left.withColumn("begin", beginnings(F.col("of"))).join(rows.withColumn("begin", begin(F.col("tf"))), "begin")
-    ours_in_theirs = left.withColumn("begin", begin(F.col("of"))).join(rows.withColumn("begin", beginnings(F.col("tf"))), "begin")
+    exact = ours.join(index, ["tier", "key"]).where((F.col("tier") == 3) | named).select("person_id", "roster_id", "tier", "at")
+
+    # whoever has names has the key of tier 3
+    left = ours.where("tier = 3").select("person_id", "of", "ol").join(exact.select("person_id").distinct(), "person_id", "left_anti")
+    theirs = index.where("tier = 3").select("roster_id", "at", "tf", "tl")
+    block = lambda f, piece: F.concat(F.left(f, F.lit(1)), F.lit("|"), piece)
+    begin = lambda f, n: block(f, F.left(n, F.lit(3)))
+
+    def pieces(f: Column, n: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.length(n))
+        return F.explode(F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(n) - i + 1)), lambda k: block(f, F.substring(n, i, k)))))))
+
+    ours_within = left.withColumn("block", begin(F.col("of"), F.col("ol"))).join(theirs.withColumn("block", pieces(F.col("tf"), F.col("tl"))), "block")
+    theirs_within = left.withColumn("block", pieces(F.col("of"), F.col("ol"))).join(theirs.withColumn("block", begin(F.col("tf"), F.col("tl"))), "block")
+    whole = whole_compatible(F.col("of"), F.col("ol"), F.col("tf"), F.col("tl"))
+    found = lambda df: df.where(whole).select("person_id", "roster_id", F.lit(4).alias("tier"), "at")
     # a pair that meets in both counts once, as only the first place is taken
-    four = found(theirs_in_ours.where(named), 4).union(found(ours_in_theirs.where(named), 4))
     order = Window.partitionBy("person_id").orderBy("tier", "at", "roster_id")
-    return exact.union(four).withColumn("place", F.row_number().over(order)).where("place = 1").select("person_id", "roster_id", "tier")
+    return exact.union(found(ours_within)).union(found(theirs_within)).withColumn("place", F.row_number().over(order)).where("place = 1").select("person_id", "roster_id", "tier")
 
 
 def claims(matches: DataFrame) -> DataFrame:

@@ -120,47 +120,62 @@ def review_order(candidates: DataFrame) -> DataFrame:
 
 
 def decided(people: DataFrame, candidates: DataFrame, decisions: DataFrame, now: Column, reject_siblings: bool = False) -> State:
-    """After ``decisions(id, decision)`` of accept, merge and reject, one for each person at most. A
-    candidate that isn't pending is left alone. A merge without a primary profile, or of a register's
-    candidate, is an acceptance. Accepting writes ids only where there are none, merging adds an
-    alternate, and an accepted person is confirmed; other pending candidates go if ``reject_siblings``."""
-    primary = people.select(F.col("id").alias("person_id"), F.col("openalex_id").alias("_primary"))
-    rows = candidates.join(decisions, "id", "left").join(primary, "person_id", "left")
-    status = decide(F.col("status"), F.col("decision"), F.coalesce(F.col("_primary"), F.lit("")) != "", F.col("source") == "openalex")
-    rows = rows.withColumn("_new", F.when(F.col("decision").isNotNull(), F.coalesce(status, F.col("status"))).otherwise(F.col("status")))
-    rows = rows.withColumn("_hit", (F.col("_new") != F.col("status")))
-    if reject_siblings:
-        taken = F.max((F.col("_hit") & (F.col("_new") == "accepted")).cast("int")).over(Window.partitionBy("person_id")) == 1
-        sibling = taken & ~F.col("_hit") & (F.col("status") == "pending")
-        rows = rows.withColumn("_sibling", sibling)
-        rows = rows.withColumn("_new", F.when(F.col("_sibling"), "rejected").otherwise(F.col("_new")))
-    else:
-        rows = rows.withColumn("_sibling", F.lit(False))
-    after = rows.withColumns({"status": F.col("_new"), "decided_at": F.when(F.col("_hit") | F.col("_sibling"), now).otherwise(F.col("decided_at"))})
-    chosen = rows.where("_hit AND _new IN ('accepted', 'merged')").select("person_id", "source", "external_id", "orcid", F.col("_new").alias("how"))
-    new_people, log = adopted(people, chosen, now)
-    return State(new_people, after.select(*candidates.columns), log)
-
-
-def adopted(people: DataFrame, chosen: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """People with the ids of ``chosen(person_id, source, external_id, orcid, how)``, one for each
-    person, and the log: a primary id and an ORCID are written once, a merged profile becomes an
-    alternate, and who is accepted is confirmed."""
-    c = chosen.select(F.col("person_id").alias("id"), F.col("source").alias("_source"), F.col("external_id").alias("_id"), F.col("orcid").alias("_orcid"), F.col("how").alias("_how"))
-    rows = people.join(c, "id", "left")
-    accepts, merges, index = (F.coalesce(x, F.lit(False)) for x in (F.col("_how") == "accepted", F.col("_how") == "merged", F.col("_source") == "openalex"))
-    orcid = F.when(index, F.col("_orcid")).when(F.col("_source") == "orcid", F.col("_id"))
-    new = {
-        "openalex_id": F.when(accepts & index, F.coalesce("openalex_id", "_id")).otherwise(F.col("openalex_id")),
-        "orcid": F.coalesce("orcid", orcid),
-        "alternates": F.when(merges, with_alternate(F.col("alternates"), F.col("openalex_id"), F.col("_id"))).otherwise(F.col("alternates")),
-        "identity_status": F.when(accepts, "confirmed").otherwise(F.col("identity_status")),
-    }
-    after = rows.select(*(new.get(x, F.col(x)).alias(x) for x in people.columns))
-    field = F.when(merges, "alternates").when(index, "openalex_id").otherwise("orcid")
-    old = F.when(merges, F.to_json("alternates")).when(index, F.col("openalex_id")).otherwise(F.col("orcid"))
-    log = rows.where("_how IS NOT NULL").select(F.col("id").alias("person_id"), F.col("_source").alias("source_name"), field.alias("field_updated"), old.alias("old_value"), F.col("_id").alias("new_value"), F.concat(F.lit("identity_"), F.col("_how")).alias("method"), now.alias("retrieved_at"))
-    return after, log
+    """After ``decisions(id, decision[, pos])`` of accept, merge and reject, taken one by one: in the order
+    of pos, without it of id. A candidate that isn't pending any more is left alone. A merge without a
+    primary profile, or of a register's candidate, is an acceptance, so the second profile that is
+    accepted or merged in a batch meets what the first one wrote. Accepting writes ids only where there
+    are none, merging adds an alternate, and who is accepted is confirmed; ``reject_siblings`` rejects the
+    person's other pending candidates at that moment, and later decisions about them change nothing."""
+    pos = F.col("pos") if "pos" in decisions.columns else F.lit(0)
+    acts = decisions.select("id", "decision", pos.alias("pos")).join(candidates.where("status = 'pending'").select("id", "person_id", "source", "external_id", "orcid"), "id")
+    # a person has a few candidates, so a few decisions
+    queue = acts.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "decision", "source", "external_id", "orcid"))).alias("queue"))
+    rows = people.select("id", "openalex_id", "orcid", "openalex_id_alt").withColumnRenamed("id", "person_id").join(queue, "person_id", "right")
+    folded = rows.select("person_id", _taken_in_turn(F.col("queue"), reject_siblings).alias("end")).select("person_id", "end.*")
+
+    done = folded.select("person_id", F.explode("done").alias("d")).select("person_id", "d.*")
+    outcome = done.select("id", F.col("how").alias("_how"))
+    closed = folded.where("closed").select("person_id", F.lit(True).alias("_closed"))
+    after = candidates.join(outcome, "id", "left").join(closed, "person_id", "left")
+    status = F.coalesce("_how", F.when(F.col("_closed") & (F.col("status") == "pending"), "rejected"))
+    after = after.withColumns({"status": F.coalesce(status, F.col("status")), "decided_at": F.when(status.isNotNull(), now).otherwise(F.col("decided_at"))}).select(*candidates.columns)
+
+    ids = ("openalex_id", "orcid", "openalex_id_alt")
+    ends = folded.select(F.col("person_id").alias("id"), F.lit(True).alias("_decided"), F.col("confirmed").alias("_confirmed"), *(F.col(c).alias(f"_{c}") for c in ids))
+    new = {c: F.when(F.col("_decided"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ids}
+    new["identity_status"] = F.when(F.col("_confirmed"), "confirmed").otherwise(F.col("identity_status"))
+    new_people = people.join(ends, "id", "left").select(*(new.get(c, F.col(c)).alias(c) for c in people.columns))
+    log = done.where("how <> 'rejected'").join(people.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    log = log.select("person_id", F.col("source").alias("source_name"), F.col("field").alias("field_updated"), F.col("old").alias("old_value"), F.col("external_id").alias("new_value"), F.concat(F.lit("identity_"), F.col("how")).alias("method"), now.alias("retrieved_at"))
+    return State(new_people, after, log)
+
+
+_DONE = "array<struct<id:bigint,how:string,source:string,external_id:string,field:string,old:string>>"
+
+
+def _taken_in_turn(queue: Column, reject_siblings: bool) -> Column:
+    """A person's ids after the decisions of ``queue``, with what became of each candidate."""
+
+    def step(acc: Column, act: Column) -> Column:
+        index, primary = act["source"] == "openalex", acc["openalex_id"]
+        how = decide(F.lit("pending"), act["decision"], F.coalesce(primary, F.lit("")) != "", index)
+        how = F.when(acc["closed"] | F.exists(acc["done"], lambda x: x["id"] == act["id"]) | (how == "pending"), F.lit(None)).otherwise(how)
+        accepts, merges = F.coalesce(how == "accepted", F.lit(False)), F.coalesce(how == "merged", F.lit(False))
+        orcid = F.when(index, act["orcid"]).when(act["source"] == "orcid", act["external_id"])
+        field = F.when(merges, "openalex_id_alt").when(index, "openalex_id").otherwise("orcid")
+        old = F.when(merges, F.to_json(acc["openalex_id_alt"])).when(index, primary).otherwise(acc["orcid"])
+        entry = F.struct(act["id"].alias("id"), how.alias("how"), act["source"].alias("source"), act["external_id"].alias("external_id"), field.alias("field"), old.alias("old"))
+        return F.struct(
+            F.when(accepts & index, F.coalesce(primary, act["external_id"])).otherwise(primary).alias("openalex_id"),
+            F.when(accepts | merges, F.coalesce(acc["orcid"], orcid)).otherwise(acc["orcid"]).alias("orcid"),
+            F.when(merges, with_alternate(acc["openalex_id_alt"], primary, act["external_id"])).otherwise(acc["openalex_id_alt"]).alias("openalex_id_alt"),
+            (acc["confirmed"] | accepts).alias("confirmed"),
+            (acc["closed"] | (accepts if reject_siblings else F.lit(False))).alias("closed"),
+            F.when(how.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(entry).cast(_DONE))).alias("done"),
+        )
+
+    start = F.struct("openalex_id", "orcid", "openalex_id_alt", F.lit(False).alias("confirmed"), F.lit(False).alias("closed"), F.array().cast(_DONE).alias("done"))
+    return F.aggregate(queue, start, step)
 
 
 def unmerged(people: DataFrame, candidates: DataFrame, ids: DataFrame, now: Column) -> State:
@@ -172,10 +187,10 @@ def unmerged(people: DataFrame, candidates: DataFrame, ids: DataFrame, now: Colu
     after = candidates.join(mark, "id", "left").withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "decided_at": F.when(~hit, F.col("decided_at"))}).select(*candidates.columns)
     gone = back.groupBy(F.col("person_id").alias("id")).agg(F.collect_set("external_id").alias("_gone"))
     empty = F.array().cast("array<string>")
-    left = F.array_except(F.coalesce("alternates", empty), F.coalesce("_gone", empty))
-    new = people.join(gone, "id", "left").withColumn("alternates", F.when(F.col("_gone").isNull(), F.col("alternates")).when(F.size(left) > 0, left)).select(*people.columns)
-    old = people.select(F.col("id").alias("person_id"), F.to_json("alternates").alias("old_value"))
-    log = back.join(old, "person_id", "left").select("person_id", F.lit("openalex").alias("source_name"), F.lit("alternates").alias("field_updated"), "old_value", F.lit(None).cast("string").alias("new_value"), F.lit("identity_unmerge").alias("method"), now.alias("retrieved_at"))
+    left = F.array_except(F.coalesce("openalex_id_alt", empty), F.coalesce("_gone", empty))
+    new = people.join(gone, "id", "left").withColumn("openalex_id_alt", F.when(F.col("_gone").isNull(), F.col("openalex_id_alt")).when(F.size(left) > 0, left)).select(*people.columns)
+    old = people.select(F.col("id").alias("person_id"), F.to_json("openalex_id_alt").alias("old_value"))
+    log = back.join(old, "person_id", "left").select("person_id", F.lit("openalex").alias("source_name"), F.lit("openalex_id_alt").alias("field_updated"), "old_value", F.lit(None).cast("string").alias("new_value"), F.lit("identity_unmerge").alias("method"), now.alias("retrieved_at"))
     return State(new, after, log)
 
 

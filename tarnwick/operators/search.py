@@ -1,28 +1,34 @@
 """Ranked full-text search by BM25 over an inverted index kept as DataFrames.
 
-The index is postings (doc_id, term, tf), lengths (doc_id, length) and one row of statistics. Corpus
-statistics are always taken before any filter. A query has few terms, so its side is a literal: each
-prefix is a predicate on postings, pushed to their scan, and only matching postings are aggregated.
+The index is postings (term, doc_id, tf, length) and one row of corpus statistics, which are always taken
+before any filter. A query has few terms, so its side is a literal: each prefix is a predicate on
+postings, pushed to their scan, and only matching postings are aggregated. Written in the order of its
+terms, the index is read by row groups; it grows by segments.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick import workspace
 from tarnwick.functions.stem import porter, stem, unaccented
+from tarnwick.versions import Store
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 @dataclass
 class Index:
+    """postings(term, doc_id, tf, length) and stats(n, total), one row."""
+
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
+    stemmed: bool = True
 
 
 def tokens(text: Column) -> Column:
@@ -30,28 +36,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def build_index(docs: DataFrame, stemmed: bool = False) -> Index:
-    """Of ``docs(doc_id, text)``. With ``stemmed`` the distinct words are stemmed and joined back."""
+def postings_of(docs: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The postings of ``docs(doc_id, text)``. The distinct words are stemmed and joined back."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    lengths = words.select("doc_id", F.size("words").cast("long").alias("length"))
-    counted = words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counted = words.select("doc_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     if stemmed:
-        stems = counted.select("term").distinct().withColumn("stem", stem("term"))
-        counted = counted.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    return Index(counted, lengths)
+        stems = counted.select("term").distinct().withColumn("stem", stem(F.col("term")))
+        counted = counted.join(stems, "term").groupBy("doc_id", "length", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return counted.select("term", "doc_id", "tf", "length")
+
+
+def lengths_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("length"))
+
+
+def build_index(docs: DataFrame, stemmed: bool = True) -> Index:
+    """An index of ``docs(doc_id, text)`` that is worked out anew by every search."""
+    stats = lengths_of(docs).agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    return Index(postings_of(docs, stemmed), stats, stemmed)
+
+
+def in_order(postings: DataFrame) -> DataFrame:
+    """Sorted by term, so that a prefix reads the row groups that may have it."""
+    return postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
 
 
 def stored(index: Index) -> Index:
-    """``index`` written once in the shared folder: postings in the order of their terms, so that a
-    prefix reads the row groups that may have it."""
-    postings = index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-    return Index(workspace.save(postings), workspace.save(index.lengths))
+    """``index`` written once in the shared folder, to serve all searches."""
+    return Index(workspace.save(in_order(index.postings)), workspace.save(index.stats), index.stemmed)
 
 
-def query_terms(query: str, stemmed: bool = False) -> list[str]:
+def query_terms(query: str, stemmed: bool = True) -> list[str]:
     """Distinct tokens of two characters or more; accents come off where the index is stemmed."""
-    import re
-
     found = [t for t in re.findall(r"[^\W_]+", query.lower()) if len(t) >= 2]
     return list(dict.fromkeys(porter(unaccented(t)) if stemmed else t for t in found))
 
@@ -66,26 +82,121 @@ def bm25(index: Index, terms: Sequence[str], every: bool = True) -> DataFrame:
     any_hit = hit[0]
     for h in hit[1:]:
         any_hit = any_hit | h
-    tf = index.postings.where(any_hit).groupBy("doc_id").agg(*(F.sum(F.when(h, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, h in enumerate(hit)))
-    stats = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tf = index.postings.where(any_hit).groupBy("doc_id").agg(F.max("length").alias("length"), *(F.sum(F.when(h, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, h in enumerate(hit)))
     found = tf.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
+    stats = index.stats.select("n", F.try_divide("total", "n").alias("mean"))
     # stats and found are one row each
-    rows = tf.join(index.lengths, "doc_id").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(found))
+    rows = tf.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(found))
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(LEAST_IDF))
         idf = F.when(F.col("n") - F.col(f"n{i}") <= F.col(f"n{i}"), F.lit(LEAST_IDF)).otherwise(idf)
         t = F.col(f"tf{i}").cast("double")
-        score = score - idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        score = score - idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.try_divide("length", "mean")))
     if every:
         for i in range(len(terms)):
             rows = rows.where(F.col(f"tf{i}") > 0)
     return rows.select("doc_id", score.alias("score"))
 
 
-def search(index: Index, query: str, limit: int = 20, every: bool = True, stemmed: bool = False) -> DataFrame:
+def search(index: Index, query: str, limit: int = 20, every: bool = True) -> DataFrame:
     """The best ``limit`` documents; ties go to the lower doc_id."""
-    return bm25(index, query_terms(query, stemmed), every).orderBy("score", "doc_id").limit(limit)
+    return bm25(index, query_terms(query, index.stemmed), every).orderBy("score", "doc_id").limit(limit)
+
+
+class SegmentedIndex:
+    """An index that changes with its documents.
+
+    What is new or changed is written as a further segment, with the ids whose older postings count no
+    more; nothing is rewritten. A posting is alive unless a later segment names its document. The number
+    of documents and of tokens is kept exactly, in each version's manifest. When the newest segments are
+    no smaller than half of the one before, they are merged into it without their dead postings, so there
+    are some log(documents) segments, and each posting is written as often.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, stemmed: bool = True):
+        self.store, self.stemmed = Store(spark, folder), stemmed
+        self.spark = spark
+
+    def _segments(self, manifest: dict) -> list[int]:
+        return sorted(int(n.split("-")[1]) for n in manifest["tables"] if n.startswith("postings-"))
+
+    def _alive(self, manifest: dict, kind: str, segments: Sequence[int] | None = None) -> DataFrame | None:
+        """Rows of ``kind`` of some segments (all) that no later segment names."""
+        every = self._segments(manifest)
+        out = None
+        for s in every if segments is None else segments:
+            rows = self.store._table(manifest["tables"][f"{kind}-{s}"]).withColumn("segment", F.lit(s))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return None
+        gone = self._gone(manifest, every)
+        if gone is None:
+            return out.drop("segment")
+        last = gone.groupBy("doc_id").agg(F.max("until").alias("until")).withColumnRenamed("doc_id", "gone")
+        return out.join(last, (F.col("doc_id") == F.col("gone")) & (F.col("segment") < F.col("until")), "left_anti").drop("segment")
+
+    def _gone(self, manifest: dict, segments: Sequence[int]) -> DataFrame | None:
+        out = None
+        for s in segments:
+            if manifest["tables"][f"gone-{s}"]["rows"]:
+                rows = self.store._table(manifest["tables"][f"gone-{s}"]).withColumn("until", F.lit(s))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def index(self, version: int | None = None) -> Index:
+        """What a search reads, as of a version."""
+        manifest = self.store.manifest(version)
+        postings = self._alive(manifest, "postings")
+        if postings is None:
+            postings = self.spark.createDataFrame([], "term string, doc_id long, tf long, length long")
+        notes = manifest["notes"]
+        stats = self.spark.range(1).select(F.lit(notes.get("n", 0)).cast("long").alias("n"), F.lit(notes.get("total", 0)).cast("long").alias("total"))
+        return Index(postings, stats, self.stemmed)
+
+    def apply(self, changed: DataFrame, removed: DataFrame | None = None, merge: bool = True) -> int:
+        """``changed(doc_id, text)``, one row each, in place of what the index has of them, and without
+        ``removed(doc_id)``. Returns the new version."""
+        parent = self.store.current()
+        manifest = self.store.manifest(parent)
+        segments = self._segments(manifest)
+        number = max(segments, default=0) + 1
+        keys = changed.select("doc_id")
+        keys = (keys.union(removed.select("doc_id")) if removed is not None else keys).distinct()
+        old = self._alive(manifest, "lengths")
+        replaced = workspace.save(old.join(keys, "doc_id", "left_semi")) if old is not None else None
+        lengths = workspace.save(lengths_of(changed))
+        total = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
+        more, less = total(lengths), total(replaced) if replaced is not None else (0, 0)
+        notes = {"n": manifest["notes"].get("n", 0) + more[0] - less[0], "total": manifest["notes"].get("total", 0) + more[1] - less[1]}
+        gone = replaced.select("doc_id") if replaced is not None else lengths.select("doc_id").limit(0)
+        version = self.store.publish({f"postings-{number}": in_order(postings_of(changed, self.stemmed)), f"lengths-{number}": lengths, f"gone-{number}": gone}, parent, notes)
+        for df in (replaced, lengths):
+            if df is not None:
+                workspace.drop(df)
+        return self.merge() if merge else version
+
+    def merge(self) -> int:
+        """The newest segments as one, while they are at least half as large as the one before."""
+        version = self.store.current()
+        manifest = self.store.manifest(version)
+        segments = self._segments(manifest)
+        size = {s: manifest["tables"][f"lengths-{s}"]["rows"] + manifest["tables"][f"gone-{s}"]["rows"] for s in segments}
+        first, held = len(segments) - 1, size[segments[-1]] if segments else 0
+        while first > 0 and 2 * held >= size[segments[first - 1]]:
+            first -= 1
+            held += size[segments[first]]
+        part = segments[first:]
+        if len(part) < 2:
+            return version
+        number = part[-1]
+        tables = {f"{kind}-{number}": self._alive(manifest, kind, part) for kind in ("postings", "lengths")}
+        tables[f"postings-{number}"] = in_order(tables[f"postings-{number}"])
+        gone = self._gone(manifest, part)
+        # of the oldest segment nothing is older, so nothing that it names is left
+        empty = tables[f"lengths-{number}"].select("doc_id").limit(0)
+        tables[f"gone-{number}"] = empty if first == 0 or gone is None else gone.select("doc_id").distinct()
+        return self.store.publish(tables, version, drop=[f"{kind}-{s}" for s in part[:-1] for kind in ("postings", "lengths", "gone")])
 
 
 def keyword_overlap(docs: DataFrame, keywords: Sequence[str], limit: int) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Text and facts out of HTML, by the standard library's parser in Arrow batches."""
+"""Visible text of HTML, by the standard library's parser in Arrow batches."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -49,10 +48,3 @@ def visible_text(html: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(visible_text)
-
-
-def section(text: Column, headings: tuple[str, ...], most: int = 2000) -> Column:
-    """What follows the first line that contains one of ``headings``, up to the next short line
-    that ends with a colon, at most ``most`` characters; null without such a line."""
-    pattern = r"(?is)(?:^|\n)[^\n]{0,60}(?:" + "|".join(headings) + r")[^\n]{0,40}\n(.+?)(?=\n[^\n]{1,60}:\n|$)"
-    return F.nullif(F.left(F.regexp_extract(text, pattern, 1), F.lit(most)), F.lit(""))

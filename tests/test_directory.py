@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwick import workspace
-from tarnwick.functions import jsonx, prompts
-from tarnwick.operators import directory, records, search
+from tarnwick.functions import jsonx, prompts, text
+from tarnwick.operators import directory, records, review, search
 
 
 def test_departments():
@@ -17,8 +17,8 @@ def test_departments():
 
 
 def test_pool_without_terms_and_small(spark):
-    people = spark.createDataFrame([(i, "F", f"L{9 - i}", "Active" if i else "Inactive", True, i) for i in range(6)], "id long, first_name string, last_name string, roster_status string, has_profile boolean, h_index long")
-    index = search.Index(spark.createDataFrame([], "doc_id long, term string, tf long"), spark.createDataFrame([], "doc_id long, length long"))
+    people = spark.createDataFrame([(i, "F", f"L{9 - i}", "Active" if i else "Inactive", True, i) for i in range(6)], "id long, first_name string, last_name string, eah_status string, has_profile boolean, h_index long")
+    index = search.Index(spark.createDataFrame([], "term string, doc_id long, tf long, length long"), spark.createDataFrame([(0, 0)], "n long, total long"))
     assert [r.id for r in directory.match_pool(people, index, [], limit=2).collect()] == [5, 4, 3, 2, 1]
     assert [r.id for r in directory.match_pool(people, index, ["x"], limit=9).orderBy("place").collect()] == [5, 4, 3, 2, 1]
     assert [r.id for r in directory.match_pool(people, index, ["x"], limit=2).collect()] == [5, 4]
@@ -69,3 +69,46 @@ def test_tables_are_dropped_but_those_still_read(spark):
     assert b.count() == 4 and workspace.mark() == begin + 1
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(a._scratch_path).count()
+
+
+def test_columns_of_a_person():
+    assert len(records.COLUMNS) == 50 == len(set(records.COLUMNS)) and set(records.NUMBERS) | set(records.LISTS) < set(records.COLUMNS)
+    assert [f.name for f in records.schema()] == records.COLUMNS
+
+
+def test_what_is_derived(spark):
+    rows = spark.createDataFrame([(1, "", None, ["k"], None, ["a", "b"]), (2, None, " ", [], [], None), (3, "", "", None, ["g"], [])], "id long, research_interests string, research_interests_enriched string, expertise_keywords array<string>, funded_grants array<string>, recent_publications array<string>")
+    got = records.derived(rows, F.lit("now")).orderBy("id").select("has_profile", "grants_count", "pubs_count", "updated_at").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 2, "now"), (1, 0, 0, "now"), (0, 1, 0, "now")]
+
+
+def test_several_decisions_about_one_person(spark):
+    """They are taken in turn: what the first writes, the second meets."""
+    people = spark.createDataFrame([(7, None, None, None, "ambiguous"), (8, "P", "o8", ["B1"], "auto"), (9, None, None, None, "ambiguous")], "id long, openalex_id string, orcid string, openalex_id_alt array<string>, identity_status string")
+    schema = "id long, person_id long, source string, external_id string, orcid string, status string, decided_at string"
+    candidates = spark.createDataFrame(
+        [(1, 7, "openalex", "A1", None, "pending", None), (2, 7, "openalex", "A2", "o2", "pending", None), (3, 7, "orcid", "o3", None, "pending", None), (4, 8, "openalex", "B1", None, "pending", None), (5, 8, "openalex", "P", None, "pending", None), (6, 9, "openalex", "C1", None, "rejected", "then"), (10, 9, "openalex", "C2", None, "pending", None)],
+        schema,
+    )
+    decide = lambda rows, **k: review.decided(people, candidates, spark.createDataFrame(rows, "id long, decision string, pos long"), F.lit("now"), **k)
+
+    state = decide([(1, "accept", 0), (2, "merge", 1), (4, "merge", 0), (5, "merge", 1), (6, "accept", 0)])
+    people_now = {r.id: (r.openalex_id, r.orcid, r.openalex_id_alt, r.identity_status) for r in state.people.collect()}
+    assert people_now == {7: ("A1", "o2", ["A2"], "confirmed"), 8: ("P", "o8", ["B1"], "auto"), 9: (None, None, None, "ambiguous")}
+    assert {r.id: r.status for r in state.candidates.collect()} == {1: "accepted", 2: "merged", 3: "pending", 4: "merged", 5: "merged", 6: "rejected", 10: "pending"}
+    assert sorted((r.person_id, r.new_value, r.field_updated, r.method) for r in state.log.collect()) == [(7, "A1", "openalex_id", "identity_accepted"), (7, "A2", "openalex_id_alt", "identity_merged"), (8, "B1", "openalex_id_alt", "identity_merged"), (8, "P", "openalex_id_alt", "identity_merged")]
+
+    # the other way round the merge is the acceptance, and the acceptance can't replace its profile
+    state = decide([(1, "accept", 1), (2, "merge", 0)])
+    assert [(r.openalex_id, r.openalex_id_alt) for r in state.people.where("id = 7").collect()] == [("A2", None)]
+    # of two decisions about one candidate the first counts; an acceptance that rejects siblings ends the batch
+    state = decide([(1, "reject", 0), (1, "accept", 1), (2, "accept", 2), (3, "accept", 3)], reject_siblings=True)
+    assert {r.id: r.status for r in state.candidates.where("person_id = 7").collect()} == {1: "rejected", 2: "accepted", 3: "rejected"}
+    assert state.people.count() == 3 and state.people.where("id = 7").first().orcid == "o2"
+
+
+def test_spelling_of_units(spark):
+    words = {"ANESTHESIA/PAIN MED-OB": "Anesthesia/Pain Med-Ob", "o'brien 3rd": "O'Brien 3Rd", "": "", "école  d'été": "École  D'Été"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.titled(F.col("w")).alias("t")).collect()
+    assert {r.w: r.t for r in rows} == words
+    assert spark.createDataFrame([(w,) for w in words], "w string").collect() and all(w.title() == t for w, t in words.items())

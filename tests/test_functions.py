@@ -40,6 +40,21 @@ def test_stems():
     assert stem.unaccented("García") == "Garcia"
 
 
+def test_stems_in_the_plan(spark):
+    """The expression, the SQL and the function for single words agree, on odd words too."""
+    import itertools
+
+    import duckdb
+
+    words = {a + b + c for a, b, c in itertools.product(["", "y", "by", "oat", "syll", "Ñandú", "troubl", "fizz", "hopp", "agr", "x1"], ["", "i", "at", "iv", "e", "ee", "al", "yy"], ["", "s", "ies", "sses", "ed", "ing", "eed", "y", "ation", "ization", "fulness", "ical", "ement", "ion", "sion", "ll", "e", "ize"])} - {""}
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", stem.stem(F.col("w")).alias("s")).collect()}
+    assert got == {w: stem.porter(stem.unaccented(w.lower())) for w in words}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE words (raw VARCHAR)")
+    duck.executemany("INSERT INTO words VALUES (?)", [[w] for w in words])
+    assert dict(duck.execute(stem.stem_sql("raw")).fetchall()) == got
+
+
 def test_json_recovery():
     assert jsonx.recover('{"a": 1}') == '{"a": 1}'
     assert jsonx.recover('x\n```json\n[1]\n```') == "[1]"

@@ -14,8 +14,8 @@ def test_bm25_by_hand(spark):
     idf = max(1e-6, math.log((n - 2 + 0.5) / (2 + 0.5)) if n - 2 > 2 else 1e-6)
     assert got[1] == pytest.approx(-idf * 1 * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 4 / mean)))
     assert got[2] < got[1]
-    stemmed = search.build_index(docs, stemmed=True)
-    find = lambda q: [r.doc_id for r in search.search(stemmed, q, stemmed=True).collect()]
+    stemmed = search.build_index(docs)
+    find = lambda q: [r.doc_id for r in search.search(stemmed, q).collect()]
     assert find("genomic") == [1] and find("connection") == [4] and find("garcia") == [4] and find("x") == []
 
 
@@ -106,3 +106,16 @@ def test_tier_four_only_for_the_rest(spark):
     people = spark.createDataFrame([(1, "Jane", "Smith", ""), (2, "Jan", "Smithe", "")], "person_id long, first string, last string, email string")
     roster = spark.createDataFrame([(5, 0, "Janet", "Smith", ""), (6, 1, "Jane", "Smith", "")], "roster_id long, pos long, first string, last string, email string")
     assert {(r.person_id, r.roster_id, r.tier) for r in linkage.tiered_match(people, roster).collect()} == {(1, 6, 3), (2, 5, 4)}
+
+
+def test_tier_four_takes_whole_first_names(spark):
+    """Three letters in common are enough for tiers 1 and 2 only."""
+    people = spark.createDataFrame([(1, "Danny", "Lee", ""), (2, "Maria", "Soto", ""), (3, "Dan", "Lee", ""), (4, "Danny", "Lee", "d@x.org"), (5, "J.", "Soto", ""), (6, "Ann", "Ng-Wu", ""), (7, "", "Lee", ""), (8, "Li", "O", "")], "person_id long, first string, last string, email string")
+    roster = spark.createDataFrame([(10, 0, "Daniel", "Lee", "d@x.org"), (11, 1, "Mario", "Soto", ""), (12, 2, "Jo-Ann", "De Soto", ""), (13, 3, "Anna", "Wu", ""), (14, 4, "", "Lee", ""), (15, 5, "Lily", "Okafor", "")], "roster_id long, pos long, first string, last string, email string")
+    assert {(r.person_id, r.roster_id, r.tier) for r in linkage.tiered_match(people, roster).collect()} == {(3, 10, 4), (4, 10, 1), (5, 12, 4), (6, 13, 4), (8, 15, 4)}
+
+
+def test_the_last_of_equal_keys_counts_at_the_place_of_the_first(spark):
+    people = spark.createDataFrame([(1, "Al", "Roy", "")], "person_id long, first string, last string, email string")
+    roster = spark.createDataFrame([(5, 0, "Alan", "Roy", ""), (6, 1, "Alma", "Roy", ""), (7, 2, "Alan", "Roy", "")], "roster_id long, pos long, first string, last string, email string")
+    assert [(r.roster_id, r.tier) for r in linkage.tiered_match(people, roster).collect()] == [(7, 4)]
