@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import workspace
-from tarnwick.catalog import query, table
+from tarnwick.catalog import _FOLD_SQL, _candidates, query, table
+from tarnwick.operators import budget, identity, merge, review
+from tarnwick.plans import incremental
+from tarnwick.sources import files
 from tarnwick.streaming import cooldown, harvest
 from tarnwick.versions import Store
 
@@ -77,3 +80,130 @@ def q_cooldown_stream(spark, d):
     judged = judged.select(F.col("user_id").alias("key"), F.col("event_type").alias("row"), F.col("ts").cast("timestamp").alias("stamp"), F.when(F.col("value") < 250, "ours").otherwise("theirs").alias("model"))
     changes = cooldown.into_folder(cooldown.freshness(judged, "ours", 10), f"{folder}/out", f"{folder}/checkpoint")
     return cooldown.latest(changes).select("key", F.col("fresh_until").cast("timestamp_ntz").alias("fresh_until"))
+
+
+# Incremental enrichment
+
+#: What a line says: a publication, a grant or an award, each of its own shape, some as bare texts.
+_ENTRY_SQL = """CASE l_linenumber % 3 WHEN 0 THEN 'funded_grants' WHEN 1 THEN 'recent_publications' ELSE 'awards' END AS field, l_returnflag AS source, CASE l_returnflag WHEN 'A' THEN 0.9 WHEN 'R' THEN 0.8 ELSE 0.75 END AS confidence"""
+_SAID_SQL = f"""SELECT *, CASE field WHEN 'recent_publications' THEN CASE WHEN doi IS NOT NULL THEN 'doi:' || lower(doi) ELSE 'title:part' || l_partkey % 20 END WHEN 'funded_grants' THEN 'grant' || l_partkey % 5 ELSE 'prize' || l_suppkey % 4 || CASE WHEN yr % 2 = 0 THEN yr::VARCHAR ELSE '' END END AS key
+    FROM (SELECT *, {_ENTRY_SQL}, year(l_shipdate) AS yr, CASE WHEN l_linestatus = 'F' THEN '10.1/X' || l_suppkey % 7 END AS doi, l_partkey * 1000000000 + l_suppkey * 10000 + l_quantity::BIGINT * 100 + l_linenumber AS pos FROM lineitem)"""
+_MERGED_SQL = f"""SELECT l_orderkey AS person_id, field, key, sources, source, row_number() OVER (PARTITION BY l_orderkey, field ORDER BY CASE WHEN field = 'recent_publications' THEN yr END DESC NULLS LAST, confidence DESC, source, pos) AS place FROM (
+    SELECT *, list_sort(list(DISTINCT source) OVER (PARTITION BY l_orderkey, field, key)) AS sources, row_number() OVER (PARTITION BY l_orderkey, field, key ORDER BY confidence DESC, source, pos) AS n FROM ({_SAID_SQL})) WHERE n = 1"""
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    """Contributions of lines, their entries as JSON of three shapes."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    k, year, source = F.col("l_linenumber"), F.year("l_shipdate"), F.col("l_returnflag")
+    doi = F.when(F.col("l_linestatus") == "F", text("10.1/X", F.col("l_suppkey") % 7))
+    publication = F.to_json(F.struct(text("Part ", F.col("l_partkey") % 20).alias("title"), year.alias("year"), doi.alias("doi")))
+    grant = F.when(source == "A", F.to_json(F.struct(text("GRANT-", F.col("l_partkey") % 5).alias("title"), F.lit("NIH").alias("agency")))).otherwise(F.to_json(F.struct(F.lit("").alias("title"), text("grant ", F.col("l_partkey") % 5).alias("agency"))))
+    award = F.when(year % 2 == 0, F.to_json(F.struct(text("Prize ", F.col("l_suppkey") % 4).alias("name"), year.cast("string").alias("year")))).otherwise(text('"Prize ', F.col("l_suppkey") % 4, '"'))
+    field = F.when(k % 3 == 0, "funded_grants").when(k % 3 == 1, "recent_publications").otherwise("awards")
+    entry = F.when(k % 3 == 0, grant).when(k % 3 == 1, publication).otherwise(award)
+    confidence = F.when(source == "A", 0.9).when(source == "R", 0.8).otherwise(0.75)
+    pos = F.col("l_partkey") * 1000000000 + F.col("l_suppkey") * 10000 + F.col("l_quantity").cast("long") * 100 + k
+    return rows.select(F.col("l_orderkey").alias("person_id"), field.alias("field"), source.alias("source"), confidence.alias("confidence"), pos.alias("pos"), entry.alias("entry"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Merged entries by the key that tells them apart, which all shapes of an entry share."""
+    entry = F.try_parse_json("entry")
+    return rows.select("person_id", "field", merge.variant_key(F.col("field"), entry).alias("key"), "sources", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT person_id, field, key, sources, place FROM ({_MERGED_SQL}) WHERE place <= CASE field WHEN 'funded_grants' THEN 25 ELSE 20 END")
+def q_merge_variants(spark, d):
+    said = _said(table(spark, d, "lineitem")).withColumn("entry", F.try_parse_json("entry"))
+    return _keyed(merge.merge_entries(said, ["person_id"]).withColumn("entry", F.to_json("entry")))
+
+
+@query(f"""SELECT l_orderkey AS person_id, field, min(CASE source WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' ELSE 'C' END) AS best, max(confidence)::DOUBLE AS confidence, count(DISTINCT source) > 1 AS several FROM ({_SAID_SQL}) GROUP BY ALL""")
+def q_merge_provenance(spark, d):
+    said = merge.provenance(_said(table(spark, d, "lineitem")), ["person_id"])
+    name = F.substring_index("source_name", "+", 1)
+    return said.select("person_id", "field", F.when(name == "A", "A").when(name == "R", "B").otherwise("C").alias("best"), "confidence", F.endswith("source_name", F.lit("+merge")).alias("several"))
+
+
+@query(f"SELECT person_id, field, key, sources, place FROM ({_MERGED_SQL}) WHERE place <= CASE field WHEN 'funded_grants' THEN 25 ELSE 20 END")
+def q_enrich_stream(spark, d):
+    """Lines in two micro-batches, by flag, so each brings what other sources say of the same people; then
+    the second again, as after a failure."""
+    folder = _folder(spark, "enrich")
+    lines = table(spark, d, "lineitem")
+    store = Store(spark, f"{folder}/store")
+    for part in ("l_returnflag <> 'R'", "l_returnflag = 'R'"):
+        lines.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        incremental.enrich_stream(stream, _said, store, f"{folder}/checkpoint")
+    incremental.apply_batch(store, _said(lines.where("l_returnflag = 'R'")), 1)
+    return _keyed(incremental.profiles(store).select("person_id", F.explode("entries").alias("e")).select("person_id", "e.*"))
+
+
+# Budgets
+
+_QUEUE_SQL = """SELECT *, row_number() OVER (ORDER BY ts, event_id) AS place, coalesce(sum((event_type IN ('click', 'view'))::INT) OVER w, 0) AS used, coalesce(sum(round(value * 100)::BIGINT) OVER w, 0) AS spent FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@query(f"SELECT event_id, event_type IN ('click', 'view') AND used < 700 AS granted FROM ({_QUEUE_SQL})")
+def q_lookup_budget(spark, d):
+    rows = table(spark, d, "events")
+    return budget.with_lookups(rows, ["ts", "event_id"], F.col("event_type").isin("click", "view"), 700).select("event_id", "granted")
+
+
+@query(f"SELECT event_id, place FROM ({_QUEUE_SQL}) WHERE spent <= 9997000")
+def q_time_budget(spark, d):
+    cents = F.round(F.col("value") * 100).cast("long")
+    return budget.within_time(table(spark, d, "events"), ["ts", "event_id"], cents, 10_000_000, 3000).select("event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH q AS (SELECT event_id, place, failed, count(*) FILTER (WHERE failed) OVER (ORDER BY place ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AND place >= 5 AS ends FROM (SELECT event_id, value < 120 AS failed, row_number() OVER (ORDER BY event_id DESC) AS place FROM events)) SELECT event_id, place FROM q WHERE place <= coalesce((SELECT min(place) FROM q WHERE ends), 1000000000)""")
+def q_failures_in_a_row(spark, d):
+    rows = budget.until_failures(table(spark, d, "events"), [F.col("event_id").desc()], F.col("value") < 120, 5)
+    return rows.select("event_id", F.col("place").cast("long").alias("place"))
+
+
+_SWEEP_SQL = f"""{_FOLD_SQL}, r AS (SELECT person, members, members[1].score AS top, round(members[1].score - runner, 9) > 0.05 AS clear, len(members) AS size, canonical, list_filter(members, lambda m: m.id = canonical)[1] AS c FROM last JOIN chosen USING (person)),
+    p AS (SELECT *, size > 1 AND clear AND top >= 0.9 AS tie FROM r), q AS (SELECT *, NOT tie AND clear AND c.aff AND c.orcid IS NOT NULL AS asks FROM p),
+    u AS (SELECT *, asks AND coalesce(sum(asks::INT) OVER (ORDER BY person ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS looked_up FROM q),
+    o AS (SELECT *, CASE WHEN tie THEN 'accepted_tie_collapse' WHEN looked_up AND c.orcid = 'o1' THEN 'accepted_orcid_corroboration' ELSE 'left_pending' END AS outcome FROM u)"""
+
+
+def _swept(spark, d) -> DataFrame:
+    people = _candidates(spark, d).withColumns({"status_before": F.lit("unresolved"), "corroborated": F.lit(False), "fallback_ok": F.lit(False), "first": F.lit("Ann"), "last": F.lit("Lee")})
+    verified = spark.createDataFrame([("https://orcid.org/o1", True, 1.0, True, False), ("O0", False, 1.0, True, False)], "orcid string, employed boolean, name_similarity double, unique_hit boolean, email_match boolean")
+    return review.swept(identity.resolve(people), verified, ["person"], 5)
+
+
+@query(f"""{_SWEEP_SQL} SELECT person, outcome, looked_up, CASE WHEN outcome <> 'left_pending' THEN canonical END AS chosen, CASE WHEN tie THEN len(members) END AS n_members, CASE WHEN tie AND c.orcid IS NULL THEN list_filter(members, lambda m: m.orcid IS NOT NULL)[1].orcid END AS adopted_orcid FROM o""")
+def q_swept(spark, d):
+    return _swept(spark, d).select("person", "outcome", "looked_up", "chosen", F.size("members").cast("long").alias("n_members"), "adopted_orcid")
+
+
+@query(f"""{_SWEEP_SQL} SELECT count(*) AS people_seen, count(*) FILTER (WHERE outcome = 'accepted_tie_collapse') AS accepted_tie_collapse, count(*) FILTER (WHERE outcome = 'accepted_orcid_corroboration') AS accepted_orcid_corroboration, 0::BIGINT AS accepted_orcid_fallback, count(*) FILTER (WHERE outcome = 'left_pending') AS left_pending, count(*) FILTER (WHERE looked_up) AS orcid_lookups FROM o""")
+def q_sweep_counts(spark, d):
+    return review.sweep_counts(_swept(spark, d))
+
+
+# A roster in splits
+
+
+@query(r"""SELECT doc_id, 2 * doc_id AS pos, text, source || ',"' || lang AS tag, '' AS blank FROM documents""")
+def q_roster_scan(spark, d):
+    """The documents as a roster extract with quotes, commas and line ends in its fields and a blank line
+    after each row, read in splits of 64 KB."""
+    folder = _folder(spark, "roster")
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.base64(F.encode("text", "UTF-8"))), quoted(F.concat("source", F.lit(',"'), "lang")), quoted(F.concat(F.lit("a\r\n"), F.col("doc_id").cast("string"), F.lit('\n"b"\n'))), F.lit(""))
+    head = spark.createDataFrame([(-1, "extract\n\"of\nrosters\nid,text,tag,odd,blank")], "doc_id long, line string")
+    rows = head.unionByName(table(spark, d, "documents").select("doc_id", F.concat(row, F.lit("\r\n")).alias("line")))
+    rows.orderBy("doc_id").coalesce(1).select("line").write.text(folder)
+    width = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = files.roster_csv(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+    odd = F.col("odd") == F.concat(F.lit("a\r\n"), F.col("id"), F.lit('\n"b"\n'))
+    return got.where(odd).select(F.col("id").cast("long").alias("doc_id"), "pos", F.decode(F.unbase64("text"), "UTF-8").alias("text"), "tag", "blank")

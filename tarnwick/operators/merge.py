@@ -34,6 +34,49 @@ def merge_lists(rows: DataFrame, by: Sequence[str], key: str, order: Sequence[Co
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*output_order))).where(F.col("place") <= cap)
 
 
+def variant_key(field: Column, entry: Column) -> Column:
+    """:func:`entry_key` of an entry of any shape: an object with the fields that its kind has, or a text."""
+    parts = F.struct(
+        (~F.startswith(F.schema_of_variant(entry), F.lit("OBJECT"))).alias("simple"), F.try_variant_get(entry, "$", "string").alias("text"),
+        *(F.try_variant_get(entry, f"$.{c}", "string").alias(c) for c in ("title", "name", "doi", "patent_number", "year", "agency")),
+    )
+
+    def key(x: Column) -> Column:
+        title = F.when(x["simple"], x["text"]).when(field == "awards", x["name"]).otherwise(x["title"])
+        keyed = entry_key(field, title, x["doi"], x["patent_number"], x["year"], x["agency"])
+        # of other lists an object is its JSON
+        return F.when(x["simple"] | field.isin("recent_publications", "funded_grants", "patents", "awards"), keyed).otherwise(title_key(F.to_json(entry)))
+
+    # in an array of one, so that the parts are taken out of the variant once
+    return F.get(F.transform(F.array(parts), key), F.lit(0))
+
+
+def merge_entries(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows(*by, field, source, confidence, pos, entry)``, the entry a variant of whatever shape its
+    source has, as *by, field, place, entry, sources: of entries with one key the most confident
+    source's, in the order of confidence, source and place (publications by falling year first), as many
+    as the field keeps. ``sources`` are all that have the entry."""
+    keyed = rows.withColumn("_key", variant_key(F.col("field"), F.col("entry")))
+    keyed = keyed.where((F.coalesce("_key", F.lit("")) != "") & (F.col("_key") != "title:"))
+    order = [F.col("confidence").desc(), F.col("source"), F.col("pos")]
+    same = Window.partitionBy(*by, "field", "_key")
+    first = keyed.withColumns({"_n": F.row_number().over(same.orderBy(*order)), "sources": F.array_sort(F.collect_set("source").over(same))}).where("_n = 1")
+    year = F.when(F.col("field") == "recent_publications", F.coalesce(F.try_variant_get("entry", "$.year", "int"), F.lit(0)))
+    cap = F.lit(20)
+    for field, most in CAPS.items():
+        cap = F.when(F.col("field") == field, most).otherwise(cap)
+    placed = first.withColumn("_year", year).withColumn("place", F.row_number().over(Window.partitionBy(*by, "field").orderBy(F.col("_year").desc_nulls_last(), *order)))
+    return placed.where(F.col("place") <= cap).select(*by, "field", "place", "entry", "sources")
+
+
+def provenance(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What the log says of each field that ``rows`` (as for :func:`merge_entries`) fill: source_name, that
+    of the most confident source, with +merge if there are several, and its confidence."""
+    best = F.struct((-F.col("confidence")).alias("c"), F.col("source").alias("s"))
+    grouped = rows.groupBy(*by, "field").agg(F.min(best).alias("best"), F.count_distinct("source").alias("n"))
+    return grouped.select(*by, "field", F.concat("best.s", F.when(F.col("n") > 1, "+merge").otherwise("")).alias("source_name"), (-F.col("best.c")).alias("confidence"))
+
+
 def merge_scalars(rows: DataFrame, by: Sequence[str], confidence: str, source: str, fields: Sequence[str]) -> DataFrame:
     """For each field the value of the most confident source that has one (the empty string is
     none), ties by the source's name; one aggregation, combined before the shuffle."""

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions.names import similarity
-from tarnwick.operators.identity import LEAST_SCORE, RECORD_NAME, corroboration, decide, merge_reason, no_footprint, with_alternate
+from tarnwick.functions.text import last_path_part
+from tarnwick.operators.budget import with_lookups
+from tarnwick.operators.identity import AUTO_SCORE, LEAST_SCORE, RECORD_NAME, TIE_MARGIN, best_name, corroboration, decide, merge_reason, no_footprint, with_alternate
 from tarnwick.operators.rules import first_match
 
 #: The score of a candidate found by the person register alone, and how many spellings are tried.
@@ -241,3 +243,56 @@ def resweep(resolved: DataFrame) -> DataFrame:
     return each.select("person", external.alias("external_id"), decision.alias("decision"))
 
 
+
+
+def swept(people: DataFrame, verified: DataFrame, order: Sequence[str], most_lookups: int | None = None) -> DataFrame:
+    """A pass over people whose candidates are pending, in the queue's ``order``, by the conservative rules:
+    person, outcome, looked_up, chosen, members and adopted_orcid.
+
+    ``people(person, candidates, first, last, *order)`` have what :func:`tarnwick.operators.identity.resolve`
+    adds (clique, chosen, runner_up); ``verified(orcid, employed, name_similarity, unique_hit, email_match)``
+    is what the register says of an ORCID where it was looked up. Tiers: a clear lead of several profiles of one
+    person with a good score is accepted; a clear lead whose ORCID may corroborate it is if the register
+    confirms employment and name; a register's own candidate is if it qualifies by what was verified.
+    The latter two cost a look-up each, which the first ``most_lookups`` in line get; the rest stay pending."""
+    top, c = F.get("candidates", F.lit(0))["score"], F.col("chosen")
+    clear = F.round(top - F.col("runner_up"), 9) > TIE_MARGIN
+    several, index = F.size("clique.cluster") > 1, F.coalesce(c["source"] == "openalex", F.lit(False))
+    tie = F.coalesce(several & clear & (top >= AUTO_SCORE), F.lit(False))
+    name = best_name(F.col("first"), F.col("last"), F.array(c["display_name"]))
+    exact = exact_primary_name(F.col("first"), F.col("last"), c["display_name"])
+    precheck = index & F.coalesce(clear, F.lit(False)) & may_corroborate(c["source"], name, exact, c["current"] | c["listed"], c["orcid"])
+    register = F.coalesce(c["source"] == "orcid", F.lit(False))
+    rows = people.withColumns({"_tie": tie, "_precheck": ~tie & precheck, "_register": ~tie & ~precheck & register})
+    rows = with_lookups(rows, order, F.col("_precheck") | F.col("_register"), most_lookups)
+    asked = F.when(F.col("granted"), last_path_part(F.when(F.col("_register"), c["external_id"]).otherwise(c["orcid"])))
+    v = verified.select(last_path_part(F.col("orcid")).alias("_orcid"), F.struct("employed", "name_similarity", "unique_hit", "email_match").alias("v"))
+    rows = rows.withColumn("_asked", asked).join(v, F.col("_asked") == F.col("_orcid"), "left")
+    confirmed = F.col("_precheck") & corroborates(F.col("v.employed"), F.col("v.name_similarity"))
+    qualified = F.col("_register") & fallback_qualifies(F.col("v.email_match"), F.col("v.unique_hit"), F.col("v.employed"), F.col("v.name_similarity"))
+    outcome = first_match([(F.col("_tie"), "accepted_tie_collapse"), (confirmed, "accepted_orcid_corroboration"), (qualified, "accepted_orcid_fallback")], "left_pending")
+    # the profile that is accepted of a clique takes over the ORCID of the first other one that has one
+    orcids = F.filter(F.transform("clique.cluster", lambda m: m["orcid"]), lambda o: o.isNotNull())
+    adopted = F.when(F.col("_tie") & c["orcid"].isNull(), F.get(orcids, F.lit(0)))
+    members = F.when(outcome == "accepted_tie_collapse", F.transform("clique.cluster", lambda m: m["external_id"]))
+    return rows.select("person", outcome.alias("outcome"), "granted", F.when(outcome != "left_pending", c["external_id"]).alias("chosen"), members.alias("members"), adopted.alias("adopted_orcid")).withColumnRenamed("granted", "looked_up")
+
+
+def sweep_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of what a pass did."""
+    kinds = ("accepted_tie_collapse", "accepted_orcid_corroboration", "accepted_orcid_fallback", "left_pending")
+    return outcomes.agg(F.count("*").alias("people_seen"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds), F.count_if("looked_up").alias("orcid_lookups"))
+
+
+def merge_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of what :func:`merge_outcomes` found: how many of each reason, and how many people are
+    touched; the same for a dry run, which stops here."""
+    reasons = ("merged", "skipped_no_primary", "skipped_llm_reject", "skipped_no_orcid_match", "not_eligible")
+    return outcomes.agg(*(F.count_if(F.col("reason") == r).alias(r) for r in reasons), F.count_distinct(F.when(F.col("reason") == "merged", F.col("person_id"))).alias("people_touched"))
+
+
+def auto_merged(people: DataFrame, candidates: DataFrame, now: Column) -> State:
+    """The candidates that :func:`merge_outcomes` finds to be other profiles of their people, merged."""
+    hits = merge_outcomes(candidates, people).where("reason = 'merged'")
+    state = decided(people, candidates, hits.select("id", F.lit("merge").alias("decision")), now)
+    return State(state.people, state.candidates, state.log.withColumn("method", F.lit("identity_auto_merge")))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tarnwick import workspace
 
 MOST_CHARACTERS = 60_000
 
@@ -19,37 +18,51 @@ def roster_csv(spark: SparkSession, path: str, preamble: int = 3) -> DataFrame:
     """A Latin-1 CSV whose header follows ``preamble`` lines, all columns as strings, and pos (the place
     in its file). Columns are those of the first file; others may order them otherwise.
 
-    The text source can't decode Latin-1 and the CSV source can't skip lines, so each file is read
-    whole (extracts are files of some MB, many of which may be read) and parsed as a stream.
+    Files are read by lines, in splits, however large they are. A line begins a record if an even number
+    of quotes stands before it, which the sums of the splits tell without reading one after the other;
+    lines are put together to records, and each is parsed by itself. As the format asks, a quote within a
+    field is doubled and the field quoted. A row that ends early has blank cells, a blank one is left out.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.select("path").agg(F.min("path").alias("path")).first()["path"]
-    lines = F.split(F.decode("content", "ISO-8859-1"), "\r?\n", preamble + 2)
-    head = files.where(F.col("path") == first).select(F.get(lines, F.lit(preamble)).alias("header")).first() if first else None
-    if head is None or not head["header"]:
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"),
+    )
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    first = F.col("block") == 0
+    lines = raw.withColumn("n", F.when(first, F.row_number().over(in_block))).where(F.col("n").isNull() | (F.col("n") > preamble))
+    quotes = lambda x: F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))
+    lines = workspace.save(lines.withColumn("quotes", quotes(F.col("line")).cast("long")).drop("n"))
+
+    # a row for each split: does it begin within a quoted field
+    over_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("quotes").over(over_blocks), F.lit(0)) % 2).alias("open"))
+    before = F.coalesce(F.sum("quotes").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("open")
+    marked = workspace.save(lines.join(blocks, ["file", "block"]).withColumn("begins", (before % 2 == 0).cast("long")).drop("quotes", "open"))
+
+    # and how many records begin before it
+    begun = marked.groupBy("file", "block").agg(F.sum("begins").alias("begins"))
+    begun = begun.select("file", "block", F.coalesce(F.sum("begins").over(over_blocks), F.lit(0)).alias("records"))
+    numbered = marked.join(begun, ["file", "block"]).withColumn("pos", F.col("records") + F.sum("begins").over(in_block) - 2)
+    whole = numbered.groupBy("file", "pos").agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("lines"))
+    records = whole.select("file", "pos", F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), "\r$", "").alias("record"))
+    records = workspace.save(records)
+    workspace.drop(lines)
+    workspace.drop(marked)
+
+    # the record before the first is the header
+    heads = {r.file: next(csv.reader([r.record]), []) for r in records.where("pos = -1").collect()}  # a row for each file
+    if not heads or not heads[min(heads)]:
         return spark.createDataFrame([], "pos long")
-    names = next(csv.reader([head["header"]]))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("pos", pa.int64()), *((n, pa.string()) for n in names)])
-        for batch in batches:
-            for content in batch.column(0):
-                stream = io.TextIOWrapper(io.BytesIO(content.as_py()), "iso-8859-1", newline="")
-                for _ in range(preamble):
-                    stream.readline()
-                rows = csv.reader(stream)
-                place = {n: i for i, n in reversed(list(enumerate(next(rows, []))))}
-                held: list[list] = []
-                for pos, row in enumerate(rows):
-                    if any(cell.strip() for cell in row):
-                        held.append([pos, *(row[place[n]] if n in place and place[n] < len(row) else None for n in names)])
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return files.select("content").mapInArrow(parse, T.StructType([T.StructField("pos", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
+    names = heads[min(heads)]
+    widest = max(map(len, heads.values()))
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(widest)), {"escape": '"', "nullValue": "\x00", "emptyValue": "", "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    # where each column stands in each file
+    places = spark.createDataFrame([(f, [head.index(n) if n in head else None for n in names]) for f, head in heads.items()], "file string, places array<int>")
+    rows = records.where("pos >= 0").withColumn("cells", F.array(*(cells[f"c{i}"] for i in range(widest)))).join(places, "file")
+    rows = rows.where(F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
+    cell = lambda at: F.when(at.isNotNull(), F.coalesce(F.get("cells", at), F.lit("")))
+    return rows.select("pos", *(cell(F.get("places", F.lit(i))).alias(n) for i, n in enumerate(names)))
 
 
 def directory_json(spark: SparkSession, path: str, items: str = "faculty") -> tuple[DataFrame, DataFrame]:

@@ -49,18 +49,18 @@ class Cooldown(StatefulProcessor):
         return pd.DataFrame({"key": [key[0]], "fresh_until": pd.Series([until], dtype="datetime64[ns]"), "at": pd.Series([at], dtype="datetime64[ns]")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for batch in rows:
-            for row, stamp, model, gone in zip(batch["row"], batch["stamp"], batch["model"], batch["gone"], strict=True):
-                stamp = None if pd.isna(stamp) else stamp.to_pydatetime()
-                held = self.rows.getValue((row,)) if self.rows.containsKey((row,)) else None
-                if stamp is not None:
-                    newest = stamp if newest is None else max(newest, stamp)
-                if gone:
-                    if held is not None:
-                        self.rows.removeKey((row,))
-                elif held is None or held[0] is None or (stamp is not None and stamp >= held[0]):
-                    self.rows.updateValue((row,), (stamp, model))
+        batch = pd.concat(list(rows))
+        newest = batch["stamp"].max()
+        # of a row's judgements in a micro-batch only the last one can count
+        batch = batch.sort_values("stamp", kind="stable", na_position="first").groupby("row", sort=False).tail(1)
+        for row, stamp, model, gone in zip(batch["row"], batch["stamp"], batch["model"], batch["gone"], strict=True):
+            stamp = None if pd.isna(stamp) else stamp.to_pydatetime()
+            held = self.rows.getValue((row,)) if self.rows.containsKey((row,)) else None
+            if gone:
+                if held is not None:
+                    self.rows.removeKey((row,))
+            elif held is None or held[0] is None or (stamp is not None and stamp >= held[0]):
+                self.rows.updateValue((row,), (stamp, model))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         until = self._until()

@@ -228,3 +228,10 @@ def capture(pages: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     return pages.select("token", "xml").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def bucketed(table: DataFrame, name: str, buckets: int) -> DataFrame:
+    """The harvested table written in the warehouse by author, so that looking people up shuffles the people
+    alone, never the table."""
+    table.write.mode("overwrite").bucketBy(buckets, "author_norm").sortBy("author_norm").saveAsTable(name)
+    return table.sparkSession.table(name)
