@@ -498,8 +498,8 @@ def q_tier_linkage(spark, d):
 
 
 @query(f"""{_LINKED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY person_id) = 1 AS claimed FROM linked)
-    SELECT c_custkey AS person_id, roster_id, CASE WHEN roster_id IS NULL AND c_nationkey = 3 THEN 'frozen' WHEN roster_id IS NULL THEN 'inactive' WHEN NOT claimed THEN 'duplicate' WHEN s_nationkey <> c_nationkey THEN 'moved' ELSE 'matched' END AS outcome,
-    CASE WHEN roster_id IS NOT NULL AND claimed AND s_nationkey <> c_nationkey THEN s_nationkey ELSE c_nationkey END::VARCHAR AS division
+    SELECT c_custkey AS person_id, roster_id, CASE WHEN roster_id IS NULL AND c_nationkey = 3 THEN 'frozen' WHEN roster_id IS NULL THEN 'inactive' WHEN NOT claimed THEN 'duplicate' WHEN s_nationkey = 3 THEN 'kept' WHEN s_nationkey <> c_nationkey THEN 'moved' ELSE 'matched' END AS outcome,
+    CASE WHEN roster_id IS NOT NULL AND claimed AND s_nationkey <> 3 AND s_nationkey <> c_nationkey THEN s_nationkey ELSE c_nationkey END::VARCHAR AS division
     FROM customer LEFT JOIN c ON person_id = c_custkey LEFT JOIN supplier ON s_suppkey = roster_id
     UNION ALL SELECT NULL, s_suppkey, 'new', s_nationkey::VARCHAR FROM supplier WHERE s_nationkey <> 3 AND s_suppkey NOT IN (SELECT roster_id FROM linked)""")
 def q_reconcile(spark, d):
@@ -712,4 +712,4 @@ def q_rank_matches(spark, d):
     return ranked.select(F.col("doc_id").alias("person"), F.col("rank").cast("long").alias("rank"), "score")
 
 
-from tarnwick import catalog_pages, catalog_people, catalog_streams  # noqa: E402, F401  (their queries register themselves)
+from tarnwick import catalog_lookups, catalog_pages, catalog_people, catalog_streams  # noqa: E402, F401  (their queries register themselves)

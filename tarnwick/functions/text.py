@@ -56,6 +56,16 @@ def expand_keywords(terms: Column) -> Column:
     return F.array_distinct(F.concat(clean, words))
 
 
+def requirement_keywords(themes: Column, expertise: Column, qualifications: Column) -> Column:
+    """What a call is searched by: its themes and areas of expertise whole and by their words, of its
+    qualifications the words alone; words have more than three characters, all are lower case, each once."""
+    none = F.array().cast("array<string>")
+    some = lambda x: F.transform(F.coalesce(x, none), lambda t: F.lower(t))
+    words = lambda xs: F.filter(F.flatten(F.transform(xs, lambda t: F.split(t, r"(?U)\s+"))), lambda w: F.length(w) > 3)
+    whole = F.transform(F.concat(some(themes), some(expertise)), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+    return F.array_distinct(F.concat(whole, words(whole), words(some(qualifications))))
+
+
 def last_path_part(x: Column) -> Column:
     """An identifier without the address before it, in upper case."""
     return F.upper(F.element_at(F.split(F.trim(x), "/"), -1))

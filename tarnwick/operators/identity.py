@@ -43,51 +43,77 @@ def best_name(first: Column, last: Column, names: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(names, one)), F.lit(0.0))
 
 
+def _prepared(c: Column) -> Column:
+    """What :func:`same_person` compares of a candidate, worked out once: the parts of its name as letters,
+    its domains in lower case, whether it is affiliated."""
+    words = F.split(F.trim(F.coalesce(c["display_name"], F.lit(""))), r"\s+")
+    middle = F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), "")
+    domains = F.transform(F.coalesce(c["domains"], F.array().cast("array<string>")), lambda d: F.lower(d))
+    whole = F.when(F.size(words) >= 2, F.concat(letters_only(F.get(words, F.lit(0))), F.lit(" "), letters_only(F.element_at(words, -1))))
+    return F.struct(c["orcid"].alias("orcid"), whole.alias("name"), letters_only(middle).alias("middle"), domains.alias("domains"), F.coalesce(c["current"] | c["listed"], F.lit(False)).alias("affiliated"))
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Two prepared candidates. Names agree if first and last words do; what stands between may be missing
+    or shortened in one."""
+    both = a["orcid"].isNotNull() & b["orcid"].isNotNull()
+    short = (a["middle"] == "") | (b["middle"] == "") | F.startswith(a["middle"], b["middle"]) | F.startswith(b["middle"], a["middle"])
+    apart = (F.size(a["domains"]) > 0) & (F.size(b["domains"]) > 0) & ~F.arrays_overlap(a["domains"], b["domains"])
+    near = a["affiliated"] & b["affiliated"] & (a["name"] == b["name"]) & short & ~apart
+    return F.coalesce(F.when(both, a["orcid"] == b["orcid"]).otherwise(near), F.lit(False))
+
+
 def display_names_agree(a: Column, b: Column) -> Column:
     """First and last words equal; what stands between may be missing or shortened in one."""
-    def parts(x: Column) -> tuple[Column, Column, Column, Column]:
-        w = F.split(F.trim(F.coalesce(x, F.lit(""))), r"\s+")
-        return F.size(w), letters_only(F.get(w, F.lit(0))), letters_only(F.element_at(w, -1)), letters_only(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), ""))
-
-    (na, fa, la, ma), (nb, fb, lb, mb) = parts(a), parts(b)
-    return (na >= 2) & (nb >= 2) & (fa == fb) & (la == lb) & ((ma == "") | (mb == "") | F.startswith(ma, mb) | F.startswith(mb, ma))
+    part = lambda x: F.struct(x.alias("display_name"), F.lit("x").alias("orcid"), F.array().cast("array<string>").alias("domains"), F.lit(True).alias("current"), F.lit(True).alias("listed"))
+    without = lambda x: _prepared(part(x)).withField("orcid", F.lit(None).cast("string"))
+    return _same(without(a), without(b))
 
 
 def same_person(a: Column, b: Column) -> Column:
     """Two identifiers decide; else names must agree, both be affiliated and domains not disjoint."""
-    both = a["orcid"].isNotNull() & b["orcid"].isNotNull()
-    low = lambda c: F.transform(F.coalesce(c["domains"], F.array().cast("array<string>")), lambda d: F.lower(d))
-    da, db = low(a), low(b)
-    apart = (F.size(da) > 0) & (F.size(db) > 0) & ~F.arrays_overlap(da, db)
-    near = display_names_agree(a["display_name"], b["display_name"]) & (a["current"] | a["listed"]) & (b["current"] | b["listed"]) & ~apart
-    return F.coalesce(F.when(both, a["orcid"] == b["orcid"]).otherwise(near), F.lit(False))
+    return _same(_prepared(a), _prepared(b))
 
 
 def greedy_clique(candidates: Column, margin: float = TIE_MARGIN) -> Column:
     """struct(cluster, rest) of an array sorted by falling score: a rival joins the best one's cluster
     if both stem from the author index, it is within ``margin`` of the best and the same person as
     every member so far. (That isn't transitive, so components would be wrong.)"""
-    best = F.get(candidates, F.lit(0))
-    empty = F.array().cast(f"array<{CANDIDATE}>")
+    ready = F.transform(candidates, lambda c, i: F.struct(i.alias("i"), c["source"].alias("source"), c["score"].alias("score"), _prepared(c).alias("p")))
 
-    def step(acc: Column, c: Column) -> Column:
-        joins = (best["source"] == "openalex") & (c["source"] == "openalex") & (F.round(best["score"] - c["score"], 9) <= margin) & F.forall(acc["cluster"], lambda m: same_person(m, c))
-        grown = F.struct(F.concat(acc["cluster"], F.array(c)).alias("cluster"), acc["rest"].alias("rest"))
-        return F.when(joins, grown).otherwise(F.struct(acc["cluster"].alias("cluster"), F.concat(acc["rest"], F.array(c)).alias("rest")))
+    def fold(all_: Column) -> Column:
+        best = F.get(all_, F.lit(0))
 
-    start = F.struct(F.slice(candidates, 1, 1).alias("cluster"), empty.alias("rest"))
-    return F.aggregate(F.slice(candidates, 2, F.greatest(F.size(candidates) - 1, F.lit(0))), start, step)
+        def step(acc: Column, c: Column) -> Column:
+            joins = (best["source"] == "openalex") & (c["source"] == "openalex") & (F.round(best["score"] - c["score"], 9) <= margin) & F.forall(acc, lambda m: _same(m["p"], c["p"]))
+            return F.when(joins, F.concat(acc, F.array(c))).otherwise(acc)
+
+        return F.transform(F.aggregate(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), F.slice(all_, 1, 1), step), lambda m: m["i"])
+
+    members = F.get(F.transform(F.array(ready), fold), F.lit(0))
+
+    def dealt(places: Column) -> Column:
+        # one behind the other, as places rise
+        own = F.filter(candidates, lambda _, i: F.array_contains(places, i))
+        rest = F.filter(candidates, lambda _, i: ~F.array_contains(places, i))
+        return F.struct(own.alias("cluster"), rest.alias("rest"))
+
+    return F.get(F.transform(F.array(members), dealt), F.lit(0))
 
 
 def partition_cliques(candidates: Column) -> Column:
     """All candidates dealt to clusters: each joins the first cluster whose members are all the same
     person as it, or begins one."""
+    ready = F.transform(candidates, lambda c, i: F.struct(i.alias("i"), _prepared(c).alias("p")))
+
     def step(acc: Column, c: Column) -> Column:
-        fits = F.transform(acc, lambda g: F.forall(g, lambda m: same_person(m, c)))
-        at = F.coalesce(F.array_position(fits, True), F.lit(0))
-        return F.when(at == 0, F.concat(acc, F.array(F.array(c)))).otherwise(F.transform(acc, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(c))).otherwise(g)))
+        fits = F.transform(acc, lambda g: F.forall(g, lambda m: _same(m["p"], c["p"])))
+        at = F.coalesce(F.array_position(fits, True), F.lit(0)).cast("int")
+        own = F.concat(F.coalesce(F.try_element_at(acc, F.nullif(at, F.lit(0))), F.array_repeat(c, F.lit(0))), F.array(c))
+        return F.when(at == 0, F.concat(acc, F.array(own))).otherwise(F.concat(F.slice(acc, F.lit(1), at - 1), F.array(own), F.slice(acc, at + 1, F.size(acc))))
 
-    return F.aggregate(candidates, F.array().cast(f"array<array<{CANDIDATE}>>"), step)
+    groups = F.get(F.transform(F.array(ready), lambda all_: F.aggregate(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), F.slice(F.array(F.slice(all_, 1, 1)), 1, F.least(F.size(all_), F.lit(1))), step)), F.lit(0))
+    return F.transform(groups, lambda g: F.transform(g, lambda m: F.get(candidates, m["i"])))
 
 
 def canonical(cluster: Column) -> Column:
@@ -158,6 +184,12 @@ def guardrail(decision: Column, known: Column, affiliated: Column, name: Column,
     return first_match([(decision != "accept", "not_an_accept"), (~known, "candidate_not_listed"), (~affiliated, "no_affiliation"), (F.coalesce(name, F.lit(0.0)) < least_name, "name_similarity_below_floor"), (confidence < least_confidence, "confidence_below_threshold")], "ok")
 
 
+def register_guardrail(decision: Column, known: Column, employed: Column, name: Column, confidence: Column, least_name: float = RECORD_NAME, least_confidence: float = 0.95) -> Column:
+    """As :func:`guardrail`, for a candidate that only the register has: employment must have been
+    verified, the record's name be nearly the person's, and the confidence greater."""
+    return first_match([(decision != "accept", "not_an_accept"), (~known, "candidate_not_listed"), (~F.coalesce(employed, F.lit(False)), "employment_not_verified"), (F.coalesce(name, F.lit(0.0)) < least_name, "name_similarity_below_floor"), (confidence < least_confidence, "confidence_below_threshold")], "ok")
+
+
 def recently_judged(rows: DataFrame, key: str, now: Column, model: str, days: int = 30) -> DataFrame:
     """Keys all of whose rows were judged by ``model`` within ``days``; bad stamps are stale."""
     stamp = F.try_to_timestamp("llm_evaluated_at")

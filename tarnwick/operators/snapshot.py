@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.operators.budget import in_line
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, surrogate: str) -> DataFrame:
     """``old`` with the rows of ``new`` replacing those of equal key, which keep their surrogate;
@@ -20,14 +22,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, surrogate: str) -> DataFram
     value = lambda c: F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     known = joined.where(F.col(f"o.{surrogate}").isNotNull()).select(F.col(f"o.{surrogate}").alias(surrogate), key, *(value(c) for c in columns))
     added = joined.where(F.col(f"o.{surrogate}").isNull()).select(key, *(value(c) for c in columns))
-    # numbers within hash slices, then an offset for each slice: no global window
-    slices = 64
-    added = added.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
-    sizes = added.groupBy("_slice").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    top = old.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("_top"))
-    # offsets has 64 rows and top one
-    numbered = added.join(F.broadcast(offsets), "_slice").crossJoin(F.broadcast(top)).withColumn(surrogate, F.col("_top") + F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy(key)))
+    top = old.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("_top"))  # one row
+    numbered = in_line(added, [key]).crossJoin(F.broadcast(top)).withColumn(surrogate, F.col("_top") + F.col("place"))
     return known.unionByName(numbered.select(surrogate, key, *columns))
 
 

@@ -41,6 +41,24 @@ def orcid_organisations(raw: Column) -> Column:
     return F.struct(names("employments", "employment-summary").alias("employers"), names("educations", "education-summary").alias("schools"))
 
 
+def orcid_distinctions(raw: Column, most: int = 20) -> Column:
+    """Awards of an ORCID record's first groups: name, the organisation that grants it, year."""
+    kind = "`role-title`:string,organization:struct<name:string>,`start-date`:struct<year:struct<value:string>>"
+    groups = F.from_json(raw, f"`activities-summary` struct<distinctions:struct<`affiliation-group`:array<struct<summaries:array<struct<`distinction-summary`:struct<{kind}>>>>>>>")["activities-summary"]["distinctions"]["affiliation-group"]
+    every = F.flatten(F.transform(F.slice(groups, 1, most), lambda g: F.transform(F.coalesce(g["summaries"], F.array()), lambda s: s["distinction-summary"])))
+    rows = F.transform(every, lambda d: F.struct(F.trim(F.coalesce(d["role-title"], F.lit(""))).alias("name"), d["organization"]["name"].alias("granting_org"), d["start-date"]["year"]["value"].try_cast("int").alias("year")))
+    return F.filter(rows, lambda r: r["name"] != "")
+
+
+def orcid_fundings(raw: Column, most: int = 15) -> Column:
+    """Grants of an ORCID record's first groups that have a title, by each one's first summary."""
+    kind = "title:struct<title:struct<value:string>>,organization:struct<name:string>,`start-date`:struct<year:struct<value:string>>,`end-date`:struct<year:struct<value:string>>"
+    groups = F.from_json(raw, f"`activities-summary` struct<fundings:struct<group:array<struct<`funding-summary`:array<struct<{kind}>>>>>>")["activities-summary"]["fundings"]["group"]
+    first = F.transform(F.slice(groups, 1, most), lambda g: F.get(g["funding-summary"], F.lit(0)))
+    rows = F.transform(first, lambda x: F.struct(x["title"]["title"]["value"].alias("title"), x["organization"]["name"].alias("agency"), x["start-date"]["year"]["value"].alias("start_date"), x["end-date"]["year"]["value"].alias("end_date")))
+    return F.filter(rows, lambda r: F.coalesce(r["title"], F.lit("")) != "")
+
+
 def mentions(names: Column, organisations: tuple[str, ...]) -> Column:
     """Whether any of the names contains one of the organisations, in lower case."""
     return F.exists(names, lambda n: F.exists(F.array(*(F.lit(o.lower()) for o in organisations)), lambda o: F.contains(F.lower(n), o)))

@@ -106,3 +106,24 @@ def test_articles_keep_their_own_years(spark):
     raw = "<PubmedArticleSet>" + one.format("<Month>May</Month>", "J", "A <i>b</i> c", "") + one.format("<Year>2001</Year>", "K", "D", '<ELocationID EIdType="doi">10.1/x</ELocationID>') + "</PubmedArticleSet>"
     got = spark.createDataFrame([(raw,)], "raw string").select(payloads.pubmed_articles(F.col("raw"))).first()[0]
     assert [(p.title, p.year, p.journal, p.doi) for p in got] == [("A b c", None, "J", None), ("D", 2001, "K", "10.1/x")]
+
+
+def test_author_cascade(spark):
+    from tarnwick.sources import lookups
+
+    record = lambda i, orcid=None, name="x", also=(): {"id": f"https://x/{i}", "orcid": orcid, "display_name": name, "display_name_alternatives": list(also)}
+    records = spark.createDataFrame([(json.dumps(record("A1", "https://orcid.org/o1")),), (json.dumps(record("A2", "o2")),), ("oops",)], "payload string")
+    people = spark.createDataFrame([(1, "A1", "o2", "Ann", "Lee"), (2, "A9", "o2", "Ann", "Lee"), (3, None, "o9", "Ann", "Lee"), (4, "", "", "Ann", "Lee"), (5, None, None, "Ann", ""), (6, None, None, "Ann", "Lee")], "person_id long, openalex_id string, orcid string, first string, last string")
+    reply = lambda *hits: json.dumps({"results": list(hits)})
+    searches = spark.createDataFrame([(3, reply(record("B1", name="Anna B. Lee"), record("B2", name="Bo Lee"), record("B3", name="Lee"))), (4, reply(record("C1", name="Q", also=["Ann Lee"]), record("C2", name="Ann Lee"))), (5, reply(record("D1", name="Ann Lee"))), (6, "no JSON")], "person_id long, payload string")
+    got = {r.person_id: (r.author_id, r.via) for r in lookups.find_author(people, records, searches).collect()}
+    assert got == {1: ("A1", "id"), 2: ("A2", "orcid"), 3: ("B1", "name")}
+
+
+def test_author_by_papers(spark):
+    from tarnwick.sources import lookups
+
+    paper = lambda *authors: {"authors": [{"authorId": i, "name": n, "externalIds": o and {"ORCID": o}} for i, n, o in authors]}
+    searches = spark.createDataFrame([("T1", json.dumps({"data": []})), ("T2", json.dumps({"data": [paper(("1", "Bo Wu", None)), paper(("2", "W. Lee", None), ("3", "Wei Lee", "o1"))]})), ("T4", json.dumps({"data": [paper(("9", "Wei Lee", None))]}))], "title string, payload string")
+    people = spark.createDataFrame([(1, "Wei", "Lee", "o1", ["T1", "T2"]), (2, "Zoe", "Poe", "o1", [None, "T2"]), (3, "Wei", "Lee", None, ["a", "b", "c", "T4"]), (4, "", "", "", ["T2"]), (5, "Bo", "Wu", "", None)], "person_id long, first string, last string, orcid string, titles array<string>")
+    assert {r.person_id: r.author_id for r in lookups.author_by_papers(people, searches).collect()} == {1: "2", 2: "3"}
