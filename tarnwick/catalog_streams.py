@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnwick import workspace
 from tarnwick.catalog import _FOLD_SQL, _candidates, query, table
+from tarnwick.catalog_people import _PEOPLE_SQL, _people
 from tarnwick.operators import budget, identity, merge, review
-from tarnwick.plans import incremental
+from tarnwick.plans import incremental, publication
 from tarnwick.sources import files
 from tarnwick.streaming import cooldown, harvest
 from tarnwick.versions import Store
@@ -207,3 +208,24 @@ def q_roster_scan(spark, d):
         spark.conf.set("spark.sql.files.maxPartitionBytes", width)
     odd = F.col("odd") == F.concat(F.lit("a\r\n"), F.col("id"), F.lit('\n"b"\n'))
     return got.where(odd).select(F.col("id").cast("long").alias("doc_id"), "pos", F.decode(F.unbase64("text"), "UTF-8").alias("text"), "tag", "blank")
+
+
+# Publication
+
+
+@query(f"""WITH {_PEOPLE_SQL} SELECT coalesce(department, 'general') || ':' || CASE WHEN orcid IS NOT NULL THEN 'orcid:' || orcid ELSE 'email:' || lower(email) END AS stable_key, row_number() OVER (ORDER BY coalesce(department, 'general') || ':' || CASE WHEN orcid IS NOT NULL THEN 'orcid:' || orcid ELSE 'email:' || lower(email) END) AS id, first_name, title, pi_eligible::BIGINT AS pi_eligible, h_index,
+    CASE WHEN id % 5 = 2 THEN '["Ph.D. \\"x\\"",null]' ELSE '[]' END AS degrees, (h_index % 3 = 0 OR id % 7 = 3)::BIGINT AS has_profile, coalesce(id % 4, 0)::BIGINT AS grants_count FROM people""".replace("(h_index % 3 = 0 OR id % 7 = 3)", "(coalesce(h_index % 3 = 0, FALSE) OR id % 7 = 3)"))
+def q_export_rebuilt(spark, d):
+    """People published, exported, and rebuilt from the export in another store."""
+    folder = _folder(spark, "publication")
+    k = F.col("id")
+    people = _people(spark, d).withColumns({
+        "stable_key": F.concat(F.lit("k"), k.cast("string")), "pi_eligible": F.col("pi_eligible").cast("boolean"), "department_label": F.upper("department"),
+        "degrees": F.when(k % 5 == 2, F.array(F.lit('Ph.D. "x"'), F.lit(None).cast("string"))), "research_interests": F.when(F.col("h_index") % 3 == 0, "seas").otherwise(""), "expertise_keywords": F.when(k % 7 == 3, F.array(F.lit("life"))),
+        "funded_grants": F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit('{"title": "G'), i.cast("string"), F.lit('"}'))),
+    }).withColumn("funded_grants", F.slice("funded_grants", F.lit(1), (k % 4).cast("int")))
+    one, two = Store(spark, f"{folder}/one"), Store(spark, f"{folder}/two")
+    publication.publish(one, people, 0, F.lit("then"))
+    publication.export(one.read("people"), f"{folder}/export")
+    publication.rebuild(spark, f"{folder}/export", two, F.lit("now"))
+    return two.read("people").select("stable_key", "id", "first_name", "title", "pi_eligible", "h_index", "degrees", "has_profile", "grants_count")

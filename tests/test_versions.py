@@ -108,3 +108,17 @@ def test_an_index_that_changes_equals_a_new_one(spark, tmp_path):
     # there are few segments, and a reader of an older version isn't disturbed
     assert len(index._segments(index.store.manifest())) < 5
     assert json.loads(json.dumps(index.store.manifest()))["version"] == version
+
+
+def test_what_doesnt_fit_together_isnt_published(spark, tmp_path):
+    from tarnwick.plans import publication
+
+    store = versions.Store(spark, f"file://{tmp_path}/people")
+    people = spark.createDataFrame([(1, "a", "x", "Ann", ["PhD", None]), (2, "b", "x", None, None)], "id long, stable_key string, department string, first_name string, degrees array<string>")
+    assert publication.publish(store, people, 0, F.lit("now")) == 1
+    with pytest.raises(versions.Refused, match="twice"):
+        publication.publish(store, people.withColumn("stable_key", F.lit("a")), 1, F.lit("now"))
+    row = store.read("people").where("id = 1").first()
+    assert (row.degrees, row.identity_status, row.has_profile, row.updated_at, store.current()) == ('["PhD",null]', "unresolved", 0, "now", 1)
+    publication.export(store.read("people"), f"{tmp_path}/export")
+    assert publication.rebuild(spark, f"file://{tmp_path}/export", versions.Store(spark, f"file://{tmp_path}/again"), F.lit("now")) == 1
