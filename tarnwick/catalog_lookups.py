@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.catalog import _LINKED_SQL, _sides, query, table
-from tarnwick.functions import text
+from tarnwick.functions import prompts, text
 from tarnwick.operators import identity
-from tarnwick.plans import reconcile
+from tarnwick.plans import context, reconcile
 from tarnwick.sources import lookups, payloads
 
 # Authors
@@ -158,3 +158,53 @@ def q_reconcile_divisions(spark, d):
     SELECT id, department::VARCHAR AS department, eah_status FROM a UNION ALL SELECT NULL, div::VARCHAR, 'Active' FROM added""")
 def q_reconciled_people(spark, d):
     return _reconciled(spark, d).people.select("id", "department", "eah_status")
+
+
+# Texts for a model
+
+_LINE_SQL = """l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n FROM lineitem)"""
+
+
+@query(f"""WITH {_LINE_SQL}, g AS (SELECT l_orderkey, string_agg('- ' || CASE WHEN l_linenumber % 3 = 0 THEN 'Untitled' ELSE 'G' || l_partkey END || CASE WHEN l_linestatus = 'F' THEN ' (NCI)' ELSE '' END || CASE WHEN l_linenumber > 2 THEN chr(10) || '  Abstract: ' || left(repeat('abc ', l_linenumber * 20), 200) ELSE '' END, chr(10) ORDER BY n) AS x FROM l WHERE l_returnflag = 'A' AND n <= 10 GROUP BY l_orderkey),
+    p AS (SELECT l_orderkey, string_agg('- P' || l_suppkey || CASE WHEN l_tax > 0.04 THEN ' (J' || l_partkey || ', ' || year(l_shipdate) || ')' ELSE '' END || CASE WHEN l_linenumber > 1 THEN chr(10) || '  Subjects: ' || array_to_string(list_transform(range(l_linenumber), lambda i: 'M' || i)[1:5], ', ') ELSE '' END, chr(10) ORDER BY n) AS x FROM l WHERE l_returnflag = 'R' AND n <= 10 GROUP BY l_orderkey),
+    s AS (SELECT l_orderkey, string_agg('- S' || l_partkey, chr(10) ORDER BY n) AS x FROM l WHERE l_returnflag = 'N' AND n <= 10 GROUP BY l_orderkey), c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS person_id, CASE WHEN b <> '' THEN 'Name: N' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN ', Professor' ELSE '' END || b END AS context FROM (SELECT o_orderkey, o_orderstatus, concat(CASE WHEN o_orderpriority = '5-LOW' THEN chr(10) || chr(10) || 'Research interests: low' END, CASE WHEN o_orderstatus = 'F' THEN chr(10) || chr(10) || 'Profile description: ' || o_orderpriority END,
+        chr(10) || chr(10) || 'Grants of NIH:' || chr(10) || g.x, chr(10) || chr(10) || 'Publications in PubMed:' || chr(10) || p.x, CASE WHEN c.n > 3 THEN chr(10) || chr(10) || 'OpenAlex: h-index: ' || c.n || ', ' || (c.n * 2) || ' works' || chr(10) || chr(10) || 'Topics: ' || array_to_string(list_transform(range(c.n * 4), lambda i: 'T' || i)[1:15], ', ') END,
+        CASE WHEN p.x IS NULL THEN chr(10) || chr(10) || 'Publications found earlier:' || chr(10) || s.x END, CASE WHEN o_orderpriority = '1-URGENT' THEN chr(10) || chr(10) || 'Honors and awards:' || chr(10) || '- A (' || year(o_orderdate) || ')' END) AS b FROM orders LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN p ON p.l_orderkey = o_orderkey LEFT JOIN s ON s.l_orderkey = o_orderkey LEFT JOIN c ON c.l_orderkey = o_orderkey)""")
+def q_contexts(spark, d):
+    """Orders as people, their lines as grants, publications and stored ones."""
+    cat = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    k, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    grant = F.struct(F.when(k % 3 != 0, cat("G", F.col("l_partkey"))).alias("title"), F.when(F.col("l_linestatus") == "F", "NCI").alias("agency"), F.when(k > 2, F.repeat(F.lit("abc "), k * 20)).alias("abstract"))
+    paper = F.struct(cat("P", F.col("l_suppkey")).alias("title"), F.when(F.col("l_tax") > 0.04, cat("J", F.col("l_partkey"))).alias("journal"), F.year("l_shipdate").alias("year"), F.when(k > 1, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.concat(F.lit("M"), i.cast("string")))).alias("mesh_terms"))
+    lines = table(spark, d, "lineitem")
+    listed = lambda f, x: F.transform(F.array_sort(F.collect_list(F.when(flag == f, F.struct(*order, x.alias("x"))))), lambda y: y["x"])
+    each = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), listed("A", grant).alias("grants"), listed("R", paper).alias("papers"), listed("N", F.struct(cat("S", F.col("l_partkey")).alias("title"))).alias("stored"))
+    rows = table(spark, d, "orders").join(each, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    variant = lambda x: F.try_parse_json(F.to_json(x))
+    said = [
+        ("profile", F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(F.col("o_orderpriority").alias("research_interests_enriched"))))),
+        ("nih_reporter", F.to_json(F.struct(F.col("grants").alias("funded_grants")))), ("pubmed", F.to_json(F.struct(F.col("papers").alias("recent_publications")))),
+        ("openalex", F.when(F.col("n") > 3, F.to_json(F.struct(F.col("n").alias("h_index"), (F.col("n") * 2).alias("works_count"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") * 4 - 1), lambda i: F.concat(F.lit("T"), i.cast("string"))).alias("expertise_keywords"))))),
+    ]
+    data = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(source).alias("source"), x.alias("data")) for i, (source, x) in enumerate(said)))
+    found = rows.select(F.col("o_orderkey").alias("person_id"), F.explode(data).alias("x")).select("person_id", "x.pos", "x.source", F.try_parse_json("x.data").alias("data"))
+    none = F.lit(None).cast("variant")
+    award = F.when(F.col("o_orderpriority") == "1-URGENT", F.to_json(F.array(F.struct(F.lit("A").alias("name"), F.year("o_orderdate").alias("year")))))
+    people = rows.select(F.col("o_orderkey").alias("person_id"), cat("N", F.col("o_orderkey")).alias("name"), F.when(F.col("o_orderstatus") == "P", "Professor").alias("title"), F.when(F.col("o_orderpriority") == "5-LOW", "low").alias("research_interests"), none.alias("funded_grants"), variant(F.col("stored")).alias("recent_publications"), F.try_parse_json(award).alias("awards"), none.alias("patents"))
+    return context.contexts(people, found)
+
+
+@query("""WITH t AS (SELECT *, string_split(text, ' ') AS w FROM documents) SELECT doc_id, 'CANDIDATE ' || (doc_id % 7) || ':' || chr(10) || 'Profile: A' || doc_id || chr(10) || 'Shown name: ' || source || ' (also published as: ' || array_to_string(w[1:6], '; ') || ')' || CASE WHEN n_chars % 4 > 1 THEN chr(10) || 'Stands for ' || (n_chars % 4) || ' profiles of one person.' ELSE '' END
+    || chr(10) || 'Evidence: score=0.5, name_similarity=0.75, current=' || CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' END || ', listed=' || CASE WHEN n_chars > 1000 THEN 'yes' ELSE 'no' END || CASE WHEN n_chars % 3 > 0 THEN chr(10) || 'Output: ' || CASE WHEN n_chars % 3 = 1 THEN n_chars ELSE 0 END || ' works, ' || doc_id || ' citations' ELSE '' END
+    || chr(10) || 'Topics: ' || array_to_string(w[1:10], '; ') || CASE WHEN lang <> 'de' THEN chr(10) || 'Affiliations: ' || lang || '; ' || source ELSE '' END || chr(10) || 'ORCID on the profile: ' || CASE WHEN n_chars % 2 = 0 THEN 'yes' ELSE 'no' END || chr(10) || 'Recent works:' || chr(10) || array_to_string(list_transform(w[1:10], lambda x, i: '- ' || x || CASE WHEN i % 2 = 1 THEN ' (2001' || CASE WHEN i % 3 = 1 THEN ', ' || source ELSE '' END || ')' ELSE '' END), chr(10)) AS block FROM t WHERE text <> ''""")
+def q_candidate_blocks(spark, d):
+    """The documents as candidates, their words as aliases, topics and works, of which some are shown."""
+    words, n = F.split("text", " "), F.col("n_chars")
+    works = F.transform(words, lambda w, i: F.struct(w.alias("title"), F.when(i % 2 == 0, 2001).alias("year"), F.when(i % 3 == 0, F.col("source")).alias("journal")))
+    one = F.struct(
+        F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("external_id"), F.col("source").alias("display_name"), words.alias("alternatives"), (n % 4).cast("int").alias("cluster_size"), F.lit(0.5).alias("score"), F.lit(0.75).alias("name_similarity"),
+        (F.col("lang") == "en").alias("current"), (n > 1000).alias("listed"), F.when(n % 3 == 1, n).alias("works_count"), F.when(n % 3 > 0, F.col("doc_id")).alias("citations"), words.alias("topics"), F.when(F.col("lang") != "de", F.array("lang", "source")).alias("affiliations"), F.when(n % 2 == 0, "o").alias("orcid"), works.alias("works"),
+    )
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", prompts.candidate_block(F.col("doc_id") % 7, one).alias("block"))

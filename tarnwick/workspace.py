@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: What was written and not deleted: number, thread, session and path.
+_written: list[tuple[int, int, SparkSession, str]] = []
+_numbers = itertools.count(1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +49,7 @@ def save(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tarnwick-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    _written.append((spark, path))
+    _written.append((next(_numbers), threading.get_ident(), spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -57,23 +61,24 @@ def drop(df: DataFrame) -> None:
 
 
 def mark() -> int:
-    """Where the list of written tables ends now, for :func:`drop_since`."""
-    return len(_written)
+    """A number before those of all tables that are written from now on, for :func:`drop_since`."""
+    return next(_numbers)
 
 
 def drop_since(begin: int, *kept: DataFrame) -> None:
-    """Delete the tables written since ``begin = mark()``, but those that are still read."""
-    stay = {df._scratch_path for df in kept}
-    for spark, path in _written[begin:]:
-        if path not in stay:
-            _delete(spark, path)
-    _written[begin:] = [w for w in _written[begin:] if w[1] in stay]
+    """Delete the tables that this thread has written since ``begin = mark()``, but those that are still
+    read. What other threads write meanwhile is theirs."""
+    stay, me = {df._scratch_path for df in kept}, threading.get_ident()
+    gone = [w for w in _written if w[0] > begin and w[1] == me and w[3] not in stay]
+    for w in gone:
+        _delete(w[2], w[3])
+        _written.remove(w)
 
 
 def clear() -> None:
     """Delete every table of this process. Results that still read them can't be used afterwards."""
     while _written:
-        _delete(*_written.pop())
+        _delete(*_written.pop()[2:])
 
 
 atexit.register(clear)

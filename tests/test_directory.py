@@ -63,10 +63,17 @@ def test_records_round_trip(spark):
 
 
 def test_tables_are_dropped_but_those_still_read(spark):
+    import threading
+
+    before = workspace.save(spark.range(2))
     begin = workspace.mark()
-    a, b = workspace.save(spark.range(3)), workspace.save(spark.range(4))
+    a, b, theirs = workspace.save(spark.range(3)), workspace.save(spark.range(4)), []
+    other = threading.Thread(target=lambda: theirs.append(workspace.save(spark.range(5))))
+    other.start()
+    other.join()
     workspace.drop_since(begin, b)
-    assert b.count() == 4 and workspace.mark() == begin + 1
+    # what another thread wrote meanwhile, say for another query, stays
+    assert (before.count(), b.count(), theirs[0].count()) == (2, 4, 5)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(a._scratch_path).count()
 
@@ -112,3 +119,30 @@ def test_spelling_of_units(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.titled(F.col("w")).alias("t")).collect()
     assert {r.w: r.t for r in rows} == words
     assert spark.createDataFrame([(w,) for w in words], "w string").collect() and all(w.title() == t for w, t in words.items())
+
+
+def test_contexts(spark):
+    from tarnwick.plans import context
+
+    def record(i, name="Ann Lee", title="", research="", **lists):
+        return (i, name, title, research, *(lists.get(c) for c in ("funded_grants", "recent_publications", "awards", "patents")))
+
+    names = ["funded_grants", "recent_publications", "awards", "patents"]
+    people = spark.createDataFrame(
+        [record(1, title="Dean", research="seas", funded_grants='[{"title": "old"}]', patents='[{"title": "P", "year": 1999}]', awards='[{"name": "W"}]'), record(2), record(3, recent_publications='[{"title": "T", "year": 2001}, {"journal": "J", "year": 2002}]')],
+        "person_id long, name string, title string, research_interests string, funded_grants string, recent_publications string, awards string, patents string",
+    ).withColumns({c: F.try_parse_json(c) for c in names})
+    found = spark.createDataFrame(
+        [
+            (1, 1, "nsf_awards", '{"funded_grants": [{"title": "G", "nsf_program": "OCE", "abstract": "%s"}, {}]}' % ("x" * 300)), (1, 0, "wikidata", '{"awards": [{"name": "A", "year": 2000}]}'), (1, 2, "clinical_trials", '{"funded_grants": []}'),
+            (1, 3, "semantic_scholar", '{"h_index": 3, "paper_count": 9, "recent_publications": [{"title": "S", "year": 2003}]}'), (1, 4, "orcid", '{"works_count": 2, "recent_works": ["a", "b"]}'), (1, 5, "nasa_ads", '{"recent_publications": [{"title": "N", "journal": "J"}]}'),
+            (2, 0, "orcid", '{"works_count": 0}'), (2, 1, "unheard_of", '{"awards": [{"name": "no"}]}'), (2, 2, "openalex", "no JSON"),
+        ],
+        "person_id long, pos int, source string, data string",
+    ).withColumn("data", F.try_parse_json("data"))
+    got = {r.person_id: r.context for r in context.contexts(people, found).collect()}
+    assert got[1].split("\n\n") == [
+        "Name: Ann Lee, Dean", "Research interests: seas", "Honors and awards:\n- A (2000)", "Grants of NSF:\n- G (NSF, OCE)\n  Abstract: " + "x" * 200 + "\n- Untitled (NSF)", "Semantic Scholar: h-index: 3, 9 papers",
+        "Publications in Semantic Scholar:\n- S", "ORCID: 2 works", "Works in ORCID:\n- a\n- b", "Publications (nasa ads):\n- N (J)", "Patents:\n- P (1999)",
+    ]
+    assert got[2] is None and got[3] == "Name: Ann Lee\n\nPublications found earlier:\n- T\n- Untitled (J, 2002)"
