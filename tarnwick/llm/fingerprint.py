@@ -20,8 +20,9 @@ in one place: documents are dealt to ranges of doc_id, a window leads within eac
 first row of each range is also sent to the range before it.
 
 Defined cases: a null text counts as empty and has no paragraphs; rows without doc_id come last;
-repeated doc_ids are ordered by text; a single document follows itself. Columns other than doc_id and
-text are ignored.
+repeated doc_ids are ordered by text; a single document follows itself; a very long text is one list of
+paragraphs; an empty table gives an empty result. Columns other than doc_id and text are ignored,
+however they are named.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ each line is looked up too. The list of known texts is fixed and short, so its
 digests are broadcast; nothing is shuffled. Long licences are listed by the digest alone.
 
 Defined cases: a null text counts as empty; an empty text, or one of copyright lines alone, has the
-digest of the empty string and no licence; of known texts with equal canonical forms the first name
-counts; repeated rows are looked up alike; other columns are ignored.
+digest of the empty string and no licence; of known texts with equal canonical forms the first in the
+list counts; repeated rows are looked up alike; a very long text is one text; an empty table gives an empty
+result; other columns are ignored, however they are named.
 """
 
 from __future__ import annotations

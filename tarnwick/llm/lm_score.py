@@ -23,7 +23,9 @@ Hashes have 64 bits: with n distinct n-grams, one in 2^64 / n shares its hash wi
 the trigrams of some 100 TB, one in two million).
 
 Defined cases: texts without a word (null, empty) have n_words 0 and null scores; every row is a
-document of its own, whether its doc_id is repeated or null; an empty table gives an empty result.
+document of its own, whether its doc_id is repeated or null; a very long text is hashed in pieces and
+scored whole; an empty table gives an empty result. Columns other than doc_id and text are ignored,
+however they are named.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Two texts at the threshold share no bucket with a chance below 1e-6; nothing els
 Defined cases: a text without words (or a null one) has an empty set and is linked with nothing;
 one with fewer words than a shingle has its whole sequence as its only shingle; rows with the same
 doc_id count as one node; a row without doc_id is linked with nothing and kept, with a null
-component_id. Columns other than doc_id and text are ignored.
+component_id; a very long text is one set, sketched in pieces; an empty table gives an empty result.
+Columns other than doc_id and text are ignored, however they are named.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ has as many salts as its number of pieces asks for, and an offset for each. Numb
 piece's sequence and place.
 
 Defined cases: a null or empty text is one piece with the end id alone; repeated rows are packed
-each for itself; an empty table gives an empty result.
+each for itself; a very long text is tokenised whole and cut into as many pieces as it needs; an empty
+table gives an empty result. Columns other than doc_id and text are ignored, however they are named.
 """
 
 from __future__ import annotations

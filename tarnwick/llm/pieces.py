@@ -7,8 +7,10 @@ each step, by those places only that still have a prefix in it.
 
 Segmentation itself, and decoding, are the library's, over whole texts.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike; of a
-character that becomes several byte pieces, the last one has its span and the others are empty.
+Defined cases: a null text counts as empty and has no ids; repeated rows are encoded alike; a very long
+text is encoded whole; an empty table gives an empty result; other columns are ignored, however they are
+named; of a character that becomes several byte pieces, the last one has its span and the others are
+empty. A model whose map is empty only has its blanks normalised.
 """
 
 from __future__ import annotations
@@ -154,8 +156,9 @@ class Normaliser:
                 finish = int(stem[last + tail[0]])
             keep[last:] = False
             made, stem, blank = made[keep], stem[keep], blank[keep]
-        if len(made) and self.prefix:
-            made, stem, blank = np.append(np.uint8(32), made), np.append(stem[:1], stem), np.append(True, blank)
+        # a text of which nothing is left still has the blank that goes before it, unless blanks are squeezed
+        if self.prefix and (len(made) or (len(data) and not self.squeeze)):
+            made, stem, blank = np.append(np.uint8(32), made), np.append(stem[:1] if len(stem) else 0, stem), np.append(True, blank)
         if self.escape:
             times = np.where(blank, len(SPACE.encode()), 1)
             made, stem = np.repeat(made, times), np.repeat(stem, times)

@@ -9,7 +9,10 @@ reaches the threshold of the run's character class. Plain spans and the parts of
 are on the allow list are blanked first, so what is left on either side of them is judged by itself.
 
 Defined cases: a null text counts as empty; an empty text has no spans; repeated rows are scanned
-alike. Columns other than doc_id and text are ignored, or carried through by :func:`redact`.
+alike; a very long text takes time in proportion to its length; an empty table gives an empty result.
+Columns other than doc_id and text are ignored, or carried through by :func:`redact`. A run of one kind
+of character alone (letters of one case, or digits) has no entropy span unless it could be base32: words
+are such runs, so a key of, say, 40 random small letters is left to the base kinds.
 """
 
 from __future__ import annotations

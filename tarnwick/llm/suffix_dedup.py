@@ -27,7 +27,9 @@ three times the input. Blocks are groups of bounded size: the number of routes f
 
 Defined cases: a null text is empty; a text below ``LENGTH`` bytes keeps all; a repeated row is the
 same document read twice, so it isn't earlier than itself and gets the same result; a row without
-doc_id neither marks nor loses anything; an empty table gives an empty result.
+doc_id neither marks nor loses anything; a very long text goes through in pieces that overlap; an empty
+table gives an empty result. :func:`dedup` ignores columns other than doc_id and text, however they are
+named; :func:`remove_repeats` carries them through.
 """
 
 from __future__ import annotations
