@@ -93,37 +93,54 @@ def stem(word: Column) -> Column:
     word = plain(F.lower(word))
     w = F.when(F.startswith(word, F.lit("y")), F.concat(F.lit("Y"), F.substring(word, 2, 1 << 30))).otherwise(word)
     cut = lambda x, n: F.left(x, F.length(x) - n)
-    ends = lambda x, *last: x.rlike(f"({'|'.join(last)})$")
+
+    def ends(x: Column, *last: str) -> Column:
+        out = F.endswith(x, F.lit(last[0]))
+        for end in last[1:]:
+            out = out | F.endswith(x, F.lit(end))
+        return out
 
     def then(x: Column, step) -> Column:
         """``step`` of a value that is evaluated once."""
         return F.get(F.transform(F.array(x), step), F.lit(0))
 
+    def suffix(x: Column, of: list[str]) -> Column:
+        """The longest of some suffixes that a word has, or null: comparing ends is much cheaper than a pattern."""
+        out = None
+        for end in sorted(of, key=len, reverse=True):
+            out = F.when(F.endswith(x, F.lit(end)), end) if out is None else out.when(F.endswith(x, F.lit(end)), end)
+        return out
+
     def plural(x: Column) -> Column:
-        return F.when(ends(x, "sses", "ies"), cut(x, 2)).when(x.rlike("[^s]s$"), cut(x, 1)).otherwise(x)
+        return F.when(ends(x, "sses", "ies"), cut(x, 2)).when(ends(x, "s") & ~ends(x, "ss") & (F.length(x) > 1), cut(x, 1)).otherwise(x)
 
     def mended(x: Column) -> Column:
-        twice = ends(x, "[^aeiouylsz]") & (F.right(x, F.lit(1)) == F.substring(x, -2, 1)) & (F.length(x) > 1)
-        return F.when(ends(x, "at", "bl", "iz") | (x.rlike(IS_1) & x.rlike(SHORT_END)), F.concat(x, F.lit("e"))).when(twice, cut(x, 1)).otherwise(x)
+        last = F.right(x, F.lit(1))
+        twice = (F.length(x) > 1) & (last == F.substring(x, -2, 1)) & ~last.isin(*"aeiouylsz")
+        return F.when(ends(x, "at", "bl", "iz"), F.concat(x, F.lit("e"))).when(twice, cut(x, 1)).when(x.rlike(SHORT_END) & x.rlike(IS_1), F.concat(x, F.lit("e"))).otherwise(x)
 
     def past(x: Column) -> Column:
-        n = F.when(ends(x, "ed"), 2).when(ends(x, "ing"), 3)
-        rest = F.when(cut(x, n).rlike(HAS_VOWEL), cut(x, n))
-        return F.when(ends(x, "eed"), F.when(cut(x, 3).rlike(ABOVE_0), cut(x, 1)).otherwise(x)).otherwise(F.coalesce(F.when(n.isNotNull(), then(rest, mended)), x))
+        tried = lambda n: F.when(cut(x, n).rlike(HAS_VOWEL), then(cut(x, n), mended)).otherwise(x)
+        return F.when(ends(x, "eed"), F.when(cut(x, 3).rlike(ABOVE_0), cut(x, 1)).otherwise(x)).when(ends(x, "ed"), tried(2)).when(ends(x, "ing"), tried(3)).otherwise(x)
 
     def last_y(x: Column) -> Column:
         return F.when(ends(x, "y") & cut(x, 1).rlike(HAS_VOWEL), F.concat(cut(x, 1), F.lit("i"))).otherwise(x)
 
     def turned(rules: list[tuple[str, str]]):
+        new = F.create_map(*(F.lit(v) for rule in rules for v in rule))
+
         def step(x: Column) -> Column:
-            pattern = split_suffix([end for end, _ in rules])
-            return then(F.struct(F.regexp_extract(x, pattern, 1).alias("stem"), F.regexp_extract(x, pattern, 2).alias("end")), lambda p: F.when((p["end"] != "") & p["stem"].rlike(ABOVE_0), F.concat(p["stem"], F.element_at(F.create_map(*(F.lit(v) for rule in rules for v in rule)), p["end"]))).otherwise(x))
+            by = lambda end: F.when(end.isNotNull() & cut(x, F.length(end)).rlike(ABOVE_0), F.concat(cut(x, F.length(end)), F.element_at(new, end))).otherwise(x)
+            return then(suffix(x, [end for end, _ in rules]), by)
 
         return step
 
     def shortened(x: Column) -> Column:
-        pattern = split_suffix(STEP_4)
-        return then(F.struct(F.regexp_extract(x, pattern, 1).alias("stem"), F.regexp_extract(x, pattern, 2).alias("end")), lambda p: F.when((p["end"] != "") & p["stem"].rlike(ABOVE_1) & ((p["end"] != "ion") | ends(p["stem"], "s", "t")), p["stem"]).otherwise(x))
+        def by(end: Column) -> Column:
+            rest = cut(x, F.length(end))
+            return F.when(end.isNotNull() & ((end != "ion") | ends(rest, "s", "t")) & rest.rlike(ABOVE_1), rest).otherwise(x)
+
+        return then(suffix(x, STEP_4), by)
 
     def last_e(x: Column) -> Column:
         before = cut(x, 1)

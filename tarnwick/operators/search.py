@@ -37,11 +37,14 @@ def tokens(text: Column) -> Column:
 
 
 def postings_of(docs: DataFrame, stemmed: bool = True) -> DataFrame:
-    """The postings of ``docs(doc_id, text)``. The distinct words are stemmed and joined back."""
+    """The postings of ``docs(doc_id, text)``. The distinct words are stemmed and joined back; they are
+    small but dear, so they are dealt to all cores rather than put together by their size."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     counted = words.select("doc_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
     if stemmed:
-        stems = counted.select("term").distinct().withColumn("stem", stem(F.col("term")))
+        spark = docs.sparkSession
+        cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        stems = counted.select("term").distinct().repartition(cores, "term").withColumn("stem", stem(F.col("term")))
         counted = counted.join(stems, "term").groupBy("doc_id", "length", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
     return counted.select("term", "doc_id", "tf", "length")
 
