@@ -6,7 +6,7 @@ operators: it is the yardstick, not the implementation.
 
 from __future__ import annotations
 
-import uuid
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(f):
+    """What several queries begin with is worked out once for each application and folder."""
+    made: dict[tuple[str, str], object] = {}
+
+    @functools.wraps(f)
+    def first(spark: SparkSession, d: str):
+        key = (spark.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = f(spark, d)
+        return made[key]
+
+    return first
+
+
 # Pages, look-ups, top rows
 
 
@@ -114,15 +128,10 @@ def _bm25_sql(query_: str, every: bool, of: str = "documents") -> str:
         scored AS (SELECT doc_id, -({" + ".join(part(i) for i in range(len(terms)))}) AS score FROM tf JOIN lengths USING (doc_id), stats, found WHERE {keep})"""
 
 
-_INDEXES: dict[tuple[str, str], search.Index] = {}
-
-
+@once
 def index_of(spark: SparkSession, d: str) -> search.Index:
     """The one index of ``documents``, written by the first search that needs it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = search.stored(search.build_index(table(spark, d, "documents")))
-    return _INDEXES[key]
+    return search.stored(search.build_index(table(spark, d, "documents")))
 
 
 @query(f"WITH {_bm25_sql('Ther onan x', True)} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score, doc_id LIMIT 20")
@@ -160,10 +169,11 @@ def q_stems(spark, d):
 _CHANGED_SQL = """now AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN reverse(text) || ' therapy onan' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 4 = 2)"""
 
 
+@once
 def _grown(spark, d) -> search.Index:
     """An index that got its documents in several steps, some of them twice."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    index = search.SegmentedIndex(spark, f"{workspace.shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    index = search.SegmentedIndex(spark, workspace.folder(spark, "segments"))
     index.apply(docs.where("doc_id % 4 <> 2"), merge=False)
     index.apply(docs.where("doc_id % 4 = 2"), merge=False)
     changed = docs.where("doc_id % 3 = 1").select("doc_id", F.concat(F.reverse("text"), F.lit(" therapy onan")).alias("text"))

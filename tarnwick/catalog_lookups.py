@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.catalog import _LINKED_SQL, _sides, query, table
+from tarnwick.catalog import _LINKED_SQL, _sides, once, query, table
 from tarnwick.functions import prompts, text
 from tarnwick.operators import identity
 from tarnwick.plans import context, reconcile
@@ -124,6 +124,7 @@ def q_requirement_keywords(spark, d):
 _EXCLUDED = ("3", "7")
 
 
+@once
 def _reconciled(spark, d) -> reconcile.Reconciled:
     people, roster = _sides(spark, d)
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")

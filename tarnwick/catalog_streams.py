@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick import workspace
-from tarnwick.catalog import _FOLD_SQL, _candidates, query, table
+from tarnwick.catalog import _FOLD_SQL, _candidates, once, query, table
 from tarnwick.catalog_people import _PEOPLE_SQL, _people
 from tarnwick.operators import budget, identity, merge, review
 from tarnwick.plans import incremental, publication
@@ -17,10 +15,6 @@ from tarnwick.streaming import cooldown, harvest
 from tarnwick.versions import Store
 
 
-def _folder(spark, name: str) -> str:
-    return f"{workspace.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # A harvest
 
 _HARVEST_SQL = """SELECT p_partkey, unnest(['Roy & Co, ' || p_brand, p_type || ' Lee', 'Wu, Bo ' || p_size, '', '1, 2']) AS creator, unnest([1, 2, 3, 4, 5]) AS nth, p_name || ' < ' || p_type AS title, CASE WHEN p_size % 7 <> 0 THEN 1980 + p_size END AS year, CASE WHEN p_size % 2 = 0 THEN p_brand END AS journal, '10.1/' || p_partkey AS doi, 'http://x.edu/' || p_partkey AS url FROM part WHERE p_size % 11 <> 0"""
@@ -43,9 +37,10 @@ def _captured(spark, d, folder: str, low: int, high: int, each: int = 100) -> No
     harvest.capture(pages.select(own.alias("token"), harvest.page_xml(F.transform("all", lambda x: x["e"]), token).alias("xml")), folder)
 
 
+@once
 def _harvested(spark, d) -> DataFrame:
     """Half of the pages are there when the harvest begins; it waits for the others, and goes on in a new query."""
-    folder = _folder(spark, "harvest")
+    folder = workspace.folder(spark, "harvest")
     store = Store(spark, f"{folder}/table")
     _captured(spark, d, f"{folder}/pages", 0, 9)
     harvest.harvest(spark, f"{folder}/pages", store, f"{folder}/checkpoint")
@@ -72,7 +67,7 @@ def q_harvest_lookup(spark, d):
     SELECT user_id::VARCHAR AS key, CASE WHEN ours AND until > now THEN until END AS fresh_until FROM k, now""")
 def q_cooldown_stream(spark, d):
     """Events as judgements of each user's five kinds, in the order of time in several micro-batches."""
-    folder = _folder(spark, "cooldown")
+    folder = workspace.folder(spark, "cooldown")
     events = table(spark, d, "events")
     week = F.weekofyear("ts")
     for part in range(1, 6):  # January, which all events are in, week by week
@@ -131,7 +126,7 @@ def q_merge_provenance(spark, d):
 def q_enrich_stream(spark, d):
     """Lines in two micro-batches, by flag, so each brings what other sources say of the same people; then
     the second again, as after a failure."""
-    folder = _folder(spark, "enrich")
+    folder = workspace.folder(spark, "enrich")
     lines = table(spark, d, "lineitem")
     store = Store(spark, f"{folder}/store")
     for part in ("l_returnflag <> 'R'", "l_returnflag = 'R'"):
@@ -194,7 +189,7 @@ def q_sweep_counts(spark, d):
 def q_roster_scan(spark, d):
     """The documents as a roster extract with quotes, commas and line ends in its fields and a blank line
     after each row, read in splits of 64 KB."""
-    folder = _folder(spark, "roster")
+    folder = workspace.folder(spark, "roster")
     quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
     row = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.base64(F.encode("text", "UTF-8"))), quoted(F.concat("source", F.lit(',"'), "lang")), quoted(F.concat(F.lit("a\r\n"), F.col("doc_id").cast("string"), F.lit('\n"b"\n'))), F.lit(""))
     head = spark.createDataFrame([(-1, "extract\n\"of\nrosters\nid,text,tag,odd,blank")], "doc_id long, line string")
@@ -217,7 +212,7 @@ def q_roster_scan(spark, d):
     CASE WHEN id % 5 = 2 THEN '["Ph.D. \\"x\\"",null]' ELSE '[]' END AS degrees, (h_index % 3 = 0 OR id % 7 = 3)::BIGINT AS has_profile, coalesce(id % 4, 0)::BIGINT AS grants_count FROM people""".replace("(h_index % 3 = 0 OR id % 7 = 3)", "(coalesce(h_index % 3 = 0, FALSE) OR id % 7 = 3)"))
 def q_export_rebuilt(spark, d):
     """People published, exported, and rebuilt from the export in another store."""
-    folder = _folder(spark, "publication")
+    folder = workspace.folder(spark, "publication")
     k = F.col("id")
     people = _people(spark, d).withColumns({
         "stable_key": F.concat(F.lit("k"), k.cast("string")), "pi_eligible": F.col("pi_eligible").cast("boolean"), "department_label": F.upper("department"),

@@ -55,6 +55,13 @@ def save(df: DataFrame, *by: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what streams and stores write, deleted with the tables."""
+    path = f"{shared_folder(spark)}/tarnwick-{name}-{uuid.uuid4().hex}"
+    _written.append((next(_numbers), threading.get_ident(), spark, path))
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`save` returned and that no later plan reads."""
     _delete(df.sparkSession, df._scratch_path)
