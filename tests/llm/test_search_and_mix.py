@@ -84,7 +84,7 @@ def items(spark):
     return rows, spark.createDataFrame(rows, ITEMS).withColumns({"term": F.lit(0), "rank": F.lit(0)})
 
 
-@pytest.mark.parametrize(("cuts", "rows", "block", "sent"), [((16, 256), 8192, 256, 1 << 25), ((1, 2), 7, 4, 0), ((1,), 3, 256, 1 << 25), ((2, 4, 8), 40, 9, 0)])
+@pytest.mark.parametrize(("cuts", "rows", "block", "sent"), [((16, 256), 8192, 256, 1 << 25), ((1, 2), 7, 12, 0), ((2, 4, 8), 40, 9, 1 << 25)])
 def test_search_is_exact(docs, items, monkeypatch, cuts, rows, block, sent):
     """With tiers so short that most items fall through, shards of a few rows, several blocks, no broadcast."""
     for name, value in (("CUTS", cuts), ("SHARD_ROWS", rows), ("ITEMS", block), ("BROADCAST_BYTES", sent)):
