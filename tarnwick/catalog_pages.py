@@ -160,5 +160,5 @@ def q_entry_address(spark, d):
     shown = F.when(key % 3 == 0, _page('<td><a href="mailto:info@x.edu">all</a> <a href="mailto:', mail, '">m</a></td>')).when(key % 3 == 1, _page("<td> ", mail, "</td>")).otherwise("<td></td>")
     row = _page("<tr><td>", F.col("s_name"), "</td><td> Nation ", F.col("s_nationkey").cast("string"), "</td>", shown, "</tr>")
     page = table(spark, d, "supplier").groupBy("s_nationkey").agg(_page("<table>", F.array_join(F.collect_list(row), ""), "</table>").alias("html"))
-    rows = table(spark, d, "supplier").join(_with_tree(page), "s_nationkey")
-    return rows.select("s_suppkey", dom.entry_address(F.col("tree"), F.lit("nation"), F.col("s_name"), "x.edu", ["info@x.edu"]).alias("email"))
+    people = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lit("nation").alias("first"), F.col("s_name").alias("last"))
+    return dom.entry_addresses(people, page, ["s_nationkey"], "x.edu", ["info@x.edu"]).select("s_suppkey", "email")

@@ -6,14 +6,18 @@ is a text (tag ``#text``), the text. Descendants are a slice of the array, sibli
 parent, so every question is an expression of Spark over that array; :func:`nodes` gives it as rows, to
 be joined. Tags that are never closed hold what follows up to the end of what they are in, as in the
 parser that pages were written for; scripts and styles have no text.
+
+A page with thousands of entries isn't asked as a whole: :func:`parts` gives each entry as a row with the
+tree of its own nodes, and :func:`showing` finds the entries that show a name by an equi-join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +31,7 @@ SILENT = ("script", "style", "template")
 #: Headings that begin a section, and what an address may be announced in.
 HEADINGS = ("h2", "h3", "h4")
 CONTACT_TAGS, CONTACT_HEADINGS = ("span", "p", "div", "li"), ("h2", "h3", "h4", "dt", "label")
-ENTRY_TAGS = ("tr", "div", "li", "article")
+ENTRY_TAGS, CARD_TAGS = ("tr", "div", "li", "article"), ("div", "li", "article")
 
 
 class _Tree(HTMLParser):
@@ -88,11 +92,95 @@ def parsed(pages: pd.Series) -> pd.Series:
     return pages.map(lambda html: None if html is None else _Tree().tree(html))
 
 
+class _Parts(_Tree):
+    """The elements of some tags, each as a tree of its own, of a page that is read in pieces; nodes are kept
+    no longer than an element that needs them."""
+
+    def __init__(self, tags: Sequence[str]) -> None:
+        self.tags, self.ended, self.free = tags, [], 0
+        super().__init__()
+
+    def _end(self) -> None:
+        at = self.open[-1]
+        super()._end()
+        if self.nodes[at]["tag"] in self.tags:
+            self.ended.append(at)
+
+    def _taken(self) -> Iterator[tuple[int, list[dict]]]:
+        for at in sorted(self.ended):
+            top = self.nodes[at]
+            yield at, [n | {"at": n["at"] - at, "parent": None if n["at"] == at else n["parent"] - at, "end": n["end"] - at} for n in self.nodes[at : top["end"]]]
+        self.ended = []
+        # the last node may be a text that goes on
+        first = next((at for at in self.open if self.nodes[at]["tag"] in self.tags), len(self.nodes) - 1)
+        held = set(self.open)
+        self.nodes[self.free : first] = [n if i in held else None for i, n in enumerate(self.nodes[self.free : first], self.free)]
+        self.free = first
+
+    def parts(self, html: str, piece: int) -> Iterator[tuple[int, list[dict]]]:
+        for i in range(0, len(html), piece):
+            self.feed(html[i : i + piece])
+            yield from self._taken()
+        self.close()
+        while self.open:
+            self._end()
+        yield from self._taken()
+
+
 def nodes(pages: DataFrame, tree: str = "tree") -> DataFrame:
     """Every node of every page as a row, with the page's other columns."""
     return pages.select(*(c for c in pages.columns if c != tree), F.explode(tree).alias("node")).select("*", "node.*").drop("node")
 
 
+#: A node's type in Arrow, characters that are parsed and nodes that are handed over at once.
+_NODES = pa.list_(pa.struct([("at", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
+PIECE, BATCH = 1 << 18, 1 << 15
+
+
+def parts(pages: DataFrame, tags: Sequence[str], html: str = "html", piece: int = PIECE) -> DataFrame:
+    """A row for each element of ``tags`` in ``pages``, with the page's other columns: its place ``at`` among
+    the page's nodes, and ``tree``, which is the element alone. Memory follows the largest element that is
+    asked for, not the page."""
+    rest = [f for f in pages.schema.fields if f.name != html]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, trees, held = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                own = [batch.column(j).take(pa.array(rows, pa.int64())) for j in range(1, batch.num_columns)]
+                return pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(trees, _NODES)], names=[*batch.schema.names[1:], "at", "tree"])
+
+            for i in range(batch.num_rows):
+                page = batch.column(0)[i].as_py()
+                for at, tree in _Parts(tags).parts(page, piece) if page is not None else ():
+                    rows.append(i), places.append(at), trees.append([n | {"attrs": list(n["attrs"].items())} for n in tree])
+                    held += len(tree)
+                    if held >= BATCH:
+                        yield made()
+                        rows, places, trees, held = [], [], [], 0
+            if rows:
+                yield made()
+
+    out = T.StructType([*rest, T.StructField("at", T.IntegerType()), T.StructField("tree", T.ArrayType(NODE))])
+    return pages.select(html, *(f.name for f in rest)).mapInArrow(cut, out)
+
+
+def showing(shown: DataFrame, named: DataFrame, page: Sequence[str]) -> DataFrame:
+    """``shown(*page, at, text, ..)`` with the ``named(*page, wanted)`` whose ``wanted``, an array of names, all
+    stand in the text, in any case. The longest name is looked up among the pieces of the text that have the
+    length of any of the page's names, so a page's names are never tried one by one."""
+    low = named.withColumn("_names", F.transform("wanted", lambda n: F.lower(n)))
+    low = low.withColumn("_key", F.element_at(F.array_sort(F.transform("_names", lambda n: F.struct(F.length(n).alias("l"), n.alias("n")))), -1)["n"]).where("_key IS NOT NULL")
+    sizes = low.select(*page, F.length("_key").alias("_size")).distinct()
+    text = shown.withColumn("_text", F.lower("text"))
+    spots = lambda size: F.sequence(F.lit(1), F.greatest(F.length("_text") - size + 1, F.lit(1)))
+    pieces = text.join(sizes, [*page]).where(F.length("_text") >= F.col("_size"))
+    pieces = pieces.withColumn("_key", F.explode(F.array_distinct(F.transform(spots(F.col("_size")), lambda i: F.substring(F.col("_text"), i, F.col("_size"))))))
+    found = pieces.join(low.hint("merge"), [*page, "_key"]).where(F.forall("_names", lambda n: F.contains(F.col("_text"), n)))
+    return found.drop("_key", "_size", "_text", "_names")
+
+
 # Text
 
 
@@ -216,16 +304,29 @@ def any_address(tree: Column, domain: str, blocked: Sequence[str] = (), generic:
     return F.get(F.filter(F.concat(mails, shown), lambda m: ~_is(m, blocked) & ~_is(F.substring_index(m, "@", 1), generic)), F.lit(0))
 
 
+def _entry_mail(tree: Column, n: Column, domain: str, blocked: Sequence[str]) -> Column:
+    return F.get(F.concat(_mailto(below(tree, n), domain, blocked), _shown(tree, F.array(n), domain, blocked)), F.lit(0))
+
+
 def entry_address(tree: Column, first: Column, last: Column, domain: str, blocked: Sequence[str] = ()) -> Column:
     """A person's address in a directory: of the first entry that shows both names and has one, by a link
     or in its text."""
-    def of(n: Column) -> Column:
-        return F.get(F.concat(_mailto(below(tree, n), domain, blocked), _shown(tree, F.array(n), domain, blocked)), F.lit(0))
-
+    of = lambda n: _entry_mail(tree, n, domain, blocked)
     named = F.filter(tagged(tree, ENTRY_TAGS), lambda n: F.contains(F.lower(clean_text(tree, n)), F.lower(first)) & F.contains(F.lower(clean_text(tree, n)), F.lower(last)))
     return F.get(F.filter(F.transform(named, of), lambda m: m.isNotNull()), F.lit(0))
 
 
+def entry_addresses(people: DataFrame, pages: DataFrame, page: Sequence[str], domain: str, blocked: Sequence[str] = ()) -> DataFrame:
+    """:func:`entry_address` of all ``people(*page, first, last, ..)`` in the directories ``pages(*page, html)``
+    that they are looked up in: ``people`` with ``email``, null where there is none."""
+    tree = F.col("tree")
+    entries = parts(pages, ENTRY_TAGS).select(*page, "at", clean_text(tree, F.get(tree, F.lit(0))).alias("text"), _entry_mail(tree, F.get(tree, F.lit(0)), domain, blocked).alias("email"))
+    wanted = F.array("first", "last")
+    named = people.select(*page, wanted.alias("wanted")).where("first IS NOT NULL AND last IS NOT NULL").distinct()
+    found = showing(entries.where("email IS NOT NULL"), named, page).groupBy(*page, "wanted").agg(F.min_by("email", "at").alias("email"))
+    return people.withColumn("wanted", wanted).join(found.hint("merge"), [*page, "wanted"], "left").drop("wanted")
+
+
 def profile(tree: Column, keywords: Sequence[str], domain: str, blocked: Sequence[str] = ()) -> Column:
     """struct(research, email) of a profile page, null if it has neither."""
     research, email = sections(tree, keywords), address(tree, domain, blocked)
@@ -239,17 +340,37 @@ def followed(searches: DataFrame, pages: DataFrame, path: str, base: str) -> Dat
     return leads.join(pages.select("url", "tree"), "url")
 
 
+def followed_from(people: DataFrame, searches: DataFrame, pages: DataFrame, page: Sequence[str], path: str, base: str) -> DataFrame:
+    """:func:`followed` where many people are found by one search: ``people(*page, person, name)``,
+    ``searches(*page, html)`` and the captured ``pages(url, html)``, to be parsed once they are found."""
+    tree = F.col("tree")
+    top = F.get(tree, F.lit(0))
+    links = parts(searches, ["a"]).select(*page, "at", top["attrs"]["href"].alias("href"), clean_text(tree, top).alias("text")).where(F.contains("href", F.lit(path)))
+    named = people.select(*page, F.array("name").alias("wanted")).where("name IS NOT NULL").distinct()
+    first = showing(links, named, page).groupBy(*page, "wanted").agg(F.min_by("href", "at").alias("href"))
+    leads = people.withColumn("wanted", F.array("name")).join(first.hint("merge"), [*page, "wanted"]).select("person", absolute(F.col("href"), base).alias("url"))
+    return leads.join(pages.hint("merge"), "url")
+
+
 def cards(tree: Column, path: str) -> Column:
     """array of struct(name, title, href) of a search's result cards: elements with a class whose first link
     leads to ``path``, the title being what is called one by its class."""
-    def one(n: Column) -> Column:
-        inside = below(tree, n)
-        link = F.get(F.filter(inside, lambda x: x["tag"].isin("a", "h3", "h4") & x["attrs"]["href"].isNotNull()), F.lit(0))
-        title = F.get(F.filter(inside, lambda x: x["tag"].isin("span", "p") & F.coalesce(x["attrs"]["class"].rlike("(?i)title"), F.lit(False))), F.lit(0))
-        return F.when(F.contains(link["attrs"]["href"], F.lit(path)), F.struct(clean_text(tree, link).alias("name"), F.coalesce(clean_text(tree, title), F.lit("")).alias("title"), link["attrs"]["href"].alias("href")))
-
-    boxes = F.filter(tagged(tree, ["div", "li", "article"]), lambda n: n["attrs"]["class"].isNotNull())
-    return F.filter(F.transform(boxes, one), lambda c: c.isNotNull())
+    boxes = F.filter(tagged(tree, CARD_TAGS), lambda n: n["attrs"]["class"].isNotNull())
+    return F.filter(F.transform(boxes, lambda n: _card(tree, n, path)), lambda c: c.isNotNull())
+
+
+def _card(tree: Column, n: Column, path: str) -> Column:
+    inside = below(tree, n)
+    link = F.get(F.filter(inside, lambda x: x["tag"].isin("a", "h3", "h4") & x["attrs"]["href"].isNotNull()), F.lit(0))
+    title = F.get(F.filter(inside, lambda x: x["tag"].isin("span", "p") & F.coalesce(x["attrs"]["class"].rlike("(?i)title"), F.lit(False))), F.lit(0))
+    return F.when(F.contains(link["attrs"]["href"], F.lit(path)), F.struct(clean_text(tree, link).alias("name"), F.coalesce(clean_text(tree, title), F.lit("")).alias("title"), link["attrs"]["href"].alias("href")))
+
+
+def card_rows(pages: DataFrame, path: str) -> DataFrame:
+    """:func:`cards` of ``pages(html, ..)`` as rows: the page's other columns, ``at`` and the card ``c``."""
+    tree = F.col("tree")
+    boxes = parts(pages, CARD_TAGS).where(F.get(tree, F.lit(0))["attrs"]["class"].isNotNull())
+    return boxes.withColumn("c", _card(tree, F.get(tree, F.lit(0)), path)).drop("tree").where("c IS NOT NULL")
 
 
 def listed_texts(tree: Column, tags: Sequence[str] = ("p", "li", "div")) -> Column:

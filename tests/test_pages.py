@@ -93,3 +93,35 @@ def test_listing_entries(spark):
     }
     rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", prompts.listing_entry(F.col("line")).alias("e")).collect()
     assert {r.line: r.e and (r.e["first"], r.e["last"], r.e["title"], r.e["degrees"]) for r in rows} == lines
+
+
+def _parts_of(tree, tags):
+    return [(n.at, [(m.at - n.at, None if m.at == n.at else m.parent - n.at, m.end - n.at, m.tag, m.text, m.attrs) for m in tree[n.at : n.end]]) for n in tree if n.tag in tags]
+
+
+def test_parts_are_slices_of_the_tree(spark):
+    import random
+
+    draw = random.Random(3)
+    bits = ["<div class='c'>", "</div>", "<li>", "</li>", "<p>", "</p>", "<a href='/profile/1&amp;x'>", "</a>", "a b", "&amp;", "<br>", "<script>", "</script>", "x<y", "<!-- <li> -->"]
+    pages = ["", PAGE, None, *("".join(draw.choice(bits) for _ in range(draw.randrange(60))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(pages)), "page long, html string")
+    whole = {r.page: r.tree for r in rows.select("page", dom.parsed("html").alias("tree")).collect() if r.tree}
+    for piece in (1 << 18, 40):
+        got = {}
+        for r in dom.parts(rows, ["li", "div"], piece=piece).collect():
+            got.setdefault(r.page, []).append((r.at, [tuple(n) for n in r.tree]))
+        for page, tree in whole.items():
+            want = [(at, [(a, p, e, t, x, m) for a, p, e, t, x, m in part]) for at, part in _parts_of(tree, ["li", "div"])]
+            assert sorted(got.get(page, []), key=lambda x: x[0]) == want
+
+
+def test_large_directories_are_asked_by_a_join(spark):
+    """A directory of 3,000 entries, the same questions as of one tree; each page is asked for all of its people."""
+    entry = lambda i: f"<tr><td>Ann No{i:05d}</td><td> " + ("" if i % 3 == 2 else f"p{i}@x.edu") + "</td></tr>"
+    pages = spark.createDataFrame([("a", "<table>" + "".join(map(entry, range(3000))) + "</table>"), ("b", "<li>Bo Wu <a href='mailto:info@x.edu'>i</a></li><li>Wu, BO bo@x.edu</li><li>Bo Wu late@x.edu</li>")], "page string, html string")
+    people = [(i, "a", "ann", f"no{i:05d}") for i in range(3000)] + [(5000, "b", "Bo", "Wu"), (5001, "b", "", "wu"), (5002, "b", None, "Wu"), (5003, "b", "Cy", "Wu"), (5004, "a", "Bo", "Wu"), (5005, "c", "Bo", "Wu"), (5006, "b", "", "")]
+    asked = spark.createDataFrame(people, "id long, page string, first string, last string")
+    got = {r.id: r.email for r in dom.entry_addresses(asked, pages, ["page"], "x.edu", ["info@x.edu"]).collect()}
+    want = {i: None if i % 3 == 2 else f"p{i}@x.edu" for i in range(3000)}
+    assert got == want | {5000: "bo@x.edu", 5001: "bo@x.edu", 5002: None, 5003: None, 5004: None, 5005: None, 5006: "bo@x.edu"}
