@@ -115,12 +115,12 @@ def _listings(spark, d) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, _page('<p class="x">no</p><span class="JobTitle"> ', F.col("c_mktsegment"), " </span>")).otherwise(""), "</li>",
     )
     cards = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("card")))), lambda x: x["card"]), "").alias("cards"))
-    return _with_tree(cards.select("c_nationkey", "c_mktsegment", _page('<ul class="list">', F.col("cards"), "</ul>").alias("html")))
+    return cards.select("c_nationkey", "c_mktsegment", _page('<ul class="list">', F.col("cards"), "</ul>").alias("html"))
 
 
 @query("SELECT c_custkey, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS title FROM customer WHERE c_acctbal > 0")
 def q_search_cards(spark, d):
-    rows = _listings(spark, d).select(F.explode(dom.cards(F.col("tree"), "/profile/")).alias("c"))
+    rows = _with_tree(_listings(spark, d)).select(F.explode(dom.cards(F.col("tree"), "/profile/")).alias("c"))
     return rows.select(F.regexp_extract("c.href", r"(\d+)$", 1).cast("long").alias("c_custkey"), "c.name", "c.title")
 
 
@@ -128,10 +128,9 @@ def q_search_cards(spark, d):
 def q_profile_followed(spark, d):
     """Each customer's search leads, by the link that shows the name, to the page with the address."""
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), F.col("c_name").alias("name"), "c_nationkey", "c_mktsegment")
-    searches = people.join(_listings(spark, d), ["c_nationkey", "c_mktsegment"])
-    pages = _with_tree(_contact_pages(spark, d).select(_page("https://x.edu/profile/", F.col("c_custkey").cast("string")).alias("url"), "html"))
-    led = dom.followed(searches, pages, "/profile/", "https://x.edu")
-    return led.select(F.col("person").alias("c_custkey"), dom.address(F.col("tree"), "x.edu", ["info@x.edu"]).alias("email"))
+    pages = _contact_pages(spark, d).select(_page("https://x.edu/profile/", F.col("c_custkey").cast("string")).alias("url"), "html")
+    led = dom.followed_from(people, _listings(spark, d), pages, ["c_nationkey", "c_mktsegment"], "/profile/", "https://x.edu")
+    return _with_tree(led).select(F.col("person").alias("c_custkey"), dom.address(F.col("tree"), "x.edu", ["info@x.edu"]).alias("email"))
 
 
 _ENTRY_SQL = """SELECT p_partkey, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) || CASE WHEN p_size % 11 = 0 THEN '2' ELSE '' END AS last, p_brand, p_type, p_size FROM part"""

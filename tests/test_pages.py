@@ -125,3 +125,12 @@ def test_large_directories_are_asked_by_a_join(spark):
     got = {r.id: r.email for r in dom.entry_addresses(asked, pages, ["page"], "x.edu", ["info@x.edu"]).collect()}
     want = {i: None if i % 3 == 2 else f"p{i}@x.edu" for i in range(3000)}
     assert got == want | {5000: "bo@x.edu", 5001: "bo@x.edu", 5002: None, 5003: None, 5004: None, 5005: None, 5006: "bo@x.edu"}
+
+
+def test_many_people_of_one_search(spark):
+    card = lambda i: f"<li class='c'><a href='/{'profile' if i % 2 else 'people'}/{i}'>Prof NO{i:05d}</a><a href='/profile/x{i}'>no{i:05d} again</a></li>"
+    searches = spark.createDataFrame([("a", "<ul>" + "".join(map(card, range(2000))) + "</ul>")], "page string, html string")
+    people = spark.createDataFrame([(i, "a", f"No{i:05d}") for i in range(2000)] + [(9000, "a", "missing"), (9001, "b", "No00001")], "person long, page string, name string")
+    captured = spark.createDataFrame([(f"https://x.edu/profile/{x}{i}", f"{x}{i}") for i in range(2000) for x in ("", "x")], "url string, html string")
+    led = dom.followed_from(people, searches, captured, ["page"], "/profile/", "https://x.edu")
+    assert {r.person: r.html for r in led.collect()} == {i: str(i) if i % 2 else f"x{i}" for i in range(2000)}
