@@ -120,8 +120,7 @@ def _listings(spark, d) -> DataFrame:
 
 @query("SELECT c_custkey, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS title FROM customer WHERE c_acctbal > 0")
 def q_search_cards(spark, d):
-    rows = _with_tree(_listings(spark, d)).select(F.explode(dom.cards(F.col("tree"), "/profile/")).alias("c"))
-    return rows.select(F.regexp_extract("c.href", r"(\d+)$", 1).cast("long").alias("c_custkey"), "c.name", "c.title")
+    return dom.card_rows(_listings(spark, d), "/profile/").select(F.regexp_extract("c.href", r"(\d+)$", 1).cast("long").alias("c_custkey"), "c.name", "c.title")
 
 
 @query(f"SELECT c_custkey, email FROM ({_CONTACT_SQL}) JOIN customer USING (c_custkey) WHERE c_acctbal > 0")

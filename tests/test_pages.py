@@ -134,3 +134,5 @@ def test_many_people_of_one_search(spark):
     captured = spark.createDataFrame([(f"https://x.edu/profile/{x}{i}", f"{x}{i}") for i in range(2000) for x in ("", "x")], "url string, html string")
     led = dom.followed_from(people, searches, captured, ["page"], "/profile/", "https://x.edu")
     assert {r.person: r.html for r in led.collect()} == {i: str(i) if i % 2 else f"x{i}" for i in range(2000)}
+    cards = dom.card_rows(searches, "/profile/").select("c.href").collect()
+    assert sorted(r.href for r in cards) == sorted(f"/profile/{i}" for i in range(2000) if i % 2)
