@@ -44,11 +44,18 @@ def whole_compatible(of: Column, ol: Column, tf: Column, tl: Column) -> Column:
 def similarity(first: Column, last: Column, their_first: Column, their_last: Column) -> Column:
     """Between 0 and 1: six tenths for the last name (0.8 of it where one contains the other), four
     tenths for the first (graded by how much of the beginning agrees)."""
-    of, ol, tf, tl = (letters_only(x) for x in (first, last, their_first, their_last))
+    return letters_similarity(*(letters_only(x) for x in (first, last, their_first, their_last)))
+
+
+def letters_similarity(of: Column, ol: Column, tf: Column, tl: Column) -> Column:
+    """:func:`similarity` of names given as letters only. Every grade is a constant, so a pair costs comparisons."""
     some = (of != "") & (ol != "") & (tf != "") & (tl != "")
-    by_last = F.when(ol == tl, 1.0).when(F.contains(tl, ol) | F.contains(ol, tl), 0.8)
-    by_first = F.when(of == tf, 1.0).when(F.startswith(tf, of) | F.startswith(of, tf), 0.85).when(F.left(tf, F.lit(3)) == F.left(of, F.lit(3)), 0.6).when(F.left(tf, F.lit(1)) == F.left(of, F.lit(1)), 0.3)
-    return F.when(some, F.coalesce(F.round(by_last * 0.6 + by_first * 0.4, 3), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def graded(by_last: float) -> Column:
+        grade = lambda by_first: F.round(F.lit(by_last) * 0.6 + F.lit(by_first) * 0.4, 3)
+        return F.when(of == tf, grade(1.0)).when(F.startswith(tf, of) | F.startswith(of, tf), grade(0.85)).when(F.left(tf, F.lit(3)) == F.left(of, F.lit(3)), grade(0.6)).when(F.left(tf, F.lit(1)) == F.left(of, F.lit(1)), grade(0.3)).otherwise(F.lit(0.0))
+
+    return F.when(some & (ol == tl), graded(1.0)).when(some & (F.contains(tl, ol) | F.contains(ol, tl)), graded(0.8)).otherwise(F.lit(0.0))
 
 
 def variants(first: Column, last: Column) -> Column:

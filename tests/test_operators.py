@@ -119,3 +119,27 @@ def test_the_last_of_equal_keys_counts_at_the_place_of_the_first(spark):
     people = spark.createDataFrame([(1, "Al", "Roy", "")], "person_id long, first string, last string, email string")
     roster = spark.createDataFrame([(5, 0, "Alan", "Roy", ""), (6, 1, "Alma", "Roy", ""), (7, 2, "Alan", "Roy", "")], "roster_id long, pos long, first string, last string, email string")
     assert [(r.roster_id, r.tier) for r in linkage.tiered_match(people, roster).collect()] == [(7, 4)]
+
+
+def test_pairs_cost_comparisons_alone(spark):
+    """What a pair of names or a candidate is worth is worked out of constants, names being prepared before they meet."""
+    from tarnwick import catalog
+    from tarnwick.functions import names
+
+    for name in ("q_name_similarity", "q_names_compatible"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        top = plan.split("Join")[0]
+        assert "regexp_replace" not in top and "round(" not in top, name
+    words = ["", "A", "An", "Ann", "Anna", "Anton", "O'Neil", "neil", "Lee-Roy", "roy", None]
+    rows = spark.createDataFrame([(a, b, c, d) for a in words for b in words[:4] + words[-4:] for c in words for d in words[-5:]], "a string, b string, c string, d string")
+
+    def by_hand(r):
+        letters = lambda x: "".join(c for c in (x or "").lower() if "a" <= c <= "z")
+        of, ol, tf, tl = map(letters, r)
+        if not (of and ol and tf and tl) or not (ol in tl or tl in ol):
+            return 0.0
+        first = 1.0 if of == tf else 0.85 if of.startswith(tf) or tf.startswith(of) else 0.6 if of[:3] == tf[:3] else 0.3 if of[0] == tf[0] else None
+        return 0.0 if first is None else round((0.6 if ol == tl else 0.48) + 0.4 * first, 3)
+
+    got = rows.select("a", "b", "c", "d", names.similarity(*map(F.col, "abcd")).alias("s")).collect()
+    assert all(abs(r.s - by_hand(r[:4])) < 1e-9 for r in got)
