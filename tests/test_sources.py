@@ -127,3 +127,10 @@ def test_author_by_papers(spark):
     searches = spark.createDataFrame([("T1", json.dumps({"data": []})), ("T2", json.dumps({"data": [paper(("1", "Bo Wu", None)), paper(("2", "W. Lee", None), ("3", "Wei Lee", "o1"))]})), ("T4", json.dumps({"data": [paper(("9", "Wei Lee", None))]}))], "title string, payload string")
     people = spark.createDataFrame([(1, "Wei", "Lee", "o1", ["T1", "T2"]), (2, "Zoe", "Poe", "o1", [None, "T2"]), (3, "Wei", "Lee", None, ["a", "b", "c", "T4"]), (4, "", "", "", ["T2"]), (5, "Bo", "Wu", "", None)], "person_id long, first string, last string, orcid string, titles array<string>")
     assert {r.person_id: r.author_id for r in lookups.author_by_papers(people, searches).collect()} == {1: "2", 2: "3"}
+
+
+def test_references_cut_off_before_their_semicolon_are_text():
+    from tarnwick.sources.html import visible_text
+
+    assert visible_text("<h1>a&amp;&amp;&amp</h1><p>&amp;amp; &copy; &#39; &#39 &notit; &lt</p>") == "a&&&amp\n&amp; © ' &#39 &notit; &lt"
+    assert visible_text("<p>&amp") == "&amp"
