@@ -143,3 +143,16 @@ def test_pairs_cost_comparisons_alone(spark):
 
     got = rows.select("a", "b", "c", "d", names.similarity(*map(F.col, "abcd")).alias("s")).collect()
     assert all(abs(r.s - by_hand(r[:4])) < 1e-9 for r in got)
+
+
+def test_an_index_is_built_without_a_shuffle(spark):
+    from tarnwick.operators import search
+
+    docs = spark.createDataFrame([(1, "Dogs dog DOG thé"), (2, ""), (3, None), (4, "running dogs")], "doc_id long, text string")
+    postings = search.in_order(search.postings_of(docs))
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+    total = {}
+    for r in postings.collect():
+        total[r.doc_id, r.term, r.length] = total.get((r.doc_id, r.term, r.length), 0) + r.tf
+    assert total == {(1, "dog", 4): 3, (1, "the", 4): 1, (4, "run", 2): 1, (4, "dog", 2): 1}
