@@ -601,6 +601,51 @@ def test_language_codewords_stay_apart():
         assert code.shape[0] == classes and apart.min() >= (3 if classes > 64 else 6)
 
 
+def test_every_document_shapes_the_forest(spark):
+    """Of 20,000 documents that are alike but one, the one that comes last by its hash, and trees of as many rows as there are."""
+    places = spark.range(20000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("place"))
+    last = places.orderBy(F.col("place").desc(), F.col("id").desc()).first().id
+    odd = F.when(F.col("id") == last, F.lit(" ".join(f"#{k}$ AB{k}" for k in range(30)))).otherwise("")
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit(words(60, 1)), odd).alias("text"))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r.doc_id: r.anomaly for r in quality.quality_rules(docs, labels).collect()}
+    assert len({a for i, a in got.items() if i != last}) == 1 and got[last] > max(a for i, a in got.items() if i != last)
+
+    counted = spark.range(700).select(F.col("id").alias("doc_id"), *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(90)) + 60).alias(c) for k, c in enumerate(quality.COUNTS)))
+    forest, again = quality.grown(counted), quality.grown(counted.repartition(7))
+    assert np.array_equal(forest.column, again.column) and np.array_equal(forest.cut, again.cut) and np.array_equal(forest.path, again.path)
+    rows = counted.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(64))).collect()
+    x = quality.ratios({c: np.array([r[c] for r in rows]) for c in quality.COUNTS})
+    assert forest.deal == 24
+    for t in range(0, 64, 9):
+        mine = x[[(t - r.place) % 64 < 24 for r in rows]]
+        stack = [(0, 0, mine)]
+        while stack:
+            node, level, part = stack.pop()
+            k, cut = forest.column[t, node], forest.cut[t, node]
+            if k < 0:
+                assert level == 8 or len(part) == 1
+                assert forest.path[t, node] == level + quality.usual_path(len(part))
+            else:
+                assert part[:, k].min() <= cut < part[:, k].max()
+                stack += [(2 * node + 1, level + 1, part[part[:, k] <= cut]), (2 * node + 2, level + 1, part[part[:, k] > cut])]
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_threshold_of_all_labelled_rows(spark, ranges):
+    """25,000 scores, many of them equal, by all cuts; the last ones alone have the bad ones."""
+    draw = np.random.default_rng(4)
+    good = draw.random(25000) < 0.9
+    score = np.round(np.where(good, 0.4, 0.5) + draw.normal(size=25000) / 20, 4)
+    scored = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good, strict=True)], "anomaly double, good boolean")
+    got = quality.calibrate(scored, 0.05, ranges=ranges)
+    cuts = np.unique(score)
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1e-6)
+    kept = [np.searchsorted(np.sort(s), cuts) / len(s) for s in (score[good], score[~good])]
+    assert got == cuts[np.where(kept[0] >= 0.95, kept[0] - kept[1], -1).argmax()]
+    assert quality.calibrate(scored.where("good")) == 0.6 and quality.calibrate(scored.where("false")) == 0.6
+
+
 def test_letters_rows_and_samples_of_languages(spark):
     """Digits of other kinds are no letters; repeated rows and many languages leave the model whole."""
     rows = [(i, f"lang{i % 70} " + words(20, 1000 + i % 70), f"l{i % 70:02d}") for i in range(700)]
