@@ -127,11 +127,12 @@ def q_enrich_stream(spark, d):
     """Lines in two micro-batches, by flag, so each brings what other sources say of the same people; then
     the second again, as after a failure."""
     folder = workspace.folder(spark, "enrich")
-    lines = table(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     store = Store(spark, f"{folder}/store")
     for part in ("l_returnflag <> 'R'", "l_returnflag = 'R'"):
-        lines.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        # the stream goes on with what has come since it ended, in as many files as there are
+        lines.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
         incremental.enrich_stream(stream, _said, store, f"{folder}/checkpoint")
     incremental.apply_batch(store, _said(lines.where("l_returnflag = 'R'")), 1)
     return _keyed(incremental.profiles(store).select("person_id", F.explode("entries").alias("e")).select("person_id", "e.*"))

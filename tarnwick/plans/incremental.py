@@ -50,6 +50,14 @@ def _merged(contributions: DataFrame) -> DataFrame:
     return profile.withColumn("raw_hash", F.sha2(F.to_json("entries"), 256))
 
 
+def _profiled(own: DataFrame) -> DataFrame:
+    """Profiles by what each source said last, of contributions with their segments. All is by person and more,
+    so rows move once."""
+    newest = Window.partitionBy("person_id", "field", "source")
+    current = own.repartition("person_id").withColumn("_newest", F.max("_segment").over(newest)).where("_segment = _newest").drop("_segment", "_newest")
+    return _merged(current)
+
+
 def apply_batch(store: Store, contributions: DataFrame, epoch: int) -> None:
     """One micro-batch. What a person's source says replaces what it said before."""
     manifest = store.manifest()
@@ -61,9 +69,7 @@ def apply_batch(store: Store, contributions: DataFrame, epoch: int) -> None:
     own = batch.withColumn("_segment", F.lit(epoch + 1))
     if have is not None:
         own = own.unionByName(have.join(people, "person_id", "left_semi"))
-    newest = Window.partitionBy("person_id", "field", "source")
-    current = own.withColumn("_newest", F.max("_segment").over(newest)).where("_segment = _newest").drop("_segment", "_newest")
-    new = _merged(current)
+    new = _profiled(own)
     if (old := profiles(store)) is not None:
         new = new.join(old.select("person_id", "raw_hash"), ["person_id", "raw_hash"], "left_anti").select(new.columns)
     number = epoch + 1

@@ -136,6 +136,13 @@ def test_enrichment_by_batches(spark, tmp_path):
     assert entries()[2] == [("expertise_keywords", '"Sea!"', ["b", "c"])]
 
 
+def test_contributions_move_once(spark):
+    rows = spark.createDataFrame([(1, "awards", "b", 0.8, 0, '"Prize X"', 1), (1, "awards", "b", 0.8, 0, '"Prize Y"', 2)], "person_id long, field string, source string, confidence double, pos long, entry string, _segment int")
+    new = incremental._profiled(rows)
+    assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [e.entry for e in new.first().entries] == ['"Prize Y"']
+
+
 def test_entries_of_all_shapes(spark):
     rows = [("recent_publications", '{"title": "On Seas", "year": 2001}'), ("recent_publications", '"on SEAS!"'), ("recent_publications", '{"title": "x", "doi": "10.1/A", "year": 2005}'), ("recent_publications", '{"doi": "10.1/a"}'), ("patents", '{"title": "P", "patent_number": 7}'), ("patents", '{"title": "p"}'), ("patents", '"P"'), ("funded_grants", '{"title": null, "agency": "N I H"}'), ("funded_grants", '"nih"'), ("awards", '{"name": "A", "year": 2001}'), ("awards", '"a2001"'), ("expertise_keywords", '{"k": 1}'), ("recent_publications", "null"), ("awards", "{}")]
     df = spark.createDataFrame([(1, f, "s", 0.5, i, e) for i, (f, e) in enumerate(rows)], "id long, field string, source string, confidence double, pos long, entry string").withColumn("entry", F.try_parse_json("entry"))
