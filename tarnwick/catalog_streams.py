@@ -66,15 +66,16 @@ def q_harvest_lookup(spark, d):
 @query("""WITH r AS (SELECT user_id, event_type, arg_max(ts, ts) AS stamp, arg_max(value < 250, ts) AS ours FROM events GROUP BY ALL), k AS (SELECT user_id, min(stamp) + INTERVAL 10 DAY AS until, bool_and(ours) AS ours FROM r GROUP BY user_id), now AS (SELECT max(ts) AS now FROM events)
     SELECT user_id::VARCHAR AS key, CASE WHEN ours AND until > now THEN until END AS fresh_until FROM k, now""")
 def q_cooldown_stream(spark, d):
-    """Events as judgements of each user's five kinds, in the order of time in several micro-batches."""
+    """Events as judgements of each user's five kinds, in the order of time in several micro-batches: January,
+    which all events are in, comes in week by week, and the stream goes on after each."""
     folder = workspace.folder(spark, "cooldown")
-    events = table(spark, d, "events")
+    events = table(spark, d, "events").select("user_id", "event_type", "ts", "value")
     week = F.weekofyear("ts")
-    for part in range(1, 6):  # January, which all events are in, week by week
-        events.where(week == part).coalesce(1).write.mode("append").parquet(f"{folder}/stream")
-    judged = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/stream")
-    judged = judged.select(F.col("user_id").alias("key"), F.col("event_type").alias("row"), F.col("ts").cast("timestamp").alias("stamp"), F.when(F.col("value") < 250, "ours").otherwise("theirs").alias("model"))
-    changes = cooldown.into_folder(cooldown.freshness(judged, "ours", 10), f"{folder}/out", f"{folder}/checkpoint")
+    for part in range(1, 6):
+        events.where(week == part).write.mode("append").parquet(f"{folder}/stream")
+        judged = spark.readStream.schema(events.schema).parquet(f"{folder}/stream")
+        judged = judged.select(F.col("user_id").alias("key"), F.col("event_type").alias("row"), F.col("ts").cast("timestamp").alias("stamp"), F.when(F.col("value") < 250, "ours").otherwise("theirs").alias("model"))
+        changes = cooldown.into_folder(cooldown.freshness(judged, "ours", 10), f"{folder}/out", f"{folder}/checkpoint")
     return cooldown.latest(changes).select("key", F.col("fresh_until").cast("timestamp_ntz").alias("fresh_until"))
 
 

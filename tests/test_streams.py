@@ -111,6 +111,23 @@ def test_cooldown(spark, tmp_path):
     assert run() == {"a": "01-14", "b": None, "c": None, "d": "01-23"}
 
 
+def test_a_batch_reads_and_writes_a_keys_state_once():
+    """However many rows it brings and the key has; the last judgement of each counts, unknown times first."""
+    from types import SimpleNamespace as N
+
+    calls, kept = [], [None]
+    value = N(get=lambda: calls.append("get") or kept[0], update=lambda v: calls.append("update") or kept.__setitem__(0, v))
+    handle = N(getValueState=lambda *_: value, registerTimer=lambda t: calls.append(t), deleteTimer=lambda t: calls.append(-t))
+    judge = cooldown.Cooldown("m", 1)
+    judge.init(handle)
+    said = lambda *rows: [r.until for r in judge.handleInputRows(("k",), iter([N(row=r, micros=t, model=m, gone=False) for r, t, m in rows]), N(getCurrentWatermarkInMs=lambda: 0))]
+    day = 86_400_000_000
+    assert said(*((str(i), 5000 + i, "m") for i in range(50)), ("0", None, "x"), ("1", 4000, "x")) == [day + 5000]
+    assert calls == ["get", day // 1000 + 6, "update"]
+    calls.clear()
+    assert said(("7", 9000, "x")) == [None] and calls == ["get", -(day // 1000 + 6), "update"] and len(kept[0][0]) == 50
+
+
 def test_enrichment_by_batches(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     kind = "person_id long, field string, source string, confidence double, pos long, entry string"
