@@ -136,7 +136,8 @@ def q_enrich_stream(spark, d):
         stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
         incremental.enrich_stream(stream, _said, store, f"{folder}/checkpoint")
     incremental.apply_batch(store, _said(lines.where("l_returnflag = 'R'")), 1)
-    return _keyed(incremental.profiles(store).select("person_id", F.explode("entries").alias("e")).select("person_id", "e.*"))
+    merged = incremental.profiles(store).select("person_id", F.explode("entries").alias("e")).select("person_id", "e.*")
+    return merged.select("person_id", "field", "key", "sources", "place")
 
 
 # Budgets

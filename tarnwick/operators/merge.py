@@ -16,8 +16,11 @@ CAPS = {"funded_grants": 25, "recent_publications": 20, "expertise_keywords": 30
 def entry_key(field: Column, title: Column, doi: Column, number: Column, year: Column, agency: Column) -> Column:
     """What makes two entries of a list the same: for publications the DOI or title, for grants the
     title or agency, for patents the number or title, for awards name and year; else the text."""
+    return _named_key(field, title_key(title), doi, number, year, agency)
+
+
+def _named_key(field: Column, name: Column, doi: Column, number: Column, year: Column, agency: Column) -> Column:
     some = lambda x: F.nullif(x, F.lit(""))
-    name = title_key(title)
     return (
         F.when(field == "recent_publications", F.coalesce(F.concat(F.lit("doi:"), F.lower(some(doi))), F.concat(F.lit("title:"), name)))
         .when(field == "funded_grants", F.coalesce(some(name), title_key(agency)))
@@ -34,21 +37,31 @@ def merge_lists(rows: DataFrame, by: Sequence[str], key: str, order: Sequence[Co
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*output_order))).where(F.col("place") <= cap)
 
 
+def _parts(field: Column, entry: Column) -> dict[str, Column]:
+    """What the key of a list's entries is made of: conditions, so that no more is taken out of a variant than the
+    key of its field has. Of other lists an object is its JSON."""
+    part = lambda c: F.try_variant_get(entry, f"$.{c}", "string")
+    title = F.when(field == "awards", part("name")).when(field.isin("recent_publications", "funded_grants", "patents"), part("title")).otherwise(F.to_json(entry))
+    title = F.when(F.startswith(F.schema_of_variant(entry), F.lit("OBJECT")), title).otherwise(F.try_variant_get(entry, "$", "string"))
+    # a text or an array has none of these
+    of = lambda kind, c: F.when(field == kind, part(c))
+    return {"title": title, "doi": of("recent_publications", "doi"), "number": of("patents", "patent_number"), "year": of("awards", "year"), "agency": of("funded_grants", "agency")}
+
+
 def variant_key(field: Column, entry: Column) -> Column:
     """:func:`entry_key` of an entry of any shape: an object with the fields that its kind has, or a text."""
-    parts = F.struct(
-        (~F.startswith(F.schema_of_variant(entry), F.lit("OBJECT"))).alias("simple"), F.try_variant_get(entry, "$", "string").alias("text"),
-        *(F.try_variant_get(entry, f"$.{c}", "string").alias(c) for c in ("title", "name", "doi", "patent_number", "year", "agency")),
-    )
+    parts = F.struct(*(part.alias(name) for name, part in _parts(field, entry).items()))
+    # in an array of one, so that the parts are taken out of the variant once
+    return F.get(F.transform(F.array(parts), lambda x: entry_key(field, *(x[c] for c in ("title", "doi", "number", "year", "agency")))), F.lit(0))
 
-    def key(x: Column) -> Column:
-        title = F.when(x["simple"], x["text"]).when(field == "awards", x["name"]).otherwise(x["title"])
-        keyed = entry_key(field, title, x["doi"], x["patent_number"], x["year"], x["agency"])
-        # of other lists an object is its JSON
-        return F.when(x["simple"] | field.isin("recent_publications", "funded_grants", "patents", "awards"), keyed).otherwise(title_key(F.to_json(entry)))
 
-    # in an array of one, so that the parts are taken out of the variant once
-    return F.get(F.transform(F.array(parts), key), F.lit(0))
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` as for :func:`merge_entries` with what it takes from the entries: their keys, and the years
+    of publications. The parts of a key are columns of their own before, so each is taken out once."""
+    parts = _parts(F.col("field"), F.col("entry"))
+    rows = rows.withColumns({f"_{name}": part for name, part in parts.items()}).withColumn("_title", title_key(F.col("_title")))
+    year = F.when(F.col("field") == "recent_publications", F.coalesce(F.try_variant_get("entry", "$.year", "int"), F.lit(0)))
+    return rows.withColumns({"key": _named_key(F.col("field"), *(F.col(f"_{name}") for name in parts)), "year": year}).drop(*(f"_{name}" for name in parts))
 
 
 def merge_entries(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -56,17 +69,21 @@ def merge_entries(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     source has, as *by, field, place, entry, sources: of entries with one key the most confident
     source's, in the order of confidence, source and place (publications by falling year first), as many
     as the field keeps. ``sources`` are all that have the entry."""
-    keyed = rows.withColumn("_key", variant_key(F.col("field"), F.col("entry")))
-    keyed = keyed.where((F.coalesce("_key", F.lit("")) != "") & (F.col("_key") != "title:"))
+    return merge_keyed(keyed(rows), by).drop("key")
+
+
+def merge_keyed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """:func:`merge_entries` of :func:`keyed` rows, whose entries may be of any type, with their keys."""
     order = [F.col("confidence").desc(), F.col("source"), F.col("pos")]
-    same = Window.partitionBy(*by, "field", "_key")
-    first = keyed.withColumns({"_n": F.row_number().over(same.orderBy(*order)), "sources": F.array_sort(F.collect_set("source").over(same))}).where("_n = 1")
-    year = F.when(F.col("field") == "recent_publications", F.coalesce(F.try_variant_get("entry", "$.year", "int"), F.lit(0)))
+    same = Window.partitionBy(*by, "field", "key")
+    # blank keys go by their number: a condition on the key alone would be pushed down, and the key made again for it
+    number = F.when(~F.coalesce("key", F.lit("")).isin("", "title:"), F.row_number().over(same.orderBy(*order)))
+    first = rows.withColumns({"_n": number, "sources": F.array_sort(F.collect_set("source").over(same))}).where("_n = 1")
     cap = F.lit(20)
     for field, most in CAPS.items():
         cap = F.when(F.col("field") == field, most).otherwise(cap)
-    placed = first.withColumn("_year", year).withColumn("place", F.row_number().over(Window.partitionBy(*by, "field").orderBy(F.col("_year").desc_nulls_last(), *order)))
-    return placed.where(F.col("place") <= cap).select(*by, "field", "place", "entry", "sources")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(*by, "field").orderBy(F.col("year").desc_nulls_last(), *order)))
+    return placed.where(F.col("place") <= cap).select(*by, "field", "place", "entry", "sources", "key")
 
 
 def provenance(rows: DataFrame, by: Sequence[str]) -> DataFrame:

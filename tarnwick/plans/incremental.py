@@ -10,11 +10,11 @@ nothing, whether it had been published or not.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwick import workspace
 from tarnwick.operators import merge
 from tarnwick.versions import Store
 
@@ -22,40 +22,74 @@ from tarnwick.versions import Store
 MOST_SEGMENTS = 8
 
 
-def _parts(store: Store, kind: str, manifest: dict | None = None) -> DataFrame | None:
-    """All segments of a kind, with the number of each."""
-    out = None
-    manifest = manifest or store.manifest()
-    for name, entry in manifest["tables"].items():
-        if name.startswith(f"{kind}-"):
-            rows = store._table(entry).withColumn("_segment", F.lit(int(name.split("-")[1])))
-            out = rows if out is None else out.unionByName(rows)
+#: A micro-batch with fewer rows than this share of the store's picks its people's rows out before they move.
+SMALL_BATCH = 0.1
+
+
+def _keyed(contributions: DataFrame) -> DataFrame:
+    """Contributions with the keys and years of their entries, which are written anew as JSON. Segments have
+    them, so an entry is parsed once; those of earlier versions may lack them."""
+    if "key" in contributions.columns:
+        return contributions
+    return merge.keyed(contributions.withColumn("entry", F.try_parse_json("entry"))).withColumn("entry", F.to_json("entry"))
+
+
+def _with_keys(profiles: DataFrame) -> DataFrame:
+    """Profiles whose entries have their keys; those of earlier versions may lack them."""
+    if "key" in profiles.schema["entries"].dataType.elementType.names:
+        return profiles
+    return profiles.withColumn("entries", F.transform("entries", lambda e: e.withField("key", merge.variant_key(e["field"], F.try_parse_json(e["entry"])))))
+
+
+def _segments(store: Store, kind: str, manifest: dict) -> list[tuple[int, DataFrame]]:
+    """All segments of a kind with the number of each, rising."""
+    complete = {"contributions": _keyed, "profiles": _with_keys}[kind]
+    return sorted(((int(name.split("-")[1]), complete(store._table(entry))) for name, entry in manifest["tables"].items() if name.startswith(f"{kind}-")), key=lambda s: s[0])
+
+
+def _union(segments: list[tuple[int, DataFrame]]) -> DataFrame:
+    """The rows of some segments, with the number of each."""
+    return reduce(DataFrame.unionByName, (rows.withColumn("_segment", F.lit(number)) for number, rows in segments))
+
+
+def _newest(segments: list[tuple[int, DataFrame]]) -> DataFrame | None:
+    """Of profiles (or some of their columns) each person's newest; None without segments. Those of the last
+    segment stay where they are, of older ones those go whom a later one has."""
+    out, later = None, None
+    for _, rows in reversed(segments):
+        people = rows.select("person_id")
+        kept = rows if later is None else rows.join(later, "person_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        later = people if later is None else later.unionByName(people)
     return out
 
 
 def profiles(store: Store, version: int | None = None) -> DataFrame | None:
     """Each person's newest profile: person_id, entries, raw_hash; None before the first."""
-    rows = _parts(store, "profiles", store.manifest(version))
-    if rows is None:
-        return None
-    newest = F.max_by(F.struct("entries", "raw_hash"), "_segment")
-    return rows.groupBy("person_id").agg(newest.alias("p")).select("person_id", "p.*")
+    return _newest(_segments(store, "profiles", store.manifest(version)))
 
 
 def _merged(contributions: DataFrame) -> DataFrame:
-    """Profiles of ``contributions(person_id, field, source, confidence, pos, entry)``, entry as JSON."""
-    rows = merge.merge_entries(contributions.withColumn("entry", F.try_parse_json("entry")), ["person_id"])
-    entry = F.struct("field", F.col("place").cast("long").alias("place"), F.to_json("entry").alias("entry"), "sources")
+    """Profiles of ``contributions(person_id, field, source, confidence, pos, entry)``, entry as JSON, with keys
+    or without."""
+    rows = merge.merge_keyed(_keyed(contributions), ["person_id"])
+    entry = F.struct("field", F.col("place").cast("long").alias("place"), "entry", "sources", "key")
     profile = rows.groupBy("person_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     return profile.withColumn("raw_hash", F.sha2(F.to_json("entries"), 256))
 
 
+def _current(own: DataFrame) -> DataFrame:
+    """Of contributions with their segments what each source said last. They are dealt by person and sorted,
+    so that what follows neither moves them nor sorts them anew."""
+    dealt = own.repartition("person_id").sortWithinPartitions("person_id", "field", "source")
+    newest = Window.partitionBy("person_id", "field", "source")
+    return dealt.withColumn("_newest", F.max("_segment").over(newest)).where("_segment = _newest").drop("_newest")
+
+
 def _profiled(own: DataFrame) -> DataFrame:
     """Profiles by what each source said last, of contributions with their segments. All is by person and more,
     so rows move once."""
-    newest = Window.partitionBy("person_id", "field", "source")
-    current = own.repartition("person_id").withColumn("_newest", F.max("_segment").over(newest)).where("_segment = _newest").drop("_segment", "_newest")
-    return _merged(current)
+    return _merged(_current(own).drop("_segment"))
 
 
 def apply_batch(store: Store, contributions: DataFrame, epoch: int) -> None:
@@ -63,18 +97,26 @@ def apply_batch(store: Store, contributions: DataFrame, epoch: int) -> None:
     manifest = store.manifest()
     if manifest["notes"].get("epoch", -1) >= epoch:
         return
-    batch = workspace.save(contributions.select("person_id", "field", "source", "confidence", "pos", "entry"))
-    people = batch.select("person_id").distinct()
-    have = _parts(store, "contributions", manifest)
-    own = batch.withColumn("_segment", F.lit(epoch + 1))
-    if have is not None:
-        own = own.unionByName(have.join(people, "person_id", "left_semi"))
-    new = _profiled(own)
-    if (old := profiles(store)) is not None:
-        new = new.join(old.select("person_id", "raw_hash"), ["person_id", "raw_hash"], "left_anti").select(new.columns)
     number = epoch + 1
-    store.publish({f"contributions-{number}": batch, f"profiles-{number}": new}, manifest["version"], {"epoch": epoch})
-    workspace.drop(batch)
+    batch = _keyed(contributions.select("person_id", "field", "source", "confidence", "pos", "entry"))
+    have, known = _segments(store, "contributions", manifest), _segments(store, "profiles", manifest)
+    had = sum(entry["rows"] for name, entry in manifest["tables"].items() if name.startswith("contributions-"))
+
+    def changed(batch: DataFrame) -> DataFrame:
+        if not have:
+            return _merged(batch.repartition("person_id"))
+        rows = _union(have)
+        if batch.count() < had * SMALL_BATCH:
+            rows = rows.join(batch.select("person_id").distinct(), "person_id", "left_semi")
+        own = _current(rows.unionByName(_union([(number, batch)])))
+        # of people of whom the batch says nothing no row is new
+        heard = F.max("_segment").over(Window.partitionBy("person_id")) == number
+        new = _merged(own.withColumn("_heard", heard).where("_heard").drop("_heard", "_segment"))
+        old = _newest([(n, rows.select("person_id", F.col("raw_hash").alias("_hash"))) for n, rows in known])
+        return new.join(old, "person_id", "left").where(~F.col("raw_hash").eqNullSafe(F.col("_hash"))).select(new.columns)
+
+    # the profiles are made of the batch as it was written, so it is parsed once
+    store.publish({f"contributions-{number}": batch, f"profiles-{number}": changed}, manifest["version"], {"epoch": epoch})
     if sum(name.startswith("profiles-") for name in store.manifest()["tables"]) > MOST_SEGMENTS:
         compact(store)
 
@@ -82,11 +124,10 @@ def apply_batch(store: Store, contributions: DataFrame, epoch: int) -> None:
 def compact(store: Store) -> None:
     """The segments as one, without what later ones replace."""
     manifest = store.manifest()
-    numbers = [int(n.split("-")[1]) for n in manifest["tables"] if n.startswith("profiles-")]
-    newest = Window.partitionBy("person_id", "field", "source")
-    kept = _parts(store, "contributions", manifest).withColumn("_newest", F.max("_segment").over(newest)).where("_segment = _newest").drop("_segment", "_newest")
+    have = _segments(store, "contributions", manifest)
+    numbers = [n for n, _ in have]
     last = max(numbers)
-    tables = {f"contributions-{last}": kept, f"profiles-{last}": profiles(store)}
+    tables = {f"contributions-{last}": _current(_union(have)).drop("_segment"), f"profiles-{last}": profiles(store)}
     store.publish(tables, manifest["version"], drop=[f"{kind}-{n}" for n in numbers if n != last for kind in ("contributions", "profiles")])
 
 

@@ -62,20 +62,23 @@ class Store:
     def _table(self, entry: dict) -> DataFrame:
         return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self.folder}/{entry['path']}")
 
-    def publish(self, tables: dict[str, DataFrame], parent: int, notes: dict | None = None, drop: Iterable[str] = (), checks: Iterable[Callable[[dict[str, DataFrame]], str | None]] = ()) -> int:
+    def publish(self, tables: dict[str, DataFrame | Callable[[DataFrame], DataFrame]], parent: int, notes: dict | None = None, drop: Iterable[str] = (), checks: Iterable[Callable[[dict[str, DataFrame]], str | None]] = ()) -> int:
         """The version after ``parent``: its tables with ``tables`` in place of those of equal name and
-        without ``drop``. ``notes`` are small facts that belong to it, added to the parent's. A check gets
-        all of the version's tables, as written, and returns what is wrong with them, if anything is."""
+        without ``drop``. ``notes`` are small facts that belong to it, added to the parent's. A function
+        in place of a table makes it of the one before it, as written. A check gets all of the version's
+        tables, as written, and returns what is wrong with them, if anything is."""
         before = self.manifest(parent)
         folder = f"data/{uuid.uuid4().hex}"
         entries = {n: e for n, e in before["tables"].items() if n not in set(drop)}
         try:
             for name, df in tables.items():
                 path = f"{folder}/{name}"
+                df = df(written) if callable(df) else df
                 df.write.parquet(f"{self.folder}/{path}")
-                entries[name] = {"path": path, "schema": json.loads(df.schema.json()), "rows": self.spark.read.schema(df.schema).parquet(f"{self.folder}/{path}").count()}
-            written = {n: self._table(e) for n, e in entries.items()}
-            if wrong := [w for w in (check(written) for check in checks) if w]:
+                written = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{path}")
+                entries[name] = {"path": path, "schema": json.loads(df.schema.json()), "rows": written.count()}
+            whole = {n: self._table(e) for n, e in entries.items()}
+            if wrong := [w for w in (check(whole) for check in checks) if w]:
                 raise Refused("; ".join(wrong))
             self._put({"version": parent + 1, "tables": entries, "notes": before["notes"] | (notes or {})}, parent + 1)
         except BaseException:

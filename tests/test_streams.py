@@ -160,6 +160,27 @@ def test_contributions_move_once(spark):
     assert [e.entry for e in new.first().entries] == ['"Prize Y"']
 
 
+def test_entries_are_parsed_once(spark, tmp_path):
+    """When a batch is written; merging and profiles have the keys. A segment of before may lack them."""
+    kind = "person_id long, field string, source string, confidence double, pos long, entry string"
+    first = spark.createDataFrame([(1, "awards", "b", 0.8, 0, '{"year": 2001, "name": "Prize X"}'), (1, "awards", "b", 0.8, 1, "{cut"), (2, "expertise_keywords", "b", 0.8, 0, '"Sea!"')], kind)
+    second = spark.createDataFrame([(1, "awards", "a", 0.9, 0, '"prize x 2001"'), (3, "patents", "a", 0.9, 0, '{"patent_number": 7}')], kind)
+    old, new = Store(spark, f"file://{tmp_path}/old"), Store(spark, f"file://{tmp_path}/new")
+    entry = "struct<field:string,place:bigint,entry:string,sources:array<string>>"
+    profile = [(1, [("awards", 1, '{"name":"Prize X","year":2001}', ["b"])], "x"), (2, [("expertise_keywords", 1, '"Sea!"', ["b"])], "y")]
+    old.publish({"contributions-1": first, "profiles-1": spark.createDataFrame(profile, f"person_id long, entries array<{entry}>, raw_hash string")}, 0, {"epoch": 0})
+    incremental.apply_batch(new, first, 0)
+    want = {1: [("awards", 1, '"prize x 2001"', ["a", "b"], "prizex2001")], 2: [("expertise_keywords", 1, '"Sea!"', ["b"], "sea")], 3: [("patents", 1, '{"patent_number":7}', ["a"], "7")]}
+    for store in (old, new):
+        incremental.apply_batch(store, second, 1)
+        assert store.manifest()["tables"]["profiles-2"]["rows"] == 2
+        assert {r.person_id: [tuple(e) for e in r.entries] for r in incremental.profiles(store).collect()} == want
+    kept = new.read("contributions-1")
+    assert {r.entry: r.key for r in kept.collect()} == {'{"name":"Prize X","year":2001}': "prizex2001", None: "", '"Sea!"': "sea"}
+    plans = [df._jdf.queryExecution().executedPlan().toString().lower() for df in (incremental._merged(kept), incremental.profiles(new))]
+    assert not any("variant" in p or "parsejson" in p for p in plans)
+
+
 def test_entries_of_all_shapes(spark):
     rows = [("recent_publications", '{"title": "On Seas", "year": 2001}'), ("recent_publications", '"on SEAS!"'), ("recent_publications", '{"title": "x", "doi": "10.1/A", "year": 2005}'), ("recent_publications", '{"doi": "10.1/a"}'), ("patents", '{"title": "P", "patent_number": 7}'), ("patents", '{"title": "p"}'), ("patents", '"P"'), ("funded_grants", '{"title": null, "agency": "N I H"}'), ("funded_grants", '"nih"'), ("awards", '{"name": "A", "year": 2001}'), ("awards", '"a2001"'), ("expertise_keywords", '{"k": 1}'), ("recent_publications", "null"), ("awards", "{}")]
     df = spark.createDataFrame([(1, f, "s", 0.5, i, e) for i, (f, e) in enumerate(rows)], "id long, field string, source string, confidence double, pos long, entry string").withColumn("entry", F.try_parse_json("entry"))
